@@ -92,10 +92,9 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     h, n = words.hash, len(words.hash)
     count = np.diff(words.offs)
     acc = np.zeros(max(n - size + 1, 0), np.uint64)
-    mul = np.uint64(1)
+    up, _ = powers(size + 1)
     for j in range(size):
-        acc += h[j : j + len(acc)] * mul
-        mul = mul * _BASE
+        acc += h[j : j + len(acc)] * up[j]
     ok = words.row[: len(acc)] == words.row[size - 1 : size - 1 + len(acc)]
     out, rows = mix(acc[ok]), words.row[: len(acc)][ok]
     short = np.flatnonzero((count > 0) & (count < size))
@@ -103,7 +102,6 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         extra = []
         for r in short:
             own = h[words.offs[r] : words.offs[r + 1]]
-            up, _ = powers(size + 1)
             extra.append((own * up[: len(own)]).sum(dtype=np.uint64) ^ np.uint64(len(own)))
         out, rows = np.concatenate([out, mix(np.array(extra, np.uint64))]), np.concatenate([rows, short])
     return out, rows
