@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,10 +50,13 @@ class Scratch:
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
+        """Writes ``df`` and reads it back; shuffle files of frames that nothing refers to are let go first."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         self.count += 1
         path = f"{self.base}/{self.count:03d}_{name}"
-        df.write.parquet(path)
+        df.write.partitionBy(*(partition_by or [])).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
