@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from graupel.llm.bpe import bpe_roundtrip_query
 from graupel.llm.jaccard_join import jaccard_query
+from graupel.llm.katz import katz_query
 from graupel.llm.sharding import sharding_query
 
 QUERIES = {
     "op3_hypergeometric_shards": sharding_query,
+    "op7_katz_backoff": katz_query,
     "op8_parity_sketch_join": jaccard_query,
     "op6_byte_bpe_roundtrip": bpe_roundtrip_query,
 }
