@@ -6,10 +6,12 @@ from graupel.llm.bpe import bpe_roundtrip_query
 from graupel.llm.jaccard_join import jaccard_query
 from graupel.llm.katz import katz_query
 from graupel.llm.sharding import sharding_query
+from graupel.llm.substring_dedup import substring_query
 
 QUERIES = {
     "op3_hypergeometric_shards": sharding_query,
     "op7_katz_backoff": katz_query,
+    "op9_prefix_interval_dedup": substring_query,
     "op8_parity_sketch_join": jaccard_query,
     "op6_byte_bpe_roundtrip": bpe_roundtrip_query,
 }
