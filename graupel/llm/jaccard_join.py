@@ -200,21 +200,25 @@ def _close(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     return (
         pairs.join(side("a"), "a").join(side("b"), "b")
         .where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (apart <= F.floor((F.col("na") + F.col("nb")) * (den - num) / (den + num))))
-        .select("a", "b")
+        .select("a", "b", apart.alias("apart"))
     )
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id: str, text: str, size: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Exact similarity of candidate pairs, from the texts of one document of each set."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(nodes.select("sig", "rep"), "sig").select(F.col("rep").alias(id))
-    texts = docs.select(id, text).join(wanted.distinct(), id, "left_semi")
+def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id: str, text: str, size: int, scratch: Scratch) -> DataFrame:
+    """The n-grams of the wanted sets, from the text of one document each: sig, grams."""
+    ids = wanted.join(nodes.select("sig", "rep"), "sig").select(F.col("rep").alias(id))
+    texts = docs.select(id, text).join(ids.distinct(), id, "left_semi")
 
     def sets_of(batches):
         for _, raw, offs in chunks(batches, text):
             s = Sets(raw, offs, size)
             yield pa.RecordBatch.from_pydict({"sig": s.sig[s.kept], "grams": pa.array([s.h[s.first[k] : s.first[k + 1]].tobytes() for k in s.kept], pa.binary())})
 
-    sets = scratch.save(texts.mapInArrow(sets_of, "sig long, grams binary").dropDuplicates(["sig"]), "sets")
+    return scratch.save(texts.mapInArrow(sets_of, "sig long, grams binary").dropDuplicates(["sig"]), "sets")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """The pairs whose sets have the similarity, exactly."""
 
     def exact(batches):
         for batch in batches:
@@ -231,6 +235,20 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id: str, text:
     return scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(exact, "a long, b long"), "links")
 
 
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Each set's pair with the least sketch distance."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "apart", F.col("b").alias("other")), F.struct(F.col("b").alias("node"), "apart", F.col("a").alias("other")))).alias("e")).select("e.*")
+    near = ends.groupBy("node").agg(F.min(F.struct("apart", "other")).alias("m"))
+    return near.select(F.least("node", "m.other").alias("a"), F.greatest("node", "m.other").alias("b")).distinct()
+
+
+def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    side = lambda p: comps.select(F.col("node").alias(p), F.col("component").alias(f"c{p}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def _left_apart(members: DataFrame, comps: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of large groups' sets in different components, compared block by block."""
     placed = members.join(comps, members["sig"] == comps["node"], "left").select("group", "sig", F.coalesce("component", "sig").alias("comp"))
@@ -274,14 +292,19 @@ def ngram_jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text",
     feats = scratch.save(docs.mapInArrow(features, f"{id} {kind}, n long, sig long, lanes array<long>"), "features")
     nodes = scratch.save(feats.where("n > 0").groupBy("sig").agg(F.min(id).alias("rep"), F.first("n").alias("n"), F.first("lanes").alias("lanes")), "nodes")
     met = scratch.save(_meet(_posted(docs, text, size, num, den)), "met")
-    pairs = scratch.save(_close(met.where("kind = 0").select("a", "b").distinct(), nodes, num, den), "pairs")
-    links = _verify(pairs, nodes, docs, id, text, size, num, den, scratch)
+    pairs = scratch.save(_close(met.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, num, den), "pairs")
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    sets = _sets(ends(pairs), nodes, docs, id, text, size, scratch)
+    # a pair within a component adds nothing: the nearest pairs come first, then those that still join components
+    links = _verify(_nearest(pairs), sets, num, den, scratch)
+    comps = scratch.save(connected_components(links, scratch=scratch), "components")
+    links = links.union(_verify(_between(pairs, comps), sets, num, den, scratch))
     comps = scratch.save(connected_components(links, scratch=scratch), "components")
     members = met.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("sig")).distinct()
-    more = scratch.save(_left_apart(members, comps, nodes, num, den), "apart")
+    more = scratch.save(_left_apart(members, comps, nodes, num, den).join(pairs, ["a", "b"], "left_anti"), "apart")
     if not more.isEmpty():
-        more = scratch.save(more.join(pairs, ["a", "b"], "left_anti"), "apart")
-        links = links.union(_verify(more, nodes, docs, id, text, size, num, den, scratch))
+        sets = sets.union(_sets(ends(more).join(sets, "sig", "left_anti"), nodes, docs, id, text, size, scratch))
+        links = links.union(_verify(more, sets, num, den, scratch))
         comps = scratch.save(connected_components(links, scratch=scratch), "components")
     named = nodes.join(comps, nodes["sig"] == comps["node"], "left").select("sig", "rep", F.coalesce("component", "sig").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
