@@ -32,7 +32,7 @@ from graupel.session import Scratch
 
 K = 5
 TAIL = 0.05
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 END, START = np.uint64(0x51AB4E17C0FFEE01), np.uint64(0x2B992DDFA23249D7)
 
 
