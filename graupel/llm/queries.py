@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from graupel.llm.bpe import bpe_roundtrip_query
+from graupel.llm.decontaminate import contamination_query
 from graupel.llm.jaccard_join import jaccard_query
 from graupel.llm.katz import katz_query
+from graupel.llm.quality import quality_query
 from graupel.llm.sharding import sharding_query
 from graupel.llm.substring_dedup import substring_query
 
 QUERIES = {
+    "op1_random_indexing_quality": quality_query,
+    "op2_greedy_string_tiling": contamination_query,
     "op3_hypergeometric_shards": sharding_query,
     "op7_katz_backoff": katz_query,
     "op9_prefix_interval_dedup": substring_query,
