@@ -2,17 +2,18 @@
 
 Suffixes are taken at anchors only: in every window of ``length`` bytes the leftmost smallest hash of
 ``GRAM`` bytes is one, so two equal windows hold the same anchor in the same place.  Anchors that
-occur once in the corpus drop out; the others meet in hashed buckets with the bytes around them.
+occur once in the corpus drop out, and so do all but the earliest of those with equal bytes around
+them (all their windows are repeats); the rest meet in hashed buckets with these bytes.
 There the occurrences of an anchor are sorted by what follows, neighbours' common prefixes are
 stack-scanned into the interval tree, and in each interval (a repeat with all its occurrences) the
 order of what precedes them tells how far each occurrence extends to the left together with an
 earlier one.  Extensions of ``length`` bytes or more are removed from all but the earliest.
 
 An anchor with more than ``HOT`` occurrences that differ is not gathered in one place: each of its windows is
-compared by hash on its own.  Equal surroundings within a block of texts are settled in the block.
+compared by hash on its own.
 
-Documents are ordered by id, then block and row (null ids come last), bytes by position; matches never cross
-documents.  Null texts are empty; texts shorter than ``length`` keep everything; repeated rows are
+Blocks of texts are cut in id order, so places compare as (block, byte).  Rows with equal ids keep
+the order of their block, null ids come first; matches never cross documents.  Null texts are empty; texts shorter than ``length`` keep everything; repeated rows are
 copies, of which the first stays.  Extra columns are ignored.
 """
 
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,7 +31,6 @@ from graupel.session import Scratch
 
 GRAM = 32
 HOT = 1000
-LAST = 2**63 - 1
 
 
 class Bytes:
@@ -68,15 +67,12 @@ class Bytes:
         at = np.unique((least[inside[: len(least)]] & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64))
         return at, gram[at]
 
-    def around(self, at: np.ndarray, length: int):
-        """Bytes before (nearest first) and from each anchor, padded with zeros, and how many there are."""
-        doc = np.searchsorted(self.offs, at, "right") - 1
-        before = np.minimum(at - self.offs[doc], length - GRAM)
-        after = np.minimum(self.offs[doc + 1] - at, length)
+    def around(self, at, before, after, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes before (nearest first) and from each anchor, padded with zeros."""
         left, right = np.arange(1, length - GRAM + 1), np.arange(length)
         l = np.where(left <= before[:, None], self.raw[np.maximum(at[:, None] - left, 0)], 0).astype(np.uint8)
         r = np.where(right < after[:, None], self.raw[np.minimum(at[:, None] + right, len(self.raw) - 1)], 0).astype(np.uint8)
-        return doc, before, after, l, r
+        return l, r
 
 
 def _key_parts(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,64 +85,68 @@ def _cuts(bucket: np.ndarray):
 
 
 def text_blocks(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """Packed blocks of texts, each in id order."""
+    """Packed blocks of texts; ids ascend within and across block numbers."""
+    count = max(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def build(batches):
         part = TaskContext.get().partitionId()
-        for number, (batch, _, _) in enumerate(chunks(batches, text)):
-            batch = batch.take(pc.sort_indices(batch.column(id), null_placement="at_end"))
-            for _, raw, offs in chunks([batch], text, 1 << 62):
-                ids = batch.column(id)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part << 20 | number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([np.diff(offs).astype(np.uint32).tobytes()], pa.binary()), pa.array([raw.tobytes()], pa.binary())],
-                    names=["block", "ids", "lens", "raw"],
-                )
+        for number, (batch, raw, offs) in enumerate(chunks(batches, text)):
+            ids = batch.column(id)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part << 20 | number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([np.diff(offs).astype(np.uint32).tobytes()], pa.binary()), pa.array([raw.tobytes()], pa.binary())],
+                names=["block", "ids", "lens", "raw"],
+            )
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(id, text).mapInArrow(build, f"block long, ids array<{kind}>, lens binary, raw binary")
+    return docs.select(id, text).repartitionByRange(count, id).sortWithinPartitions(id).mapInArrow(build, f"block long, ids array<{kind}>, lens binary, raw binary")
 
 
-def _unpack_block(row: dict) -> tuple[Bytes, np.ndarray]:
+def _anchors_of(row: dict, length: int):
+    """A block's bytes, and its anchors with distinct surroundings: place, bytes before and after, bucket, code, sign, and copies."""
     b = Bytes(np.frombuffer(row["raw"], np.uint8), np.frombuffer(row["lens"], np.uint32))
-    return b, np.array([LAST if x is None else x for x in row["ids"]], np.int64)
-
-
-def _repeated_anchors(blocks: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Per block and bucket: for each distinct anchor hash 0 (occurs once), 1 (repeated) or 2 (hot)."""
+    at, h = b.anchors(length)
+    doc = np.searchsorted(b.offs, at, "right") - 1
+    before = np.minimum(at - b.offs[doc], length - GRAM)
+    after = np.minimum(b.offs[doc + 1] - at, length)
+    sign = mix((b.total[at + after] - b.total[at - before]) * b.down[at - before] ^ mix((before * 1024 + after).astype(np.uint64)))
+    _, first = np.unique(sign, return_index=True)
+    copy = np.ones(len(at), bool)
+    copy[first] = False
+    bucket, code = _key_parts(h[first], row["buckets"])
+    order = np.lexsort((sign[first], code, bucket))
+    return b, at, before, after, copy, first[order], bucket[order], code[order], sign[first][order] >> np.uint64(16)
+
+
+def _levels(blocks: DataFrame, length: int, buckets: int) -> DataFrame:
+    """For each distinct anchor of a block: 0 nothing to do, 1 compare, 2 compare by windows, 3 equals an earlier one."""
 
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                b = Bytes(np.frombuffer(row["raw"], np.uint8), np.frombuffer(row["lens"], np.uint32))
-                h, times = np.unique(b.anchors(length)[1], return_counts=True)
-                bucket, key = _key_parts(h, buckets)
-                order = np.lexsort((key, bucket))
-                bucket, key, times = bucket[order], key[order], times[order]
-                rows = [(int(bucket[i]), row["block"], pack(key[i:j], True), pack(times[i:j])) for i, j in _cuts(bucket)]
+                *_, bucket, code, sign = _anchors_of(row | {"buckets": buckets}, length)
+                rows = [(int(bucket[i]), row["block"], pack(code[i:j], True), pack(sign[i:j])) for i, j in _cuts(bucket)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "keys", "times"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "codes", "signs"])
 
     def answer(table: pa.Table) -> pa.Table:
-        keys = [unpack(x.as_py(), True) for x in table.column("keys")]
-        flat, times = np.concatenate(keys), np.concatenate([unpack(x.as_py()) for x in table.column("times")])
-        order = np.argsort(flat, kind="stable")
-        new = np.r_[True, flat[order][1:] != flat[order][:-1]]
-        at = np.flatnonzero(new)
-        total, held = np.add.reduceat(times[order], at), np.diff(np.r_[at, len(flat)])
-        level = (total > 1).astype(np.uint64) + ((total > HOT) & (held > 1)).astype(np.uint64)
-        out = np.empty(len(flat), np.uint64)
-        out[order] = level[np.cumsum(new) - 1]
-        ends = np.cumsum([len(k) for k in keys])
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "level": pa.array([pack(out[e - len(k) : e]) for e, k in zip(ends, keys, strict=True)], pa.binary())})
-
-    return blocks.select("block", "lens", "raw").mapInArrow(ask, "bucket int, block long, keys binary, times binary").groupBy("bucket").applyInArrow(answer, "block long, bucket int, level binary")
+        table = table.sort_by("block")
+        codes = [unpack(x.as_py(), True) for x in table.column("codes")]
+        code, sign = np.concatenate(codes), np.concatenate([unpack(x.as_py()) for x in table.column("signs")])
+        order = np.lexsort((sign, code))  # stable, so the earliest block comes first
+        code, sign = code[order], sign[order]
+        new = np.r_[True, code[1:] != code[:-1]]
+        own = new | np.r_[True, sign[1:] != sign[:-1]]
+        kinds = np.add.reduceat(own.astype(np.int64), np.flatnonzero(new))[np.cumsum(new) - 1]
+        level = np.where(~own, 3, np.where(kinds == 1, 0, np.where(kinds > HOT, 2, 1)))
+        out = np.empty(len(level), np.uint64)
+        out[order] = level
+        ends = np.cumsum([len(k) for k in codes])
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "level": pa.array([pack(out[e - len(k) : e]) for e, k in zip(ends, codes, strict=True)], pa.binary())})
 
+    return blocks.select("block", "lens", "raw").mapInArrow(ask, "bucket int, block long, codes binary, signs binary").groupBy("bucket").applyInArrow(answer, "block long, bucket int, level binary")
 
-_PART = "kind int, bucket int, block long, keys binary, places binary, ids binary, before binary, after binary, bytes binary"
 
-
-def _part(kind, bucket, block, keys=None, places=None, ids=None, before=None, after=None, data=None):
-    return (kind, bucket, block, keys, places, ids, before, after, data)
+_PART = "kind int, bucket int, block long, keys binary, places binary, before binary, after binary, bytes binary"
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -157,61 +157,40 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
 
 
 def _surroundings(blocks: DataFrame, levels: DataFrame, length: int, buckets: int) -> DataFrame:
-    """kind 0: spans settled in the block; kind 1: repeated anchors with their bytes; kind 2: windows of hot anchors."""
+    """kind 0: spans settled by equal surroundings; kind 1: anchors to compare, with their bytes; kind 2: windows of hot anchors."""
 
     def cut(key, rows: pa.Table, found: pa.Table) -> pa.Table:
-        row = rows.to_pylist()[0]
-        b, ids = _unpack_block(row)
-        at, h = b.anchors(length)
+        row = rows.to_pylist()[0] | {"buckets": buckets}
+        b, at, before, after, copy, own, bucket, code, _ = _anchors_of(row, length)
         if not len(at):
             return _table([], _PART)
-        distinct, place = np.unique(h, return_inverse=True)
-        bucket, code = _key_parts(distinct, buckets)
-        order = np.lexsort((code, bucket))
         replies = sorted(zip(found.column("bucket").to_pylist(), found.column("level").to_pylist(), strict=True), key=lambda x: x[0])
-        level = np.empty(len(order), np.int64)
-        level[order] = np.concatenate([unpack(v) for _, v in replies]).astype(np.int64)
-        level = level[place]
-        keep = np.flatnonzero(level > 0)
-        at, h, level = at[keep], h[keep], level[keep]
-        out, starts, ends = [], [], []
-        hot_at = []
-        doc = np.searchsorted(b.offs, at, "right") - 1
-        before = np.minimum(at - b.offs[doc], length - GRAM)
-        after = np.minimum(b.offs[doc + 1] - at, length)
-        # surroundings equal to earlier ones of the block: one hash tells all their bytes and lengths
-        sign = mix((b.total[at + after] - b.total[at - before]) * b.down[at - before] ^ mix((before * 1024 + after).astype(np.uint64)))
-        _, first, again = np.unique(sign, return_index=True, return_inverse=True)
-        copy = first[again] != np.arange(len(at))
+        level = np.concatenate([unpack(v) for _, v in replies]).astype(np.int64)
+        copy[own[level == 3]] = True
         settled = copy & (before + after >= length)
-        starts.append((at - before)[settled])
-        ends.append((at + after)[settled])
-        own = np.flatnonzero(~copy)
-        for i in own[level[own] == 2]:
-            hot_at.append(np.arange(at[i] - before[i], at[i] + after[i] - length + 1))
-        own = own[level[own] == 1]
-        bucket, code = _key_parts(h[own], buckets)
-        order = np.lexsort((at[own], code, bucket))
-        own, bucket, code = own[order], bucket[order], code[order]
+        starts, ends, out = [(at - before)[settled]], [(at + after)[settled]], []
+        hot = own[level == 2]
+        pick = level == 1
+        own, bucket, code = own[pick], bucket[pick], code[pick]
         for i, j in _cuts(bucket):
-            pick = own[i:j]
-            d, bf, af, l, r = b.around(at[pick], length)
-            out.append(_part(1, int(bucket[i]), row["block"], pack(code[i:j], True), pack(at[pick]), pack(ids[d].astype(np.uint64)), bf.astype(np.uint8).tobytes(), af.astype(np.uint8).tobytes(), pa.compress(np.concatenate([l, r], 1).tobytes(), "zstd", asbytes=True)))
-        if hot_at:
-            pos = np.unique(np.concatenate(hot_at))
+            x = own[i:j]
+            l, r = b.around(at[x], before[x], after[x], length)
+            out.append((1, int(bucket[i]), row["block"], pack(code[i:j], True), pack(at[x]), before[x].astype(np.uint8).tobytes(), after[x].astype(np.uint8).tobytes(), pa.compress(np.concatenate([l, r], 1).tobytes(), "zstd", asbytes=True)))
+        if len(hot):
+            pos = np.unique(np.concatenate([np.arange(at[i] - before[i], at[i] + after[i] - length + 1) for i in hot]))
             wh = b.hash(pos, length)
-            _, first, again = np.unique(wh, return_index=True, return_inverse=True)
-            copy = first[again] != np.arange(len(pos))
-            starts.append(pos[copy])
-            ends.append(pos[copy] + length)
-            pos, wh = pos[~copy], wh[~copy]
-            bucket = wh % np.uint64(buckets)
+            _, first = np.unique(wh, return_index=True)
+            again = np.ones(len(pos), bool)
+            again[first] = False
+            starts.append(pos[again])
+            ends.append(pos[again] + length)
+            pos, wh = pos[first], wh[first]
+            bucket = (wh % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((wh, bucket))
             pos, wh, bucket = pos[order], wh[order], bucket[order]
-            d = np.searchsorted(b.offs, pos, "right") - 1
             for i, j in _cuts(bucket):
-                out.append(_part(2, int(bucket[i]), row["block"], pack(wh[i:j], True), pack(pos[i:j]), pack(ids[d[i:j]].astype(np.uint64))))
-        out.append(_part(0, 0, row["block"], places=pack(np.concatenate(starts)), ids=pack(np.concatenate(ends))))
+                out.append((2, int(bucket[i]), row["block"], pack(wh[i:j], True), pack(pos[i:j]), None, None, None))
+        out.append((0, 0, row["block"], None, pack(np.concatenate(starts)), pack(np.concatenate(ends)), None, None))
         return _table(out, _PART)
 
     return blocks.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(cut, _PART)
@@ -294,12 +273,11 @@ def _match(parts: DataFrame, length: int) -> DataFrame:
         rows = table.to_pylist()
         key = np.concatenate([unpack(r["keys"], True) for r in rows])
         at = np.concatenate([unpack(r["places"]) for r in rows]).astype(np.int64)
-        ids = np.concatenate([unpack(r["ids"]) for r in rows]).astype(np.int64)
         block = np.repeat([r["block"] for r in rows], [len(r["before"]) for r in rows])
         before = np.frombuffer(b"".join(r["before"] for r in rows), np.uint8).astype(np.int64)
         after = np.frombuffer(b"".join(r["after"] for r in rows), np.uint8).astype(np.int64)
         data = np.concatenate([np.frombuffer(pa.decompress(r["bytes"], len(r["before"]) * (wide + length), "zstd", asbytes=True), np.uint8).reshape(-1, wide + length) for r in rows])
-        order = np.lexsort((at, block, ids, key))
+        order = np.lexsort((at, block, key))
         key, at, block, before, after = (x[order] for x in (key, at, block, before, after))
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[first, len(key)])
@@ -319,22 +297,10 @@ def _match(parts: DataFrame, length: int) -> DataFrame:
             near = data[order[f : f + m]]
             left = [x[:n].tobytes() for x, n in zip(near[:, :wide], before[f : f + m], strict=True)]
             right = [x[:n].tobytes() for x, n in zip(near[:, wide:], after[f : f + m], strict=True)]
-            seen: dict[tuple[bytes, bytes], int] = {}
-            kept = []
-            for x, both in enumerate(zip(left, right, strict=True)):  # equal surroundings need no tree
-                if both in seen:
-                    if len(both[0]) + len(both[1]) >= length:
-                        who.append([f + x])
-                        lo.append([len(both[0])])
-                        hi.append([len(both[1])])
-                else:
-                    seen[both] = x
-                    kept.append(x)
-            if len(kept) > 1:
-                for x, l, r in repeat_spans([left[x] for x in kept], [right[x] for x in kept], length):
-                    who.append([f + kept[x]])
-                    lo.append([l])
-                    hi.append([r])
+            for x, l, r in repeat_spans(left, right, length):
+                who.append([f + x])
+                lo.append([l])
+                hi.append([r])
         if not who:
             return _table([], _SPANS)
         who, lo, hi = (np.concatenate(x).astype(np.int64) for x in (who, lo, hi))
@@ -351,9 +317,8 @@ def _match_windows(parts: DataFrame, length: int) -> DataFrame:
         keys = [unpack(r["keys"], True) for r in rows]
         key = np.concatenate(keys)
         at = np.concatenate([unpack(r["places"]) for r in rows]).astype(np.int64)
-        ids = np.concatenate([unpack(r["ids"]) for r in rows]).astype(np.int64)
         block = np.repeat([r["block"] for r in rows], [len(k) for k in keys])
-        order = np.lexsort((at, block, ids, key))
+        order = np.lexsort((at, block, key))
         later = order[np.r_[False, key[order][1:] == key[order][:-1]]]
         return _spans(block[later], at[later], at[later] + length)
 
@@ -366,9 +331,9 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     scratch = scratch or Scratch(spark, "substrings")
     buckets = bucket_count(spark)
     blocks = scratch.save(text_blocks(docs, id, text), "blocks")
-    levels = scratch.save(_repeated_anchors(blocks, length, buckets), "levels")
+    levels = scratch.save(_levels(blocks, length, buckets), "levels")
     parts = scratch.save(_surroundings(blocks, levels, length, buckets), "parts", partition_by=["kind"])
-    spans = parts.where("kind = 0").select("block", F.col("places").alias("starts"), F.col("ids").alias("ends"))
+    spans = parts.where("kind = 0").select("block", F.col("places").alias("starts"), F.col("before").alias("ends"))
     spans = spans.union(_match(parts.where("kind = 1"), length)).union(_match_windows(parts.where("kind = 2"), length))
     spans = scratch.save(spans, "spans")
     scratch.free(levels, parts)
