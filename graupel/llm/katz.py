@@ -32,7 +32,8 @@ from graupel.session import Scratch
 
 K = 5
 TAIL = 0.05
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+ROW_KEYS = 1 << 15
 END, START = np.uint64(0x51AB4E17C0FFEE01), np.uint64(0x2B992DDFA23249D7)
 
 
@@ -156,9 +157,10 @@ def _answers(requests: DataFrame) -> DataFrame:
         ends = np.cumsum([len(k) for k in keys])
         known = total > 0
         freq = np.bincount(np.minimum(total[known], K + 2).astype(np.int64), minlength=K + 3)[1:].tolist()
-        rows = [("count", None, pack(flat[order][new][known], True), pack(total[known]), freq, int(total.sum()))]
+        listed, sums = flat[order][new][known], total[known]
+        rows = [("count", None, pack(listed[i : i + ROW_KEYS], True), pack(sums[i : i + ROW_KEYS]), None if i else freq, None if i else int(sums.sum())) for i in range(0, max(len(listed), 1), ROW_KEYS)]
         rows += [("answer", b, None, pack(out[e - len(k) : e]), None, None) for b, k, e in zip(table.column("block").to_pylist(), keys, ends, strict=True)]
-        kind, block, key, value, freqs, sums = zip(*rows, strict=True)
+        kind, block, key, value, freqs, sums = zip(*rows, strict=True)  # small rows: a bucket's table is cut
         n = len(rows)
         return pa.table({"kind": kind, "ngram": pa.array([ngram] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "block": pa.array(block, pa.int64()), "keys": pa.array(key, pa.binary()), "values": pa.array(value, pa.binary()), "freq": pa.array(freqs, pa.list_(pa.int64())), "total": pa.array(sums, pa.int64())})
 
