@@ -31,6 +31,8 @@ from graupel.session import Scratch
 COUNTERS = 1 << 20
 SLICES = 64
 LANES = 16
+WIDE = 128
+WIDE_FROM = 700
 SMALL_GROUP = 16
 BLOCK = 512
 FLUSH = 2_000_000
@@ -53,11 +55,29 @@ class Sets:
         _, one = np.unique(self.sig, return_index=True)
         self.kept = one[self.count[one] > 0]
 
-    def lanes(self) -> np.ndarray:
-        """Narrow parity sketch: 64 * LANES bits for each row."""
-        bit = (self.h >> np.uint64(40)) % np.uint64(64 * LANES)
-        flips = np.bincount(self.rows * (64 * LANES) + bit.astype(np.int64), minlength=len(self.count) * 64 * LANES).astype(np.uint8) & 1
-        return np.packbits(flips, bitorder="little").view(np.int64).reshape(len(self.count), LANES)
+    def lanes(self) -> list[bytes]:
+        """Narrow parity sketch of each row: 64 * LANES bits, or 64 * WIDE for large sets."""
+        out = [b""] * len(self.count)
+        for lanes, own in ((LANES, np.flatnonzero(self.count < WIDE_FROM)), (WIDE, np.flatnonzero(self.count >= WIDE_FROM))):
+            for k in range(0, len(own), 1024):
+                part = own[k : k + 1024]
+                size = self.count[part]
+                at = np.repeat(self.first[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                bit = ((self.h[at] >> np.uint64(40)) % np.uint64(64 * lanes)).astype(np.int64)
+                flips = np.bincount(np.repeat(np.arange(len(part)), size) * (64 * lanes) + bit, minlength=len(part) * 64 * lanes).astype(np.uint8) & 1
+                for r, sketch in zip(part, np.packbits(flips, bitorder="little").reshape(len(part), -1), strict=True):
+                    out[r] = sketch.tobytes()
+        return out
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Hamming distance; the wider sketch is folded to the other's width first."""
+    a, b = (np.frombuffer(x, np.uint64) for x in (a, b))
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) > len(a):
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _bands(count: np.ndarray, num: int, den: int):
@@ -194,14 +214,18 @@ def _meet(posts: DataFrame) -> DataFrame:
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sizes and narrow sketches allow the similarity."""
+    """Pairs whose sizes and narrow sketches allow the similarity, and their sketch distance."""
+
+    def test(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "la", "lb")), strict=True)
+            good = [(a, b, d) for a, b, na, nb, la, lb in rows if (d := sketch_distance(la, lb)) <= (na + nb) * (den - num) // (den + num)]
+            a, b, d = zip(*good, strict=True) if good else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.int32())], names=["a", "b", "apart"])
+
     side = lambda p: nodes.select(F.col("sig").alias(p), F.col("n").alias(f"n{p}"), F.col("lanes").alias(f"l{p}"))
-    apart = F.aggregate(F.zip_with("la", "lb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return (
-        pairs.join(side("a"), "a").join(side("b"), "b")
-        .where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (apart <= F.floor((F.col("na") + F.col("nb")) * (den - num) / (den + num))))
-        .select("a", "b", apart.alias("apart"))
-    )
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    return met.mapInArrow(test, "a long, b long, apart int")
 
 
 def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id: str, text: str, size: int, scratch: Scratch) -> DataFrame:
@@ -260,7 +284,9 @@ def _left_apart(members: DataFrame, comps: DataFrame, nodes: DataFrame, num: int
     def compare(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         sig, comp, n, block = (table.column(c).to_numpy() for c in ("sig", "comp", "n", "block"))
-        lanes = np.stack(table.column("lanes").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(sig), LANES)).view(np.uint64)
+        lanes = np.zeros((len(sig), LANES), np.uint64)
+        for k, x in enumerate(table.column("lanes").to_pylist()):
+            lanes[k] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, LANES), axis=0)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x in left:
@@ -285,25 +311,23 @@ def ngram_jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text",
     def features(batches):
         for batch, raw, offs in chunks(batches, text):
             s = Sets(raw, offs, size)
-            lanes = pa.ListArray.from_arrays(np.arange(len(s.count) + 1, dtype=np.int32) * LANES, s.lanes().ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(id), pa.array(s.count, pa.int64()), pa.array(s.sig), lanes], names=[id, "n", "sig", "lanes"])
+            yield pa.RecordBatch.from_arrays([batch.column(id), pa.array(s.count, pa.int64()), pa.array(s.sig), pa.array(s.lanes(), pa.binary())], names=[id, "n", "sig", "lanes"])
 
     kind = docs.schema[id].dataType.simpleString()
-    feats = scratch.save(docs.mapInArrow(features, f"{id} {kind}, n long, sig long, lanes array<long>"), "features")
+    feats = scratch.save(docs.mapInArrow(features, f"{id} {kind}, n long, sig long, lanes binary"), "features")
     nodes = scratch.save(feats.where("n > 0").groupBy("sig").agg(F.min(id).alias("rep"), F.first("n").alias("n"), F.first("lanes").alias("lanes")), "nodes")
     met = scratch.save(_meet(_posted(docs, text, size, num, den)), "met")
     pairs = scratch.save(_close(met.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, num, den), "pairs")
     ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    sets = _sets(ends(pairs), nodes, docs, id, text, size, scratch)
+    members = scratch.save(met.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("sig")).distinct(), "members")
+    sets = _sets(ends(pairs).union(members.select("sig")).distinct(), nodes, docs, id, text, size, scratch)
     # a pair within a component adds nothing: the nearest pairs come first, then those that still join components
     links = _verify(_nearest(pairs), sets, num, den, scratch)
     comps = scratch.save(connected_components(links, scratch=scratch), "components")
     links = links.union(_verify(_between(pairs, comps), sets, num, den, scratch))
     comps = scratch.save(connected_components(links, scratch=scratch), "components")
-    members = met.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("sig")).distinct()
-    more = scratch.save(_left_apart(members, comps, nodes, num, den).join(pairs, ["a", "b"], "left_anti"), "apart")
+    more = scratch.save(_close(_left_apart(members, comps, nodes, num, den).join(pairs, ["a", "b"], "left_anti"), nodes, num, den), "apart")
     if not more.isEmpty():
-        sets = sets.union(_sets(ends(more).join(sets, "sig", "left_anti"), nodes, docs, id, text, size, scratch))
         links = links.union(_verify(more, sets, num, den, scratch))
         comps = scratch.save(connected_components(links, scratch=scratch), "components")
     named = nodes.join(comps, nodes["sig"] == comps["node"], "left").select("sig", "rep", F.coalesce("component", "sig").alias("comp"))
