@@ -1,15 +1,71 @@
-"""A corpus cleaning pipeline of five stages over ``documents``."""
+"""A corpus cleaning pipeline of five stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of
+``documents``; the last returns ids of tokens.  ``run`` writes each stage's documents to the shared scratch
+area as Parquet and reads them again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+import public_tokenizers
+from graupel.llm.bpe import bpe_decode, bpe_encode
+from graupel.llm.decontaminate import decontaminate
+from graupel.llm.jaccard_join import ngram_jaccard_join
+from graupel.llm.line_dedup import dedup_lines
+from graupel.llm.quality import CUT, score, train
+from graupel.session import Scratch
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model, out="_score").where(F.col("_score") >= CUT).drop("_score")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines seen before; those that lose all of their lines go."""
+    done = dedup_lines(docs)
+    left = F.length(F.trim(F.regexp_replace("text", "[\\s]+", " "))) > 0
+    return done.where(F.col("n_removed").eqNullSafe(0) | left).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates."""
+    groups = ngram_jaccard_join(docs)
+    later = Scratch(spark, "later").save(groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "ids")
+    return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document and whether they decode to its text."""
+    path = public_tokenizers.path(RANKS)
+    coded = bpe_decode(bpe_encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
+    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), same.alias("round_trip"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark),
+    ("byte-level BPE encoding and decoding", tokens),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    scratch = Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)

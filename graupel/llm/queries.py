@@ -6,9 +6,11 @@ from graupel.llm.bpe import bpe_roundtrip_query
 from graupel.llm.decontaminate import contamination_query
 from graupel.llm.jaccard_join import jaccard_query
 from graupel.llm.katz import katz_query
+from graupel.llm.line_dedup import line_query
 from graupel.llm.quality import quality_query
 from graupel.llm.sharding import sharding_query
 from graupel.llm.substring_dedup import substring_query
+from graupel.llm.topk import TOPK_SQL, topk_query
 
 QUERIES = {
     "op1_random_indexing_quality": quality_query,
@@ -17,7 +19,9 @@ QUERIES = {
     "op7_katz_backoff": katz_query,
     "op9_prefix_interval_dedup": substring_query,
     "op8_parity_sketch_join": jaccard_query,
+    "op4_segment_topk": topk_query,
+    "op5_minhash_lines": line_query,
     "op6_byte_bpe_roundtrip": bpe_roundtrip_query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_segment_topk": TOPK_SQL}
