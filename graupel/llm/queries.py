@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from graupel.llm.bpe import bpe_roundtrip_query
+from graupel.llm.compact_windows import passage_query
 from graupel.llm.decontaminate import contamination_query
 from graupel.llm.jaccard_join import jaccard_query
 from graupel.llm.katz import katz_query
@@ -14,6 +15,7 @@ from graupel.llm.topk import TOPK_SQL, topk_query
 
 QUERIES = {
     "op1_random_indexing_quality": quality_query,
+    "op10_compact_windows": passage_query,
     "op2_greedy_string_tiling": contamination_query,
     "op3_hypergeometric_shards": sharding_query,
     "op7_katz_backoff": katz_query,
