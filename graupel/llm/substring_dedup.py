@@ -342,9 +342,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
         row = rows.to_pylist()[0]
         raw, lens = np.frombuffer(row["raw"], np.uint8), np.frombuffer(row["lens"], np.uint32).astype(np.int64)
         offs = np.concatenate([[0], np.cumsum(lens)])
-        edge = np.zeros(len(raw) + 1, np.int64)
-        for s, e in zip(found.column("starts"), found.column("ends"), strict=True):
-            edge += np.bincount(unpack(s.as_py()).astype(np.int64), minlength=len(edge)) - np.bincount(unpack(e.as_py()).astype(np.int64), minlength=len(edge))
+        starts, ends = (np.concatenate([unpack(x.as_py()) for x in found.column(c)] or [np.zeros(0, np.uint64)]).astype(np.int64) for c in ("starts", "ends"))
+        edge = np.bincount(starts, minlength=len(raw) + 1) - np.bincount(ends, minlength=len(raw) + 1)
         gone = np.cumsum(edge)[:-1] > 0
         head = np.zeros(len(raw) + 1, bool)
         head[offs] = True
