@@ -73,10 +73,10 @@ class Block:
     """Local word numbers of a block's tokens, each text ending in END, with the word before."""
 
     def __init__(self, row: dict):
-        self.vocab = np.frombuffer(row["vocab"], np.uint64)  # END, START first
+        self.vocab = np.concatenate([np.array([END, START]), unpack(row["vocab"], True)])
         self.len = np.frombuffer(row["lens"], np.uint32).astype(np.int64)
         self.train = np.frombuffer(row["train"], np.uint8).astype(bool)
-        self.word = np.frombuffer(row["words"], np.uint32).astype(np.int64)
+        self.word = unpack(row["words"]).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.len)), self.len)
         self.before = np.empty_like(self.word)
         self.before[1:] = self.word[:-1]
@@ -111,14 +111,17 @@ def text_blocks(docs: DataFrame, id: str, text: str, folds: int, fold: int) -> D
         part = TaskContext.get().partitionId()
         for number, (batch, raw, offs) in enumerate(chunks(batches, text, BLOCK_BYTES)):
             w = Words(raw, offs)
-            code, vocab = pd.factorize(np.concatenate([np.array([END, START]), w.hash]))
+            code, vocab = pd.factorize(w.hash)
+            order = np.argsort(vocab)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(2, len(order) + 2)
             lens = np.diff(w.offs) + 1
-            flat = np.insert(code[2:].astype(np.uint32), w.offs[1:], 0)
+            flat = np.insert(rank[code], w.offs[1:], 0)
             ids = batch.column(id)
             held = [zlib.crc32(b"" if x is None else str(x).encode()) % folds == fold for x in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part << 32 | number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
-                + [pa.array([x.tobytes()], pa.binary()) for x in (lens.astype(np.uint32), ~np.array(held, bool), vocab, flat)],
+                + [pa.array([x], pa.binary()) for x in (lens.astype(np.uint32).tobytes(), (~np.array(held, bool)).tobytes(), pack(vocab[order], True), pack(flat))],
                 names=["block", "ids", "lens", "train", "vocab", "words"],
             )
 
@@ -240,6 +243,7 @@ def katz_score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: i
     schema = f"kind int, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, row long, history long, x double, y double"
     replies = model.where("kind = 'answer'").select("block", "ngram", "bucket", "values")
     scored = scratch.save(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema), "scored", partition_by=["kind"])
+    scratch.free(blocks, model)
     weights = scratch.save(scored.where("kind = 1").groupBy("history").agg(F.log10((1 - F.sum("x")) / (1 - F.sum("y"))).alias("weight")), "weights")
     backs = scored.where("kind = 2").select("row", "history", "x").join(weights, "history")
     extra = scratch.save(backs.groupBy("row").agg(F.sum(F.col("x") * F.col("weight")).alias("extra")), "extra")
