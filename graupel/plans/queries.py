@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from graupel.functions import bands as B, geodesy, predicates as P
 from graupel.model import GridSpec
-from graupel.operators import components as C, ingest, inventory, regrid, stencil, temporal, tiles, vector
-from graupel.plans import detect
+from graupel.operators import components as C, hydro, ingest, inventory, regrid, stencil, temporal, tiles, vector
+from graupel.plans import detect, terrain
 from graupel.sources.fixtures import ACTIVITY, AREA, CELL, REFERENCE, view, with_views
 
 QUERIES: dict = {}
@@ -445,3 +445,31 @@ def tiles_round_trip(spark, d):
 @query("factor_unstack", """SELECT 'elevation' AS layer, row, col, CAST(elev AS FLOAT) AS value FROM v_dem UNION ALL SELECT 'sca', row, col, CAST(sca AS FLOAT) FROM v_sca""", ("v_dem", "v_sca"))
 def factor_unstack(spark, d):
     return tiles.unstack(tiles.factor_stack(_layers(spark, d), ["elevation", "lulc", "sca"]), ["elevation", "sca"])
+
+
+@query("breach_dem")
+def breach_dem(spark, d):
+    return hydro.breach(_dem(spark, d)).select("row", "col", R(F.col("breached")).alias("breached"))
+
+
+@query("dinf_sca")
+def dinf_sca(spark, d):
+    return _six(hydro.contributing_area(hydro.breach(_dem(spark, d)), CELL), "sca")
+
+
+@query("compute_terrain")
+def compute_terrain(spark, d):
+    return _six(terrain.compute_terrain(_dem(spark, d), CELL), *terrain.FACTORS)
+
+
+@query("height_above_stream", """, cells AS (SELECT row, col, row * CAST(2147483648 AS BIGINT) + col AS id, elev AS z FROM v_dem),
+steps(i, j) AS (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)),
+drops AS (SELECT a.id, b.id AS lower, (a.z - b.z) / (30 * sqrt(i * i + j * j)) AS s FROM cells a CROSS JOIN steps JOIN cells b ON b.row = a.row + i AND b.col = a.col + j WHERE b.z < a.z),
+wet AS (SELECT row * CAST(2147483648 AS BIGINT) + col AS id FROM v_sca WHERE sca > 450),
+pointer AS (SELECT id, lower FROM (SELECT id, lower, row_number() OVER (PARTITION BY id ORDER BY s DESC, lower) AS n FROM drops) t WHERE n = 1 AND id NOT IN (SELECT id FROM wet)),
+walk AS (SELECT id AS start, id FROM cells UNION ALL SELECT w.start, p.lower FROM walk w JOIN pointer p ON p.id = w.id)
+SELECT c.row, c.col, round(c.z - e.z, 6) + 0.0 AS height FROM cells c LEFT JOIN (SELECT start, walk.id FROM walk JOIN wet ON wet.id = walk.id) x ON x.start = c.id LEFT JOIN cells e ON e.id = x.id""", ("v_dem", "v_sca"))
+def height_above_stream(spark, d):
+    dem = _dem(spark, d)
+    wet = view(spark, d, "v_sca").where("sca > 450").select("row", "col")
+    return _six(hydro.height_above_stream(dem, "elev", wet, hydro.steepest_pointer(dem, "elev", CELL)), "height")
