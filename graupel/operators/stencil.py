@@ -15,8 +15,15 @@ from pyspark.sql.window import Window
 
 from graupel.functions.bands import eastness, northness
 
-_ACROSS = Window.partitionBy("row").orderBy("col")
-_DOWN = Window.partitionBy("col").orderBy("row")
+
+def _across():
+    return Window.partitionBy("row").orderBy("col")
+
+
+def _down():
+    return Window.partitionBy("col").orderBy("row")
+
+
 AROUND = ("nw", "n", "ne", "w", "e", "sw", "s", "se")
 
 
@@ -26,10 +33,10 @@ def _at(value, window, step) -> Column:
 
 def neighbours(cells: DataFrame, value: str, edge: str = "repeat") -> DataFrame:
     """Adds c and the eight neighbours nw n ne w e sw s se of ``value``."""
-    side = cells.withColumns({"c": F.col(value), "w": _at(value, _ACROSS, -1), "e": _at(value, _ACROSS, 1)})
+    side = cells.withColumns({"c": F.col(value), "w": _at(value, _across(), -1), "e": _at(value, _across(), 1)})
     if edge == "repeat":
         side = side.withColumns({k: F.coalesce(k, "c") for k in ("w", "e")})
-    full = side.withColumns({a + b: _at(k, _DOWN, step) for a, step in (("n", -1), ("s", 1)) for k, b in (("w", "w"), ("c", ""), ("e", "e"))})
+    full = side.withColumns({a + b: _at(k, _down(), step) for a, step in (("n", -1), ("s", 1)) for k, b in (("w", "w"), ("c", ""), ("e", "e"))})
     if edge == "repeat":
         full = full.withColumns({a + b: F.coalesce(a + b, k) for a in "ns" for k, b in (("w", "w"), ("c", ""), ("e", "e"))})
     return full
@@ -58,7 +65,7 @@ def aspect_horn(px: float) -> Column:
 
 def slope_four(cells: DataFrame, value: str, px: float, px_y: float | None = None) -> DataFrame:
     """Adds slope from the four nearest neighbours; NULL where one is missing."""
-    w, e, n, s = _at(value, _ACROSS, -1), _at(value, _ACROSS, 1), _at(value, _DOWN, -1), _at(value, _DOWN, 1)
+    w, e, n, s = _at(value, _across(), -1), _at(value, _across(), 1), _at(value, _down(), -1), _at(value, _down(), 1)
     near = cells.withColumns({"_w": w, "_e": e}).withColumns({"_n": n, "_s": s})
     dx, dy = (F.col("_e") - F.col("_w")) / (2 * px), (F.col("_s") - F.col("_n")) / (2 * (px_y or px))
     return near.withColumn("slope", F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))).drop("_w", "_e", "_n", "_s")
@@ -85,8 +92,8 @@ def ruggedness() -> Column:
 def box_mean(cells: DataFrame, values: list[str], keep: list[str]) -> DataFrame:
     """3x3 means of columns; a missing neighbour counts as the nearer known cell."""
     mean = lambda w, k: (F.coalesce(_at(k, w, -1), F.col(k)) + F.col(k) + F.coalesce(_at(k, w, 1), F.col(k))) / 3
-    across = cells.select(*keep, *[mean(_ACROSS, v).alias(v) for v in values])
-    return across.select(*keep, *[mean(_DOWN, v).alias(v) for v in values])
+    across = cells.select(*keep, *[mean(_across(), v).alias(v) for v in values])
+    return across.select(*keep, *[mean(_down(), v).alias(v) for v in values])
 
 
 def roughness(cells: DataFrame, value: str) -> DataFrame:
@@ -113,7 +120,7 @@ def vector_ruggedness(cells: DataFrame, slope: str = "slope", aspect: str = "asp
 def topographic_position(cells: DataFrame, value: str, window: int = 11) -> DataFrame:
     """row, col, tpi: value less the mean of the window's known cells."""
     r = window // 2
-    across, down = _ACROSS.rangeBetween(-r, r), _DOWN.rangeBetween(-r, r)
+    across, down = _across().rangeBetween(-r, r), _down().rangeBetween(-r, r)
     line = cells.select("row", "col", value, F.sum(value).over(across).alias("_s"), F.count(value).over(across).alias("_n"))
     return line.select("row", "col", (F.col(value) - F.sum("_s").over(down) / F.sum("_n").over(down)).alias("tpi"))
 

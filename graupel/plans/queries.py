@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graupel.functions import bands as B, geodesy, predicates as P
 from graupel.model import GridSpec
-from graupel.operators import components as C, hydro, ingest, inventory, regrid, stencil, temporal, tiles, vector
+from graupel.operators import components as C, hydro, ingest, inventory, regrid, sampling, stencil, temporal, tiles, vector
 from graupel.plans import detect, terrain
 from graupel.sources.fixtures import ACTIVITY, AREA, CELL, REFERENCE, view, with_views
 
@@ -366,17 +366,16 @@ def regrid_bilinear(spark, d):
     return regrid.regrid(_dem(spark, d), *_target(spark, d), "elev", "bilinear").withColumn("elev", R(F.col("elev"), 9))
 
 
-def _utm_sql() -> str:
-    east = "eta + " + " + ".join(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(geodesy.ALPHA, 1))
-    north = "xi + " + " + ".join(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(geodesy.ALPHA, 1))
-    k = geodesy.SCALE * geodesy.RADIUS
-    return f""", a AS (SELECT seq, radians(lon - 75.0) AS lam, sin(radians(lat)) AS s FROM v_marks),
-b AS (SELECT seq, lam, sinh(atanh(s) - {geodesy.E1!r}::DOUBLE * atanh({geodesy.E1!r}::DOUBLE * s)) AS t FROM a),
-c AS (SELECT seq, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(t * t + 1)) AS eta FROM b)
-SELECT seq, round({k!r}::DOUBLE * ({east}) + 500000.0, 3) + 0.0 AS easting, round({k!r}::DOUBLE * ({north}), 3) + 0.0 AS northing FROM c"""
+_EAST = "eta + " + " + ".join(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(geodesy.ALPHA, 1))
+_NORTH = "xi + " + " + ".join(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(geodesy.ALPHA, 1))
+_METRES = f"CAST({geodesy.SCALE * geodesy.RADIUS!r} AS DOUBLE)"
+UTM = f"""a AS (SELECT seq, radians(lon - 75.0) AS lam, sin(radians(lat)) AS s FROM v_marks),
+b AS (SELECT seq, lam, sinh(atanh(s) - {geodesy.E1!r} * atanh({geodesy.E1!r} * s)) AS t FROM a),
+c AS (SELECT seq, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(t * t + 1)) AS eta FROM b),
+utm AS (SELECT seq, {_METRES} * ({_EAST}) + 500000.0 AS x, {_METRES} * ({_NORTH}) AS y FROM c)"""
 
 
-@query("utm_forward", _utm_sql(), ("v_marks",))
+@query("utm_forward", f", {UTM} SELECT seq, round(x, 3) + 0.0 AS easting, round(y, 3) + 0.0 AS northing FROM utm", ("v_marks",))
 def utm_forward(spark, d):
     east, north = geodesy.utm_forward(F.col("lon"), F.col("lat"))
     return view(spark, d, "v_marks").select("seq", R(east, 3).alias("easting"), R(north, 3).alias("northing"))
@@ -473,3 +472,20 @@ def height_above_stream(spark, d):
     dem = _dem(spark, d)
     wet = view(spark, d, "v_sca").where("sca > 450").select("row", "col")
     return _six(hydro.height_above_stream(dem, "elev", wet, hydro.steepest_pointer(dem, "elev", CELL)), "height")
+
+
+def _xy(spark, d):
+    east, north = geodesy.utm_forward(F.col("lon"), F.col("lat"))
+    return view(spark, d, "v_marks").select("seq", "event", east.alias("x"), north.alias("y"))
+
+
+@query("declustered_points", f", {UTM} SELECT seq FROM (SELECT seq, row_number() OVER (PARTITION BY floor(x / 20000), floor(y / 20000) ORDER BY seq) AS n FROM utm) t WHERE n = 1", ("v_marks",))
+def declustered_points(spark, d):
+    return sampling.decluster(_xy(spark, d), 20000.0).select("seq")
+
+
+@query("morans_i", """, m AS (SELECT row, col, elev - (SELECT avg(elev) FROM v_dem) AS d FROM v_dem), steps(i, j) AS (VALUES (0, 1), (1, -1), (1, 0), (1, 1)),
+x AS (SELECT count(*) AS pairs, sum(a.d * b.d) AS cross_sum FROM m a CROSS JOIN steps JOIN m b ON b.row = a.row + i AND b.col = a.col + j), s AS (SELECT count(*) AS n, sum(d * d) AS square FROM m)
+SELECT n, pairs, round(n / pairs * cross_sum / square, 6) + 0.0 AS morans_i FROM s CROSS JOIN x""", ("v_dem",))
+def morans_i(spark, d):
+    return _six(sampling.morans_i(_dem(spark, d), "elev"), "morans_i")
