@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines seen before; those that lose all of their lines go."""
     done = dedup_lines(docs)
-    left = F.length(F.trim(F.regexp_replace("text", "[\\s]+", " "))) > 0
+    left = F.col("text").rlike("\\S")
     return done.where(F.col("n_removed").eqNullSafe(0) | left).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
