@@ -5,12 +5,12 @@ from __future__ import annotations
 from graupel.llm.bpe import bpe_roundtrip_query
 from graupel.llm.compact_windows import passage_query
 from graupel.llm.decontaminate import contamination_query
-from graupel.llm.jaccard_join import jaccard_query
+from graupel.llm.jaccard_join import JACCARD_SQL, jaccard_query
 from graupel.llm.katz import katz_query
 from graupel.llm.line_dedup import line_query
 from graupel.llm.quality import quality_query
 from graupel.llm.sharding import sharding_query
-from graupel.llm.substring_dedup import substring_query
+from graupel.llm.substring_dedup import SUBSTRING_SQL, substring_query
 from graupel.llm.topk import TOPK_SQL, topk_query
 
 QUERIES = {
@@ -26,4 +26,4 @@ QUERIES = {
     "op6_byte_bpe_roundtrip": bpe_roundtrip_query,
 }
 
-SQL: dict[str, str] = {"op4_segment_topk": TOPK_SQL}
+SQL: dict[str, str] = {"op4_segment_topk": TOPK_SQL, "op8_parity_sketch_join": JACCARD_SQL, "op9_prefix_interval_dedup": SUBSTRING_SQL}

@@ -359,3 +359,31 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
 def substring_query(spark, sf_dir: str) -> DataFrame:
     done = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SUBSTRING_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents
+), p AS (
+  SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d WHERE n >= 100
+), win AS (
+  SELECT doc_id, p, substring(h, 2 * p + 1, 200) AS s FROM p
+), ranked AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM win
+), again AS (
+  SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS opens FROM ranked WHERE k > 1
+), numbered AS (
+  SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM again
+), spans AS (
+  SELECT doc_id, min(p) AS b, max(p) + 100 AS e FROM numbered GROUP BY doc_id, span
+), pieces AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS b, b AS e FROM spans
+  UNION ALL SELECT doc_id, max(e), NULL FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substring(h, 2 * pieces.b + 1, 2 * (coalesce(pieces.e, n) - pieces.b)), '' ORDER BY pieces.b, coalesce(pieces.e, n)) AS h FROM pieces JOIN d USING (doc_id) GROUP BY doc_id
+), sums AS (
+  SELECT doc_id, sum(e - b) AS removed, count(*) AS spans FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
