@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graupel.functions import bands as B, geodesy, predicates as P
 from graupel.model import GridSpec
 from graupel.operators import components as C, hydro, ingest, inventory, regrid, sampling, stencil, temporal, tiles, vector
-from graupel.plans import detect, terrain
+from graupel.plans import detect, layers, terrain
 from graupel.sources.fixtures import ACTIVITY, AREA, CELL, REFERENCE, view, with_views
 
 QUERIES: dict = {}
@@ -489,3 +489,14 @@ x AS (SELECT count(*) AS pairs, sum(a.d * b.d) AS cross_sum FROM m a CROSS JOIN
 SELECT n, pairs, round(n / pairs * cross_sum / square, 6) + 0.0 AS morans_i FROM s CROSS JOIN x""", ("v_dem",))
 def morans_i(spark, d):
     return _six(sampling.morans_i(_dem(spark, d), "elev"), "morans_i")
+
+
+@query("base_layers", """, c AS (SELECT row, col, avg(tavg) * 0.1 AS t, sum(prec) AS p FROM v_monthly WHERE month BETWEEN 1 AND 5 GROUP BY row, col),
+y AS (SELECT row, col, year(obs_date) AS y, sum(CASE WHEN ndsi BETWEEN 40 AND 100 THEN 1 WHEN ndsi IS NOT NULL THEN 0 END) AS days FROM v_daily_snow WHERE year(obs_date) BETWEEN 1995 AND 2001 AND month(obs_date) BETWEEN 1 AND 5 GROUP BY ALL),
+u AS (SELECT 'base_nasadem_elevation' AS layer, row, col, elev AS value FROM v_dem UNION ALL SELECT 'base_worldclim_temp_winter', row, col, t FROM c UNION ALL SELECT 'base_worldclim_precip_winter', row, col, p FROM c
+  UNION ALL SELECT 'base_esa_worldcover', row, col, lulc FROM v_landcover WHERE version = 1 UNION ALL SELECT 'base_modis_scd', row, col, avg(days) FROM y GROUP BY row, col)
+SELECT layer, row, col, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 3) + 0.0 AS value FROM u WHERE (col + 0.5) * 30 BETWEEN 300 AND 2400""", ("v_dem", "v_monthly", "v_landcover", "v_daily_snow"))
+def base_layers(spark, d):
+    grid = _line_grid(spark, d)
+    out = layers.base_layers(_dem(spark, d), view(spark, d, "v_monthly"), view(spark, d, "v_landcover"), view(spark, d, "v_daily_snow"), grid, (300.0, 0.0, 2400.0, grid.y0), list(range(1995, 2002)))
+    return out.withColumn("value", R(F.col("value").cast("double"), 3))
