@@ -8,8 +8,10 @@ or more never needs the others (but for odds below 1e-15).  Equal bands make can
 exact Jaccard test on their texts; links become components; the first line of each component, by (id,
 text, place), stays.
 
-A band shared by very many lines gives one candidate for each, not all pairs; lines in a band that
-fail against its smallest line are tried against their next smaller neighbour by a second, shifted choice.
+A band shared by very many lines gives one candidate for each, not all pairs; then lines are tried against the
+largest line of their band, where that joins components.  Bands that still hold more than one component are compared
+line by line in blocks, by a parity sketch (its distance never exceeds the symmetric difference) and the exact Jaccard
+test, until no link joins two components.
 Null texts have no lines; rows with equal id and text count as one row (both keep the same lines).
 Empty tables give empty results; extra columns pass through.
 """
@@ -29,6 +31,10 @@ ROWS = 4
 NUM, DEN = 80, 100
 #: Shared bands and lines to be looked up are broadcast up to so many rows of 24 bytes (checked), else joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Lines of a band that one group of the comparison of all with all holds.
+BLOCK = 1024
+#: 64-bit words of the parity sketch.
+SKETCH = 8
 
 
 def _masks(count: int) -> list[int]:
@@ -59,21 +65,51 @@ def _signatures(lines: DataFrame) -> DataFrame:
     return used.groupBy("h").agg(*[F.min(F.col("g").bitwiseXOR(F.lit(m)) + F.col("after")).alias(f"m{k}") for k, m in enumerate(_masks(BANDS * ROWS))])
 
 
-def _candidates(signatures: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs of lines with an equal band: each line and the smallest (first true) or the largest of its band."""
+def _bands(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """h and each of its bands."""
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    bands = scratch.save(signatures.select("h", F.explode(keys).alias("band")), "bands")
+    return scratch.save(_signatures(lines).select("h", F.explode(keys).alias("band")), "bands")
+
+
+def _candidates(bands: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs of lines with an equal band: each line and the smallest (first true) or the largest of its band; lines of shared bands."""
     shared = bands.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
     shared = scratch.save(shared, "shared")
     both = bands.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "band")
     pairs = both.where("h <> low").select(F.col("low").alias("a"), F.col("h").alias("b"))
     more = both.where("h <> high and h <> low").select(F.col("h").alias("a"), F.col("high").alias("b"))
-    return pairs.withColumn("first", F.lit(True)).union(more.withColumn("first", F.lit(False))).groupBy("a", "b").agg(F.max("first").alias("first"))
+    return pairs.withColumn("first", F.lit(True)).union(more.withColumn("first", F.lit(False))).groupBy("a", "b").agg(F.max("first").alias("first")), both.select("band", "h")
+
+
+def _left_apart(members: DataFrame, comps: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """For each line one similar line of another component in one of its bands, by comparing these bands block by block."""
+    placed = members.join(comps, members["h"] == comps["node"], "left").select("band", "h", F.coalesce("component", "h").alias("comp"))
+    open_ = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y and m > 3").select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = scratch.save(placed.join(open_, "band"), "open")  # up to three lines all have met
+    if rows.isEmpty():
+        return rows.select(F.col("h").alias("a"), F.col("h").alias("b"))
+    lines = texts.join(rows.select("h").distinct(), "h", "left_semi").select("h", _grams(F.col("line")).alias("grams"))
+    bit = lambda k: F.aggregate("grams", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.when(F.shiftright(x, 6).bitwiseAND(F.lit(SKETCH - 1)) == k, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))))
+    lines = scratch.save(lines.select("h", "grams", F.size("grams").alias("n"), *[bit(k).alias(f"s{k}") for k in range(SKETCH)]), "sketches")
+    full = rows.join(lines, "h").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    spread = full.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "h", "block", "comp", "n", "grams", *[f"s{k}" for k in range(SKETCH)])
+    x, y = spread.alias("x"), spread.alias("y")
+    apart = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
+    total = F.col("x.n") + F.col("y.n")
+    near = (F.col("x.comp") != F.col("y.comp")) & (F.least("x.n", "y.n") * DEN >= F.greatest("x.n", "y.n") * NUM) & (apart * (DEN + NUM) <= total * (DEN - NUM))
+    same = F.size(F.array_intersect("x.grams", "y.grams")) * (DEN + NUM) >= total * NUM
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.block") == F.col("x.i")) & (F.col("y.block") == F.col("y.j")) & near & same)
+    both = met.select(F.explode(F.array(F.struct(F.col("x.h").alias("a"), F.col("y.h").alias("b")), F.struct(F.col("y.h").alias("a"), F.col("x.h").alias("b")))).alias("e")).select("e.*")
+    found = scratch.save(both.groupBy("a").agg(F.min("b").alias("b")), "joined")
+    scratch.free(rows, lines)
+    return found
 
 
 def line_components(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component for the lines that are similar to another one."""
-    pairs = scratch.save(_candidates(_signatures(lines), scratch), "pairs")
+    pairs, members = _candidates(_bands(lines, scratch), scratch)
+    pairs = scratch.save(pairs, "pairs")
     wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
     texts = scratch.save(lines.select("h", "line").join(F.broadcast(wanted) if few else wanted, "h").groupBy("h").agg(F.any_value("line").alias("line")), "texts")
@@ -93,7 +129,15 @@ def line_components(lines: DataFrame, scratch: Scratch) -> DataFrame:
     end = lambda p: comps.select(F.col("node").alias(p), F.col("component").alias(f"c{p}"))
     rest = pairs.where("not first").select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = verified(rest)
-    return comps if more.isEmpty() else connected_components(links.union(more), scratch=scratch)
+    # each round joins every component that has a link to another; lines without one need no further round
+    while True:
+        if not more.isEmpty():
+            links = links.union(more)
+            comps = scratch.save(connected_components(links, scratch=scratch), "components")
+        more = _left_apart(members, comps, texts, scratch)
+        if more.isEmpty():
+            return comps
+        members = members.join(more.select(F.col("a").alias("h")), "h", "left_semi")
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:

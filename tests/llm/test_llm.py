@@ -217,6 +217,28 @@ def test_lines_keep_the_first_of_each_component(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_similar_lines_of_a_large_band_meet(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", 16, raising=False)
+    rng = np.random.default_rng(7)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    form = [letters(40) for _ in range(4)]
+    texts = []
+    for _ in range(150):
+        own = [letters(9) for _ in range(3)]
+        line = "".join(f + o for f, o in zip(form, [*own, ""], strict=True))
+        texts += [line, line[:60] + "#" + line[61:]]
+    lines = spark.createDataFrame([(t,) for t in texts], "line string").select(F.xxhash64("line").alias("h"), "line")
+    hashes = [r["h"] for r in lines.collect()]
+    sets = [{t[i : i + line_dedup.GRAM] for i in range(len(t) - line_dedup.GRAM + 1)} for t in texts]
+    bands = {r["h"]: {(b, *(r[f"m{b * line_dedup.ROWS + k}"] for k in range(line_dedup.ROWS))) for b in range(line_dedup.BANDS)} for r in line_dedup._signatures(lines).collect()}
+    comps = {r["node"]: r["component"] for r in line_dedup.line_components(lines, line_dedup.Scratch(spark, "lines")).collect()}
+    met = [(a, b) for a in range(len(texts)) for b in range(a) if bands[hashes[a]] & bands[hashes[b]]]
+    near = [(a, b) for a, b in met if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(near) > 100 and len(met) > 10 * len(near)
+    assert [p for p in near if comps.get(hashes[p[0]], p[0]) != comps.get(hashes[p[1]], p[1])] == []
+    assert len({comps[h] for h in comps}) > 100
+
+
 def brute_tiles(pattern, text, minimum):
     used_p, used_t, out = set(), set(), 0
     while True:
