@@ -4,7 +4,8 @@ Lines are the parts of a text between newlines; blank ones (white space only) ar
 for each text (by 64-bit hash).  A line is the set of its windows of ``GRAM`` UTF-16 units (a shorter
 line is one).  ``BANDS`` x ``ROWS`` smallest masked hashes are aggregated straight from the exploded
 windows.  The order of the hashes puts one in ``FIRST`` before all others, so that a line of ``LONG`` windows
-or more never needs the others (but for odds below 1e-15).  Equal bands make candidates, each linked to the smallest line of its band; candidates pass an
+or more needs the others only if none of its windows is such (few distinct windows, as in a rule of dashes); these
+lines get their minima in a second pass.  Equal bands make candidates, each linked to the smallest line of its band; candidates pass an
 exact Jaccard test on their texts; links become components; the first line of each component, by (id,
 text, place), stays.
 
@@ -55,20 +56,30 @@ def _lines(docs: DataFrame, id: str, text: str) -> DataFrame:
     return rows.where(F.col("line").rlike("\\S")).withColumn("h", F.xxhash64("line"))
 
 
-def _signatures(lines: DataFrame) -> DataFrame:
-    """h and its BANDS * ROWS minima, aggregated from exploded windows."""
+def _signatures(lines: DataFrame, all_windows: bool = False) -> DataFrame:
+    """h, its BANDS * ROWS minima, aggregated from exploded windows, and late: a long line without a window in FIRST."""
     wide = lines.select("h", F.encode("line", "UTF-16BE").alias("wide"))
     grams = wide.select("h", "wide", F.explode(F.sequence(F.lit(0), F.greatest(F.octet_length("wide") / 2 - GRAM, F.lit(0)).cast("int"))).alias("i"))
-    hashed = grams.select("h", (F.octet_length("wide") >= 2 * (LONG + GRAM)).alias("long"), F.xxhash64(F.substring("wide", F.col("i") * 2 + 1, F.lit(2 * GRAM))).alias("x"))
+    long = F.lit(False) if all_windows else F.octet_length("wide") >= 2 * (LONG + GRAM)
+    hashed = grams.select("h", "i", long.alias("long"), F.xxhash64(F.substring("wide", F.col("i") * 2 + 1, F.lit(2 * GRAM))).alias("x"))
     later = F.col("x").bitwiseAND(FIRST - 1) != 0
-    used = hashed.where(~F.col("long") | ~later).select("h", F.shiftrightunsigned("x", 34).cast("int").alias("g"), F.when(later, F.lit(1 << 30)).otherwise(F.lit(0)).alias("after"))
-    return used.groupBy("h").agg(*[F.min(F.col("g").bitwiseXOR(F.lit(m)) + F.col("after")).alias(f"m{k}") for k, m in enumerate(_masks(BANDS * ROWS))])
+    # window 0 stands for the lines without a window in FIRST
+    used = hashed.where(~F.col("long") | ~later | (F.col("i") == 0)).select("h", "long", F.shiftrightunsigned("x", 34).cast("int").alias("g"), F.when(later, F.lit(1 << 30)).otherwise(F.lit(0)).alias("after"))
+    minima = [F.min(F.col("g").bitwiseXOR(F.lit(m)) + F.col("after")).alias(f"m{k}") for k, m in enumerate(_masks(BANDS * ROWS))]
+    return used.groupBy("h").agg(*minima, F.min(F.when(F.col("long"), F.col("after")).otherwise(F.lit(0))).alias("after")).withColumn("late", F.col("after") > 0)
 
 
 def _bands(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """h and each of its bands."""
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    return scratch.save(_signatures(lines).select("h", F.explode(keys).alias("band")), "bands")
+    bands = scratch.save(_signatures(lines).select("h", F.explode(F.when(F.col("late"), F.array(F.lit(None).cast("long"))).otherwise(keys)).alias("band")), "bands")
+    late = bands.where("band is null").select("h")
+    count = late.count()
+    if not count:
+        return bands
+    texts = lines.select("h", "line").join(F.broadcast(late) if count <= BROADCAST_ROWS else late, "h", "left_semi").groupBy("h").agg(F.any_value("line").alias("line"))
+    more = scratch.save(_signatures(texts, True).select("h", F.explode(keys).alias("band")), "late")
+    return bands.where("band is not null").union(more)
 
 
 def _candidates(bands: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

@@ -239,6 +239,13 @@ def test_similar_lines_of_a_large_band_meet(spark, monkeypatch):
     assert len({comps[h] for h in comps}) > 100
 
 
+def test_long_lines_of_few_windows_are_found(spark):
+    units = ["-", "=", "*", "_", "#", "~", ".", "+", "- ", "abc", "=-=*  "]
+    data = [(k, (u * 300)[:n]) for u in units for k, n in enumerate((160, 171, 205))]
+    got = line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_removed"]) for r in got) == {(0, 0): len(units), (1, 1): len(units), (2, 1): len(units)}
+
+
 def brute_tiles(pattern, text, minimum):
     used_p, used_t, out = set(), set(), 0
     while True:
