@@ -321,6 +321,49 @@ def test_windows_equal_the_tree_by_recursion():
     assert set(zip(c.tolist(), l.tolist(), r.tolist(), strict=True)) == want and (v == h[c]).all()
 
 
+def test_a_stray_token_does_not_cut_a_passage_at_its_changed_words():
+    fresh = iter(range(1000, 10_000))
+    other = lambda n: [next(fresh) for _ in range(n)]
+    runs = [list(range(k, k + 35)) for k in (0, 100, 200)]
+    a, b = (np.array(runs[0] + other(5) + runs[1] + other(5) + runs[2] + other(8) + [500], np.uint32) for _ in range(2))
+    assert list(compact_windows.similar_parts(a, b)) == [(0, 115, 0, 115, pytest.approx(0.84))]
+
+
+def test_parts_equal_the_split_at_the_widest_gap():
+    rng = np.random.default_rng(6)
+
+    def plain(a, b, least):
+        at = {t: k for k, t in reversed(list(enumerate(b.tolist())))}
+        shared = [(k, at[t]) for k, t in enumerate(a.tolist()) if t in at]
+        gap = [q - p + abs(y - x - (q - p)) for (p, x), (q, y) in zip(shared, shared[1:])]
+        todo = [(0, len(shared))]
+        while todo:
+            i, j = todo.pop()
+            if j - i < 1 or shared[j - 1][0] - shared[i][0] + 1 < least:
+                continue
+            spots = [y for _, y in shared[i:j]]
+            box = (shared[i][0], shared[j - 1][0] + 1, min(spots), max(spots) + 1)
+            x, y = set(a[box[0] : box[1]].tolist()), set(b[box[2] : box[3]].tolist())
+            if box[3] - box[2] >= least and 100 * len(x & y) >= 75 * len(x | y):
+                yield (*box, len(x & y) / len(x | y))
+            elif j - i > 1:
+                wide = [k for k in range(i, j - 1) if gap[k] == max(gap[i : j - 1])]
+                first, last = wide[0] + 1, wide[-1] + 1
+                cut = first if first - i <= j - last else last
+                todo += [(i, cut), (cut, j)]
+
+    found = 0
+    for _ in range(200):
+        a = rng.integers(0, 300, 120)
+        b = np.concatenate([rng.integers(0, 300, 20), a[10:110], rng.integers(0, 300, 20)])
+        for x in (a, b):
+            x[rng.integers(0, len(x), 12)] = rng.integers(0, 600, 12)
+        got = sorted(compact_windows.similar_parts(a.astype(np.uint32), b.astype(np.uint32), 12))
+        assert got == sorted(plain(a, b, 12))
+        found += len(got)
+    assert found > 200
+
+
 def test_passages_are_found(docs, rows, empty):
     got = compact_windows.near_passages(docs).collect()
     pairs = {(r["doc_id"], r["other_id"]) for r in got}
