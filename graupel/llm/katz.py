@@ -223,7 +223,7 @@ def katz_score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: i
         n, m, u = len(b.len), len(hist), len(combo)
         ids = rows.column("ids").combine_chunks().flatten()
         fill = lambda k, v, dtype: [pa.nulls(x, dtype) if i != k else pa.array(v, dtype) for i, x in enumerate((n, m, u))]
-        own = np.arange(n, dtype=np.int64) + (row["block"] << 24)
+        own = np.arange(n, dtype=np.int32)
         rank = lambda *parts: pa.concat_arrays(list(parts))
         return pa.table({
             "kind": np.repeat(np.array([0, 1, 2], np.int32), [n, m, u]),
@@ -233,21 +233,22 @@ def katz_score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: i
             "n_known": rank(*fill(0, sums((count > 0)[b.word].astype(np.int64)), pa.int64())),
             "base": rank(*fill(0, sums(base[b.word]), pa.float64())),
             "score": rank(*fill(0, sums(logs), pa.float64())),
-            "row": rank(pa.array(own), pa.nulls(m, pa.int64()), pa.array(own[combo // len(b.vocab)])),
+            "block": pa.array(np.full(n + m + u, row["block"], np.int64)),
+            "row": rank(pa.array(own), pa.nulls(m, pa.int32()), pa.array(own[combo // len(b.vocab)])),
             "history": rank(pa.nulls(n, pa.int64()), pa.array(b.vocab[hist].view(np.int64)), pa.array(b.vocab[combo % len(b.vocab)].view(np.int64))),
-            "x": rank(pa.nulls(n, pa.float64()), pa.array(mass), pa.array(times.astype(np.float64))),
-            "y": rank(pa.nulls(n, pa.float64()), pa.array(lower), pa.nulls(u, pa.float64())),
+            "x": rank(pa.nulls(n, pa.float64()), pa.array(mass, pa.float64()), pa.array(times.astype(np.float64))),
+            "y": rank(pa.nulls(n, pa.float64()), pa.array(lower, pa.float64()), pa.nulls(u, pa.float64())),
         })
 
     kind = docs.schema[id].dataType.simpleString()
-    schema = f"kind int, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, row long, history long, x double, y double"
+    schema = f"kind int, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, block long, row int, history long, x double, y double"
     replies = model.where("kind = 'answer'").select("block", "ngram", "bucket", "values")
     scored = scratch.save(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema), "scored", partition_by=["kind"])
     scratch.free(blocks, model)
     weights = scratch.save(scored.where("kind = 1").groupBy("history").agg(F.log10((1 - F.sum("x")) / (1 - F.sum("y"))).alias("weight")), "weights")
-    backs = scored.where("kind = 2").select("row", "history", "x").join(weights, "history")
-    extra = scratch.save(backs.groupBy("row").agg(F.sum(F.col("x") * F.col("weight")).alias("extra")), "extra")
-    rows = scored.where("kind = 0").join(extra, "row", "left")
+    backs = scored.where("kind = 2").select("block", "row", "history", "x").join(weights, "history")
+    extra = scratch.save(backs.groupBy("block", "row").agg(F.sum(F.col("x") * F.col("weight")).alias("extra")), "extra")
+    rows = scored.where("kind = 0").join(extra, ["block", "row"], "left")
     return rows.select(F.col("id").alias(id), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score"))
 
 

@@ -181,6 +181,12 @@ def test_katz_equals_plain_model(docs, rows, empty):
     assert katz.katz_score(empty).count() == 0
 
 
+def test_katz_of_many_partitions(spark):
+    docs = spark.createDataFrame([(k, f"a b c{k % 7} a d{k % 3} b") for k in range(400)], "doc_id long, text string")
+    few, many = ({r["doc_id"]: (r["n_known"], round(r["score"], 9)) for r in katz.katz_score(docs.repartition(n)).collect()} for n in (3, 200))
+    assert len(many) == 400 and few == many
+
+
 @pytest.mark.parametrize("hot", [1000, 2])
 def test_repeated_bytes_equal_brute_force(spark, rows, empty, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
