@@ -229,16 +229,19 @@ def _close(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id: str, text: str, size: int, scratch: Scratch) -> DataFrame:
-    """The n-grams of the wanted sets, from the text of one document each: sig, grams."""
-    ids = wanted.join(nodes.select("sig", "rep"), "sig").select(F.col("rep").alias(id))
-    texts = docs.select(id, text).join(ids.distinct(), id, "left_semi")
+    """The n-grams of the wanted sets, from the text of one document each (or of rows with a null id): sig, grams."""
+    reps = wanted.join(nodes.select("sig", "rep"), "sig")
+    texts = docs.select(id, text).join(reps.select(F.col("rep").alias(id)).distinct(), id, "left_semi")
+    nameless = docs.select(id, text).where(F.col(id).isNull())
 
     def sets_of(batches):
         for _, raw, offs in chunks(batches, text):
             s = Sets(raw, offs, size)
             yield pa.RecordBatch.from_pydict({"sig": s.sig[s.kept], "grams": pa.array([s.h[s.first[k] : s.first[k + 1]].tobytes() for k in s.kept], pa.binary())})
 
-    return scratch.save(texts.mapInArrow(sets_of, "sig long, grams binary").dropDuplicates(["sig"]), "sets")
+    schema = "sig long, grams binary"
+    more = nameless.mapInArrow(sets_of, schema).join(reps.where("rep is null").select("sig"), "sig", "left_semi")
+    return scratch.save(texts.mapInArrow(sets_of, schema).union(more).dropDuplicates(["sig"]), "sets")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:

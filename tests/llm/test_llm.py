@@ -148,6 +148,15 @@ def test_jaccard_join_of_a_large_group(spark, monkeypatch):
     assert sum(k == v for k, v in got.items()) == 40
 
 
+def test_jaccard_join_through_a_row_without_id(spark):
+    w = [f"v{k}" for k in range(60)]
+    chain = [" ".join(w), " ".join([*w[:54], *[f"x{k}" for k in range(6)]]), " ".join([*[f"y{k}" for k in range(6)], *w[6:54], *[f"x{k}" for k in range(6)]])]
+    assert 100 * len(grams(chain[0]) & grams(chain[2])) < 75 * len(grams(chain[0]) | grams(chain[2]))
+    df = spark.createDataFrame([(1, chain[0]), (None, chain[1]), (2, chain[2]), (3, "some other text of its own")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.ngram_jaccard_join(df).collect()}
+    assert got == {1: 1, None: 1, 2: 1, 3: 3}
+
+
 def test_katz_equals_plain_model(docs, rows, empty):
     got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["held_out"], round(r["base_score"], 6), round(r["score"], 6), r["train_tokens"]) for r in katz.katz_score(docs).collect())
     data = [(i, [*tokens(t), 0], zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1) for i, t, _ in rows]
