@@ -1,18 +1,16 @@
 """Fuzzy line deduplication by MinHash, with DataFrame expressions only.
 
-Lines are the parts of a text between newlines; blank ones (white space only) are never removed.  Lines are one node
-for each text (by 64-bit hash).  A line is the set of its windows of ``GRAM`` UTF-16 units (a shorter
-line is one).  ``BANDS`` x ``ROWS`` smallest masked hashes are aggregated straight from the exploded
-windows.  The order of the hashes puts one in ``FIRST`` before all others, so that a line of ``LONG`` windows
-or more needs the others only if none of its windows is such (few distinct windows, as in a rule of dashes); these
-lines get their minima in a second pass.  Equal bands make candidates, each linked to the smallest line of its band; candidates pass an
-exact Jaccard test on their texts; links become components; the first line of each component, by (id,
-text, place), stays.
-
-A band shared by very many lines gives one candidate for each, not all pairs; then lines are tried against the
-largest line of their band, where that joins components.  Bands that still hold more than one component are compared
-line by line in blocks, by a parity sketch (its distance never exceeds the symmetric difference) and the exact Jaccard
-test, until no link joins two components.
+Lines are the parts of a text between newlines; blank ones (white space only) are never removed.  Lines are made distinct
+first (one node for each text, named by its 64-bit hash), so that a line is hashed once however often it occurs.
+A line is the set of its windows of ``GRAM`` UTF-16 units (a shorter line is one).  One hash deals the windows to
+``GROUPS`` groups of ``ROWS`` bins; the least hash of a bin is one MinHash value (one-permutation hashing), an empty bin borrows from the
+next full one of its group, and a group is a band of ``ROWS`` values.  A pair with a Jaccard similarity of 0.8
+shares a band with odds of about 0.98 at every length (tested); shorter lines, whose groups hold few windows, more likely.
+
+Equal bands make candidates.  The lines of a band are compared in blocks by a parity sketch (its distance never exceeds the
+symmetric difference): first each line's nearest one is tested by exact Jaccard (twice), then all pairs whose lines are still in
+different components, until no link joins two.  So every pair with a common band is decided.  Links become components; the
+first line of each component, by (id, text, place), stays.
 Null texts have no lines; rows with equal id and text count as one row (both keep the same lines).
 Empty tables give empty results; extra columns pass through.
 """
@@ -25,10 +23,8 @@ from graupel.operators.graph import connected_components
 from graupel.session import Scratch
 
 GRAM = 8
-FIRST = 4
-LONG = 128
-BANDS = 8
-ROWS = 4
+GROUPS = 10
+ROWS = 5
 NUM, DEN = 80, 100
 #: Shared bands and lines to be looked up are broadcast up to so many rows of 24 bytes (checked), else joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -36,129 +32,133 @@ BROADCAST_ROWS = 500_000
 BLOCK = 1024
 #: 64-bit words of the parity sketch.
 SKETCH = 8
+#: ASCII white space within a line.
+BLANKS = " \t\x0b\x0c\r"
 
 
-def _masks(count: int) -> list[int]:
-    """Fixed 30-bit masks: distinct leading bits, so that each looks for its minimum elsewhere."""
-    return [((i << 25) ^ (i * 0x9E3779B1)) % 2**30 for i in range(count)]
+def _windows(wide: Column) -> Column:
+    """Number of windows of a line in UTF-16."""
+    return F.greatest(F.octet_length(wide) / 2 - (GRAM - 1), F.lit(1)).cast("int")
 
 
 def _grams(line: Column) -> Column:
     """Distinct hashes of the windows of a line."""
-    last = F.greatest(F.octet_length(F.encode(line, "UTF-16BE")) / 2 - GRAM, F.lit(0)).cast("int")
-    windows = lambda wide: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(wide, i * 2 + 1, F.lit(2 * GRAM))))
+    windows = lambda wide: F.transform(F.sequence(F.lit(1), _windows(wide) * 2 - 1, F.lit(2)), lambda i: F.xxhash64(F.substring(wide, i, F.lit(2 * GRAM))))
     return F.array_distinct(F.element_at(F.transform(F.array(F.encode(line, "UTF-16BE")), windows), 1))
 
 
 def _lines(docs: DataFrame, id: str, text: str) -> DataFrame:
     """One row for each line that isn't blank: id, row (hash of id and text), pos, line, h."""
     rows = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.xxhash64(id, text).alias("row"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return rows.where(F.col("line").rlike("\\S")).withColumn("h", F.xxhash64("line"))
+    return rows.where(F.octet_length(F.ltrim("line", F.lit(BLANKS))) > 0).withColumn("h", F.xxhash64("line"))
 
 
-def _signatures(lines: DataFrame, all_windows: bool = False) -> DataFrame:
-    """h, its BANDS * ROWS minima, aggregated from exploded windows, and late: a long line without a window in FIRST."""
-    wide = lines.select("h", F.encode("line", "UTF-16BE").alias("wide"))
-    grams = wide.select("h", "wide", F.explode(F.sequence(F.lit(0), F.greatest(F.octet_length("wide") / 2 - GRAM, F.lit(0)).cast("int"))).alias("i"))
-    long = F.lit(False) if all_windows else F.octet_length("wide") >= 2 * (LONG + GRAM)
-    hashed = grams.select("h", "i", long.alias("long"), F.xxhash64(F.substring("wide", F.col("i") * 2 + 1, F.lit(2 * GRAM))).alias("x"))
-    later = F.col("x").bitwiseAND(FIRST - 1) != 0
-    # window 0 stands for the lines without a window in FIRST
-    used = hashed.where(~F.col("long") | ~later | (F.col("i") == 0)).select("h", "long", F.shiftrightunsigned("x", 34).cast("int").alias("g"), F.when(later, F.lit(1 << 30)).otherwise(F.lit(0)).alias("after"))
-    minima = [F.min(F.col("g").bitwiseXOR(F.lit(m)) + F.col("after")).alias(f"m{k}") for k, m in enumerate(_masks(BANDS * ROWS))]
-    return used.groupBy("h").agg(*minima, F.min(F.when(F.col("long"), F.col("after")).otherwise(F.lit(0))).alias("after")).withColumn("late", F.col("after") > 0)
+def _texts(lines: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
+    """h and line of the wanted lines, each once."""
+    some = lines.select("h", "line").join(F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted, "h", "left_semi")
+    return some.groupBy("h").agg(F.any_value("line").alias("line"))
 
 
-def _bands(lines: DataFrame, scratch: Scratch) -> DataFrame:
+def _bands(lines: DataFrame) -> DataFrame:
     """h and each of its bands."""
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    bands = scratch.save(_signatures(lines).select("h", F.explode(F.when(F.col("late"), F.array(F.lit(None).cast("long"))).otherwise(keys)).alias("band")), "bands")
-    late = bands.where("band is null").select("h")
-    count = late.count()
-    if not count:
-        return bands
-    texts = lines.select("h", "line").join(F.broadcast(late) if count <= BROADCAST_ROWS else late, "h", "left_semi").groupBy("h").agg(F.any_value("line").alias("line"))
-    more = scratch.save(_signatures(texts, True).select("h", F.explode(keys).alias("band")), "late")
-    return bands.where("band is not null").union(more)
-
-
-def _candidates(bands: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Pairs of lines with an equal band: each line and the smallest (first true) or the largest of its band; lines of shared bands."""
+    texts = lines.groupBy("h").agg(F.any_value("line").alias("line"))
+    wide = texts.select("h", F.encode("line", "UTF-16BE").alias("wide"))
+    places = wide.select("h", "wide", F.explode(F.sequence(F.lit(0), _windows(F.col("wide")) - 1)).alias("i"))
+    hashed = places.select("h", F.xxhash64(F.substring("wide", F.col("i") * 2 + 1, F.lit(2 * GRAM))).alias("x"))
+    part = lambda shift, count: (F.shiftrightunsigned("x", shift).bitwiseAND(F.lit(0xFFFF)) % count).cast("int")
+    dealt = hashed.select("h", part(48, GROUPS).alias("g"), part(32, ROWS).alias("bin"), F.col("x").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("v"))
+    # grouped by h before, so this needs no further shuffle
+    minima = dealt.groupBy("h", "g").agg(*[F.min(F.when(F.col("bin") == k, F.col("v"))).alias(f"m{k}") for k in range(ROWS)])
+    return minima.select("h", F.xxhash64("g", *[F.coalesce(*[F.col(f"m{(k + p) % ROWS}") for p in range(ROWS)]) for k in range(ROWS)]).alias("band"))
+
+
+def _members(bands: DataFrame, scratch: Scratch) -> DataFrame:
+    """Lines of shared bands, each with the smallest and the largest line of the band."""
     shared = bands.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
     shared = scratch.save(shared, "shared")
-    both = bands.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "band")
-    pairs = both.where("h <> low").select(F.col("low").alias("a"), F.col("h").alias("b"))
-    more = both.where("h <> high and h <> low").select(F.col("h").alias("a"), F.col("high").alias("b"))
-    return pairs.withColumn("first", F.lit(True)).union(more.withColumn("first", F.lit(False))).groupBy("a", "b").agg(F.max("first").alias("first")), both.select("band", "h")
+    return scratch.save(bands.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "band"), "members")
 
 
-def _left_apart(members: DataFrame, comps: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """For each line one similar line of another component in one of its bands, by comparing these bands block by block."""
-    placed = members.join(comps, members["h"] == comps["node"], "left").select("band", "h", F.coalesce("component", "h").alias("comp"))
-    open_ = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y and m > 3").select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = scratch.save(placed.join(open_, "band"), "open")  # up to three lines all have met
+def _sketches(texts: DataFrame) -> DataFrame:
+    """h, number of its distinct windows and their parity sketch."""
+    grams = texts.select("h", F.explode(_grams(F.col("line"))).alias("x"))
+    flip = lambda k: F.when(F.shiftright("x", 6).bitwiseAND(F.lit(SKETCH - 1)) == k, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return grams.groupBy("h").agg(F.count("*").cast("int").alias("n"), *[F.bit_xor(flip(k)).alias(f"s{k}") for k in range(SKETCH)])
+
+
+def _exactly(a: Column, b: Column) -> Column:
+    """Whether two lines have the similarity."""
+    sets = F.struct(_grams(a).alias("a"), _grams(b).alias("b"))
+    enough = lambda x: F.size(F.array_intersect(x["a"], x["b"])) * (DEN + NUM) >= (F.size(x["a"]) + F.size(x["b"])) * NUM
+    return F.element_at(F.transform(F.array(sets), enough), 1)
+
+
+def _left_apart(members: DataFrame, comps: DataFrame | None, sketches: DataFrame, texts: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """Lines and the nearest one by sketch of another component in one of their bands (a, b), by comparing bands block by block.
+
+    With ``texts``: for each line and other component the nearest one that has the similarity.
+    """
+    placed = members.select("band", "h", F.col("h").alias("comp"))
+    if comps is not None:
+        placed = members.join(comps, members["h"] == comps["node"], "left").select("band", "h", F.coalesce("component", "h").alias("comp"))
+    open_ = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("sign")).where("x <> y")
+    open_ = open_.groupBy("sign", "m").agg(F.min("band").alias("band"))  # bands of the same lines count once
+    rows = scratch.save(placed.join(open_.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "band"), "open")
     if rows.isEmpty():
         return rows.select(F.col("h").alias("a"), F.col("h").alias("b"))
-    lines = texts.join(rows.select("h").distinct(), "h", "left_semi").select("h", _grams(F.col("line")).alias("grams"))
-    bit = lambda k: F.aggregate("grams", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.when(F.shiftright(x, 6).bitwiseAND(F.lit(SKETCH - 1)) == k, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))))
-    lines = scratch.save(lines.select("h", "grams", F.size("grams").alias("n"), *[bit(k).alias(f"s{k}") for k in range(SKETCH)]), "sketches")
-    full = rows.join(lines, "h").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    exact = texts is not None
+    full = rows.join(sketches.join(texts, "h") if exact else sketches, "h").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     spread = full.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "h", "block", "comp", "n", "grams", *[f"s{k}" for k in range(SKETCH)])
+        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "h", "block", "comp", "n", *["line"] * exact, *[f"s{k}" for k in range(SKETCH)])
     x, y = spread.alias("x"), spread.alias("y")
     apart = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
     total = F.col("x.n") + F.col("y.n")
     near = (F.col("x.comp") != F.col("y.comp")) & (F.least("x.n", "y.n") * DEN >= F.greatest("x.n", "y.n") * NUM) & (apart * (DEN + NUM) <= total * (DEN - NUM))
-    same = F.size(F.array_intersect("x.grams", "y.grams")) * (DEN + NUM) >= total * NUM
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.block") == F.col("x.i")) & (F.col("y.block") == F.col("y.j")) & near & same)
-    both = met.select(F.explode(F.array(F.struct(F.col("x.h").alias("a"), F.col("y.h").alias("b")), F.struct(F.col("y.h").alias("a"), F.col("x.h").alias("b")))).alias("e")).select("e.*")
-    found = scratch.save(both.groupBy("a").agg(F.min("b").alias("b")), "joined")
-    scratch.free(rows, lines)
+    if exact:
+        near = near & (F.size(F.array_intersect(_grams(F.col("x.line")), _grams(F.col("y.line")))) * (DEN + NUM) >= total * NUM)
+    once = (F.col("x.block") == F.col("x.i")) & (F.col("y.block") == F.col("y.j")) & ((F.col("x.i") < F.col("x.j")) | (F.col("x.h") < F.col("y.h")))
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & once & near)
+    end = lambda p, q: F.struct(F.col(f"{p}.h").alias("a"), F.col(f"{q}.comp").alias("comp"), F.struct(apart.alias("apart"), F.col(f"{q}.h").alias("b")).alias("near"))
+    best = met.select(F.explode(F.array(end("x", "y"), end("y", "x"))).alias("e")).select("e.*").groupBy("a", *["comp"] * exact).agg(F.min("near").alias("near"))
+    found = scratch.save(best.select("a", F.col("near.b").alias("b")), "near")
+    scratch.free(rows)
     return found
 
 
 def line_components(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, component for the lines that are similar to another one."""
-    pairs, members = _candidates(_bands(lines, scratch), scratch)
-    pairs = scratch.save(pairs, "pairs")
-    wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = scratch.save(lines.select("h", "line").join(F.broadcast(wanted) if few else wanted, "h").groupBy("h").agg(F.any_value("line").alias("line")), "texts")
+    """node, component for the lines (h, line; rows may repeat) that are similar to another one."""
+    members = _members(scratch.save(_bands(lines), "bands"), scratch)
+    wanted = scratch.save(members.select("h").distinct(), "wanted")
+    texts = scratch.save(_texts(lines, wanted, wanted.count()), "texts")
+    sketches = scratch.save(_sketches(texts), "sketches")
     side = lambda p: texts.select(F.col("h").alias(p), F.col("line").alias(f"t{p}"))
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = lambda x: F.size(F.array_intersect(x["a"], x["b"]))
-    enough = lambda x: both(x) * (DEN + NUM) >= (F.size(x["a"]) + F.size(x["b"])) * NUM
-    sets = F.struct(_grams(F.col("ta")).alias("a"), _grams(F.col("tb")).alias("b"))
-
-    def verified(some: DataFrame) -> DataFrame:
-        met = some.join(side("a"), "a").join(side("b"), "b").repartition(parts)
-        return scratch.save(met.where(F.element_at(F.transform(F.array(sets), enough), 1)).select("a", "b"), "links")
-
-    links = verified(pairs.where("first").select("a", "b"))
-    comps = scratch.save(connected_components(links, scratch=scratch), "components")
-    # the other pairs count only where they join components
-    end = lambda p: comps.select(F.col("node").alias(p), F.col("component").alias(f"c{p}"))
-    rest = pairs.where("not first").select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = verified(rest)
-    # each round joins every component that has a link to another; lines without one need no further round
+    links, comps, exact = None, None, False
     while True:
-        if not more.isEmpty():
-            links = links.union(more)
-            comps = scratch.save(connected_components(links, scratch=scratch), "components")
-        more = _left_apart(members, comps, texts, scratch)
-        if more.isEmpty():
+        # twice the nearest line of each; then all pairs left between components: a line is linked to each that holds a
+        # similar one, and the next round only proves that none is left
+        more = _left_apart(members, comps, sketches, texts if exact else None, scratch)
+        if not exact:
+            pairs = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            more = scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").where(_exactly(F.col("ta"), F.col("tb"))).select("a", "b"), "links")
+        elif more.isEmpty():
             return comps
-        members = members.join(more.select(F.col("a").alias("h")), "h", "left_semi")
+        else:
+            members = members.join(more.select(F.col("a").alias("h")).distinct(), "h", "left_semi")
+        links, exact = (more, False) if links is None else (links.union(more), True)
+        comps = scratch.save(connected_components(links, scratch=scratch), "components")
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """All columns; ``text`` without repeated lines, and n_lines, n_removed (int; null text: 0)."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     docs = docs.drop("n_lines", "n_removed")
-    lines = _lines(docs, id, text)
+    lines = scratch.save(_lines(docs, id, text), "lines")
     comps = scratch.save(line_components(lines, scratch), "components")
     place = F.struct("id", "row", "pos")
-    places = scratch.save(lines.select("id", "row", "pos", "h").distinct(), "places")
+    # lines that come once and are like no other stay
+    again = scratch.save(lines.groupBy("h").count().where("count > 1").select("h").union(comps.select("node")).distinct(), "again")
+    several = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    places = scratch.save(lines.select("id", "row", "pos", "h").join(several, "h", "left_semi").distinct(), "places")
     firsts = scratch.save(places.groupBy("h").agg(F.min(place).alias("first")), "firsts")
     named = firsts.join(comps, firsts["h"] == comps["node"], "left").select("first", F.coalesce("component", "h").alias("component"))
     kept = scratch.save(named.groupBy("component").agg(F.min("first").alias("first")).select("first.row", "first.pos"), "kept")
