@@ -7,9 +7,9 @@ A line is the set of its windows of ``GRAM`` UTF-16 units (a shorter line is one
 next full one of its group, and a group is a band of ``ROWS`` values.  A pair with a Jaccard similarity of 0.8
 shares a band with odds of about 0.98 at every length (tested); shorter lines, whose groups hold few windows, more likely.
 
-Equal bands make candidates.  The lines of a band are compared in blocks by a parity sketch (its distance never exceeds the
-symmetric difference): first each line's nearest one is tested by exact Jaccard (twice), then all pairs whose lines are still in
-different components, until no link joins two.  So every pair with a common band is decided.  Links become components; the
+Equal bands make candidates, which pass a parity sketch (its distance never exceeds the symmetric difference) before
+the exact Jaccard test: each line with the smallest and the largest of its bands; then, in bands that still hold more than one
+component, the lines outside the largest one with all others, in blocks, until no link joins two components.  So every pair with a common band is decided.  Links become components; the
 first line of each component, by (id, text, place), stays.
 Null texts have no lines; rows with equal id and text count as one row (both keep the same lines).
 Empty tables give empty results; extra columns pass through.
@@ -93,35 +93,50 @@ def _exactly(a: Column, b: Column) -> Column:
     return F.element_at(F.transform(F.array(sets), enough), 1)
 
 
-def _left_apart(members: DataFrame, comps: DataFrame | None, sketches: DataFrame, texts: DataFrame | None, scratch: Scratch) -> DataFrame:
+def _near(x: str, y: str) -> Column:
+    """Whether sizes and sketches of two lines allow the similarity."""
+    total = F.col(f"{x}.n") + F.col(f"{y}.n")
+    return (F.least(f"{x}.n", f"{y}.n") * DEN >= F.greatest(f"{x}.n", f"{y}.n") * NUM) & (_apart(x, y) * (DEN + NUM) <= total * (DEN - NUM))
+
+
+def _apart(x: str, y: str) -> Column:
+    return sum((F.bit_count(F.col(f"{x}.s{k}").bitwiseXOR(F.col(f"{y}.s{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))))
+
+
+def _stars(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Each line with the smallest and the largest line of its bands (a, b, apart), where their sketches are near."""
+    pairs = members.select(F.col("h").alias("b"), F.explode(F.array("low", "high")).alias("a")).where("a <> b").distinct()
+    one = pairs.join(sketches.withColumnRenamed("h", "a"), "a").select("b", F.struct("a", "n", *[f"s{k}" for k in range(SKETCH)]).alias("x"))
+    both = one.join(sketches.select(F.col("h").alias("b"), F.struct("n", *[f"s{k}" for k in range(SKETCH)]).alias("y")), "b")
+    return both.where(_near("x", "y")).select("x.a", "b", _apart("x", "y").alias("apart"))
+
+
+def _left_apart(members: DataFrame, comps: DataFrame, sketches: DataFrame, texts: DataFrame | None, scratch: Scratch) -> DataFrame:
     """Lines and the nearest one by sketch of another component in one of their bands (a, b), by comparing bands block by block.
 
+    In a band, the lines outside its largest component meet all others, so one that is nearly joined costs little.
     With ``texts``: for each line and other component the nearest one that has the similarity.
     """
-    placed = members.select("band", "h", F.col("h").alias("comp"))
-    if comps is not None:
-        placed = members.join(comps, members["h"] == comps["node"], "left").select("band", "h", F.coalesce("component", "h").alias("comp"))
-    open_ = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("sign")).where("x <> y")
-    open_ = open_.groupBy("sign", "m").agg(F.min("band").alias("band"))  # bands of the same lines count once
-    rows = scratch.save(placed.join(open_.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "band"), "open")
+    placed = scratch.save(members.join(comps, members["h"] == comps["node"], "left").select("band", "h", F.coalesce("component", "h").alias("comp")), "placed")
+    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("m"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("sign"))
+    open_ = sizes.groupBy("band").agg(F.max(F.struct("m", "comp"))["comp"].alias("major"), F.sum("m").alias("m"), F.count("*").alias("comps"), F.sum("sign").alias("sign")).where("comps > 1")
+    open_ = open_.groupBy("sign", "m", "major").agg(F.min("band").alias("band"))  # bands of the same lines count once
+    rows = scratch.save(placed.join(open_.select("band", "major", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "band"), "open")
     if rows.isEmpty():
         return rows.select(F.col("h").alias("a"), F.col("h").alias("b"))
     exact = texts is not None
-    full = rows.join(sketches.join(texts, "h") if exact else sketches, "h").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-    spread = full.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "h", "block", "comp", "n", *["line"] * exact, *[f"s{k}" for k in range(SKETCH)])
-    x, y = spread.alias("x"), spread.alias("y")
-    apart = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
-    total = F.col("x.n") + F.col("y.n")
-    near = (F.col("x.comp") != F.col("y.comp")) & (F.least("x.n", "y.n") * DEN >= F.greatest("x.n", "y.n") * NUM) & (apart * (DEN + NUM) <= total * (DEN - NUM))
+    full = rows.join(sketches.join(texts, "h") if exact else sketches, "h").select(
+        "band", "h", "comp", (F.col("comp") == F.col("major")).alias("is_major"), "n", *["line"] * exact, *[f"s{k}" for k in range(SKETCH)], "blocks", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int").alias("block"))
+    x = full.where("not is_major").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).alias("x")
+    y = full.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).alias("y")
+    near = (F.col("x.comp") != F.col("y.comp")) & (F.col("y.is_major") | (F.col("x.h") < F.col("y.h"))) & _near("x", "y")
     if exact:
-        near = near & (F.size(F.array_intersect(_grams(F.col("x.line")), _grams(F.col("y.line")))) * (DEN + NUM) >= total * NUM)
-    once = (F.col("x.block") == F.col("x.i")) & (F.col("y.block") == F.col("y.j")) & ((F.col("x.i") < F.col("x.j")) | (F.col("x.h") < F.col("y.h")))
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & once & near)
-    end = lambda p, q: F.struct(F.col(f"{p}.h").alias("a"), F.col(f"{q}.comp").alias("comp"), F.struct(apart.alias("apart"), F.col(f"{q}.h").alias("b")).alias("near"))
+        near = near & (F.size(F.array_intersect(_grams(F.col("x.line")), _grams(F.col("y.line")))) * (DEN + NUM) >= (F.col("x.n") + F.col("y.n")) * NUM)
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.block") == F.col("y.i")) & (F.col("x.j") == F.col("y.block")) & near)
+    end = lambda p, q: F.struct(F.col(f"{p}.h").alias("a"), F.col(f"{q}.comp").alias("comp"), F.struct(_apart("x", "y").alias("apart"), F.col(f"{q}.h").alias("b")).alias("near"))
     best = met.select(F.explode(F.array(end("x", "y"), end("y", "x"))).alias("e")).select("e.*").groupBy("a", *["comp"] * exact).agg(F.min("near").alias("near"))
     found = scratch.save(best.select("a", F.col("near.b").alias("b")), "near")
-    scratch.free(rows)
+    scratch.free(rows, placed)
     return found
 
 
@@ -131,21 +146,29 @@ def line_components(lines: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = scratch.save(members.select("h").distinct(), "wanted")
     texts = scratch.save(_texts(lines, wanted, wanted.count()), "texts")
     sketches = scratch.save(_sketches(texts), "sketches")
+    stars = scratch.save(_stars(members, sketches), "stars")
     side = lambda p: texts.select(F.col("h").alias(p), F.col("line").alias(f"t{p}"))
-    links, comps, exact = None, None, False
-    while True:
-        # twice the nearest line of each; then all pairs left between components: a line is linked to each that holds a
-        # similar one, and the next round only proves that none is left
-        more = _left_apart(members, comps, sketches, texts if exact else None, scratch)
-        if not exact:
-            pairs = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            more = scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").where(_exactly(F.col("ta"), F.col("tb"))).select("a", "b"), "links")
-        elif more.isEmpty():
-            return comps
-        else:
-            members = members.join(more.select(F.col("a").alias("h")).distinct(), "h", "left_semi")
-        links, exact = (more, False) if links is None else (links.union(more), True)
-        comps = scratch.save(connected_components(links, scratch=scratch), "components")
+    links: DataFrame | None = None
+
+    def join(pairs: DataFrame, known: bool = False) -> DataFrame:
+        """Adds the pairs that have the similarity to the links, and the components then."""
+        nonlocal links
+        if not known:
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").where(_exactly(F.col("ta"), F.col("tb"))).select("a", "b"), "links")
+        links = pairs if links is None else links.union(pairs)
+        return scratch.save(connected_components(links, scratch=scratch), "components")
+
+    # the nearest end of the stars of each line, then those that join components
+    comps = join(stars.groupBy("b").agg(F.min(F.struct("apart", "a"))["a"].alias("a")))
+    named = lambda df, p: df.join(comps.select(F.col("node").alias(p), F.col("component").alias(f"c{p}")), p, "left")
+    comps = join(named(named(stars, "a"), "b").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")))
+    # what the stars leave apart: the nearest line of each, then all pairs between components, until none is left
+    comps = join(_left_apart(members, comps, sketches, None, scratch))
+    while not (more := _left_apart(members, comps, sketches, texts, scratch)).isEmpty():
+        members = members.join(more.select(F.col("a").alias("h")).distinct(), "h", "left_semi")
+        comps = join(more, True)
+    return comps
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
