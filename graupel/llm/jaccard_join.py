@@ -36,6 +36,8 @@ WIDE_FROM = 700
 SMALL_GROUP = 16
 BLOCK = 512
 FLUSH = 2_000_000
+#: Bytes of an input table, as stored, for each bucket of a packed exchange.
+BUCKET_BYTES = 32 << 20
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -135,16 +137,18 @@ def _counts(docs: DataFrame, text: str, size: int, num: int, den: int) -> np.nda
     return out.ravel()
 
 
-def bucket_count(spark) -> int:
-    """Buckets of packed exchanges: in proportion to the session's shuffle partitions."""
-    return max(128, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def bucket_count(spark, docs: DataFrame | None = None) -> int:
+    """Buckets of packed exchanges: in proportion to the session's shuffle partitions, and at least one for ``BUCKET_BYTES`` of the table ``docs``."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if docs is not None else 0
+    known = size if size < 2**60 else 0  # Spark's estimate is far above that where it knows nothing
+    return max(128, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), known // BUCKET_BYTES)
 
 
 def _posted(docs: DataFrame, text: str, size: int, num: int, den: int) -> DataFrame:
     """Packed posts ``bucket, keys, sigs``: the first D+1 sketch words of every set."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_counts(docs, text, size, num, den))
-    buckets = bucket_count(spark)
+    buckets = bucket_count(spark, docs)
 
     def post(batches):
         held, many = [], 0
@@ -152,7 +156,7 @@ def _posted(docs: DataFrame, text: str, size: int, num: int, den: int) -> DataFr
 
         def flush():
             key, sig = (np.concatenate(x) for x in zip(*held, strict=True))
-            low = (key & np.uint64(0xFFFFF)) % np.uint64(buckets)
+            low = (key & np.uint64(0xFFFFFF)) % np.uint64(buckets)
             order = np.argsort(low, kind="stable")
             key, sig, low = (key[order] >> np.uint64(20)).astype(np.uint32), sig[order], low[order]
             for part in np.split(np.arange(len(low)), np.flatnonzero(low[1:] != low[:-1]) + 1):
