@@ -93,15 +93,13 @@ class Block:
         """Distinct pairs ordered by bucket and key: each token's place, bucket, key, training counts."""
         up = self.vocab
         full = mix(up[self.before] * np.uint64(0x9E3779B97F4A7C15) ^ up[self.word])
-        bucket = ((full & np.uint64(0xFFFF)) % np.uint64(buckets)).astype(np.uint64)
-        key = full >> np.uint64(16)
-        both = (bucket << np.uint64(48)) | key
-        code, both = pd.factorize(both)
-        order = np.argsort(both)
+        code, full = pd.factorize(full)
+        bucket, key = (full & np.uint64(0xFFFFFF)) % np.uint64(buckets), full >> np.uint64(16)
+        order = np.lexsort((key, bucket))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         at = place[code]
-        return at, (both[order] >> np.uint64(48)).astype(np.int64), both[order] & np.uint64(2**48 - 1), np.bincount(at[self.learn], minlength=len(order))
+        return at, bucket[order].astype(np.int64), key[order], np.bincount(at[self.learn], minlength=len(order))
 
 
 def text_blocks(docs: DataFrame, id: str, text: str, folds: int, fold: int) -> DataFrame:
@@ -177,7 +175,7 @@ def katz_score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: i
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "katz")
-    buckets = bucket_count(spark)
+    buckets = bucket_count(spark, docs.select(id, text))
     blocks = scratch.save(text_blocks(docs, id, text, folds, fold), "blocks")
     model = scratch.save(_answers(_requests(blocks, buckets)), "counts", partition_by=["kind", "ngram"])
     stats = {r["ngram"]: r for r in model.where("kind = 'count'").groupBy("ngram").agg(*[F.sum(F.element_at("freq", r)).alias(f"n{r}") for r in range(1, K + 3)], F.sum("total").alias("total")).collect()}

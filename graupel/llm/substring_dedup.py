@@ -12,8 +12,8 @@ earlier one.  Extensions of ``length`` bytes or more are removed from all but th
 An anchor with more than ``HOT`` occurrences that differ is not gathered in one place: each of its windows is
 compared by hash on its own.
 
-Blocks of texts are cut in id order, so places compare as (block, byte).  Rows with equal ids keep
-the order of their block, null ids come first; matches never cross documents.  Null texts are empty; texts shorter than ``length`` keep everything; repeated rows are
+Blocks of texts are cut in id order, so places compare as (block, byte).  Rows with equal ids
+come in the order of their texts, null ids first; matches never cross documents.  Null texts are empty; texts shorter than ``length`` keep everything; repeated rows are
 copies, of which the first stays.  Extra columns are ignored.
 """
 
@@ -76,7 +76,7 @@ class Bytes:
 
 
 def _key_parts(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    return (hashes & np.uint64(0xFFFF)) % np.uint64(buckets), hashes >> np.uint64(16)
+    return (hashes & np.uint64(0xFFFFFF)) % np.uint64(buckets), hashes >> np.uint64(16)
 
 
 def _cuts(bucket: np.ndarray):
@@ -98,7 +98,7 @@ def text_blocks(docs: DataFrame, id: str, text: str) -> DataFrame:
             )
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(id, text).repartitionByRange(count, id).sortWithinPartitions(id).mapInArrow(build, f"block long, ids array<{kind}>, lens binary, raw binary")
+    return docs.select(id, text).repartitionByRange(count, id).sortWithinPartitions(id, text).mapInArrow(build, f"block long, ids array<{kind}>, lens binary, raw binary")
 
 
 def _anchors_of(row: dict, length: int):
@@ -329,7 +329,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     """Per document: id, n_bytes, n_removed, n_spans (long), kept (binary: the remaining bytes)."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "substrings")
-    buckets = bucket_count(spark)
+    buckets = bucket_count(spark, docs.select(id, text))
     blocks = scratch.save(text_blocks(docs, id, text), "blocks")
     levels = scratch.save(_levels(blocks, length, buckets), "levels")
     parts = scratch.save(_surroundings(blocks, levels, length, buckets), "parts", partition_by=["kind"])
