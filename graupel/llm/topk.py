@@ -3,11 +3,16 @@
 A vector's components become floor(256 x).  Cut into segments, two vectors are at least as far
 apart as sum of L((m_q - m_x)^2 + (s_q - s_x)^2) over segments of length L with means m and
 deviations s; the inner product is (|q|^2 + |x|^2 - distance^2) / 2, so this bounds it from above.
-Blocks of queries meet blocks of candidates in a grid; in a cell, the bounds go from coarse to
-fine segments and only survivors of the k-th best score so far are computed, in integers.
+
+Queries first meet a sample of about ``SEED_ROWS`` candidates, whose k-th best score is each query's floor.  Then
+blocks of queries meet blocks of candidates in a grid; in a cell, the bounds go from coarse to
+fine segments (down to two components), the best candidates by the finest bound raise the floor, and exact scores are
+computed in integers for the pairs that are left only.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows with a null
 id; vectors of different length don't meet; rows with the query's id are its own.  Ties go to the smaller id.
+A query row that is repeated in full counts once, candidates count as often as they occur; queries of one id with
+different vectors share one list.  Empty tables give no rows; extra columns are ignored.
 Scores are longs; components must be small enough for that.
 """
 
@@ -18,14 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from graupel.session import Scratch
+
 SEGMENTS = (1, 4, 16)
-SEED_ROWS = 256
+SEED_ROWS = 4096
+PAIRS = 1 << 16
 BLOCK_VALUES = 1 << 17
 QUERIES_PER_GROUP = 4096
+LOWEST = -(2**63)
 
 
-def pack_vectors(df: DataFrame, id: str, vector: str) -> DataFrame:
-    """Blocks of quantised vectors of one length: dim, ids, data (row-major little-endian int64)."""
+def pack_vectors(df: DataFrame, id: str, vector: str, floor: str | None = None) -> DataFrame:
+    """Blocks of quantised vectors of one length: dim, ids, data (row-major little-endian int64), floors (if given, null is the lowest)."""
 
     def pack(batches):
         for batch in batches:
@@ -35,6 +44,7 @@ def pack_vectors(df: DataFrame, id: str, vector: str) -> DataFrame:
             first, flat = col.offsets.to_numpy()[:-1] if len(col) else size, values.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
             usable = ~col.is_null().to_numpy(zero_copy_only=False) & ~batch.column(id).is_null().to_numpy(zero_copy_only=False)
             ids = batch.column(id).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+            low = batch.column(floor).fill_null(LOWEST).to_numpy(zero_copy_only=False).astype("<i8") if floor else np.full(len(ids), LOWEST, "<i8")
             for dim in np.unique(size[usable]):
                 own = np.flatnonzero(usable & (size == dim))
                 step = max(1, BLOCK_VALUES // max(int(dim), 1))
@@ -44,9 +54,9 @@ def pack_vectors(df: DataFrame, id: str, vector: str) -> DataFrame:
                     good = np.isfinite(x).all(1)
                     if good.any():
                         data = np.floor(256 * x[good]).astype("<i8")
-                        yield pa.RecordBatch.from_pydict({"dim": pa.array([int(dim)], pa.int32()), "ids": [ids[rows][good].astype("<i8").tobytes()], "data": pa.array([data.tobytes()], pa.binary())})
+                        yield pa.RecordBatch.from_pydict({"dim": pa.array([int(dim)], pa.int32()), "ids": [ids[rows][good].astype("<i8").tobytes()], "data": pa.array([data.tobytes()], pa.binary()), "floors": pa.array([low[rows][good].tobytes()], pa.binary())})
 
-    return df.select(id, vector).mapInArrow(pack, "dim int, ids binary, data binary")
+    return df.select(id, vector, *[floor] * bool(floor)).mapInArrow(pack, "dim int, ids binary, data binary, floors binary")
 
 
 def _segments(x: np.ndarray, parts: int) -> np.ndarray:
@@ -59,43 +69,51 @@ def _segments(x: np.ndarray, parts: int) -> np.ndarray:
     return np.stack(out, 1) if out else np.zeros((len(x), 0))
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """k-th largest of each row (the smallest, if there are fewer columns)."""
-    k = min(k, scores.shape[1])
-    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+def _levels(dim: int) -> list[int]:
+    """Numbers of segments from coarse to fine, the last of two components each."""
+    return sorted({p for p in (*SEGMENTS, dim // 2) if 0 < p <= max(dim // 2, 1)})
 
 
-def search_block(q_ids, q, c_ids, c, k: int):
-    """(query id, candidate id, score) that hold the k best candidates of the block for each query."""
-    exact_in_double = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(q.shape[1], 1) < 2.0**53
-    fq, fc = q.astype(np.float64), c.astype(np.float64)
+def _scores(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact inner products of the pairs q[i], c[j]."""
+    out = np.empty(len(i), np.int64)
+    for k in range(0, len(i), PAIRS):
+        part = slice(k, k + PAIRS)
+        out[part] = np.einsum("nd,nd->n", q[i[part]], c[j[part]])
+    return out
+
 
-    def product(i, j):
-        return np.rint(fq[i] @ fc[j].T).astype(np.int64) if exact_in_double else q[i] @ c[j].T
-
-    everyone, own = np.arange(len(q)), q_ids[:, None] == c_ids[None, :]
-    lowest = np.iinfo(np.int64).min
-    seed = np.arange(min(len(c), SEED_ROWS))
-    scores = np.where(own[:, seed], lowest, product(everyone, seed))
-    floor = _best(scores, k) if len(seed) >= k + 1 else np.full(len(q), lowest)
-    alive = ~own
-    alive[:, seed] = False
-    rest = np.arange(len(seed), len(c))
-    slack = 1e-9 * (np.sqrt((fq**2).sum(1))[:, None] * np.sqrt((fc**2).sum(1)).max(initial=0)) + 1e-6
-    for parts in SEGMENTS:
-        rest = rest[alive[:, rest].any(0)]
-        if not len(rest) or parts > q.shape[1]:
+def survivors(q: np.ndarray, c: np.ndarray, floor: np.ndarray, alive: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, candidate) that no bound keeps below the query's floor; the floor is raised on the way."""
+    fq, fc = q.astype(np.float64), c.astype(np.float64)
+    nq, nc = (fq**2).sum(1), (fc**2).sum(1)
+    slack = 1e-9 * (np.sqrt(nq)[:, None] * np.sqrt(nc.max(initial=0))) + 1e-6
+    cols = np.arange(len(c))
+    bound = None
+    for parts in _levels(q.shape[1]):
+        cols = cols[alive[:, cols].any(0)]
+        if not len(cols):
             break
-        norm = (fq**2).sum(1)[:, None] + (fc[rest] ** 2).sum(1)[None, :]
-        sq, sc = _segments(fq, parts), _segments(fc[rest], parts)
+        sq, sc = _segments(fq, parts), _segments(fc[cols], parts)
         apart = (sq**2).sum(1)[:, None] + (sc**2).sum(1)[None, :] - 2 * sq @ sc.T  # lower bound of the squared distance
-        alive[:, rest] &= (norm - apart) / 2 + slack >= floor[:, None]
-    rest = rest[alive[:, rest].any(0)]
-    found = np.where(alive[:, rest], product(everyone, rest), lowest) if len(rest) else np.zeros((len(q), 0), np.int64)
-    scores, cols = np.concatenate([scores, found], 1), np.concatenate([seed, rest])
-    keep = (scores >= _best(scores, k)[:, None]) & (scores != lowest) if len(cols) else np.zeros(scores.shape, bool)
-    i, j = np.nonzero(keep)
-    s, ids = scores[i, j], c_ids[cols[j]]
+        bound = (nq[:, None] + nc[cols][None, :] - apart) / 2 + slack
+        alive[:, cols] &= bound >= floor[:, None]
+    if bound is not None and len(cols) > k:
+        # the best by the finest bound raise the floor before the others are computed
+        bound = np.where(alive[:, cols], bound, -np.inf)
+        first = np.argpartition(bound, len(cols) - k, axis=1)[:, len(cols) - k :]
+        i, j = np.repeat(np.arange(len(q)), k), cols[first.ravel()]
+        known = np.where(alive[i, j], _scores(q, c, i, j), LOWEST).reshape(len(q), k)
+        floor = np.maximum(floor, known.min(1))
+        alive[:, cols] &= bound >= floor[:, None]
+    return np.nonzero(alive)
+
+
+def search_block(q_ids, q, c_ids, c, k: int, floor: np.ndarray | None = None):
+    """(query id, candidate id, score) that hold the k best candidates of the block for each query, as far as they reach its floor."""
+    floor = np.full(len(q), LOWEST) if floor is None else floor
+    i, j = survivors(q, c, floor, q_ids[:, None] != c_ids[None, :], k)
+    s, ids = _scores(q, c, i, j), c_ids[j]
     order = np.lexsort((ids, -s, i))
     i, s, ids = i[order], s[order], ids[order]
     first = np.searchsorted(i, np.arange(len(q)))
@@ -103,28 +121,41 @@ def search_block(q_ids, q, c_ids, c, k: int):
     return q_ids[i[top]], ids[top], s[top]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), id, score: the k best other rows of each query, exactly."""
-    spark = vectors.sparkSession
-    groups = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    lines = int(queries.count() // QUERIES_PER_GROUP) + 1
-    c = pack_vectors(vectors, id, vector).select("dim", F.col("ids").alias("c_ids"), F.col("data").alias("c_data"), F.pmod(F.xxhash64("ids"), F.lit(groups)).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(lines - 1))).alias("i"))
-    q = pack_vectors(queries, id, vector).select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.pmod(F.xxhash64("ids"), F.lit(lines)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("j"))
+def _search(c: DataFrame, q: DataFrame, k: int, id: str, lines: int, groups: int) -> DataFrame:
+    """query_id, rank, id, score of packed queries against packed candidates."""
+    c = c.select("dim", F.col("ids").alias("c_ids"), F.col("data").alias("c_data"), F.pmod(F.xxhash64("ids"), F.lit(groups)).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(lines - 1))).alias("i"))
+    q = q.select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "floors", F.pmod(F.xxhash64("ids"), F.lit(lines)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("j"))
 
     def search(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for k_row in range(batch.num_rows):
+                row = batch.slice(k_row, 1).to_pylist()[0]
                 ids = {s: np.frombuffer(row[f"{s}_ids"], "<i8") for s in "qc"}
                 data = {s: np.frombuffer(row[f"{s}_data"], "<i8").reshape(len(ids[s]), row["dim"]) for s in "qc"}
-                a, b, s = search_block(ids["q"], data["q"], ids["c"], data["c"], k)
+                a, b, s = search_block(ids["q"], data["q"], ids["c"], data["c"], k, np.frombuffer(row["floors"], "<i8"))
                 yield pa.RecordBatch.from_pydict({"query_id": a.astype(np.int64), id: b.astype(np.int64), "score": s})
 
-    cells = c.join(q, ["dim", "i", "j"]).select("dim", "q_ids", "q_data", "c_ids", "c_data")
+    cells = c.join(q, ["dim", "i", "j"]).select("q_ids", "q_data", "floors", "c_ids", "c_data", "dim")
     part = cells.mapInArrow(search, f"query_id long, {id} long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id)
     return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id, "score")
 
 
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "embedding", scratch: Scratch | None = None) -> DataFrame:
+    """query_id, rank (from 1), id, score: the k best other rows of each query, exactly."""
+    spark = vectors.sparkSession
+    scratch = scratch or Scratch(spark, "topk")
+    groups = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    queries = queries.select(id, vector).dropDuplicates([id, vector])
+    lines = int(queries.count() // QUERIES_PER_GROUP) + 1
+    every = max(1, vectors.count() // SEED_ROWS)
+    seeds = pack_vectors(vectors.where(F.pmod(F.xxhash64(id), F.lit(every)) == 0), id, vector)
+    found = _search(seeds, pack_vectors(queries, id, vector), k, id, lines, 1)
+    floors = scratch.save(found.groupBy(F.col("query_id").alias("_query")).agg(F.when(F.count("*") >= k, F.min("score")).alias("_floor")), "floors")
+    known = queries.join(floors, F.col(id) == F.col("_query"), "left").select(id, vector, "_floor")
+    return _search(pack_vectors(vectors, id, vector), pack_vectors(known, id, vector, "_floor"), k, id, lines, groups)
+
+
 def topk_query(spark, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -139,7 +170,7 @@ WITH e AS (
 ), p AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-  FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  FROM (SELECT DISTINCT * FROM e) q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
   WHERE q.vec_id % 50 = 0
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
