@@ -2,18 +2,21 @@
 
 Word runs of ``minimum`` words (all words of a shorter item) that a document shares with a
 benchmark item are seeds.  For document-item pairs whose shared seeds could reach the threshold, the
-longest common runs are searched by rolling hashes, marked without overlap, and shorter ones
-follow down to the minimum.  The tiles may lie in any order, so reordered passages count.  A
-document is contaminated by an item when tiles cover ``threshold`` of the item's words.
-
-The benchmark is read in blocks of ``BLOCK_BYTES`` of text, so what is sent to the tasks is
-bounded; documents stream by each block without a shuffle.  Words are split at ASCII white space and
-A-Z is lower-cased.  Null or empty texts and items match nothing; repeated rows are treated alike;
-extra columns pass through.
+common runs are found by the hashes of their windows, and the longest one is marked again and again without overlap, down to
+the minimum; what a longer tile leaves of a run comes back as shorter ones.  The tiles may lie in any order, so reordered
+passages count.  A document is contaminated by an item when tiles cover ``threshold`` of the item's words.
+
+A benchmark of up to ``BLOCK_BYTES`` of text (checked) is sent to the tasks, and documents stream by it without a shuffle.
+A larger one isn't gathered anywhere: its seeds fill a bitmap of fixed size, the documents' runs that it knows meet the
+seeds in a shuffled join, and the pairs that could reach the threshold are tiled with their texts.
+
+Words are split at ASCII white space and A-Z is lower-cased.  Item ids are integers.  Null or empty texts and items match
+nothing; repeated rows are treated alike (the shuffled join reports rows that are repeated in full once); extra columns pass through.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from graupel.llm.text import Words, chunks, mix, powers
+from graupel.session import Scratch
 
 MINIMUM = 5
 THRESHOLD = 0.5
 BLOCK_BYTES = 8 << 20
-FIRST_LENGTH = 20
-_MOD = (1 << 61) - 1
-_BASE = 1_000_003
+#: Bits of the bitmap of seeds (8 MB), and rows in which its parts are merged.
+BITS = 26
+SLICES = 64
 
 
 def _runs(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -39,57 +43,40 @@ def _runs(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out ^ np.uint64(size))
 
 
-def _windows(seq: list, marked: list, size: int):
-    """(start, rolling hash) of every unmarked window of ``size``; None in a sequence is a border."""
-    top = pow(_BASE, size - 1, _MOD)
-    value = run = 0
-    for i, word in enumerate(seq):
-        if marked[i] or word is None:
-            value = run = 0
-            continue
-        if run == size:
-            value = (value - seq[i - size] * top) % _MOD
-            run -= 1
-        value = (value * _BASE + word) % _MOD
-        run += 1
-        if run == size:
-            yield i - size + 1, value
-
-
-def greedy_tiles(pattern: list, text: list, minimum: int) -> list[tuple[int, int, int]]:
-    """Non-overlapping common runs of at least ``minimum``, longest first: (pattern start, text start, length)."""
-    used_p, used_t = [False] * len(pattern), [False] * len(text)
+def greedy_tiles(pattern: np.ndarray, text: np.ndarray, minimum: int, whole: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Non-overlapping common runs of at least ``minimum``, longest first (of equals the one first in pattern, then text).
+
+    (pattern start, text start, length); ``whole``: which windows of ``minimum`` words of the text count (all).
+    """
+    known = _runs(pattern, minimum)
+    order = np.argsort(known, kind="stable")
+    h = _runs(text, minimum)
+    low, high = np.searchsorted(known[order], h), np.searchsorted(known[order], h, "right")
+    count = high - low if whole is None else np.where(whole, high - low, 0)
+    t = np.repeat(np.arange(len(h)), count)
+    p = order[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())] if len(t) else t
+    along = np.lexsort((p, t - p))
+    p, t = p[along], t[along]
+    new = np.flatnonzero(np.r_[True, (np.diff(t - p) != 0) | (np.diff(p) != 1)]) if len(p) else p
+    length = np.diff(np.r_[new, len(p)]) + minimum - 1
+    heap = list(zip((-length).tolist(), p[new].tolist(), t[new].tolist(), strict=True))
+    heapq.heapify(heap)
+    used_p, used_t = np.zeros(len(pattern), bool), np.zeros(len(text), bool)
     tiles: list[tuple[int, int, int]] = []
-    size = max(minimum, FIRST_LENGTH)
-    while True:
-        places: dict[int, list[int]] = {}
-        for at, h in _windows(text, used_t, size):
-            places.setdefault(h, []).append(at)
-        found: list[tuple[int, int, int]] = []
-        for p, h in _windows(pattern, used_p, size):
-            for t in places.get(h, ()):
-                n = 0
-                while p + n < len(pattern) and t + n < len(text) and pattern[p + n] is not None and pattern[p + n] == text[t + n] and not used_p[p + n] and not used_t[t + n]:
-                    n += 1
-                if n >= size:
-                    found.append((n, p, t))
-        longest = max(found, default=(0,))[0]
-        if longest > 2 * size:
-            size = longest
-            continue
-        for n, p, t in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if not any(used_p[p : p + n]) and not any(used_t[t : t + n]):
-                used_p[p : p + n] = used_t[t : t + n] = [True] * n
-                tiles.append((p, t, n))
-            # a match cut by a longer one is found again in this or a shorter round
-        if any(not any(used_p[p : p + size]) and not any(used_t[t : t + size]) for _, p, t in found):
+    left = len(pattern)
+    while heap and left >= minimum:
+        n, p0, t0 = heapq.heappop(heap)
+        taken = used_p[p0 : p0 - n] | used_t[t0 : t0 - n]
+        if not taken.any():
+            used_p[p0 : p0 - n] = used_t[t0 : t0 - n] = True
+            tiles.append((p0, t0, -n))
+            left += n
             continue
-        if size > 2 * minimum:
-            size //= 2
-        elif size > minimum:
-            size = minimum
-        else:
-            return tiles
+        edge = np.flatnonzero(np.diff(np.r_[True, taken, True].astype(np.int8)))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):  # what is free of the run
+            if b - a >= minimum:
+                heapq.heappush(heap, (a - b, p0 + a, t0 + a))
+    return tiles
 
 
 @dataclass
@@ -145,70 +132,143 @@ def _matches(words: Words, items: Items, threshold: float):
             if (np.cumsum(reach)[:-1] > 0).sum() < threshold * len(pattern):
                 continue
             spots = np.unique(pos[i:j])
-            text: list = []
-            where: list = []
-            last = -1
-            for s in spots.tolist():
-                if s > last and text:
-                    text.append(None)
-                    where.append(-1)
-                for k in range(max(s, last), s + size):
-                    text.append(int(words.hash[k]))
-                    where.append(k)
-                last = s + size
-            tiles = greedy_tiles(pattern.tolist(), text, size)
+            cover = np.unique((spots[:, None] + np.arange(size)).ravel())
+            whole = np.isin(cover[: max(len(cover) - size + 1, 0)], spots) & (cover[size - 1 :] - cover[: max(len(cover) - size + 1, 0)] == size - 1)
+            tiles = greedy_tiles(pattern, words.hash[cover], size, whole)
             if sum(n for _, _, n in tiles) >= threshold * len(pattern):
                 first = int(words.offs[row[i]])
-                yield int(row[i]), int(item[i]), sorted((p, where[t] - first, n) for p, t, n in tiles)
+                yield int(row[i]), int(item[i]), sorted((p, int(cover[t]) - first, n) for p, t, n in tiles)
+
+
+_TILES = "array<struct<item_start: long, doc_start: long, words: long>>"
+
+
+def _found(batch, row: int, items: Items, item: int, tiles: list, id: str) -> tuple:
+    n, covered = len(items.words[item]), sum(t[2] for t in tiles)
+    return batch.column(id)[row].as_py(), items.ids[item], n, covered, covered / n, [{"item_start": p, "doc_start": t, "words": k} for p, t, k in tiles]
+
+
+def _table(rows: list[tuple], id: str, kind: pa.DataType) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+    tile = pa.list_(pa.struct([("item_start", pa.int64()), ("doc_start", pa.int64()), ("words", pa.int64())]))
+    types = (kind, pa.int64(), pa.int64(), pa.int64(), pa.float64(), tile)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[id, "item_id", "item_words", "covered", "coverage", "tiles"])
+
+
+def _small(docs: DataFrame, items: DataFrame, id: str, text: str, threshold: float, minimum: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(Items.of(items.toArrow(), minimum))
+
+    def find(batches):
+        for batch, raw, offs in chunks(batches, text):
+            if rows := [_found(batch, row, shared.value, item, tiles, id) for row, item, tiles in _matches(Words(raw, offs), shared.value, threshold)]:
+                yield _table(rows, id, batch.column(id).type)
+
+    return docs.select(id, text).mapInArrow(find, f"{id} {docs.schema[id].dataType.simpleString()}, item_id long, item_words long, covered long, coverage double, tiles {_TILES}")
+
+
+def _seeds(items: DataFrame, minimum: int) -> DataFrame:
+    """seed, size, item (hash of the row), place, item_words for every seed of every item."""
 
+    def seeds(batches):
+        for batch, raw, offs in chunks(batches, "text"):
+            w = Words(raw, offs)
+            name = batch.column("item").to_numpy()
+            count = np.diff(w.offs)
+            for size in np.unique(np.minimum(count, minimum)):
+                if size:
+                    h = _runs(w.hash, int(size))
+                    row = w.row[: len(h)]
+                    ok = (row == w.row[size - 1 : size - 1 + len(h)]) & (np.minimum(count, minimum)[row] == size)
+                    row = row[ok]
+                    yield pa.RecordBatch.from_pydict({"seed": h[ok].view(np.int64), "size": np.full(len(row), size, np.int32), "item": name[row], "place": np.flatnonzero(ok) - w.offs[row], "item_words": count[row]})
 
-def benchmark_blocks(benchmark: DataFrame, minimum: int = MINIMUM) -> list[Items]:
-    """The benchmark in blocks of bounded size (one, if it is small)."""
-    items = benchmark.select("item_id", "text").where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(size // BLOCK_BYTES) + 1
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [Items.of(items.where(part == k).toArrow() if blocks > 1 else items.toArrow(), minimum) for k in range(blocks)]
+    return items.mapInArrow(seeds, "seed long, size int, item long, place long, item_words long")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, minimum: int = MINIMUM) -> DataFrame:
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """Which hashes occur among the seeds, by ``BITS`` bits: a table of fixed size whatever the benchmark."""
+
+    def mark(batches):
+        bits = np.zeros(1 << BITS - 3, np.uint8)
+        for batch in batches:
+            at = batch.column("seed").to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "part": pa.array([p.tobytes() for p in bits.reshape(SLICES, -1)], pa.binary())})
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in table.column("part")])
+        return pa.table({"slice": table.column("slice")[:1], "part": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((SLICES, (1 << BITS - 3) // SLICES), np.uint8)
+    for r in seeds.mapInArrow(mark, "slice int, part binary").groupBy("slice").applyInArrow(merge, "slice int, part binary").collect():
+        out[r["slice"]] = np.frombuffer(r["part"], np.uint8)
+    return out.ravel()
+
+
+def _large(docs: DataFrame, items: DataFrame, id: str, text: str, threshold: float, minimum: int, scratch: Scratch) -> DataFrame:
+    items = items.withColumn("item", F.xxhash64("item_id", "text"))
+    seeds = scratch.save(_seeds(items.select("item", "text").dropDuplicates(["item"]), minimum), "seeds")
+    sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())  # at most ``minimum`` numbers
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(seeds))
+    rows = docs.select(F.xxhash64(id, text).alias("row"), id, text)
+
+    def known(batches):
+        for batch, raw, offs in chunks(batches, text):
+            w = Words(raw, offs)
+            name = batch.column("row").to_numpy()
+            for size in sizes:
+                h = _runs(w.hash, size)
+                at = h >> np.uint64(64 - BITS)
+                ok = (w.row[: len(h)] == w.row[size - 1 : size - 1 + len(h)]) & (shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0)
+                pairs = np.unique(np.stack([name[w.row[: len(h)][ok]], h[ok].view(np.int64)], 1), axis=0)
+                yield pa.RecordBatch.from_pydict({"row": pairs[:, 0], "seed": pairs[:, 1], "size": np.full(len(pairs), size, np.int32)})
+
+    met = rows.select("row", text).mapInArrow(known, "row long, seed long, size int").join(seeds, ["seed", "size"])
+    pairs = met.groupBy("row", "item").agg(F.countDistinct("place").alias("n"), F.first("size").alias("size"), F.first("item_words").alias("words")).where(F.col("n") * F.col("size") >= F.col("words") * threshold)
+    pairs = scratch.save(pairs.select("row", "item"), "pairs")
+    both = pairs.join(rows.dropDuplicates(["row"]), "row").join(items.dropDuplicates(["item"]).select("item", "item_id", F.col("text").alias("_item")), "item").select(id, text, "item_id", "_item")
+
+    def find(batches):
+        for batch, raw, offs in chunks(batches, text):
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                item = Items.of(pa.table({"item_id": one.column("item_id"), "text": one.column("_item")}), minimum)
+                words = Words(raw[offs[k] : offs[k + 1]], offs[k : k + 2] - offs[k])
+                if found := [_found(one, 0, item, 0, tiles, id) for _, _, tiles in _matches(words, item, threshold)]:
+                    yield _table(found, id, batch.column(id).type)
+
+    return both.mapInArrow(find, f"{id} {docs.schema[id].dataType.simpleString()}, item_id long, item_words long, covered long, coverage double, tiles {_TILES}")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, minimum: int = MINIMUM, scratch: Scratch | None = None) -> DataFrame:
     """Contaminated document-item pairs: id, item_id, item_words, covered, coverage, tiles (item start, document start, words)."""
-    out = None
-    for items in benchmark_blocks(benchmark, minimum):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def find(batches, shared=shared):
-            items = shared.value
-            for batch, raw, offs in chunks(batches, text):
-                rows = []
-                for row, item, tiles in _matches(Words(raw, offs), items, threshold):
-                    n, covered = len(items.words[item]), sum(t[2] for t in tiles)
-                    rows.append((batch.column(id)[row].as_py(), items.ids[item], n, covered, covered / n, [{"item_start": p, "doc_start": t, "words": k} for p, t, k in tiles]))
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    tile = pa.list_(pa.struct([("item_start", pa.int64()), ("doc_start", pa.int64()), ("words", pa.int64())]))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(id).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64()), pa.array(cols[5], tile)], names=[id, "item_id", "item_words", "covered", "coverage", "tiles"])
-
-        kind = docs.schema[id].dataType.simpleString()
-        got = docs.select(id, text).mapInArrow(find, f"{id} {kind}, item_id long, item_words long, covered long, coverage double, tiles array<struct<item_start: long, doc_start: long, words: long>>")
-        out = got if out is None else out.union(got)
-    return out
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD, minimum: int = MINIMUM) -> DataFrame:
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    if _bytes(items) <= BLOCK_BYTES:
+        return _small(docs, items, id, text, threshold, minimum)
+    return _large(docs, items, id, text, threshold, minimum, scratch or Scratch(docs.sparkSession, "tiling"))
+
+
+def _bytes(items: DataFrame) -> int:
+    return items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD, minimum: int = MINIMUM, scratch: Scratch | None = None) -> DataFrame:
     """The documents that no item contaminates, all columns kept."""
-    schema = T.StructType(docs.schema.fields)
-    for items in benchmark_blocks(benchmark, minimum):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def clean(batches, shared=shared):
-            for batch, raw, offs in chunks(batches, text):
-                keep = np.ones(batch.num_rows, bool)
-                keep[[row for row, _, _ in _matches(Words(raw, offs), shared.value, threshold)]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(clean, schema)
-    return docs
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    if _bytes(items) > BLOCK_BYTES:
+        scratch = scratch or Scratch(docs.sparkSession, "tiling")
+        named = docs.select(F.xxhash64(text).alias("_text"), text)
+        bad = scratch.save(_large(named, items, "_text", text, threshold, minimum, scratch).select("_text").distinct(), "bad")
+        return docs.withColumn("_text", F.xxhash64(text)).join(bad, "_text", "left_anti").drop("_text")
+    shared = docs.sparkSession.sparkContext.broadcast(Items.of(items.toArrow(), minimum))
+
+    def clean(batches):
+        for batch, raw, offs in chunks(batches, text):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[row for row, _, _ in _matches(Words(raw, offs), shared.value, threshold)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(clean, T.StructType(docs.schema.fields))
 
 
 def contamination_query(spark, sf_dir: str) -> DataFrame:
