@@ -22,12 +22,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from graupel.llm.text import chunks
+from graupel.llm.text import binary_column, chunks
 
 NONE = np.int32(2**31 - 1)
 LONG = 1024
 WIDTHS = (*range(2, 17), 20, 24, 32, 48, 64, 128, 256, 512, LONG)
 CELLS = 1 << 20
+#: Text bytes that one pass of encoding and decoding holds.
+CHUNK = 1 << 20
 
 
 class Ranks:
@@ -164,6 +166,21 @@ def ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
+def _encoded(table: Ranks, split, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of a column one after another, and the bounds of each."""
+    found = [split.findall(t) if t else [] for t in column.to_pylist()]
+    per = np.fromiter(map(len, found), np.int64, len(found))
+    code, pieces = pd.factorize(np.array([p for f in found for p in f], dtype=object))
+    flat, size = table.encode_pieces([p.encode() for p in pieces])
+    begin = np.cumsum(size) - size
+    got = flat[spread(begin[code], size[code])].astype("<u4")
+    return got, np.concatenate([[0], np.cumsum(size[code])])[np.concatenate([[0], np.cumsum(per)])]
+
+
+def _decoded(table: Ranks, ids: np.ndarray) -> bytes:
+    return b"".join(map(table.token.__getitem__, ids.tolist()))
+
+
 def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", count: str = "n_tokens") -> DataFrame:
     """Adds ``ids`` (binary: little-endian unsigned 32-bit integers) and ``count`` (long)."""
     base = df.drop(ids, count)
@@ -171,31 +188,38 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     def run(batches):
         table, split = ranks(ranks_path), regex.compile(pattern)
         for batch, _, _ in chunks(batches, text):
-            found = [split.findall(t) if t else [] for t in batch.column(text).to_pylist()]
-            per = np.fromiter(map(len, found), np.int64, len(found))
-            code, pieces = pd.factorize(np.array([p for f in found for p in f], dtype=object))
-            flat, size = table.encode_pieces([p.encode() for p in pieces])
-            begin = np.cumsum(size) - size
-            got = flat[spread(begin[code], size[code])].astype("<u4")
-            cum = np.concatenate([[0], np.cumsum(size[code])])
-            bounds = cum[np.concatenate([[0], np.cumsum(per)])]
-            out = pa.Array.from_buffers(pa.large_binary(), len(per), [None, pa.py_buffer((bounds * 4).astype(np.int64).tobytes()), pa.py_buffer(got.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out, pa.array(np.diff(bounds), pa.int64())], names=[*batch.schema.names, ids, count])
+            got, bounds = _encoded(table, split, batch.column(text))
+            yield pa.RecordBatch.from_arrays([*batch.columns, binary_column(got, bounds), pa.array(np.diff(bounds), pa.int64())], names=[*batch.schema.names, ids, count])
 
     schema = T.StructType([*base.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType())])
     return base.mapInArrow(run, schema)
 
 
+def bpe_round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", count: str = "n_tokens", same: str = "round_trip") -> DataFrame:
+    """Encodes and decodes in one pass: all columns but ``text``, then ``ids``, ``count`` and ``same`` (whether the decoded bytes are the text's)."""
+    base = df.drop(ids, count, same)
+    kept = [f for f in base.schema.fields if f.name != text]
+
+    def run(batches):
+        table, split = ranks(ranks_path), regex.compile(pattern)
+        for batch, raw, offs in chunks(batches, text, CHUNK):
+            got, bounds = _encoded(table, split, batch.column(text))
+            good = [_decoded(table, got[i:j]) == raw[a:b].tobytes() for i, j, a, b in zip(bounds[:-1], bounds[1:], offs[:-1], offs[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], binary_column(got, bounds), pa.array(np.diff(bounds), pa.int64()), pa.array(good, pa.bool_())], names=[*[f.name for f in kept], ids, count, same])
+
+    return base.mapInArrow(run, T.StructType([*kept, T.StructField(ids, T.BinaryType()), T.StructField(count, T.LongType()), T.StructField(same, T.BooleanType())]))
+
+
 def bpe_decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds ``out``: the bytes that packed ``ids`` stand for."""
     base = df.drop(out)
 
     def run(batches):
-        token = ranks(ranks_path).token
+        table = ranks(ranks_path)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                made = [b"".join(map(token.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(ids).to_pylist()]
+                made = [_decoded(table, np.frombuffer(x or b"", "<u4")) for x in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=[*part.schema.names, out])
 
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(out, T.BinaryType())]))

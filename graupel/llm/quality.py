@@ -32,6 +32,8 @@ HIDDEN = 24
 FOLDS = 5
 CUT = 0.3
 SLICES = 16
+#: Text bytes whose word vectors are held at once.
+CHUNK = 1 << 19
 _CLASS = np.full(256, 3, np.int8)  # 0 space, 1 letter, 2 digit, 3 mark
 _CLASS[SPACE] = 0
 _CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
@@ -78,7 +80,7 @@ def word_vectors(sample: DataFrame, text: str) -> np.ndarray:
 
     def add(batches):
         index, total = index_table(), np.zeros((BUCKETS, DIMENSIONS), np.float64)
-        for _, raw, offs in chunks(batches, text, 1 << 20):
+        for _, raw, offs in chunks(batches, text, CHUNK):
             h, row, _ = units(raw, offs)
             bucket = (h >> np.uint64(40)).astype(np.int64) % BUCKETS
             near = np.zeros((len(h), DIMENSIONS), np.float32)
@@ -187,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def measure(batches):
-        for batch, raw, offs in chunks(batches, text, 1 << 20):
+        for batch, raw, offs in chunks(batches, text, CHUNK):
             x = inputs(raw, offs, shared.value)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column("label").cast(pa.float64()), batch.column(id).cast(pa.int64())], names=["x", "label", "key"])
 
@@ -206,7 +208,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | None], id: str = "
 
     def run(batches):
         vectors, net = shared.value
-        for batch, raw, offs in chunks(batches, text, 1 << 20):
+        for batch, raw, offs in chunks(batches, text, CHUNK):
             s = net.score(inputs(raw, offs, vectors)) if net else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, out])
 
