@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
-from graupel.llm.bpe import bpe_decode, bpe_encode
+from graupel.llm.bpe import bpe_round_trip
 from graupel.llm.decontaminate import decontaminate
 from graupel.llm.jaccard_join import ngram_jaccard_join
 from graupel.llm.line_dedup import dedup_lines
@@ -47,10 +47,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document and whether they decode to its text."""
-    path = public_tokenizers.path(RANKS)
-    coded = bpe_decode(bpe_encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
-    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), same.alias("round_trip"))
+    coded = bpe_round_trip(docs.select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "round_trip")
 
 
 STAGES = [
