@@ -9,6 +9,8 @@ from graupel.operators.graph import connected_components
 from graupel.session import Scratch
 
 WIDTH_BITS = 31
+#: Columns of a strip in which runs of neighbouring rows meet.
+STRIP = 256
 
 
 def cell_id(row="row", col="col") -> Column:
@@ -28,8 +30,12 @@ def label_cells(mask: DataFrame, keys: tuple[str, ...] = (), scratch: Scratch |
     runs = runs_of.groupBy(*keys, "row", "run").agg(F.min("col").alias("lo"), F.max("col").alias("hi"))
     runs = runs.withColumn("id", cell_id("row", "lo"))
     numbered = scratch.save(runs.withColumn("node", F.xxhash64(*keys, "id") if keys else F.col("id")), "numbered")
-    a, b = numbered.alias("a"), numbered.alias("b")
-    touch = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.row") + 1 == F.col("b.row"), F.col("a.lo") <= F.col("b.hi") + 1, F.col("b.lo") <= F.col("a.hi") + 1]
+    # runs meet by row and strip of columns; a pair that shares several strips counts in the first
+    strips = lambda first, last: F.explode(F.sequence(F.floor(first / STRIP), F.floor(last / STRIP))).alias("strip")
+    a = numbered.select("*", strips(F.col("lo") - 1, F.col("hi") + 1)).alias("a")
+    b = numbered.select("*", strips(F.col("lo"), F.col("hi"))).alias("b")
+    touch = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.row") + 1 == F.col("b.row"), F.col("a.strip") == F.col("b.strip"), F.col("a.lo") <= F.col("b.hi") + 1, F.col("b.lo") <= F.col("a.hi") + 1]
+    touch.append(F.col("a.strip") == F.floor(F.greatest(F.col("a.lo") - 1, F.col("b.lo")) / STRIP))
     edges = a.join(b, touch).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
     parts = connected_components(edges, scratch=scratch)
     named = numbered.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
@@ -77,3 +83,60 @@ def geojson_features(stats: DataFrame, properties: list[str]) -> DataFrame:
     ring = F.array(*[F.array(x, y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
     geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
     return stats.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("value"))
+
+
+def outline_rings(labels: DataFrame, keys: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
+    """The closed outlines of every component: keys, component, ring, seq (from 0), x, y in cell corners.
+
+    Edges run with their cell on the right, so outer rings turn clockwise and holes the other way; where two cells touch at a
+    corner only, the ring stays with its cell.  A ring is named by its smallest edge (row, column, direction), at which it starts.
+    Rings come from components of the edges' successors and places from doubled pointers, so no ring is gathered in one task.
+    """
+    scratch = scratch or Scratch(labels.sparkSession, "rings")
+    side = lambda k, x0, y0, ux, uy, flat: F.struct(F.lit(k).alias("turn"), (F.col("col") + x0).alias("x"), (F.col("row") + y0).alias("y"), (F.col("col") + ux).alias("ux"), (F.col("row") + uy).alias("uy"), F.lit(flat).alias("flat"))
+    sides = F.array(side(0, 0, 0, 0, 0, True), side(1, 1, 0, 1, 0, False), side(2, 1, 1, 0, 1, True), side(3, 0, 1, 0, 0, False))
+    each = labels.select(*keys, "component", F.explode(sides).alias("e")).select(*keys, "component", "e.*")
+    edges = each.groupBy(*keys, "component", "ux", "uy", "flat").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("turn", "x", "y")]).where("n = 1")
+    code = F.shiftleft(F.col("y").cast("bigint"), 32) + F.shiftleft(F.col("x").cast("bigint"), 2) + F.col("turn")
+    dx, dy = (F.element_at(F.array(*map(F.lit, v)), F.col("turn") + 1) for v in ((1, 0, -1, 0), (0, 1, 0, -1)))
+    edges = edges.select(*keys, "component", "turn", "x", "y", (F.col("x") + dx).alias("x1"), (F.col("y") + dy).alias("y1"), code.alias("code"))
+    edges = scratch.save(edges.withColumn("node", F.xxhash64(*keys, "code") if keys else F.col("code")), "edges")
+    out = edges.select(*keys, "component", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("turn").alias("out_turn"), F.col("node").alias("next"))
+    prefer = F.pmod(F.lit(5) - (F.col("out_turn") - F.col("turn")), F.lit(4))  # right, ahead, left
+    after = edges.join(out, [*keys, "component", "x1", "y1"]).groupBy("node").agg(F.min(F.struct(prefer.alias("p"), "next"))["next"].alias("next"))
+    after = scratch.save(after, "after")
+    parts = connected_components(after, "node", "next", scratch).withColumnRenamed("component", "part")
+    placed = scratch.save(edges.join(parts, "node"), "placed")
+    heads = placed.groupBy("part").agg(F.min("code").alias("ring"))
+    named = scratch.save(placed.join(heads, "part").select(*keys, "component", "ring", "x", "y", "node", (F.col("code") == F.col("ring")).alias("head")), "named")
+    before = after.select(F.col("next").alias("node"), F.col("node").alias("to"))
+    walk = named.join(before, "node").select("node", F.when(F.col("head"), F.col("node")).otherwise(F.col("to")).alias("to"), F.when(F.col("head"), 0).otherwise(1).alias("steps"))
+    walk, known = scratch.save(walk, "walk"), None
+    while True:
+        ahead = walk.select(F.col("node").alias("to"), F.col("to").alias("onto"), F.col("steps").alias("more"))
+        nxt = scratch.save(walk.join(ahead, "to").select("node", F.col("onto").alias("to"), (F.col("steps") + F.col("more")).alias("steps")), "walk")
+        total = nxt.agg(F.sum("steps")).first()[0]
+        scratch.free(walk)
+        walk = nxt
+        if total == known:
+            break
+        known = total
+    return named.join(walk.select("node", "steps"), "node").select(*keys, "component", "ring", F.col("steps").alias("seq"), "x", "y")
+
+
+def outline_features(rings: DataFrame, grid, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One GeoJSON feature for each component (column ``value``), in the grid's coordinates.
+
+    A component with one outer ring is a Polygon with its holes; parts that touch at corners only make a MultiLineString of closed rings.
+    """
+    x, y = F.lit(grid.x0) + F.col("x") * grid.px, F.lit(grid.y0) - F.col("y") * grid.px
+    points = F.array_sort(F.collect_list(F.struct("seq", x.alias("x"), y.alias("y"), F.col("x").alias("i"), F.col("y").alias("j"))))
+    ring = rings.groupBy(*keys, "component", "ring").agg(points.alias("p"))
+    nxt = lambda k: F.element_at("p", F.pmod(k + 1, F.size("p")) + 1)
+    twice = F.aggregate(F.transform("p", lambda v, k: v["i"] * nxt(k)["j"] - nxt(k)["i"] * v["j"]), F.lit(0).cast("long"), lambda s, v: s + v)
+    closed = F.transform(F.concat("p", F.slice("p", 1, 1)), lambda v: F.array(v["x"], v["y"]))
+    each = ring.select(*keys, "component", "ring", closed.alias("line"), (twice < 0).alias("hole"))
+    lines = F.array_sort(F.collect_list(F.struct("hole", "ring", "line")))
+    shape = each.groupBy(*keys, "component").agg(lines.alias("r"), F.sum(F.when(F.col("hole"), 0).otherwise(1)).alias("outer"))
+    geometry = F.struct(F.when(F.col("outer") == 1, "Polygon").otherwise("MultiLineString").alias("type"), F.transform("r", lambda v: v["line"]).alias("coordinates"))
+    return shape.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*keys, "component").alias("properties"))).alias("value"))

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from graupel.operators import stencil
 from graupel.operators.components import cell_id
 from graupel.session import Scratch
 
@@ -25,33 +27,40 @@ STEPS = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 FACETS = [((0, 1), (-1, 1)), ((-1, 0), (-1, 1)), ((-1, 0), (-1, -1)), ((0, -1), (-1, -1)), ((0, -1), (1, -1)), ((1, 0), (1, -1)), ((1, 0), (1, 1)), ((0, 1), (1, 1))]
 
 
-def _with_halo(cells: DataFrame, tile: int) -> DataFrame:
-    """Every cell in its own tile and, at a border, in those next to it: adds tr, tc."""
-    near = lambda c: F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.floor((F.col(c) + k) / tile)))
-    return cells.withColumn("tr", F.explode(near("row"))).withColumn("tc", F.explode(near("col")))
-
-
 def _own(pdf: pd.DataFrame, tile: int) -> np.ndarray:
     return ((pdf["row"] // tile == pdf["tr"]) & (pdf["col"] // tile == pdf["tc"])).to_numpy()
 
 
-def _neighbour_lists(pdf: pd.DataFrame) -> tuple[dict, list]:
-    place = {p: i for i, p in enumerate(zip(pdf["row"].tolist(), pdf["col"].tolist(), strict=True))}
-    return place, [[place[(r + i, c + j)] for i, j in STEPS if (r + i, c + j) in place] for r, c in place]
+def _neighbour_lists(pdf: pd.DataFrame) -> tuple[np.ndarray, list]:
+    """Places of the cells on a frame with a border, and the places of each cell's known neighbours."""
+    row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+    frame = np.full((row.max() - row.min() + 3, col.max() - col.min() + 3), -1)
+    r, c = row - row.min() + 1, col - col.min() + 1
+    frame[r, c] = np.arange(len(row))
+    near = np.stack([frame[r + i, c + j] for i, j in STEPS], 1)
+    flat, ends = near[near >= 0].tolist(), np.cumsum((near >= 0).sum(1)).tolist()
+    return frame, [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def _settle(cells: DataFrame, solve, schema: str, watch: str, tile: int, scratch: Scratch, name: str) -> DataFrame:
-    """Repeats ``solve`` on tiles with halos until the sum of ``watch`` stays; values only fall."""
-    cur = scratch.save(cells, name)
-    state = None
+    """Repeats ``solve`` on tiles with halos until nothing changes; after the first round only tiles next to a change run."""
+    columns = [f.split()[0] for f in schema.split(", ")]
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = _own(pdf, tile)
+        out = solve(pdf)
+        return out.assign(changed=out[watch].to_numpy() != pdf[watch].to_numpy()[own])
+
+    cur = scratch.save(cells.select(*columns, F.lit(True).alias("changed")), name)
     for _ in range(MAX_ROUNDS):
-        nxt = scratch.save(_with_halo(cur, tile).groupBy("tr", "tc").applyInPandas(solve, schema), name)
-        new = tuple(nxt.agg(F.sum(F.when(F.col(watch) < 1e300, F.col(watch)).cast("decimal(38,9)")), F.count(F.when(F.col(watch) < 1e300, 1))).first())
-        scratch.free(cur)
+        hot = scratch.save(stencil.with_halo(cur.where("changed").select("row", "col"), tile).select("tr", "tc").distinct(), "hot")
+        if hot.isEmpty():
+            return cur.drop("changed")
+        run = stencil.with_halo(cur.drop("changed"), tile).join(hot, ["tr", "tc"], "left_semi").groupBy("tr", "tc").applyInPandas(step, schema + ", changed boolean")
+        rest = cur.withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)}).join(hot, ["tr", "tc"], "left_anti").select(*columns, F.lit(False).alias("changed"))
+        nxt = scratch.save(run.unionByName(rest), name)
+        scratch.free(cur, hot)
         cur = nxt
-        if new == state:
-            return cur
-        state = new
     raise RuntimeError(f"{name} did not settle")
 
 
@@ -118,7 +127,7 @@ def drainage_tree(dem: DataFrame, value: str = "elev", tile: int = TILE, scratch
         out.loc[at < 0, ["parent_row", "parent_col"]] = pd.NA
         return out[own]
 
-    made = _with_halo(cells, tile).groupBy("tr", "tc").applyInPandas(parents, "row int, col int, z double, spill double, hops double, parent_row int, parent_col int")
+    made = stencil.with_halo(cells, tile).groupBy("tr", "tc").applyInPandas(parents, "row int, col int, z double, spill double, hops double, parent_row int, parent_col int")
     return scratch.save(made, "tree")
 
 
@@ -133,10 +142,14 @@ def breach(dem: DataFrame, value: str = "elev", tile: int = TILE, scratch: Scrat
     state = tree.select("row", "col", "z", F.col("z").alias("breached"), "parent_row", "parent_col", F.lit(None).cast("double").alias("carried"), F.lit(True).alias("fresh"))
 
     def carve(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, (place, near) = _own(pdf, tile), _neighbour_lists(pdf)
+        own, (frame, near) = _own(pdf, tile), _neighbour_lists(pdf)
         cut, raw = pdf["breached"].to_numpy().copy(), pdf["z"].to_numpy()
         first = bool(pdf["fresh"].iloc[0])
-        up = [None if pd.isna(r) else place.get((int(r), int(c))) for r, c in zip(pdf["parent_row"], pdf["parent_col"], strict=True)]
+        r, c = (pdf[f"parent_{k}"].astype("float64").to_numpy() - pdf[k].min() + 1 for k in ("row", "col"))
+        ok = (r >= 0) & (r < frame.shape[0]) & (c >= 0) & (c < frame.shape[1])
+        at = np.full(len(pdf), -1)
+        at[ok] = frame[r[ok].astype(np.int64), c[ok].astype(np.int64)]
+        up = [None if k < 0 else k for k in at.tolist()]
         carried = pdf["carried"].to_numpy()
         out = np.full(len(pdf), np.nan)  # levels carried over the tile's border, by the cell they enter
         walk = []
@@ -160,7 +173,7 @@ def breach(dem: DataFrame, value: str = "elev", tile: int = TILE, scratch: Scrat
     schema = "row int, col int, z double, breached double, parent_row int, parent_col int, carried double, fresh boolean, own boolean"
     cur = scratch.save(state, "carve")
     for _ in range(MAX_ROUNDS):
-        done = _with_halo(cur, tile).groupBy("tr", "tc").applyInPandas(carve, schema)
+        done = stencil.with_halo(cur, tile).groupBy("tr", "tc").applyInPandas(carve, schema)
         merged = done.groupBy("row", "col").agg(
             F.first("z").alias("z"), F.min(F.when(F.col("own"), F.col("breached"))).alias("breached"), F.first("parent_row").alias("parent_row"), F.first("parent_col").alias("parent_col"),
             F.min(F.when(~F.col("own"), F.col("carried"))).alias("carried"), F.lit(False).alias("fresh"))
@@ -172,75 +185,80 @@ def breach(dem: DataFrame, value: str = "elev", tile: int = TILE, scratch: Scrat
     raise RuntimeError("breaching did not settle")
 
 
-def d_infinity_receivers(cells: DataFrame, px: float, tile: int = TILE) -> DataFrame:
+_NAMES = {(0, 1): "e", (-1, 1): "ne", (-1, 0): "n", (-1, -1): "nw", (0, -1): "w", (1, -1): "sw", (1, 0): "s", (1, 1): "se"}
+
+
+def _receivers(cells: DataFrame, px: float) -> DataFrame:
+    """row, col and the receivers r1, c1, s1 and r2, c2, s2 (share above 0, else NULL) of each cell."""
+    quarter = math.pi / 4
+    known = cells.columns
+    near = stencil.neighbours(cells.select("row", "col", "breached", *[c for c in ("parent_row", "parent_col") if c in known]), "breached", edge="null")
+    options = []
+    for k, (a, b) in enumerate(FACETS):
+        one, two = F.col(_NAMES[a]), F.col(_NAMES[b])
+        s1, s2 = (F.col("c") - one) / px, (one - two) / px
+        turn = F.atan2(s2, s1)
+        steep = F.when(turn < 0, s1).when(turn > quarter, (F.col("c") - two) / (px * math.sqrt(2))).otherwise(F.sqrt(s1 * s1 + s2 * s2))
+        part = F.struct(steep.alias("steep"), F.lit(-k).alias("k"), F.greatest(F.lit(0.0), F.least(turn, F.lit(quarter))).alias("turn"))
+        options.append(F.when(one.isNotNull() & two.isNotNull(), part))
+    best = near.withColumn("best", F.array_max(F.array(*options))).withColumn("lower", F.coalesce(F.col("best.steep") > 0, F.lit(False)))
+    share = F.col("best.turn") / quarter
+    step = lambda end, axis: F.element_at(F.array(*[F.lit(f[end][axis]) for f in FACETS]), F.lit(1) - F.col("best.k"))
+    parent = lambda c: F.col(c) if c in known else F.lit(None).cast("int")
+    first = F.col("lower") & (share < 1)
+    return best.select(
+        "row", "col",
+        F.when(first, F.col("row") + step(0, 0)).when(~F.col("lower"), parent("parent_row")).alias("r1"), F.when(first, F.col("col") + step(0, 1)).when(~F.col("lower"), parent("parent_col")).alias("c1"), F.when(first, 1 - share).when(~F.col("lower") & parent("parent_row").isNotNull(), F.lit(1.0)).alias("s1"),
+        *[F.when(F.col("lower") & (share > 0), v).alias(n) for v, n in ((F.col("row") + step(1, 0), "r2"), (F.col("col") + step(1, 1), "c2"), (share, "s2"))],
+    )
+
+
+def d_infinity_receivers(cells: DataFrame, px: float) -> DataFrame:
     """row, col, to_row, to_col, share: at most two receivers of each cell (Tarboton 1997) on ``breached``.
 
-    A cell without a lower facet passes everything to its tree parent; edge cells may have none.
+    The steepest of eight facets counts (of equal ones the first); a cell without a lower facet passes everything to its
+    tree parent (``parent_row``, ``parent_col``, if there are such columns); edge cells may have none.
     """
-
-    def receivers(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, place = _own(pdf, tile), {p: i for i, p in enumerate(zip(pdf["row"].tolist(), pdf["col"].tolist(), strict=True))}
-        z = pdf["breached"].to_numpy()
-        out = []
-        quarter = math.pi / 4
-        for (r, c), i in place.items():
-            if not own[i]:
-                continue
-            best, pick = 0.0, None
-            for (ai, aj), (bi, bj) in FACETS:
-                a, b = place.get((r + ai, c + aj)), place.get((r + bi, c + bj))
-                if a is None or b is None:
-                    continue
-                s1, s2 = (z[i] - z[a]) / px, (z[a] - z[b]) / px
-                turn, steep = math.atan2(s2, s1), math.hypot(s1, s2)
-                if turn < 0:
-                    turn, steep = 0.0, s1
-                elif turn > quarter:
-                    turn, steep = quarter, (z[i] - z[b]) / (px * math.sqrt(2))
-                if steep > best:
-                    best, pick = steep, ((r + ai, c + aj, 1 - turn / quarter), (r + bi, c + bj, turn / quarter))
-            if pick:
-                out += [(r, c, *p) for p in pick if p[2] > 0]
-            elif not pd.isna(pdf["parent_row"].iloc[i]):
-                out.append((r, c, int(pdf["parent_row"].iloc[i]), int(pdf["parent_col"].iloc[i]), 1.0))
-        return pd.DataFrame(out, columns=["row", "col", "to_row", "to_col", "share"])
-
-    return _with_halo(cells, tile).groupBy("tr", "tc").applyInPandas(receivers, "row int, col int, to_row int, to_col int, share double")
+    ends = F.array(*[F.struct(F.col(f"r{k}").alias("to_row"), F.col(f"c{k}").alias("to_col"), F.col(f"s{k}").alias("share")) for k in (1, 2)])
+    return _receivers(cells, px).select("row", "col", F.explode(ends).alias("e")).select("row", "col", "e.*").where("share is not null")
 
 
 def contributing_area(breached: DataFrame, px: float, tile: int = TILE, scratch: Scratch | None = None) -> DataFrame:
-    """row, col, sca: specific contributing area (own cell included, per cell width)."""
+    """row, col, sca: specific contributing area (own cell included, per cell width).
+
+    A tile passes its water on in arrays, all cells whose givers are done at once; what leaves it is the next round's input
+    of its neighbours, and only tiles with input run.
+    """
     scratch = scratch or Scratch(breached.sparkSession, "sca")
-    edges = scratch.save(d_infinity_receivers(breached, px, tile), "receivers")
-    lists = edges.groupBy("row", "col").agg(F.collect_list(F.struct("to_row", "to_col", "share")).alias("to"))
-    cells = breached.select("row", "col").join(lists, ["row", "col"], "left").withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)})
+    cells = _receivers(breached, px).withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)})
     cells = scratch.save(cells, "cells")
 
     def push(pdf: pd.DataFrame) -> pd.DataFrame:
-        place = {p: i for i, p in enumerate(zip(pdf["row"].tolist(), pdf["col"].tolist(), strict=True))}
-        to = [[] if t is None else [((x["to_row"], x["to_col"]), x["share"]) for x in t] for t in pdf["to"]]
-        waits = [0] * len(to)
-        for t in to:
-            for p, _ in t:
-                if p in place:
-                    waits[place[p]] += 1
-        flow = pdf["delta"].to_numpy().copy()
-        ready = [i for i, n in enumerate(waits) if n == 0]
-        outside: dict = {}
-        while ready:
-            i = ready.pop()
-            for p, share in to[i]:
-                k = place.get(p)
-                if k is None:
-                    outside[p] = outside.get(p, 0.0) + flow[i] * share
-                    continue
-                flow[k] += flow[i] * share
-                waits[k] -= 1
-                if not waits[k]:
-                    ready.append(k)
-        inner = pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "area": flow, "sent": False})
-        border = pd.DataFrame([(r, c, v, True) for (r, c), v in outside.items() if v > 0], columns=["row", "col", "area", "sent"])
-        return pd.concat([inner[inner["area"] > 0], border])
+        row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        top, left = row.min(), col.min()
+        place = np.full((row.max() - top + 1, col.max() - left + 1), -1)
+        place[row - top, col - left] = np.arange(len(row))
+        share = np.nan_to_num(pdf[["s1", "s2"]].to_numpy(np.float64).T)
+        to = np.nan_to_num(pdf[["r1", "r2"]].to_numpy(np.float64).T, nan=-1).astype(np.int64), np.nan_to_num(pdf[["c1", "c2"]].to_numpy(np.float64).T, nan=-1).astype(np.int64)
+        inside = (share > 0) & (to[0] >= top) & (to[0] < top + place.shape[0]) & (to[1] >= left) & (to[1] < left + place.shape[1])
+        goal = np.full(share.shape, -1)
+        goal[inside] = place[to[0][inside] - top, to[1][inside] - left]
+        flow = pdf["delta"].to_numpy(np.float64).copy()
+        waits = np.bincount(goal[goal >= 0], minlength=len(row))
+        ready = np.flatnonzero(waits == 0)
+        while len(ready):
+            ends = goal[:, ready].ravel()
+            ok = ends >= 0
+            np.add.at(flow, ends[ok], (flow[ready] * share[:, ready]).ravel()[ok])
+            np.subtract.at(waits, ends[ok], 1)
+            near = np.unique(ends[ok])
+            ready = near[waits[near] == 0]
+        out = (share > 0) & (goal < 0) & (flow > 0)
+        side, i = np.nonzero(out)
+        some = np.flatnonzero(flow > 0)
+        return pd.DataFrame({
+            "row": np.concatenate([row[some], to[0][side, i]]).astype(np.int32), "col": np.concatenate([col[some], to[1][side, i]]).astype(np.int32),
+            "area": np.concatenate([flow[some], flow[i] * share[side, i]]), "sent": np.repeat([False, True], [len(some), len(i)])})
 
     delta = cells.select("row", "col", F.lit(px * px).alias("delta"))
     parts = []
@@ -252,12 +270,15 @@ def contributing_area(breached: DataFrame, px: float, tile: int = TILE, scratch:
         delta = done.where("sent").groupBy("row", "col").agg(F.sum("area").alias("delta"))
         if delta.isEmpty():
             break
+        if len(parts) == 16:  # keeps the last plan short
+            parts = [scratch.save(_total(parts), "sums")]
     else:
         raise RuntimeError("flow did not settle")
-    total = parts[0]
-    for p in parts[1:]:
-        total = total.union(p)
-    return total.groupBy("row", "col").agg((F.sum("area") / px).alias("sca"))
+    return _total(parts).select("row", "col", (F.col("area") / px).alias("sca"))
+
+
+def _total(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts).groupBy("row", "col").agg(F.sum("area").alias("area"))
 
 
 def steepest_pointer(dem: DataFrame, value: str, px: float) -> DataFrame:

@@ -49,7 +49,6 @@ def export_layer(cells: DataFrame, grid, area, name: str) -> DataFrame:
     return inside.select(F.lit(f"base_{name}").alias("layer"), "row", "col", F.col("value").cast("float").alias("value"))
 
 
-def missing_layers(wanted: list[tuple[str, str]], catalog: DataFrame) -> DataFrame:
-    """(layer, parameter hash) not in the catalog of finished layers."""
-    want = catalog.sparkSession.createDataFrame(wanted, "layer string, params string")
-    return want.join(catalog, ["layer", "params"], "left_anti")
+def missing_layers(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Wanted (layer, params) not in the catalog of finished layers."""
+    return wanted.join(catalog, ["layer", "params"], "left_anti")

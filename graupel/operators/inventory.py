@@ -52,31 +52,44 @@ def summary(rows: DataFrame) -> DataFrame:
     return named.where((F.col("kind") == "total") | F.col("value").isNotNull()).orderBy("kind", F.desc("n"), "value")
 
 
-def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """The stored inventory; a path that doesn't exist is empty."""
+def new_places(stored: DataFrame, new: DataFrame, order: tuple[str, ...] = (), extra_key: tuple[str, ...] = ()) -> DataFrame:
+    """The first new row (by ``order``, else as they come) of each place that isn't stored yet."""
+    own = new if order else new.withColumn("_step", F.monotonically_increasing_id())
+    own = keep_first(own, order or ("_step",), extra_key).drop("_step")
+    keyed = lambda df: df.withColumns(dict(zip(("_x", "_y"), grid_key(F.col("lon"), F.col("lat")), strict=True)))
+    return keyed(own).join(keyed(stored).select("_x", "_y", *extra_key), ["_x", "_y", *extra_key], "left_anti").select(own.columns)
+
+
+def _segments(spark: SparkSession, path: str) -> list[str]:
+    """The complete segments of an inventory, oldest first."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return spark.createDataFrame([], INVENTORY)
-    return spark.read.schema(INVENTORY).csv(path, header=True)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    return sorted(str(s.getPath()) for s in fs.listStatus(at) if s.getPath().getName().startswith("segment-") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+
+
+def read_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """The stored inventory; a path that doesn't exist is empty."""
+    found = _segments(spark, path)
+    return spark.read.schema(INVENTORY).csv(found, header=True) if found else spark.createDataFrame([], INVENTORY)
 
 
 def write_inventory(rows: DataFrame, path: str) -> None:
-    """Writes to a staging folder, then puts it in place: what is read is never overwritten."""
-    spark = rows.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    rows.write.mode("overwrite").csv(path + ".new", header=True)
-    new, at = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(conf)
-    fs.delete(at, True)
-    fs.rename(new, at)
+    """Adds rows as one more segment.
+
+    What is stored is never written again, and a segment counts only once it is complete: a run that is lost on its way leaves nothing that is read.
+    """
+    found = _segments(rows.sparkSession, path)
+    last = int(found[-1].rpartition("-")[2]) if found else 0
+    rows.write.mode("overwrite").csv(f"{path}/segment-{last + 1:08d}", header=True)
 
 
 def save_marks(spark: SparkSession, points: DataFrame, event: str, path: str, added: Column | None = None, **kind: str) -> DataFrame:
-    """Adds points to the stored inventory; nothing changes when there are none."""
+    """Adds points at places that aren't stored yet; nothing changes when there are none."""
     stored = read_inventory(spark, path)
     if points.isEmpty():
         return stored
-    write_inventory(append(stored, marks(points, event, added if added is not None else F.current_timestamp(), **kind)), path)
+    write_inventory(new_places(stored, marks(points, event, added if added is not None else F.current_timestamp(), **kind)), path)
     return read_inventory(spark, path)

@@ -20,7 +20,7 @@ def resampling_for(name: Column) -> Column:
 
 def derive_grid(source: GridSpec, spark, forward: Transform, res: float, crs: str) -> GridSpec:
     """The target grid that covers the projected border of a source grid, snapped outward to ``res``."""
-    border = source.cells(spark).where((F.col("row").isin(0, source.height - 1)) | (F.col("col").isin(0, source.width - 1)))
+    border = source.border(spark)
     corner = border.select(F.explode(F.array(*[F.struct((F.col("col") + i).alias("c"), (F.col("row") + j).alias("r")) for i in (0, 1) for j in (0, 1)])).alias("p"))
     x, y = forward(F.lit(source.x0) + F.col("p.c") * source.px, F.lit(source.y0) - F.col("p.r") * source.px)
     b = corner.select(x.alias("x"), y.alias("y")).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
@@ -30,9 +30,8 @@ def derive_grid(source: GridSpec, spark, forward: Transform, res: float, crs: st
 
 def grid_bounds(grid: GridSpec, spark, inverse: Transform) -> tuple[float, float, float, float]:
     """West, south, east, north of a grid's border after ``inverse``."""
-    border = grid.cells(spark).where((F.col("row").isin(0, grid.height - 1)) | (F.col("col").isin(0, grid.width - 1)))
     lon, lat = inverse(grid.x(F.col("col")), grid.y(F.col("row")))
-    b = border.select(lon.alias("x"), lat.alias("y")).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    b = grid.border(spark).select(lon.alias("x"), lat.alias("y")).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     return tuple(b)
 
 

@@ -7,15 +7,21 @@ missing neighbour is: ``repeat`` the nearer known cell, ``null`` nothing (the re
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from graupel.functions.bands import eastness, northness
 
 
+TILE = 128
+
+
 def _across():
     return Window.partitionBy("row").orderBy("col")
 
@@ -131,14 +137,35 @@ def disk(radius_cells: float) -> list[tuple[int, int]]:
     return [(i, j) for i in range(-r, r + 1) for j in range(-r, r + 1) if i * i + j * j <= radius_cells**2]
 
 
-def focal(cells: DataFrame, values: list[str], radius_cells: float, how: str = "mean", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Mean or median of the known cells in a disk, at the known cells.
+def with_halo(cells: DataFrame, tile: int, halo: int = 1) -> DataFrame:
+    """Every cell in its own tile and, within ``halo`` cells of a border, in those next to it: adds tr, tc."""
+    near = lambda c: F.array_distinct(F.transform(F.array(*map(F.lit, (-halo, 0, halo))), lambda k: F.floor((F.col(c) + k) / tile)))
+    return cells.withColumn("tr", F.explode(near("row"))).withColumn("tc", F.explode(near("col")))
+
+
+def focal(cells: DataFrame, values: list[str], radius_cells: float, how: str = "mean", keys: tuple[str, ...] = (), tile: int = TILE) -> DataFrame:
+    """Mean or median of the known cells in a disk, at the known cells (one row for each of keys, row, col).
 
-    Every cell is sent to the cells whose disk holds it (combined before the shuffle for means).
+    Tiles with halos of the disk's radius: a cell is sent once and, near a border, to the tiles that need it, whatever the disk's size.
     """
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in disk(radius_cells)])
-    sent = cells.select(*keys, "row", "col", *values, F.explode(offsets).alias("o"))
-    moved = sent.select(*keys, (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), *values, ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("_own"))
-    reduce_by = {"mean": F.avg, "median": F.median}[how]
-    out = moved.groupBy(*keys, "row", "col").agg(*[reduce_by(v).alias(v) for v in values], F.max("_own").alias("_own"))
-    return out.where("_own").drop("_own")
+    offsets = disk(radius_cells)
+    reach = max(int(radius_cells), 1)
+    reduce_by = {"mean": np.nanmean, "median": np.nanmedian}[how]
+
+    def over(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        r, c = row - row.min() + reach, col - col.min() + reach
+        own = (row // tile == pdf["tr"].to_numpy()) & (col // tile == pdf["tc"].to_numpy())
+        out = pdf.loc[own, [*keys, "row", "col"]].copy()
+        frame = np.full((r.max() + reach + 1, c.max() + reach + 1), np.nan)
+        for v in values:
+            frame[:] = np.nan
+            frame[r, c] = pdf[v].to_numpy(np.float64)
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")  # disks without a known value
+                out[v] = reduce_by(np.stack([frame[r[own] + i, c[own] + j] for i, j in offsets]), axis=0)
+        return out
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*keys, "row", "col").schema.fields)
+    got = with_halo(cells.select(*keys, "row", "col", *values), tile, reach).groupBy(*keys, "tr", "tc").applyInPandas(over, f"{kinds}, " + ", ".join(f"{v} double" for v in values))
+    return got.select(*keys, "row", "col", *[F.when(~F.isnan(v), F.col(v)).alias(v) for v in values])

@@ -81,6 +81,33 @@ def distance_transform(burned: DataFrame, grid: GridSpec, layers: list[str]) ->
     return out.select("layer", "row", "col", F.when(~F.isnan("distance"), F.col("distance")).cast("float").alias("distance"))
 
 
+def feature_boxes(vertices: DataFrame, keys: tuple[str, ...] = ("fid",)) -> DataFrame:
+    """Bounding box of each feature: keys, xmin, ymin, xmax, ymax."""
+    return vertices.groupBy(*keys).agg(F.min("x").alias("xmin"), F.min("y").alias("ymin"), F.max("x").alias("xmax"), F.max("y").alias("ymax"))
+
+
+def in_box(features: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Features (with box columns) whose box meets ``box`` (xmin, ymin, xmax, ymax); on a stored table the conditions reach the scan."""
+    return features.where((F.col("xmin") <= box[2]) & (F.col("xmax") >= box[0]) & (F.col("ymin") <= box[3]) & (F.col("ymax") >= box[1]))
+
+
+def vertices_in_box(vertices: DataFrame, box: tuple[float, float, float, float], keys: tuple[str, ...] = ("fid",)) -> DataFrame:
+    """All vertices of the features whose bounding box meets ``box``."""
+    return vertices.join(in_box(feature_boxes(vertices, keys), box).select(*keys), list(keys), "left_semi")
+
+
+def write_features(vertices: DataFrame, path: str, keys: tuple[str, ...] = ("fid",)) -> None:
+    """Features as rows, with their vertices in order and their boxes, in order of place, so that a scan by box skips files and row groups."""
+    points = F.array_sort(F.collect_list(F.struct("seq", "x", "y")))
+    rows = vertices.groupBy(*keys).agg(points.alias("vertices"), F.min("x").alias("xmin"), F.min("y").alias("ymin"), F.max("x").alias("xmax"), F.max("y").alias("ymax"))
+    rows.repartitionByRange("ymin", "xmin").sortWithinPartitions("ymin", "xmin").write.mode("overwrite").parquet(path)
+
+
+def read_features(spark, path: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return rows if box is None else in_box(rows, box)
+
+
 def layer_of_tags():
     """Road for a highway tag, stream for a waterway tag."""
     return F.when(F.col("highway").isNotNull(), "road").when(F.col("waterway").isNotNull(), "stream")

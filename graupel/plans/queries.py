@@ -8,23 +8,12 @@ from graupel.functions import bands as B, geodesy, predicates as P
 from graupel.model import GridSpec
 from graupel.operators import components as C, hydro, ingest, inventory, regrid, sampling, stencil, temporal, tiles, vector
 from graupel.plans import detect, layers, terrain
-from graupel.sources.fixtures import ACTIVITY, AREA, CELL, REFERENCE, view, with_views
+from graupel.plans.registry import QUERIES, SQL, query
+from graupel.sources.fixtures import ACTIVITY, AREA, CELL, REFERENCE, view
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
 R = B.rounded
 
 
-def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
-    def register(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = with_views(sql, *views) if views else sql
-        return f
-
-    return register
-
-
 def _six(df, *names):
     return df.select(*[R(F.col(c)).alias(c) if c in names else F.col(c) for c in df.columns])
 
@@ -461,13 +450,19 @@ def compute_terrain(spark, d):
     return _six(terrain.compute_terrain(_dem(spark, d), CELL), *terrain.FACTORS)
 
 
-@query("height_above_stream", """, cells AS (SELECT row, col, row * CAST(2147483648 AS BIGINT) + col AS id, elev AS z FROM v_dem),
+#: Doublings of the pointers in SQL: ways of up to 2^14 cells.
+DOUBLINGS = 14
+JUMPS = ", ".join(f"p{k + 1} AS (SELECT a.id, b.lower FROM p{k} a LEFT JOIN p{k} b ON b.id = a.lower)" for k in range(DOUBLINGS))
+
+
+@query("height_above_stream", f""", cells AS (SELECT row, col, row * CAST(2147483648 AS BIGINT) + col AS id, elev AS z FROM v_dem),
 steps(i, j) AS (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)),
 drops AS (SELECT a.id, b.id AS lower, (a.z - b.z) / (30 * sqrt(i * i + j * j)) AS s FROM cells a CROSS JOIN steps JOIN cells b ON b.row = a.row + i AND b.col = a.col + j WHERE b.z < a.z),
 wet AS (SELECT row * CAST(2147483648 AS BIGINT) + col AS id FROM v_sca WHERE sca > 450),
-pointer AS (SELECT id, lower FROM (SELECT id, lower, row_number() OVER (PARTITION BY id ORDER BY s DESC, lower) AS n FROM drops) t WHERE n = 1 AND id NOT IN (SELECT id FROM wet)),
-walk AS (SELECT id AS start, id FROM cells UNION ALL SELECT w.start, p.lower FROM walk w JOIN pointer p ON p.id = w.id)
-SELECT c.row, c.col, round(c.z - e.z, 6) + 0.0 AS height FROM cells c LEFT JOIN (SELECT start, walk.id FROM walk JOIN wet ON wet.id = walk.id) x ON x.start = c.id LEFT JOIN cells e ON e.id = x.id""", ("v_dem", "v_sca"))
+best AS (SELECT id, lower FROM (SELECT id, lower, row_number() OVER (PARTITION BY id ORDER BY s DESC, lower) AS n FROM drops) t WHERE n = 1),
+p0 AS MATERIALIZED (SELECT c.id, CASE WHEN w.id IS NOT NULL THEN c.id ELSE best.lower END AS lower FROM cells c LEFT JOIN wet w ON w.id = c.id LEFT JOIN best ON best.id = c.id),
+{JUMPS.replace(" AS (SELECT a.id", " AS MATERIALIZED (SELECT a.id")}
+SELECT c.row, c.col, round(c.z - e.z, 6) + 0.0 AS height FROM cells c LEFT JOIN p{DOUBLINGS} p ON p.id = c.id LEFT JOIN cells e ON e.id = p.lower""", ("v_dem", "v_sca"))
 def height_above_stream(spark, d):
     dem = _dem(spark, d)
     wet = view(spark, d, "v_sca").where("sca > 450").select("row", "col")

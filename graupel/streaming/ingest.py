@@ -30,7 +30,7 @@ def append_marks(stream: DataFrame, path: str, checkpoint: str):
 
     def add(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            inventory.write_inventory(inventory.append(inventory.read_inventory(spark, path), batch), path)
+            inventory.write_inventory(inventory.new_places(inventory.read_inventory(spark, path), batch), path)
 
     query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -179,7 +179,7 @@ def test_breaching_and_area(spark, ties):
     whole = table(hydro.breach(grid(spark, z), tile=64), "breached", z.shape)
     assert np.array_equal(low, whole)
     sca = table(hydro.contributing_area(cut, 2.0, tile=6), "sca", z.shape)
-    edges = hydro.d_infinity_receivers(cut, 2.0, tile=6).collect()
+    edges = hydro.d_infinity_receivers(cut, 2.0).collect()
     flow, todo = np.full(z.shape, 4.0), {}
     into = np.zeros(z.shape, int)
     for e in edges:

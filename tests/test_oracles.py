@@ -5,7 +5,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from graupel.plans.queries import QUERIES, SQL
+from graupel.plans import layer_queries, point_queries, queries  # noqa: F401  all register
+from graupel.plans.registry import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 
