@@ -148,26 +148,26 @@ def line_components(lines: DataFrame, scratch: Scratch) -> DataFrame:
     sketches = scratch.save(_sketches(texts), "sketches")
     stars = scratch.save(_stars(members, sketches), "stars")
     side = lambda p: texts.select(F.col("h").alias(p), F.col("line").alias(f"t{p}"))
-    links: DataFrame | None = None
+    comps: DataFrame | None = None
 
-    def join(pairs: DataFrame, known: bool = False) -> DataFrame:
-        """Adds the pairs that have the similarity to the links, and the components then."""
-        nonlocal links
+    def join(pairs: DataFrame, known: bool = False) -> None:
+        """The components after those of the pairs that have the similarity."""
+        nonlocal comps
         if not known:
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             pairs = scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").where(_exactly(F.col("ta"), F.col("tb"))).select("a", "b"), "links")
-        links = pairs if links is None else links.union(pairs)
-        return scratch.save(connected_components(links, scratch=scratch), "components")
+        edges = pairs if comps is None else comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(pairs)
+        comps = scratch.save(connected_components(edges, scratch=scratch), "components")
 
     # the nearest end of the stars of each line, then those that join components
-    comps = join(stars.groupBy("b").agg(F.min(F.struct("apart", "a"))["a"].alias("a")))
+    join(stars.groupBy("b").agg(F.min(F.struct("apart", "a"))["a"].alias("a")))
     named = lambda df, p: df.join(comps.select(F.col("node").alias(p), F.col("component").alias(f"c{p}")), p, "left")
-    comps = join(named(named(stars, "a"), "b").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")))
+    join(named(named(stars, "a"), "b").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")))
     # what the stars leave apart: the nearest line of each, then all pairs between components, until none is left
-    comps = join(_left_apart(members, comps, sketches, None, scratch))
+    join(_left_apart(members, comps, sketches, None, scratch))
     while not (more := _left_apart(members, comps, sketches, texts, scratch)).isEmpty():
         members = members.join(more.select(F.col("a").alias("h")).distinct(), "h", "left_semi")
-        comps = join(more, True)
+        join(more, True)
     return comps
 
 
