@@ -10,7 +10,7 @@ training, calibrates it.
 The model learns from at most ``SAMPLE`` labelled rows (a documented bound), the ones with the
 smallest hash among those outside the held-out fold; scoring streams all texts once.  Null and
 empty texts have all-zero inputs and get the score that these have; with no usable label every
-score is 0.5.  Rows with a null label are not learned from; repeated label rows count once.
+score is 0.5.  Ids may be of any type.  Rows with a null label are not learned from; repeated label rows count once.
 """
 
 from __future__ import annotations
@@ -182,18 +182,19 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 60, seed: int = 5) -> Networ
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", bound: int = SAMPLE, scratch: Scratch | None = None) -> tuple[np.ndarray, Network | None]:
     """Word vectors and network from at most ``bound`` labelled rows outside the held-out fold."""
     scratch = scratch or Scratch(docs.sparkSession, "quality")
-    chosen = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull() & (fold_of(F.col(id)) != 0)).groupBy(id).agg(F.min(label).alias("label"))
+    chosen = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull() & (fold_of(F.col(id)) != 0)).groupBy(id).agg(F.min(label).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64(id), id).limit(bound)  # bounded by ``bound`` short rows, so it may be broadcast
     sample = scratch.save(docs.select(id, text).join(F.broadcast(chosen), id).repartition(32), "sample")
     vectors = word_vectors(sample, text)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def measure(batches):
-        for batch, raw, offs in chunks(batches, text, CHUNK):
+        for batch, raw, offs in chunks(batches, "_text", CHUNK):
             x = inputs(raw, offs, shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column("label").cast(pa.float64()), batch.column(id).cast(pa.int64())], names=["x", "label", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column("_label").cast(pa.float64()), batch.column("_key")], names=["x", "label", "key"])
 
-    got = sample.mapInArrow(measure, "x binary, label double, key long").toArrow()
+    rows = sample.select(F.col(text).alias("_text"), "_label", F.xxhash64(id).alias("_key"))
+    got = rows.mapInArrow(measure, "x binary, label double, key long").toArrow()
     if not len(got):
         return vectors, None
     x = np.stack([np.frombuffer(v, np.float64) for v in got.column("x").to_pylist()])

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from graupel.llm import bpe, compact_windows, decontaminate, line_dedup, queries, topk
+from graupel.llm import bpe, compact_windows, decontaminate, line_dedup, quality, queries, topk
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SF = "/root/testdata/sf0.001"
@@ -199,3 +199,14 @@ def test_queries_equal_their_sql(spark, tables, name):
     want = tables.execute(queries.SQL[name]).df()
     assert sorted(want.columns) == cols
     assert Counter(tuple(map(str, r)) for r in got.select(cols).collect()) == Counter(tuple(map(str, r)) for r in want[cols].itertuples(index=False))
+
+
+def test_quality_takes_any_id_and_clashing_names(spark):
+    rng = np.random.default_rng(26)
+    text = lambda bad: " ".join(f"w{k}" + "###" * bad for k in rng.integers(0, 200, 40))
+    rows = [(f"d{k}", text(k % 4 == 0), "x", 1.0) for k in range(160)] + [("long", "w1 " * 100_000, "x", 1.0), ("none", None, "x", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, label string, key double")
+    labels = spark.createDataFrame([(f"d{k}", int(k % 4 > 0)) for k in range(160)], "doc_id string, quality int")
+    got = {r["doc_id"]: r for r in quality.score(docs, quality.train(docs, labels)).collect()}
+    assert len(got) == 162 and got["d1"]["label"] == "x" and got["d1"]["key"] == 1.0
+    assert np.mean([(got[f"d{k}"]["score"] >= 0.5) == (k % 4 > 0) for k in range(160)]) > 0.95
