@@ -95,6 +95,13 @@ def ruggedness() -> Column:
     return F.sqrt(reduce(add, [(F.col(k) - F.col("c")) * (F.col(k) - F.col("c")) for k in AROUND]))
 
 
+def roughness_near() -> Column:
+    """Population deviation of the 3x3 box, on ``neighbours``."""
+    nine = [F.col(k).cast("double") for k in ("c", *AROUND)]
+    mean = reduce(add, nine) / 9
+    return F.sqrt(F.greatest(reduce(add, [v * v for v in nine]) / 9 - mean * mean, F.lit(0.0)))
+
+
 def box_mean(cells: DataFrame, values: list[str], keep: list[str]) -> DataFrame:
     """3x3 means of columns; a missing neighbour counts as the nearer known cell."""
     mean = lambda w, k: (F.coalesce(_at(k, w, -1), F.col(k)) + F.col(k) + F.coalesce(_at(k, w, 1), F.col(k))) / 3

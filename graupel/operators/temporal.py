@@ -19,14 +19,17 @@ def scenes_with_pixels(scenes: DataFrame, pixels: DataFrame, most_scenes: int =
     return pixels.join(F.broadcast(keep) if small else keep, "scene_id")
 
 
-def composite_change(series: DataFrame, reference, activity, median: bool = False, keys=("orbit", "row", "col")) -> DataFrame:
+def composite_change(series: DataFrame, reference, activity, median: bool = False, keys=("orbit", "row", "col"), accuracy: int | None = None) -> DataFrame:
     """Composites of both windows in dB and the mean angle of the activity window.
 
-    Means are taken in linear power, medians in dB.  Columns: keys, vv_ref, vh_ref, vv_act, vh_act, angle.
+    Means are taken in linear power, medians in dB; ``accuracy`` asks for medians by a sketch of bounded size, a known value of
+    rank within n / accuracy of the middle, instead of exact ones.  Columns: keys, vv_ref, vh_ref, vv_act, vh_act, angle.
     """
     ref, act = in_window(F.col("acq_date"), reference), in_window(F.col("acq_date"), activity)
 
     def reduced(band, window):
+        if median and accuracy:
+            return F.percentile_approx(F.when(window, F.col(band)), 0.5, accuracy)
         if median:
             return F.median(F.when(window, F.col(band)))
         return to_db(F.avg(F.when(window, to_linear(F.col(band)))))

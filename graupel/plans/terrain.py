@@ -15,13 +15,13 @@ FACTORS = TOPOGRAPHY + HYDROLOGY
 def compute_terrain(dem: DataFrame, px: float, value: str = "elev", stream_threshold: float = 100.0, tpi_window: int = 11, pointer_source: str = "breached", tile: int = hydro.TILE) -> DataFrame:
     """row, col and the 13 factors.
 
-    One neighbour pass serves slope, aspect, curvatures and ruggedness.  Streams are cells whose
+    One neighbour pass serves slope, aspect, curvatures, ruggedness and roughness.  Streams are cells whose
     specific contributing area is over the threshold; heights above them are of the raw elevation.
     """
     scratch = Scratch(dem.sparkSession, "terrain")
     near = stencil.neighbours(dem.select("row", "col", value), value)
     plan, profile = stencil.curvatures(px)
-    base = scratch.save(near.select("row", "col", F.col("c").alias(value), stencil.slope_horn(px).alias("slope"), stencil.aspect_horn(px).alias("aspect"), plan.alias("plan_curvature"), profile.alias("profile_curvature"), stencil.ruggedness().alias("tri")), "base")
+    base = scratch.save(near.select("row", "col", F.col("c").alias(value), stencil.slope_horn(px).alias("slope"), stencil.aspect_horn(px).alias("aspect"), plan.alias("plan_curvature"), profile.alias("profile_curvature"), stencil.ruggedness().alias("tri"), stencil.roughness_near().alias("roughness")), "base")
     cut = scratch.save(hydro.breach(dem, value, tile, scratch), "breached")
     sca = scratch.save(hydro.contributing_area(cut, px, tile, scratch), "sca")
     flow = cut.select("row", "col", "breached") if pointer_source == "breached" else dem.select("row", "col", F.col(value).alias("breached"))
@@ -30,7 +30,7 @@ def compute_terrain(dem: DataFrame, px: float, value: str = "elev", stream_thres
     pointers = pointers.join(up, "id", "left").select("id", F.coalesce("to", "up").alias("to"))
     valley = hydro.height_above_stream(dem, value, sca.where(F.col("sca") > stream_threshold), pointers, scratch)
     out = base.withColumns({"eastness": B.eastness(F.col("aspect")), "northness": B.northness(F.col("aspect"))})
-    for part in (stencil.roughness(dem, value), stencil.topographic_position(dem, value, tpi_window), stencil.vector_ruggedness(base), sca, valley.withColumnRenamed("height", "valley_depth")):
+    for part in (stencil.topographic_position(dem, value, tpi_window), stencil.vector_ruggedness(base), sca, valley.withColumnRenamed("height", "valley_depth")):
         out = out.join(part, ["row", "col"], "left")
     out = out.withColumns({"twi": B.wetness(F.col("sca"), F.col("slope")), "spi": B.stream_power(F.col("sca"), F.col("slope"))})
     return out.select("row", "col", *FACTORS)

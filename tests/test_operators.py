@@ -1,6 +1,7 @@
 """Operators against plain numpy on hand-made grids."""
 
 import heapq
+import json
 import math
 
 import numpy as np
@@ -8,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graupel.functions import geodesy, predicates as P
-from graupel.model import GridSpec, clean
-from graupel.operators import components as C, graph, hydro, ingest, inventory, stencil, tiles, vector
+from graupel.model import GridSpec, clean, layer_grid
+from graupel.operators import components as C, graph, hydro, ingest, inventory, stencil, temporal, tiles, vector
 
 
 def grid(spark, z, name="elev"):
@@ -234,3 +235,57 @@ def test_missing_values(spark):
     assert [r[0] for r in df.select(clean(F.col("v"), -9999.0)).collect()] == [1.0, None, None, None]
     days = spark.createDataFrame([(39,), (40,), (100,), (101,), (None,)], "n int")
     assert [r[0] for r in days.select(P.snow_day(F.col("n"))).collect()] == [0, 1, 1, 0, None]
+
+
+def test_layer_files_by_pattern(spark, tmp_path):
+    for name in ("base_b.tif", "base_a.tif", "other.txt"):
+        (tmp_path / name).write_bytes(b"x" * 3)
+    assert [(r["name"], r["length"]) for r in ingest.layer_files(spark, str(tmp_path)).collect()] == [("base_a.tif", 3), ("base_b.tif", 3)]
+
+
+def test_lost_segments_are_not_read(spark, tmp_path):
+    path = str(tmp_path / "inventory")
+    points = spark.createDataFrame([(77.1, 32.1)], "lon double, lat double")
+    inventory.save_marks(spark, points, "a", path)
+    broken = tmp_path / "inventory" / "segment-00000002"
+    broken.mkdir()
+    (broken / "part-0.csv").write_text("lon,lat,event,tier,zone,added\n1,2,x,A,release,\n")
+    assert inventory.read_inventory(spark, path).count() == 1
+    more = inventory.save_marks(spark, points.select((F.col("lon") + 1).alias("lon"), "lat"), "b", path)
+    assert sorted(r["event"] for r in more.collect()) == ["a", "b"]
+
+
+def test_rings_of_a_holed_part_and_of_cells_that_touch(spark):
+    holed = [(r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)]
+    cells = [(r, c, 1) for r, c in holed] + [(10, 10, 2), (11, 11, 2)]
+    labels = spark.createDataFrame(cells, "row int, col int, component long")
+    rings = C.outline_rings(labels)
+    size = {(r["component"], r["count"]) for r in rings.groupBy("component", "ring").count().collect()}
+    assert size == {(1, 12), (1, 4), (2, 4)} and rings.count() == 24
+    features = {f["properties"]["component"]: f["geometry"] for f in (json.loads(r["value"]) for r in C.outline_features(rings, GridSpec(100.0, 200.0, 10.0, 20, 20)).collect())}
+    assert features[1]["type"] == "Polygon" and [len(x) for x in features[1]["coordinates"]] == [13, 5] and features[1]["coordinates"][0][0] == [100.0, 200.0]
+    assert features[2]["type"] == "MultiLineString" and all(x[0] == x[-1] for x in features[2]["coordinates"])
+
+
+def test_box_scan_reaches_the_files(spark, tmp_path):
+    rows = [(f, s, float(f * 10 + s), float(f)) for f in range(50) for s in range(3)]
+    vector.write_features(spark.createDataFrame(rows, "fid int, seq int, x double, y double"), str(tmp_path / "f"))
+    some = vector.read_features(spark, str(tmp_path / "f"), (95.0, 0.0, 121.0, 100.0))
+    assert sorted(r["fid"] for r in some.collect()) == [10, 11, 12]
+    assert "LessThanOrEqual(xmin" in some._jdf.queryExecution().toString()
+
+
+def test_catalog_names_one_grid(spark):
+    catalog = spark.createDataFrame([("a", 0.0, 10.0, 2.0, 3, 4, "EPSG:32643"), ("b", 0.0, 0.0, 1.0, 1, 1, "EPSG:4326"), ("b", 0.0, 0.0, 1.0, 1, 1, "EPSG:4326")], "layer string, x0 double, y0 double, px double, width int, height int, crs string")
+    assert layer_grid(catalog, "a") == GridSpec(0.0, 10.0, 2.0, 3, 4) and layer_grid(catalog, "a").border(spark).count() == 10
+    for name in ("b", "none"):
+        with pytest.raises(ValueError):
+            layer_grid(catalog, name)
+
+
+def test_sketched_medians_are_near_the_exact_ones(spark):
+    rows = [("s", f"2020-01-{1 + k % 28:02d}", "A", k % 3, 0, float(k * 37 % 101), float(k * 53 % 97), 30.0) for k in range(300)]
+    series = spark.createDataFrame(rows, "scene_id string, acq_date string, orbit string, row int, col int, vv double, vh double, angle double").withColumn("acq_date", F.to_date("acq_date"))
+    windows = ("2020-01-01", "2020-01-15"), ("2020-01-15", "2020-02-01")
+    exact, near = ({r["row"]: r for r in temporal.composite_change(series, *windows, median=True, accuracy=a).collect()} for a in (None, 10_000))
+    assert all(abs(exact[k][c] - near[k][c]) <= 3 for k in exact for c in ("vv_ref", "vv_act", "vh_ref", "vh_act"))
