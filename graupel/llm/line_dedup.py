@@ -186,7 +186,10 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", scratch
     named = firsts.join(comps, firsts["h"] == comps["node"], "left").select("first", F.coalesce("component", "h").alias("component"))
     kept = scratch.save(named.groupBy("component").agg(F.min("first").alias("first")).select("first.row", "first.pos"), "kept")
     gone = places.join(kept, ["row", "pos"], "left_anti").groupBy("row").agg(F.collect_set("pos").alias("gone"))
-    both = docs.withColumn("_row", F.xxhash64(id, text)).join(scratch.save(gone, "gone").withColumnRenamed("row", "_row"), "_row", "left")
+    gone = scratch.save(gone, "gone").withColumnRenamed("row", "_row")
+    rows, places_gone = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    few = rows <= BROADCAST_ROWS and places_gone <= 4 * BROADCAST_ROWS
+    both = docs.withColumn("_row", F.xxhash64(id, text)).join(F.broadcast(gone) if few else gone, "_row", "left")
     parts = F.split(text, "\n")
     left = F.filter(parts, lambda _, i: ~F.array_contains("gone", i))
     names = [F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(text) if c == text else F.col(c) for c in docs.columns]
