@@ -53,14 +53,14 @@ def _settle(cells: DataFrame, solve, schema: str, watch: str, tile: int, scratch
 
     cur = scratch.save(cells.select(*columns, F.lit(True).alias("changed")), name)
     for _ in range(MAX_ROUNDS):
-        hot = scratch.save(stencil.with_halo(cur.where("changed").select("row", "col"), tile).select("tr", "tc").distinct(), "hot")
-        if hot.isEmpty():
-            return cur.drop("changed")
+        hot = stencil.with_halo(cur.where("changed").select("row", "col"), tile).select("tr", "tc").distinct()
         run = stencil.with_halo(cur.drop("changed"), tile).join(hot, ["tr", "tc"], "left_semi").groupBy("tr", "tc").applyInPandas(step, schema + ", changed boolean")
         rest = cur.withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)}).join(hot, ["tr", "tc"], "left_anti").select(*columns, F.lit(False).alias("changed"))
         nxt = scratch.save(run.unionByName(rest), name)
-        scratch.free(cur, hot)
+        scratch.free(cur)
         cur = nxt
+        if cur.where("changed").isEmpty():
+            return cur.drop("changed")
     raise RuntimeError(f"{name} did not settle")
 
 
