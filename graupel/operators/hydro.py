@@ -1,134 +1,114 @@
 """Drainage: breaching, D-infinity contributing area, flow pointers and height above streams.
 
-Grid-wide recursions are solved exactly inside tiles of ``TILE`` cells a side and repeated with the
-tiles' border values until nothing changes, so rounds follow tile crossings, not path lengths.
-Each round is one exchange by tile and a written table.
+The drainage tree is the rooted minimum spanning tree of the grid (``forest.py``).  What runs along it, and the
+flow over the breached grid, is solved in two passes over tiles: the first reduces each tile to what enters and
+leaves it, the small graph of these places is solved by doubling, and the second pass fills the tiles.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from graupel.operators import stencil
-from graupel.operators.components import cell_id
+from graupel.operators.components import WIDTH_BITS, cell_id
+from graupel.operators.forest import ROOT, STEPS, rooted_tree
 from graupel.session import Scratch
 
 TILE = 128
-MAX_ROUNDS = 500
-STEPS = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
+#: Entries a place of the flow graph may have before it is walked instead of squared.
+FILL = 64
 #: Facets of D-infinity: the cardinal and the diagonal neighbour of each.
 FACETS = [((0, 1), (-1, 1)), ((-1, 0), (-1, 1)), ((-1, 0), (-1, -1)), ((0, -1), (-1, -1)), ((0, -1), (1, -1)), ((1, 0), (1, -1)), ((1, 0), (1, 1)), ((0, 1), (1, 1))]
 
 
-def _own(pdf: pd.DataFrame, tile: int) -> np.ndarray:
-    return ((pdf["row"] // tile == pdf["tr"]) & (pdf["col"] // tile == pdf["tc"])).to_numpy()
+def _ids(pdf: pd.DataFrame) -> np.ndarray:
+    return (pdf["row"].to_numpy(np.int64) << WIDTH_BITS) + pdf["col"].to_numpy(np.int64)
 
 
-def _neighbour_lists(pdf: pd.DataFrame) -> tuple[np.ndarray, list]:
-    """Places of the cells on a frame with a border, and the places of each cell's known neighbours."""
-    row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-    frame = np.full((row.max() - row.min() + 3, col.max() - col.min() + 3), -1)
-    r, c = row - row.min() + 1, col - col.min() + 1
-    frame[r, c] = np.arange(len(row))
-    near = np.stack([frame[r + i, c + j] for i, j in STEPS], 1)
-    flat, ends = near[near >= 0].tolist(), np.cumsum((near >= 0).sum(1)).tolist()
-    return frame, [flat[a:b] for a, b in zip([0, *ends], ends)]
+def _places(id: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Places of ids in an array of distinct ids, -1 where absent."""
+    order = np.argsort(id)
+    at = order[np.minimum(np.searchsorted(id[order], goal), len(id) - 1)]
+    return np.where(id[at] == goal, at, -1)
 
 
-def _settle(cells: DataFrame, solve, schema: str, watch: str, tile: int, scratch: Scratch, name: str) -> DataFrame:
-    """Repeats ``solve`` on tiles with halos until nothing changes; after the first round only tiles next to a change run."""
-    columns = [f.split()[0] for f in schema.split(", ")]
+def _parents(id: np.ndarray) -> dict:
+    none = id == ROOT
+    return {"parent_row": pd.arrays.IntegerArray(id >> WIDTH_BITS, none), "parent_col": pd.arrays.IntegerArray(id & ((1 << WIDTH_BITS) - 1), none)}
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = _own(pdf, tile)
-        out = solve(pdf)
-        return out.assign(changed=out[watch].to_numpy() != pdf[watch].to_numpy()[own])
 
-    cur = scratch.save(cells.select(*columns, F.lit(True).alias("changed")), name)
-    for _ in range(MAX_ROUNDS):
-        hot = stencil.with_halo(cur.where("changed").select("row", "col"), tile).select("tr", "tc").distinct()
-        run = stencil.with_halo(cur.drop("changed"), tile).join(hot, ["tr", "tc"], "left_semi").groupBy("tr", "tc").applyInPandas(step, schema + ", changed boolean")
-        rest = cur.withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)}).join(hot, ["tr", "tc"], "left_anti").select(*columns, F.lit(False).alias("changed"))
-        nxt = scratch.save(run.unionByName(rest), name)
-        scratch.free(cur)
-        cur = nxt
-        if cur.where("changed").isEmpty():
-            return cur.drop("changed")
-    raise RuntimeError(f"{name} did not settle")
+def _carry(up: np.ndarray, z: np.ndarray, came: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least level that arrives at each cell of a tile, the cell by which each leaves it, and the least z on that way.
+
+    ``up`` is the parent's place (-1: outside); a level passes a cell whose z isn't below it.  Pointers are doubled, so rounds follow
+    the logarithm of the way.
+    """
+    came, low, last = came.copy(), z.copy(), np.arange(len(z))
+    while (up >= 0).any():
+        on = up >= 0
+        over = on & (came <= low)
+        arrived = came.copy()
+        np.minimum.at(arrived, up[over], came[over])
+        came = arrived
+        low[on], last[on], up = np.minimum(low[on], low[up[on]]), last[up[on]], np.where(on, up[np.maximum(up, 0)], -1)
+    return came, last, low
 
 
 def drainage_tree(dem: DataFrame, value: str = "elev", tile: int = TILE, scratch: Scratch | None = None) -> DataFrame:
-    """row, col, z, spill, hops, parent_row, parent_col of every known cell.
+    """row, col, z, parent_row, parent_col of every known cell, and what its tile knows of its way.
 
-    spill is the lowest level at which water leaves the grid from the cell; the parent is the next cell on
-    such a way (fewest hops, then smaller row and column), NULL where the way leaves the grid.
+    The parent is the next cell on the way off the grid that the minimum spanning tree gives: no other way has a
+    lower highest cell, and so on for every part of it; NULL where it leaves the grid.  pit: an inner cell without a strictly lower neighbour;
+    next: the first cell of the way outside the tile (NULL: it leaves the grid before), top and low: highest and
+    lowest z before that; sent: the least level that pits of the tile carry over the border by this cell.
     """
     scratch = scratch or Scratch(dem.sparkSession, "drainage")
-    inf = float("inf")
     known = dem.where(F.col(value).isNotNull()).select("row", "col", F.col(value).cast("double").alias("z"))
-    count = F.count("*")
-    across = Window.partitionBy("row").orderBy("col").rangeBetween(-1, 1)
-    down = Window.partitionBy("col").orderBy("row").rangeBetween(-1, 1)
-    full = known.withColumn("_n", count.over(across)).withColumn("edge", F.coalesce(F.sum("_n").over(down) < 9, F.lit(False))).drop("_n")
-    start = full.withColumns({"spill": F.when(F.col("edge"), F.col("z")).otherwise(F.lit(inf)), "hops": F.when(F.col("edge"), F.lit(0.0)).otherwise(F.lit(inf))})
-
-    def levels(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, (_, near) = _own(pdf, tile), _neighbour_lists(pdf)
-        z, spill = pdf["z"].to_numpy(), pdf["spill"].to_numpy().copy()
-        heap = [(s, i) for i, s in enumerate(spill) if s < inf]
-        heapq.heapify(heap)
-        while heap:
-            s, i = heapq.heappop(heap)
-            if s > spill[i]:
-                continue
-            for k in near[i]:
-                t = max(s, z[k])
-                if t < spill[k]:
-                    spill[k] = t
-                    heapq.heappush(heap, (t, k))
-        return pdf.assign(spill=spill)[own][["row", "col", "z", "edge", "spill", "hops"]]
-
-    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, (_, near) = _own(pdf, tile), _neighbour_lists(pdf)
-        z, spill, hops = pdf["z"].to_numpy(), pdf["spill"].to_numpy(), pdf["hops"].to_numpy().copy()
-        heap = [(h, i) for i, h in enumerate(hops) if h < inf]
-        heapq.heapify(heap)
-        while heap:
-            h, i = heapq.heappop(heap)
-            if h > hops[i]:
-                continue
-            for k in near[i]:
-                if max(spill[i], z[k]) == spill[k] and h + 1 < hops[k]:
-                    hops[k] = h + 1
-                    heapq.heappush(heap, (h + 1, k))
-        return pdf.assign(hops=hops)[own][["row", "col", "z", "edge", "spill", "hops"]]
-
-    schema = "row int, col int, z double, edge boolean, spill double, hops double"
-    cells = _settle(start.select("row", "col", "z", "edge", "spill", "hops"), levels, schema, "spill", tile, scratch, "spill")
-    cells = _settle(cells, steps, schema, "hops", tile, scratch, "hops")
-
-    def parents(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, (_, near) = _own(pdf, tile), _neighbour_lists(pdf)
-        row, col, z, spill, hops = (pdf[c].to_numpy() for c in ("row", "col", "z", "spill", "hops"))
-        up = [-1] * len(pdf)
-        for i in np.flatnonzero(own & ~pdf["edge"].to_numpy()):
-            up[i] = min((k for k in near[i] if max(spill[k], z[i]) == spill[i] and hops[k] + 1 == hops[i]), key=lambda k: (row[k], col[k]))
-        at = np.array(up)
-        out = pdf[["row", "col", "z", "spill", "hops"]].copy()
-        out["parent_row"] = pd.array(np.where(at < 0, 0, row[at]), "Int32")
-        out["parent_col"] = pd.array(np.where(at < 0, 0, col[at]), "Int32")
-        out.loc[at < 0, ["parent_row", "parent_col"]] = pd.NA
-        return out[own]
-
-    made = stencil.with_halo(cells, tile).groupBy("tr", "tc").applyInPandas(parents, "row int, col int, z double, spill double, hops double, parent_row int, parent_col int")
-    return scratch.save(made, "tree")
+
+    def tree(pdf: pd.DataFrame, own: np.ndarray, parent: np.ndarray) -> pd.DataFrame:
+        row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        r, c = row - row.min() + 1, col - col.min() + 1
+        frame = np.full((r.max() + 2, c.max() + 2), np.nan)
+        frame[r, c] = pdf["z"].to_numpy()
+        around = np.stack([frame[r[own] + i, c[own] + j] for i, j in STEPS], 1)
+        mine = pdf[own]
+        id, z = _ids(mine), mine["z"].to_numpy()
+        pit = ~np.isnan(around).any(1) & ~(around < z[:, None]).any(1)
+        up = _places(id, parent)
+        came = np.full(len(z), np.inf)
+        starts = pit & (up >= 0)
+        np.minimum.at(came, up[starts], z[starts])
+        came, last, low = _carry(up, z, came)
+        _, _, deep = _carry(up, -z, came)
+        leaves = (up < 0) & (parent != ROOT)
+        sent = np.where(leaves, np.minimum(np.where(came <= z, came, np.inf), np.where(pit, z, np.inf)), np.inf)
+        ends = parent[last]
+        return pd.DataFrame({
+            "row": mine["row"].to_numpy(), "col": mine["col"].to_numpy(), "z": z, **_parents(parent),
+            "pit": pit, "next": pd.arrays.IntegerArray(ends, ends == ROOT), "low": low, "top": -deep, "sent": np.where(np.isinf(sent), np.nan, sent)})
+
+    made = rooted_tree(known, tile, tree, "row int, col int, z double, parent_row int, parent_col int, pit boolean, next long, low double, top double, sent double", scratch)
+    return scratch.save(made.withColumn("sent", F.nanvl("sent", F.lit(None).cast("double"))), "tree")
+
+
+def _entries(tree: DataFrame) -> DataFrame:
+    """The cells that ways enter from other tiles, with their rows of ``tree``."""
+    goals = tree.where("next is not null").select(F.col("next").alias("id")).distinct()
+    return tree.withColumn("id", cell_id()).join(goals, "id")
+
+
+def spill_levels(tree: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """row, col, spill: the lowest level at which water leaves the grid from each cell."""
+    scratch = scratch or Scratch(tree.sparkSession, "spill")
+    cur = scratch.save(_entries(tree).select("id", "next", "top"), "ways")
+    while not cur.where("next is not null").isEmpty():
+        ahead = cur.select(F.col("id").alias("next"), F.col("next").alias("then"), F.col("top").alias("more"))
+        cur = scratch.save(cur.join(ahead, "next", "left").select("id", F.col("then").alias("next"), F.greatest("top", "more").alias("top")), "ways")
+    return tree.join(cur.select(F.col("id").alias("next"), F.col("top").alias("more")), "next", "left").select("row", "col", F.greatest("top", "more").alias("spill"))
 
 
 def breach(dem: DataFrame, value: str = "elev", tile: int = TILE, scratch: Scratch | None = None) -> DataFrame:
@@ -139,50 +119,25 @@ def breach(dem: DataFrame, value: str = "elev", tile: int = TILE, scratch: Scrat
     """
     scratch = scratch or Scratch(dem.sparkSession, "breach")
     tree = drainage_tree(dem, value, tile, scratch)
-    state = tree.select("row", "col", "z", F.col("z").alias("breached"), "parent_row", "parent_col", F.lit(None).cast("double").alias("carried"), F.lit(True).alias("fresh"))
-
-    def carve(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, (frame, near) = _own(pdf, tile), _neighbour_lists(pdf)
-        cut, raw = pdf["breached"].to_numpy().copy(), pdf["z"].to_numpy()
-        first = bool(pdf["fresh"].iloc[0])
-        r, c = (pdf[f"parent_{k}"].astype("float64").to_numpy() - pdf[k].min() + 1 for k in ("row", "col"))
-        ok = (r >= 0) & (r < frame.shape[0]) & (c >= 0) & (c < frame.shape[1])
-        at = np.full(len(pdf), -1)
-        at[ok] = frame[r[ok].astype(np.int64), c[ok].astype(np.int64)]
-        up = [None if k < 0 else k for k in at.tolist()]
-        carried = pdf["carried"].to_numpy()
-        out = np.full(len(pdf), np.nan)  # levels carried over the tile's border, by the cell they enter
-        walk = []
-        for i in range(len(pdf)):
-            if own[i] and first and up[i] is not None and not any(raw[k] < raw[i] for k in near[i]):
-                walk.append((up[i], raw[i]))
-            elif own[i] and not math.isnan(carried[i]):
-                walk.append((i, carried[i]))
-        for i, e in walk:
-            while i is not None:
-                if not own[i]:
-                    out[i] = np.nanmin([out[i], e])
-                    break
-                if cut[i] < e:
-                    break
-                cut[i] = e
-                i = up[i]
-        pdf = pdf.assign(breached=cut, carried=out, fresh=False, own=own)
-        return pdf[own | ~np.isnan(out)][["row", "col", "z", "breached", "parent_row", "parent_col", "carried", "fresh", "own"]]
-
-    schema = "row int, col int, z double, breached double, parent_row int, parent_col int, carried double, fresh boolean, own boolean"
-    cur = scratch.save(state, "carve")
-    for _ in range(MAX_ROUNDS):
-        done = stencil.with_halo(cur, tile).groupBy("tr", "tc").applyInPandas(carve, schema)
-        merged = done.groupBy("row", "col").agg(
-            F.first("z").alias("z"), F.min(F.when(F.col("own"), F.col("breached"))).alias("breached"), F.first("parent_row").alias("parent_row"), F.first("parent_col").alias("parent_col"),
-            F.min(F.when(~F.col("own"), F.col("carried"))).alias("carried"), F.lit(False).alias("fresh"))
-        nxt = scratch.save(merged, "carve")
-        scratch.free(cur)
-        cur = nxt
-        if cur.where("carried is not null").isEmpty():
-            return cur.drop("carried", "fresh")
-    raise RuntimeError("breaching did not settle")
+    sent = tree.where("sent is not null").groupBy(cell_id("parent_row", "parent_col").alias("id")).agg(F.min("sent").alias("came"))
+    cur = scratch.save(_entries(tree).select("id", "next", "low").join(sent, "id", "left"), "carried")
+    while not cur.where("next is not null").isEmpty():
+        over = cur.where("came <= low and next is not null").groupBy(F.col("next").alias("id")).agg(F.min("came").alias("more"))
+        ahead = cur.select(F.col("id").alias("next"), F.col("next").alias("then"), F.col("low").alias("low2"))
+        cur = scratch.save(cur.join(ahead, "next", "left").join(over, "id", "left").select("id", F.col("then").alias("next"), F.least("low", "low2").alias("low"), F.least("came", "more").alias("came")), "carried")
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        id, z = _ids(pdf), pdf["z"].to_numpy()
+        parent = pdf["parent"].to_numpy(np.int64)
+        up = _places(id, parent)
+        came = np.where(np.isnan(pdf["came"].to_numpy(np.float64)), np.inf, pdf["came"].to_numpy(np.float64))
+        starts = pdf["pit"].to_numpy() & (up >= 0)
+        np.minimum.at(came, up[starts], z[starts])
+        return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "z": z, "breached": np.minimum(z, _carry(up, z, came)[0]), **_parents(parent)})
+
+    cells = tree.select("row", "col", "z", "pit", F.coalesce(cell_id("parent_row", "parent_col"), F.lit(ROOT)).alias("parent"), cell_id().alias("id"))
+    cells = cells.join(cur.where("came is not null").select("id", "came"), "id", "left").withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)})
+    return cells.drop("id").groupBy("tr", "tc").applyInPandas(fill, "row int, col int, z double, breached double, parent_row int, parent_col int")
 
 
 _NAMES = {(0, 1): "e", (-1, 1): "ne", (-1, 0): "n", (-1, -1): "nw", (0, -1): "w", (1, -1): "sw", (1, 0): "s", (1, 1): "se"}
@@ -223,62 +178,91 @@ def d_infinity_receivers(cells: DataFrame, px: float) -> DataFrame:
     return _receivers(cells, px).select("row", "col", F.explode(ends).alias("e")).select("row", "col", "e.*").where("share is not null")
 
 
+class _Flow:
+    """The receivers inside one tile: places, shares, and the waves in which all givers of a cell are done."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        id = _ids(pdf)
+        self.id = id
+        self.share = np.nan_to_num(pdf[["s1", "s2"]].to_numpy(np.float64).T)
+        self.to = np.stack([(np.nan_to_num(pdf[f"r{k}"].to_numpy(np.float64), nan=-1).astype(np.int64) << WIDTH_BITS) + np.nan_to_num(pdf[f"c{k}"].to_numpy(np.float64)).astype(np.int64) for k in (1, 2)])
+        self.goal = np.where(self.share > 0, _places(id, self.to.ravel()).reshape(2, -1), -1)
+        self.leaves = (self.share > 0) & (self.goal < 0)
+        waits = np.bincount(self.goal[self.goal >= 0], minlength=len(id))
+        ready, self.waves = np.flatnonzero(waits == 0), []
+        while len(ready):
+            ends = self.goal[:, ready]
+            on = ends >= 0
+            from_, to = np.broadcast_to(ready, ends.shape)[on], ends[on]
+            order = np.argsort(to, kind="stable")
+            self.waves.append((from_[order], to[order], self.share[:, ready][on][order]))
+            np.subtract.at(waits, to, 1)
+            near = np.unique(to)
+            ready = near[waits[near] == 0]
+
+    def pour(self, water: np.ndarray) -> np.ndarray:
+        """Water (cells, or cells x sources) after it has run down."""
+        water = water.copy()
+        for from_, to, share in self.waves:
+            if len(to):
+                first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+                part = water[from_] * (share if water.ndim == 1 else share[:, None])
+                water[to[first]] += np.add.reduceat(part, first, 0)
+        return water
+
+
 def contributing_area(breached: DataFrame, px: float, tile: int = TILE, scratch: Scratch | None = None) -> DataFrame:
     """row, col, sca: specific contributing area (own cell included, per cell width).
 
-    A tile passes its water on in arrays, all cells whose givers are done at once; what leaves it is the next round's input
-    of its neighbours, and only tiles with input run.
+    A tile is solved once into the shares by which water at its entries leaves it for entries of other tiles, and its own
+    water's outflow.  That graph is squared while it stays sparse (``FILL``), then walked, which halves or
+    ends the rounds each time; with what enters, each tile runs once more.
     """
     scratch = scratch or Scratch(breached.sparkSession, "sca")
-    cells = _receivers(breached, px).withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)})
-    cells = scratch.save(cells, "cells")
-
-    def push(pdf: pd.DataFrame) -> pd.DataFrame:
-        row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        top, left = row.min(), col.min()
-        place = np.full((row.max() - top + 1, col.max() - left + 1), -1)
-        place[row - top, col - left] = np.arange(len(row))
-        share = np.nan_to_num(pdf[["s1", "s2"]].to_numpy(np.float64).T)
-        to = np.nan_to_num(pdf[["r1", "r2"]].to_numpy(np.float64).T, nan=-1).astype(np.int64), np.nan_to_num(pdf[["c1", "c2"]].to_numpy(np.float64).T, nan=-1).astype(np.int64)
-        inside = (share > 0) & (to[0] >= top) & (to[0] < top + place.shape[0]) & (to[1] >= left) & (to[1] < left + place.shape[1])
-        goal = np.full(share.shape, -1)
-        goal[inside] = place[to[0][inside] - top, to[1][inside] - left]
-        flow = pdf["delta"].to_numpy(np.float64).copy()
-        waits = np.bincount(goal[goal >= 0], minlength=len(row))
-        ready = np.flatnonzero(waits == 0)
-        while len(ready):
-            ends = goal[:, ready].ravel()
-            ok = ends >= 0
-            np.add.at(flow, ends[ok], (flow[ready] * share[:, ready]).ravel()[ok])
-            np.subtract.at(waits, ends[ok], 1)
-            near = np.unique(ends[ok])
-            ready = near[waits[near] == 0]
-        out = (share > 0) & (goal < 0) & (flow > 0)
-        side, i = np.nonzero(out)
-        some = np.flatnonzero(flow > 0)
-        return pd.DataFrame({
-            "row": np.concatenate([row[some], to[0][side, i]]).astype(np.int32), "col": np.concatenate([col[some], to[1][side, i]]).astype(np.int32),
-            "area": np.concatenate([flow[some], flow[i] * share[side, i]]), "sent": np.repeat([False, True], [len(some), len(i)])})
-
-    delta = cells.select("row", "col", F.lit(px * px).alias("delta"))
-    parts = []
-    for _ in range(MAX_ROUNDS):
-        touched = delta.select(F.floor(F.col("row") / tile).alias("tr"), F.floor(F.col("col") / tile).alias("tc")).distinct()
-        active = cells.join(touched, ["tr", "tc"], "left_semi").join(delta, ["row", "col"], "left").fillna(0.0, ["delta"])
-        done = scratch.save(active.groupBy("tr", "tc").applyInPandas(push, "row int, col int, area double, sent boolean"), "flow")
-        parts.append(done.where("not sent").select("row", "col", "area"))
-        delta = done.where("sent").groupBy("row", "col").agg(F.sum("area").alias("delta"))
-        if delta.isEmpty():
+    in_tile = lambda r, c: {"tr": F.floor(F.col(r) / tile), "tc": F.floor(F.col(c) / tile)}
+    cells = scratch.save(_receivers(breached, px).withColumns(in_tile("row", "col")), "cells")
+    out = F.explode(F.array(*[F.struct(F.col(f"r{k}").alias("row"), F.col(f"c{k}").alias("col"), F.col(f"s{k}").alias("s")) for k in (1, 2)]))
+    across = cells.select(F.col("tr").alias("from_tr"), F.col("tc").alias("from_tc"), out.alias("e")).select("from_tr", "from_tc", "e.*").where("s > 0").withColumns(in_tile("row", "col"))
+    entries = scratch.save(across.where("from_tr <> tr or from_tc <> tc").select(cell_id().alias("id"), "tr", "tc").distinct(), "entries")
+
+    def transfer(pdf: pd.DataFrame, enters: pd.DataFrame) -> pd.DataFrame:
+        flow = _Flow(pdf)
+        side, i = np.nonzero(flow.leaves)
+        goal, share = flow.to[side, i], flow.share[side, i]
+        own = flow.pour(np.full(len(pdf), px * px))[i] * share
+        found = [pd.DataFrame({"id": ROOT, "next": goal, "w": own})]
+        at = _places(flow.id, enters["id"].to_numpy(np.int64))
+        at = at[at >= 0]
+        for k in range(0, len(at), 64):
+            some = at[k : k + 64]
+            unit = np.zeros((len(pdf), len(some)))
+            unit[some, np.arange(len(some))] = 1
+            part = flow.pour(unit)[i] * share[:, None]
+            row, col = np.nonzero(part > 0)
+            found.append(pd.DataFrame({"id": flow.id[some[col]], "next": goal[row], "w": part[row, col]}))
+        return pd.concat(found).groupby(["id", "next"], as_index=False)["w"].sum()
+
+    moved = scratch.save(cells.groupBy("tr", "tc").cogroup(entries.groupBy("tr", "tc")).applyInPandas(transfer, "id long, next long, w double"), "moved")
+    poured = moved.where(F.col("id") == ROOT).groupBy(F.col("next").alias("id")).agg(F.sum("w").alias("water"))
+    total = scratch.save(entries.select("id").join(poured, "id", "left").fillna(0.0, ["water"]), "water")
+    steps, many = moved.where(F.col("id") != ROOT), entries.count()
+    step = lambda water, p: water.join(p, "id").groupBy(F.col("next").alias("id")).agg(F.sum(F.col("water") * F.col("w")).alias("water"))
+    add = lambda a, b: a.unionByName(b).groupBy("id").agg(F.sum("water").alias("water"))
+    while size := steps.count():
+        if size > FILL * max(many, 1):  # too dense to be squared again: the rest is walked
+            front = total
+            while not (front := scratch.save(step(front, steps), "front")).isEmpty():
+                total = scratch.save(add(total, front), "water")
             break
-        if len(parts) == 16:  # keeps the last plan short
-            parts = [scratch.save(_total(parts), "sums")]
-    else:
-        raise RuntimeError("flow did not settle")
-    return _total(parts).select("row", "col", (F.col("area") / px).alias("sca"))
+        total = scratch.save(add(total, step(total, steps)), "water")
+        ahead = steps.select(F.col("id").alias("next"), F.col("next").alias("then"), F.col("w").alias("w2"))
+        steps = scratch.save(steps.join(ahead, "next").groupBy("id", F.col("then").alias("next")).agg(F.sum(F.col("w") * F.col("w2")).alias("w")), "steps")
 
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        water = _Flow(pdf).pour(px * px + np.nan_to_num(pdf["water"].to_numpy(np.float64)))
+        return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "sca": water / px})
 
-def _total(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.union, parts).groupBy("row", "col").agg(F.sum("area").alias("area"))
+    return cells.withColumn("id", cell_id()).join(total, "id", "left").drop("id").groupBy("tr", "tc").applyInPandas(fill, "row int, col int, sca double")
 
 
 def steepest_pointer(dem: DataFrame, value: str, px: float) -> DataFrame:

@@ -166,6 +166,38 @@ def d_infinity_receivers(spark, d):
     return _six(hydro.d_infinity_receivers(_dem(spark, d).withColumnRenamed("elev", "breached"), CELL), "share")
 
 
+_STEPS8 = "steps(i, j) AS (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))"
+
+
+@query("spill_levels", f""", {_STEPS8},
+joined AS MATERIALIZED (SELECT a.row, a.col, b.row AS nrow, b.col AS ncol, b.elev AS nz FROM v_dem a CROSS JOIN steps JOIN v_dem b ON b.row = a.row + i AND b.col = a.col + j),
+rim AS (SELECT d.row, d.col, d.elev FROM v_dem d LEFT JOIN (SELECT row, col, count(*) AS n FROM joined GROUP BY row, col) k USING (row, col) WHERE coalesce(n, 0) < 8),
+flood(row, col, spill) USING KEY (row, col) AS (SELECT row, col, elev FROM rim
+  UNION SELECT j.nrow, j.ncol, min(greatest(f.spill, j.nz)) FROM flood f JOIN joined j ON j.row = f.row AND j.col = f.col LEFT JOIN recurring.flood o ON o.row = j.nrow AND o.col = j.ncol
+  WHERE o.spill IS NULL OR greatest(f.spill, j.nz) < o.spill GROUP BY j.nrow, j.ncol)
+SELECT row, col, round(spill, 6) + 0.0 AS spill FROM flood""", ("v_dem",))
+def spill_levels(spark, d):
+    return _six(hydro.spill_levels(hydro.drainage_tree(_dem(spark, d))), "spill")
+
+
+_RECEIVERS = f"""frame AS (SELECT a.row, a.col, any_value(a.elev) AS c, {", ".join(f"max(CASE WHEN b.row = a.row + {i} AND b.col = a.col + {j} THEN b.elev END) AS {n}" for (i, j), n in hydro._NAMES.items())}
+  FROM v_dem a JOIN v_dem b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY a.row, a.col),
+facets AS ({_FACET}),
+turned AS (SELECT *, greatest(0.0, least(atan2(s2, s1), {math.pi / 4!r})) / {math.pi / 4!r} AS share, CASE WHEN atan2(s2, s1) < 0 THEN s1 WHEN atan2(s2, s1) > {math.pi / 4!r} THEN s3 ELSE sqrt(s1 * s1 + s2 * s2) END AS steep FROM facets),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY steep DESC, k) AS n FROM turned) t WHERE n = 1 AND steep > 0),
+gives AS MATERIALIZED (SELECT row, col, ra AS to_row, ca AS to_col, 1 - share AS share FROM best WHERE share < 1 UNION ALL SELECT row, col, rb, cb, share FROM best WHERE share > 0)"""
+
+
+@query("raw_flow_area", f""", {_RECEIVERS},
+poured(step, row, col, area) AS (SELECT 0, row, col, CAST(900 AS DOUBLE) FROM v_dem
+  UNION ALL SELECT p.step + 1, g.to_row, g.to_col, sum(p.area * g.share) FROM poured p JOIN gives g ON g.row = p.row AND g.col = p.col GROUP BY 1, 2, 3)
+SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(sum(area) / 30, 4) + 0.0 AS sca FROM poured GROUP BY row, col""", ("v_dem",))
+def raw_flow_area(spark, d):
+    """Contributing area of the elevations as they are: water ends in pits."""
+    raw = _dem(spark, d).withColumnRenamed("elev", "breached")
+    return hydro.contributing_area(raw, CELL).select("row", "col", (F.round("sca", 4) + 0.0).alias("sca"))
+
+
 RINGS = f""", {CANDIDATES}, {_label_sql('candidates')},
 sides AS (SELECT l.orbit, l.component, k, col + x0 AS x, row + y0 AS y, col + x0 + dx AS x1, row + y0 + dy AS y1, row + i AS r, col + j AS c
   FROM labels l CROSS JOIN (VALUES (0, 0, 0, 1, 0, -1, 0), (1, 1, 0, 0, 1, 0, 1), (2, 1, 1, -1, 0, 1, 0), (3, 0, 1, 0, -1, 0, -1)) t(k, x0, y0, dx, dy, i, j)),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graupel.functions import geodesy, predicates as P
 from graupel.model import GridSpec, clean, layer_grid
+from graupel.plans import terrain
 from graupel.operators import components as C, graph, hydro, ingest, inventory, stencil, temporal, tiles, vector
 
 
@@ -169,6 +170,107 @@ def _flood(z):
     return spill
 
 
+def _tree_by_hand(z):
+    """Parents on the minimum spanning tree (Kruskal), pits, and the carved levels, cell by cell."""
+    known = [p for p in np.ndindex(z.shape) if not np.isnan(z[p])]
+    id = {p: (p[0] << 31) + p[1] for p in known}
+    edges, rim = [], set()
+    for p in known:
+        near = [q for i, j in hydro.STEPS if (q := (p[0] + i, p[1] + j)) in id]
+        edges += [(max(z[p], z[q]), id[p], id[q], p, q) for q in near if id[p] < id[q]]
+        if len(near) < 8:
+            rim.add(p)
+            edges.append((z[p], -1, id[p], None, p))
+    head, tree = {None: None} | {p: p for p in known}, {}
+
+    def top(p):
+        while head[p] != p:
+            p = head[p]
+        return p
+
+    for _, _, _, p, q in sorted(edges, key=lambda e: e[:3]):
+        if (a := top(p)) != (b := top(q)):
+            head[a if a is not None else b] = b if a is not None else a
+            tree.setdefault(p, []).append(q)
+            tree.setdefault(q, []).append(p)
+    parent, walk = {}, [None]
+    while walk:
+        p = walk.pop()
+        for q in tree.get(p, ()):
+            if q is not None and q not in parent:
+                parent[q] = p
+                walk.append(q)
+    low = z.copy()
+    for p in known:
+        if p not in rim and not any(z[p[0] + i, p[1] + j] < z[p] for i, j in hydro.STEPS):
+            q = parent[p]
+            while q is not None and low[q] >= z[p]:
+                low[q] = z[p]
+                q = parent[q]
+    return parent, low
+
+
+@pytest.mark.parametrize("ties,tile", [(False, 3), (True, 3), (True, 5), (False, 40)])
+def test_drainage_tree_is_the_spanning_tree(spark, ties, tile):
+    rng = np.random.default_rng(8)
+    z = rng.integers(0, 5, (31, 23)).astype(float) if ties else rng.normal(size=(31, 23))
+    z[rng.random(z.shape) < 0.04] = np.nan
+    z[20, :] = np.nan  # two parts, holes
+    z[25, 3:6] = np.nan
+    parent, low = _tree_by_hand(z)
+    tree = hydro.drainage_tree(grid(spark, z), tile=tile)
+    rows = tree.collect()
+    assert {(r["row"], r["col"]): None if r["parent_row"] is None else (r["parent_row"], r["parent_col"]) for r in rows} == parent
+    cut = hydro.breach(grid(spark, z), tile=tile)
+    assert np.array_equal(table(cut, "breached", z.shape), low, equal_nan=True)
+    spill = {}
+    for p in parent:
+        q, s = p, z[p]
+        while q is not None:
+            s, q = max(s, z[q]), parent[q]
+        spill[p] = s
+    assert {(r["row"], r["col"]): r["spill"] for r in hydro.spill_levels(tree).collect()} == spill
+
+
+@pytest.mark.parametrize("fill", [0, 1000])
+def test_flow_is_squared_or_walked(spark, monkeypatch, fill):
+    monkeypatch.setattr(hydro, "FILL", fill)
+    rng = np.random.default_rng(3)
+    z = np.add.outer(np.arange(20.0), 0.3 * np.arange(18.0)) + rng.random((20, 18))
+    cells = grid(spark, z, "breached")
+    one, other = (table(hydro.contributing_area(cells, 1.0, tile=t), "sca", z.shape) for t in (4, 64))
+    assert np.allclose(one, other)
+
+
+def test_drainage_of_nothing(spark):
+    none = grid(spark, np.full((2, 2), np.nan))
+    assert hydro.spill_levels(hydro.drainage_tree(none)).count() == 0 and hydro.breach(none).count() == 0
+    assert hydro.contributing_area(hydro.breach(none), 1.0).count() == 0
+
+
+def test_all_terrain_factors_together(spark):
+    rng = np.random.default_rng(4)
+    z = 50 + np.add.outer(5.0 * np.arange(14), 2.0 * np.arange(15)) + 4 * rng.random((14, 15))
+    dem = grid(spark, z)
+    got = terrain.compute_terrain(dem, 10.0, tile=6)
+    assert got.columns == ["row", "col", *terrain.FACTORS] and got.count() == z.size
+    near = stencil.neighbours(dem, "elev")
+    plan, profile = stencil.curvatures(10.0)
+    slope = table(near.select("row", "col", stencil.slope_horn(10.0).alias("v")), "v", z.shape)
+    aspect = np.radians(table(near.select("row", "col", stencil.aspect_horn(10.0).alias("v")), "v", z.shape))
+    cut = hydro.breach(dem, tile=64)
+    sca = table(hydro.contributing_area(cut, 10.0, tile=64), "sca", z.shape)
+    tan = np.tan(np.radians(slope))
+    want = {
+        "slope": slope, "aspect": np.degrees(aspect), "eastness": np.sin(aspect), "northness": np.cos(aspect), "plan_curvature": table(near.select("row", "col", plan.alias("v")), "v", z.shape),
+        "profile_curvature": table(near.select("row", "col", profile.alias("v")), "v", z.shape), "tri": table(near.select("row", "col", stencil.ruggedness().alias("v")), "v", z.shape),
+        "roughness": table(stencil.roughness(dem, "elev"), "roughness", z.shape), "tpi": table(stencil.topographic_position(dem, "elev", 11), "tpi", z.shape), "twi": np.log(sca / tan), "spi": sca * tan}
+    for name, values in want.items():
+        assert np.allclose(table(got, name, z.shape), values, equal_nan=True), name
+    valley = table(got, "valley_depth", z.shape)
+    assert (valley[sca > 100] == 0).all() and np.isfinite(valley[sca > 100]).any()
+
+
 @pytest.mark.parametrize("ties", [False, True])
 def test_breaching_and_area(spark, ties):
     rng = np.random.default_rng(5)
