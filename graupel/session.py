@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting by which a finished query's shuffle files are removed at once, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings that the queries assume (UTC, AQE)."""
@@ -51,12 +53,15 @@ class Scratch:
         self.count = 0
 
     def save(self, df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
-        """Writes ``df`` and reads it back; shuffle files of frames that nothing refers to are let go first."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Writes ``df`` and reads it back; its shuffle files go as soon as it is written."""
         self.count += 1
         path = f"{self.base}/{self.count:03d}_{name}"
-        df.write.partitionBy(*(partition_by or [])).parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.partitionBy(*(partition_by or [])).parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
