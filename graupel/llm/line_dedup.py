@@ -185,14 +185,18 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", scratch
     firsts = scratch.save(places.groupBy("h").agg(F.min(place).alias("first")), "firsts")
     named = firsts.join(comps, firsts["h"] == comps["node"], "left").select("first", F.coalesce("component", "h").alias("component"))
     kept = scratch.save(named.groupBy("component").agg(F.min("first").alias("first")).select("first.row", "first.pos"), "kept")
-    gone = places.join(kept, ["row", "pos"], "left_anti").groupBy("row").agg(F.collect_set("pos").alias("gone"))
-    gone = scratch.save(gone, "gone").withColumnRenamed("row", "_row")
+    gone = places.join(kept, ["row", "pos"], "left_anti").groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    gone = scratch.save(gone, "gone")
     rows, places_gone = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     few = rows <= BROADCAST_ROWS and places_gone <= 4 * BROADCAST_ROWS
-    both = docs.withColumn("_row", F.xxhash64(id, text)).join(F.broadcast(gone) if few else gone, "_row", "left")
-    parts = F.split(text, "\n")
-    left = F.filter(parts, lambda _, i: ~F.array_contains("gone", i))
-    names = [F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(text) if c == text else F.col(c) for c in docs.columns]
+    # the documents' columns travel as one, so none of their names can clash
+    own = docs.select(F.xxhash64(id, text).alias("row"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
+    both = own.join(F.broadcast(gone) if few else gone, "row", "left")
+    parts = F.split(F.col("doc")[text], "\n")
+    # places that stay by a hashed difference, so steps follow the lines; the array of one binds what is computed once
+    stay = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["parts"]) - 1), x["gone"]), lambda i: F.element_at(x["parts"], i + 1))
+    left = F.element_at(F.transform(F.array(F.struct(parts.alias("parts"), "gone")), stay), 1)
+    names = [F.when(F.col("gone").isNull(), F.col("doc")[text]).otherwise(F.array_join(left, "\n")).alias(text) if c == text else F.col("doc")[c].alias(c) for c in docs.columns]
     return both.select(*names, F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
 
 

@@ -198,3 +198,13 @@ def test_language_of_held_out_texts(spark, odd):
     assert {r["lang_pred"] for r in language.identify(odd, language.train(docs.limit(0))).collect()} == {"und"}
     same = spark.createDataFrame([(1, "der und die", "de")] * 500 + [(i, "the and of", "en") for i in range(2, 9)] + [(9, "null lang", None)], "doc_id long, text string, lang string")
     assert language.train(same, per_language=5).names == ["de", "en"]
+
+
+def test_line_dedup_with_clashing_names_and_many_repeated_lines(spark):
+    from graupel.llm import line_dedup
+
+    rows = [(1, "keep\nkeep\nother line here", "g", "p"), (2, "\n".join(["same old line"] * 60_000) + "\nend of it", "g", "p"), (3, "other line here", None, "p"), (4, None, "g", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string, row string").withColumns({"doc": F.lit(1), "parts": F.lit(2), "n_removed": F.lit("x")})
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert {k: (r["text"], r["n_lines"], r["n_removed"], r["gone"], r["row"]) for k, r in got.items()} == {
+        1: ("keep\nother line here", 3, 1, "g", "p"), 2: ("same old line\nend of it", 60_001, 59_999, "g", "p"), 3: ("", 1, 1, None, "p"), 4: (None, 0, 0, "g", None)}
