@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from graupel.functions.geodesy import A, E2, FLAT
 from graupel.operators.graph import connected_components
 from graupel.session import Scratch
 
@@ -52,10 +55,21 @@ def component_stats(labels: DataFrame, px: float, keys: tuple[str, ...] = (), ar
     )
 
 
-def degree_cell_area(lat: Column, step: float) -> Column:
-    """Area in m2 of a cell of ``step`` degrees on the sphere at a latitude."""
-    metre = 6371008.8 * 3.141592653589793 / 180 * step
-    return F.cos(F.radians(lat)) * (metre * metre)
+def degree_cell_area(south: Column, north: Column, width: float) -> Column:
+    """Area in m2 of a cell of ``width`` degrees between two parallels on the WGS 84 ellipsoid (exact, by authalic latitude)."""
+    e, minor = math.sqrt(E2), A * (1 - FLAT)
+
+    def below(lat: Column) -> Column:
+        x = F.sin(F.radians(lat))
+        return x / (1 - e * e * x * x) + F.log((1 + e * x) / (1 - e * x)) / (2 * e)
+
+    return (below(north) - below(south)) * (minor * minor * math.radians(width) / 2)
+
+
+def degree_areas(labels: DataFrame, grid, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``component_stats`` of labels on a grid in degrees."""
+    top = F.lit(grid.y0) - F.col("row") * grid.px
+    return component_stats(labels, grid.px, keys, degree_cell_area(top - grid.px, top, grid.px))
 
 
 def at_least(stats: DataFrame, min_area_m2: float = 1500.0) -> DataFrame:
@@ -77,16 +91,8 @@ def boundary_edges(labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return edges.groupBy(*keys, "component", "x0", "y0", "x1", "y1").agg(F.count("*").alias("n")).where("n = 1").drop("n")
 
 
-def geojson_features(stats: DataFrame, properties: list[str]) -> DataFrame:
-    """One GeoJSON feature a row (column ``value``), its geometry the bounding rectangle in cell corners."""
-    x0, x1, y0, y1 = F.col("col_min"), F.col("col_max") + 1, F.col("row_min"), F.col("row_max") + 1
-    ring = F.array(*[F.array(x, y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
-    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
-    return stats.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("value"))
-
-
-def outline_rings(labels: DataFrame, keys: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
-    """The closed outlines of every component: keys, component, ring, seq (from 0), x, y in cell corners.
+def outline_rings(labels: DataFrame, keys: tuple[str, ...] = (), scratch: Scratch | None = None, turns: bool = False) -> DataFrame:
+    """The closed outlines of every component: keys, component, ring, seq (from 0), x, y in cell corners; ``turns`` adds the edge's direction (0 east, 1 south, 2 west, 3 north).
 
     Edges run with their cell on the right, so outer rings turn clockwise and holes the other way; where two cells touch at a
     corner only, the ring stays with its cell.  A ring is named by its smallest edge (row, column, direction), at which it starts.
@@ -108,7 +114,7 @@ def outline_rings(labels: DataFrame, keys: tuple[str, ...] = (), scratch: Scratc
     parts = connected_components(after, "node", "next", scratch).withColumnRenamed("component", "part")
     placed = scratch.save(edges.join(parts, "node"), "placed")
     heads = placed.groupBy("part").agg(F.min("code").alias("ring"))
-    named = scratch.save(placed.join(heads, "part").select(*keys, "component", "ring", "x", "y", "node", (F.col("code") == F.col("ring")).alias("head")), "named")
+    named = scratch.save(placed.join(heads, "part").select(*keys, "component", "ring", "x", "y", *["turn"] * turns, "node", (F.col("code") == F.col("ring")).alias("head")), "named")
     before = after.select(F.col("next").alias("node"), F.col("node").alias("to"))
     walk = named.join(before, "node").select("node", F.when(F.col("head"), F.col("node")).otherwise(F.col("to")).alias("to"), F.when(F.col("head"), 0).otherwise(1).alias("steps"))
     walk, known = scratch.save(walk, "walk"), None
@@ -121,22 +127,46 @@ def outline_rings(labels: DataFrame, keys: tuple[str, ...] = (), scratch: Scratc
         if total == known:
             break
         known = total
-    return named.join(walk.select("node", "steps"), "node").select(*keys, "component", "ring", F.col("steps").alias("seq"), "x", "y")
+    return named.join(walk.select("node", "steps"), "node").select(*keys, "component", "ring", F.col("steps").alias("seq"), "x", "y", *["turn"] * turns)
+
+
+def polygon_parts(rings: DataFrame, labels: DataFrame, keys: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
+    """keys, ring, outer: the outer ring (of the same component) around each ring, itself for outer ones; ``rings`` with turns.
+
+    A ring whose first edge runs south is a hole.  West of that edge lies a cell of the part that it is cut from; the run of cells in its row ends
+    at an edge of the part's outer ring or of another hole, which begins further up or further west.  So each hole points
+    to a ring before it, and doubled pointers end at the outer ring: an even-odd test along one row each.
+    """
+    scratch = scratch or Scratch(rings.sparkSession, "parts")
+    on = [*keys, "component"]
+    line = Window.partitionBy(*keys, "row").orderBy("col")
+    runs = labels.withColumn("_run", F.col("col") - F.row_number().over(line))
+    west = runs.groupBy(*on, "row", "_run").agg(F.min("col").alias("x"), F.max("col").alias("hi"))
+    heads = rings.where("seq = 0").select(*on, "ring", "turn", F.col("y").alias("row"), (F.col("x") - 1).alias("col"))
+    at = heads.where("turn = 1").join(runs, [*on, "row", "col"]).join(west, [*on, "row", "_run"]).select(*on, "ring", "x", (F.col("row") + 1).alias("y"))
+    onto = rings.where("turn = 3").select(*on, F.col("ring").alias("outer"), "x", "y")
+    inner = at.join(onto, [*on, "x", "y"]).select(*keys, "ring", "outer")
+    cur = scratch.save(inner.unionByName(heads.where("turn = 0").select(*keys, "ring", F.col("ring").alias("outer"))), "outer")
+    while True:
+        ahead = cur.select(*keys, F.col("ring").alias("outer"), F.col("outer").alias("then"))
+        cur = scratch.save(cur.join(ahead, [*keys, "outer"]).select(*keys, "ring", F.col("then").alias("outer"), (F.col("then") != F.col("outer")).alias("moved")), "outer")
+        if cur.where("moved").isEmpty():
+            return cur.drop("moved")
+        cur = cur.drop("moved")
 
 
-def outline_features(rings: DataFrame, grid, keys: tuple[str, ...] = ()) -> DataFrame:
-    """One GeoJSON feature for each component (column ``value``), in the grid's coordinates.
+def outline_features(rings: DataFrame, labels: DataFrame, grid, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One GeoJSON feature for each component (column ``value``), in the grid's coordinates; ``rings`` with turns.
 
-    A component with one outer ring is a Polygon with its holes; parts that touch at corners only make a MultiLineString of closed rings.
+    A component with one outer ring is a Polygon with its holes; parts that touch at corners only make a MultiPolygon, each part with its own holes.
     """
     x, y = F.lit(grid.x0) + F.col("x") * grid.px, F.lit(grid.y0) - F.col("y") * grid.px
-    points = F.array_sort(F.collect_list(F.struct("seq", x.alias("x"), y.alias("y"), F.col("x").alias("i"), F.col("y").alias("j"))))
+    points = F.array_sort(F.collect_list(F.struct("seq", x.alias("x"), y.alias("y"))))
     ring = rings.groupBy(*keys, "component", "ring").agg(points.alias("p"))
-    nxt = lambda k: F.element_at("p", F.pmod(k + 1, F.size("p")) + 1)
-    twice = F.aggregate(F.transform("p", lambda v, k: v["i"] * nxt(k)["j"] - nxt(k)["i"] * v["j"]), F.lit(0).cast("long"), lambda s, v: s + v)
     closed = F.transform(F.concat("p", F.slice("p", 1, 1)), lambda v: F.array(v["x"], v["y"]))
-    each = ring.select(*keys, "component", "ring", closed.alias("line"), (twice < 0).alias("hole"))
-    lines = F.array_sort(F.collect_list(F.struct("hole", "ring", "line")))
-    shape = each.groupBy(*keys, "component").agg(lines.alias("r"), F.sum(F.when(F.col("hole"), 0).otherwise(1)).alias("outer"))
-    geometry = F.struct(F.when(F.col("outer") == 1, "Polygon").otherwise("MultiLineString").alias("type"), F.transform("r", lambda v: v["line"]).alias("coordinates"))
-    return shape.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*keys, "component").alias("properties"))).alias("value"))
+    each = ring.join(polygon_parts(rings, labels, keys), [*keys, "ring"]).select(*keys, "component", "outer", "ring", closed.alias("line"))
+    lines = F.array_sort(F.collect_list(F.struct((F.col("ring") != F.col("outer")).alias("hole"), "ring", "line")))  # the outer one first
+    part = each.groupBy(*keys, "component", "outer").agg(F.transform(lines, lambda v: v["line"]).alias("lines"))
+    shape = part.groupBy(*keys, "component").agg(F.transform(F.array_sort(F.collect_list(F.struct("outer", "lines"))), lambda v: v["lines"]).alias("parts"))
+    feature = lambda kind, of: F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), of.alias("coordinates")).alias("geometry"), F.struct(*keys, "component").alias("properties")))
+    return shape.select(F.when(F.size("parts") == 1, feature("Polygon", F.element_at("parts", 1))).otherwise(feature("MultiPolygon", F.col("parts"))).alias("value"))

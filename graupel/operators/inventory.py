@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from graupel.functions.bands import grid_key
@@ -60,36 +64,104 @@ def new_places(stored: DataFrame, new: DataFrame, order: tuple[str, ...] = (), e
     return keyed(own).join(keyed(stored).select("_x", "_y", *extra_key), ["_x", "_y", *extra_key], "left_anti").select(own.columns)
 
 
-def _segments(spark: SparkSession, path: str) -> list[str]:
-    """The complete segments of an inventory, oldest first."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return []
-    return sorted(str(s.getPath()) for s in fs.listStatus(at) if s.getPath().getName().startswith("segment-") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+class Log:
+    """The commit log of a stored inventory.
+
+    ``log/<version>.json`` names the segments (folders of rows) of a version; it appears whole and only if no other
+    run has taken its number, so of two runs that meet one is told and looks again.  Segments and manifests are never written twice; a reader takes
+    the newest manifest and so sees one version, whatever others add.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.jvm = spark, path.rstrip("/"), spark.sparkContext._jvm
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, name: str):
+        at = self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at.getFileSystem(self.conf), at
+
+    def snapshot(self) -> tuple[int, list[str]]:
+        """Number and segments of the newest version; 0 and none if there is none."""
+        fs, at = self._at("log")
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        versions = [int(n[:-5]) for n in names if n.endswith(".json")]
+        if not versions:
+            return 0, []
+        fs, at = self._at(f"log/{max(versions):010d}.json")
+        stream = fs.open(at)
+        try:
+            return max(versions), json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["segments"]
+        finally:
+            stream.close()
+
+    def read(self, segments: list[str]) -> DataFrame:
+        if not segments:
+            return self.spark.createDataFrame([], INVENTORY)
+        return self.spark.read.schema(INVENTORY).csv([f"{self.path}/{s}" for s in segments], header=True)
+
+    def write_segment(self, rows: DataFrame) -> str | None:
+        """The name of a new segment; None (and no folder) if there are no rows."""
+        name, seen = f"segment-{uuid.uuid4().hex}", Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.csv(f"{self.path}/{name}", header=True)
+        if seen.get["n"]:
+            return name
+        fs, at = self._at(name)
+        fs.delete(at, True)
+        return None
+
+    def put(self, version: int, segments: list[str]) -> bool:
+        """Adds the manifest of a version unless another run has: it is written aside and moved without overwriting."""
+        fs, aside = self._at(f"log/.{uuid.uuid4().hex}")
+        _, place = self._at(f"log/{version:010d}.json")
+        out = fs.create(aside, False)
+        out.write(bytearray(json.dumps({"segments": segments}).encode()))
+        out.close()
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), self.conf)
+        none = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(aside, place, none)
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in str(e.java_exception.toString()):
+                raise
+            fs.delete(aside, False)
+            return False
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """The stored inventory; a path that doesn't exist is empty."""
-    found = _segments(spark, path)
-    return spark.read.schema(INVENTORY).csv(found, header=True) if found else spark.createDataFrame([], INVENTORY)
+    """The newest version of the stored inventory; a path that doesn't exist is empty."""
+    log = Log(spark, path)
+    return log.read(log.snapshot()[1])
 
 
-def write_inventory(rows: DataFrame, path: str) -> None:
-    """Adds rows as one more segment.
+def commit(spark: SparkSession, path: str, make, attempts: int = 20) -> int:
+    """Adds the rows ``make(stored)`` as one segment and returns the version that holds them.
 
-    What is stored is never written again, and a segment counts only once it is complete: a run that is lost on its way leaves nothing that is read.
+    ``make`` is called again with the newest version when another run came first, so places that it has taken since aren't added twice.
+    Without rows nothing is written and the version stays.
     """
-    found = _segments(rows.sparkSession, path)
-    last = int(found[-1].rpartition("-")[2]) if found else 0
-    rows.write.mode("overwrite").csv(f"{path}/segment-{last + 1:08d}", header=True)
+    log = Log(spark, path)
+    for _ in range(attempts):
+        version, segments = log.snapshot()
+        added = log.write_segment(make(log.read(segments)))
+        if added is None:
+            return version
+        if log.put(version + 1, [*segments, added]):
+            return version + 1
+    raise RuntimeError(f"{path}: other runs came first {attempts} times")
+
+
+def compact(spark: SparkSession, path: str, most: int = 16) -> int:
+    """Rewrites a version of more than ``most`` segments as one; nothing happens if another run comes first. Returns the newest version."""
+    log = Log(spark, path)
+    version, segments = log.snapshot()
+    if len(segments) > most and (whole := log.write_segment(log.read(segments))) and log.put(version + 1, [whole]):
+        return version + 1
+    return version
 
 
 def save_marks(spark: SparkSession, points: DataFrame, event: str, path: str, added: Column | None = None, **kind: str) -> DataFrame:
     """Adds points at places that aren't stored yet; nothing changes when there are none."""
-    stored = read_inventory(spark, path)
-    if points.isEmpty():
-        return stored
-    write_inventory(new_places(stored, marks(points, event, added if added is not None else F.current_timestamp(), **kind)), path)
+    rows = marks(points, event, added if added is not None else F.date_trunc("second", F.current_timestamp()), **kind)
+    commit(spark, path, lambda stored: new_places(stored, rows))
     return read_inventory(spark, path)

@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 from graupel.model import GridSpec
 from graupel.operators.tiles import to_tiles
 
+#: Ranges of the order in which ``least_per_group`` counts a group.
+LEVELS = 1 << 16
+
 
 def decluster(points: DataFrame, cell_m: float, order: str = "seq") -> DataFrame:
     """One point of each coarse cell, the first by ``order``."""
@@ -15,19 +18,41 @@ def decluster(points: DataFrame, cell_m: float, order: str = "seq") -> DataFrame
     return keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_bx", "_by").orderBy(order))).where("_n = 1").drop("_bx", "_by", "_n")
 
 
+def seeded(seed: int, *parts: Column | str) -> Column:
+    """A number below 2^60 from a seed and some values, the same in every engine with md5."""
+    key = F.concat_ws(":", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
+def least_per_group(rows: DataFrame, groups: list[str], order: str, ties: tuple[str, ...], quota: DataFrame) -> DataFrame:
+    """The ``_quota`` rows of each group (columns ``groups``) with the least ``order`` (a number below 2^60), exactly.
+
+    A histogram of each group over ``LEVELS`` ranges of the order finds the range in which its quota ends; lower ranges are
+    taken whole, and only the rows of that one range are ranked, so no task holds a group.
+    """
+    level = F.shiftright(order, 60 - LEVELS.bit_length() + 1).cast("int")
+    sizes = rows.groupBy(*groups, level.alias("_level")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*groups).orderBy("_level"))  # at most LEVELS rows a group
+    before = sizes.withColumn("_upto", upto).join(quota, groups).where(F.col("_upto") - F.col("_n") < F.col("_quota"))
+    last = before.groupBy(*groups).agg(F.max(F.struct("_level", (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_room"), (F.col("_quota") >= F.col("_upto")).alias("_whole"))).alias("_last"))
+    placed = rows.join(last, groups).withColumn("_level", level).where(F.col("_level") <= F.col("_last._level"))
+    rank = F.row_number().over(Window.partitionBy(*groups, "_level").orderBy(order, *ties))
+    whole = (F.col("_level") < F.col("_last._level")) | F.col("_last._whole")
+    return placed.withColumn("_rank", rank).where(whole | (F.col("_rank") <= F.col("_last._room"))).drop("_level", "_last", "_rank")
+
+
 def matched_absences(presences: DataFrame, background: DataFrame, bins: dict[str, tuple[float, float, int]], ratio: int = 1, seed: int = 0) -> DataFrame:
-    """``ratio`` background cells for each presence of a stratum of binned factors, by seeded hash."""
+    """``ratio`` background cells for each presence of a stratum of binned factors: those with the least seeded number."""
     stratum = [F.width_bucket(F.col(c), F.lit(lo), F.lit(hi), F.lit(n)).alias(f"_{c}") for c, (lo, hi, n) in bins.items()]
     keys = [f"_{c}" for c in bins]
     quota = presences.select(*stratum).groupBy(*keys).agg((F.count("*") * ratio).alias("_quota"))
-    free = background.join(presences.select("row", "col"), ["row", "col"], "left_anti").select("*", *stratum)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), "row", "col"), "row", "col"))
-    return free.withColumn("_rank", rank).join(quota, keys).where("_rank <= _quota").drop(*keys, "_rank", "_quota")
+    free = background.join(presences.select("row", "col"), ["row", "col"], "left_anti").select("*", *stratum, seeded(seed, "row", "col").alias("_draw"))
+    return least_per_group(free, keys, "_draw", ("row", "col"), quota).drop(*keys, "_draw")
 
 
-def spatial_fold(x: Column, y: Column, block_m: float, folds: int) -> Column:
+def spatial_fold(x: Column, y: Column, block_m: float, folds: int, seed: int = 0) -> Column:
     """Fold of a point's block."""
-    return F.pmod(F.xxhash64(F.floor(x / block_m), F.floor(y / block_m)), F.lit(folds)).cast("int")
+    return (seeded(seed, F.floor(x / block_m), F.floor(y / block_m)) % folds).cast("int")
 
 
 def leaks(patches: DataFrame, half: int) -> DataFrame:

@@ -10,10 +10,11 @@ from graupel.functions import bands as B, geodesy, predicates as P
 from graupel.model import GridSpec, clean, layer_grid
 from graupel.operators import components as C, hydro, ingest, regrid, temporal, vector
 from graupel.plans import layers
-from graupel.plans.queries import CANDIDATES, LINES, TARGET, UTM, _candidates, _dem, _label_sql, _layers, _line_grid, _six, _target, _THREE
+from graupel.plans.queries import CANDIDATES, COMPOSITES, LINES, TARGET, UTM, _candidates, _dem, _label_sql, _layers, _line_grid, _six, _target, _THREE
 from graupel.plans.registry import query
 from graupel.session import Scratch
-from graupel.sources.fixtures import CELL, view
+from graupel.sources import series
+from graupel.sources.fixtures import ACTIVITY, AREA, CELL, REFERENCE, view
 from graupel.streaming import ingest as stream
 
 R = B.rounded
@@ -139,15 +140,48 @@ def grid_extent(spark, d):
     return spark.createDataFrame([bounds], "west double, south double, east double, north double").select(*[F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")])
 
 
-@query("streamed_cells", "SELECT row, col, lulc FROM v_landcover WHERE version = 2", ("v_landcover",))
+@query("streamed_cells", "SELECT version, row, col, lulc FROM v_landcover WHERE lulc <> 50", ("v_landcover",))
 def streamed_cells(spark, d):
     base = Scratch(spark, "stream").base
     cells = view(spark, d, "v_landcover").select("version", "row", "col", "lulc")
-    schema = cells.schema.simpleString()[7:-1]
-    for version in (1, 2):  # the second run lands what is new
+    run = lambda: stream.ingest_counted(spark, f"{base}/source", "version int, row int, col int, lulc int", f"{base}/landed", f"{base}/log", F.col("lulc") != 50)
+    for version in (1, 2):  # the second run lands what is new, a third nothing
         cells.where(F.col("version") == version).write.mode("append").parquet(f"{base}/source")
-        stream.ingest_new(spark, f"{base}/source", ", ".join(p.replace(":", " ") for p in schema.split(",")), f"{base}/landed", f"{base}/log", lambda s: s.where("version = 2").drop("version"))
-    return spark.read.schema("row int, col int, lulc int").parquet(f"{base}/landed")
+        run()
+    run()
+    return spark.read.schema("version int, row int, col int, lulc int").parquet(f"{base}/landed")
+
+
+@query("streamed_tally", """SELECT * FROM (SELECT CAST(version AS INTEGER) AS run, count(*) FILTER (lulc <> 50) AS landed, count(*) FILTER (lulc = 50) AS failed FROM v_landcover GROUP BY version UNION ALL SELECT 3, 0, 0) t""", ("v_landcover",))
+def streamed_tally(spark, d):
+    """Counts of three runs over the same folder; the third finds nothing new."""
+    base, counts = Scratch(spark, "stream").base, []
+    cells = view(spark, d, "v_landcover").select("version", "row", "col", "lulc")
+    for version in (1, 2, 3):
+        if version < 3:
+            cells.where(F.col("version") == version).write.mode("append").parquet(f"{base}/source")
+        n = stream.ingest_counted(spark, f"{base}/source", "version int, row int, col int, lulc int", f"{base}/landed", f"{base}/log", F.col("lulc") != 50)
+        counts.append((version, n["landed"], n["failed"]))
+    return spark.createDataFrame(counts, "run int, landed long, failed long")
+
+
+@query("stored_series", f""", {COMPOSITES} SELECT orbit, row, col, round(vv_ref, 6) + 0.0 AS vv_ref, round(vh_act, 6) + 0.0 AS vh_act, round(angle, 6) + 0.0 AS angle FROM composites""", ("v_scenes", "v_pixels"))
+def stored_series(spark, d):
+    """The composites from pixels stored by orbit and date; the scene filter prunes folders."""
+    path = Scratch(spark, "series").base
+    scenes, pixels = view(spark, d, "v_scenes"), view(spark, d, "v_pixels")
+    series.write_series(scenes, pixels, path, 1)
+    chosen = scenes.where(P.radar_scene(AREA, (REFERENCE[0], ACTIVITY[1])))
+    both = temporal.composite_change(series.read_series(spark, path, chosen), REFERENCE, ACTIVITY)
+    return _six(both.select("orbit", "row", "col", "vv_ref", "vh_act", "angle"), "vv_ref", "vh_act", "angle")
+
+
+@query("stored_snow_duration", """, y AS (SELECT row, col, year(obs_date) AS y, sum(CASE WHEN ndsi BETWEEN 40 AND 100 THEN 1 WHEN ndsi IS NOT NULL THEN 0 END) AS days FROM v_daily_snow WHERE year(obs_date) BETWEEN 1995 AND 1998 AND month(obs_date) BETWEEN 1 AND 5 GROUP BY ALL)
+SELECT row, col, round(avg(days), 6) + 0.0 AS scd FROM y GROUP BY row, col""", ("v_daily_snow",))
+def stored_snow_duration(spark, d):
+    path, years = Scratch(spark, "snow").base, [1995, 1996, 1997, 1998]
+    series.write_daily(view(spark, d, "v_daily_snow"), path, 1)
+    return _six(temporal.snow_duration(series.read_daily(spark, path, years, 1, 5), years), "scd")
 
 
 _FACET = " UNION ALL ".join(
@@ -219,12 +253,21 @@ def outline_rings(spark, d):
     return _rings(spark, d)
 
 
-@query("outline_features", f"""{RINGS}, turned AS (SELECT orbit, component, ring, count(*) + 1 AS points, sum(x * y1 - x1 * y) AS twice FROM (
-  SELECT orbit, component, ring, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x1, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y1 FROM rings WINDOW w AS (PARTITION BY orbit, ring ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) t GROUP BY ALL)
-SELECT orbit, component, CASE WHEN count(*) FILTER (WHERE twice > 0) = 1 THEN 'Polygon' ELSE 'MultiLineString' END AS kind, count(*) AS rings, CAST(sum(points) AS BIGINT) AS points FROM turned GROUP BY orbit, component""", _THREE)
+@query("outline_features", f"""{RINGS}, sides_of AS (SELECT orbit, component, ring, seq, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x1, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y1 FROM rings WINDOW w AS (PARTITION BY orbit, ring ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+turned AS (SELECT orbit, component, ring, count(*) + 1 AS points, sum(x * y1 - x1 * y) AS twice FROM sides_of GROUP BY ALL),
+inner_at AS (SELECT t.orbit, t.component, t.ring, r.x - 0.5 AS px, r.y + 0.5 AS py FROM turned t JOIN rings r ON r.orbit = t.orbit AND r.ring = t.ring AND r.seq = 0 WHERE twice < 0),
+around_it AS (SELECT h.orbit, h.component, h.ring, o.ring AS outer_ring, o.twice FROM inner_at h JOIN turned o ON o.orbit = h.orbit AND o.component = h.component AND o.twice > 0
+  JOIN sides_of s ON s.orbit = o.orbit AND s.ring = o.ring AND s.x = s.x1 AND s.x < h.px AND h.py BETWEEN least(s.y, s.y1) AND greatest(s.y, s.y1) GROUP BY ALL HAVING count(*) % 2 = 1),
+of_part AS (SELECT orbit, component, ring, outer_ring FROM (SELECT *, row_number() OVER (PARTITION BY orbit, ring ORDER BY twice) AS n FROM around_it) t WHERE n = 1 UNION ALL SELECT orbit, component, ring, ring FROM turned WHERE twice > 0),
+parts AS (SELECT p.orbit, p.component, outer_ring, count(*) AS rings, sum(points) AS points FROM of_part p JOIN turned t ON t.orbit = p.orbit AND t.ring = p.ring GROUP BY ALL)
+SELECT orbit, component, CASE WHEN count(*) OVER (PARTITION BY orbit, component) = 1 THEN 'Polygon' ELSE 'MultiPolygon' END AS kind, row_number() OVER (PARTITION BY orbit, component ORDER BY outer_ring) - 1 AS part, rings, CAST(points AS BIGINT) AS points FROM parts""", _THREE)
 def outline_features(spark, d):
-    features = C.outline_features(_rings(spark, d), _line_grid(spark, d), ("orbit",))
-    shape = "struct<geometry: struct<type: string, coordinates: array<array<array<double>>>>, properties: struct<orbit: string, component: long>>"
-    f = features.select(F.from_json("value", shape).alias("f")).select("f.*")
-    lines = F.col("geometry.coordinates")
-    return f.select("properties.orbit", "properties.component", F.col("geometry.type").alias("kind"), F.size(lines).cast("long").alias("rings"), F.size(F.flatten(lines)).cast("long").alias("points"))
+    """Kind, and of each part the number of its rings and points."""
+    labels = Scratch(spark, "labels").save(C.label_cells(_candidates(spark, d), ("orbit",)))
+    features = C.outline_features(C.outline_rings(labels, ("orbit",), turns=True), labels, _line_grid(spark, d), ("orbit",))
+    kind = F.get_json_object("value", "$.geometry.type")
+    made = F.get_json_object("value", "$.geometry.coordinates")
+    shape = "array<array<array<array<double>>>>"
+    parts = F.from_json(F.when(kind == "Polygon", F.concat(F.lit("["), made, F.lit("]"))).otherwise(made), shape)
+    each = features.select(F.get_json_object("value", "$.properties.orbit").alias("orbit"), F.get_json_object("value", "$.properties.component").cast("long").alias("component"), kind.alias("kind"), F.posexplode(parts).alias("part", "lines"))
+    return each.select("orbit", "component", "kind", F.col("part").cast("long").alias("part"), F.size("lines").cast("long").alias("rings"), F.size(F.flatten("lines")).cast("long").alias("points"))

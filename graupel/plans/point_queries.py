@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from graupel.functions import bands as B
+from graupel.functions import bands as B, geodesy
 from graupel.model import GridSpec
-from graupel.operators import inventory, sampling, temporal, tiles
+from graupel.operators import components, inventory, sampling, temporal, tiles
 from graupel.plans.queries import _dem, _layers, _xy, UTM
 from graupel.plans.registry import query
 from graupel.session import Scratch
@@ -17,14 +19,35 @@ R = B.rounded
 _KEY = "CAST(round_even(round_even(lon, 6) * 10000, 0) AS BIGINT), CAST(round_even(round_even(lat, 6) * 10000, 0) AS BIGINT)"
 
 
-@query("saved_marks", f"""SELECT round_even(lon, 6) AS lon, round_even(lat, 6) AS lat, CASE WHEN batch = 0 THEN 'first' ELSE 'second' END AS event, 'B' AS tier, 'release' AS zone FROM (
+@query("saved_marks", f"""SELECT round_even(lon, 6) AS lon, round_even(lat, 6) AS lat, CASE WHEN batch = 0 THEN 'first' ELSE 'second' END AS event, 'B' AS tier, 'release' AS zone,
+  CASE WHEN batch = 0 THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-02-01 12:30:05' END AS added FROM (
   SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY batch, seq) AS n FROM v_marks) t WHERE n = 1""", ("v_marks",))
 def saved_marks(spark, d):
     path = Scratch(spark, "inventory").base
     points = view(spark, d, "v_marks").orderBy("seq")
-    for batch, event in ((0, "first"), (1, "second"), (1, "third")):  # the last finds all places taken
-        out = inventory.save_marks(spark, points.where(F.col("batch") == batch).select("lon", "lat"), event, path, F.lit("2024-01-01").cast("timestamp"), tier="B")
-    return out.drop("added")
+    for batch, event, added in ((0, "first", "2024-01-01"), (1, "second", "2024-02-01 12:30:05"), (1, "third", "2024-03-01")):  # the last finds all places taken
+        own = points.where(F.col("batch") == batch).select("lon", "lat")
+        inventory.save_marks(spark, own, event, path, F.lit(added).cast("timestamp"), tier="B")
+    inventory.compact(spark, path, 1)
+    return inventory.read_inventory(spark, path)
+
+
+@query("interleaved_marks", f"""SELECT round_even(lon, 6) AS lon, round_even(lat, 6) AS lat, CASE WHEN batch = 0 THEN 'theirs' ELSE 'ours' END AS event FROM (
+  SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY batch, seq) AS n FROM v_marks) t WHERE n = 1""", ("v_marks",))
+def interleaved_marks(spark, d):
+    """Another run adds its marks after ours has read the inventory: ours looks again and nothing is lost or twice."""
+    path = Scratch(spark, "inventory").base
+    points = view(spark, d, "v_marks").orderBy("seq")
+    own = lambda batch, event: inventory.marks(points.where(F.col("batch") == batch).select("lon", "lat"), event, F.lit("2024-01-01").cast("timestamp"))
+    meets = [True]
+
+    def ours(stored):
+        if meets.pop() if meets else False:
+            inventory.commit(spark, path, lambda other: inventory.new_places(other, own(0, "theirs")))
+        return inventory.new_places(stored, own(1, "ours"))
+
+    inventory.commit(spark, path, ours)
+    return inventory.read_inventory(spark, path).select("lon", "lat", "event")
 
 
 @query("streamed_marks", f"""SELECT seq, event FROM (SELECT *, row_number() OVER (PARTITION BY CAST(round_even(lon * 10000, 0) AS BIGINT), CAST(round_even(lat * 10000, 0) AS BIGINT) ORDER BY batch, seq) AS n FROM v_marks) t WHERE n = 1""", ("v_marks",))
@@ -51,20 +74,41 @@ def _bin_sql(value: str, low: float, high: float, n: int) -> str:
 _STRATA = {"elev": (1999.9973, 2399.9973, 4), "slope": (-0.5, 45.5, 3)}
 
 
+_DRAW = "CAST('0x' || md5('0:' || row || ':' || col)[1:15] AS BIGINT)"
+
+
 @query("matched_absences", f""", cells AS (SELECT d.row, d.col, {_bin_sql("d.elev", *_STRATA["elev"])} AS elev_bin, {_bin_sql("s.slope", *_STRATA["slope"])} AS slope_bin, sca > 500 AS seen FROM v_dem d JOIN v_sca s ON s.row = d.row AND s.col = d.col),
-quota AS (SELECT elev_bin, slope_bin, 2 * count(*) AS q FROM cells WHERE seen GROUP BY ALL), free AS (SELECT elev_bin, slope_bin, count(*) AS n FROM cells WHERE NOT seen GROUP BY ALL)
-SELECT CAST(elev_bin AS BIGINT) AS elev_bin, CAST(slope_bin AS BIGINT) AS slope_bin, least(q, n) AS drawn FROM quota JOIN free USING (elev_bin, slope_bin)""", ("v_dem", "v_sca"))
+quota AS (SELECT elev_bin, slope_bin, 2 * count(*) AS q FROM cells WHERE seen GROUP BY ALL),
+free AS (SELECT *, row_number() OVER (PARTITION BY elev_bin, slope_bin ORDER BY {_DRAW}, row, col) AS n FROM cells WHERE NOT seen)
+SELECT row, col, CAST(elev_bin AS BIGINT) AS elev_bin, CAST(slope_bin AS BIGINT) AS slope_bin FROM quota JOIN free USING (elev_bin, slope_bin) WHERE n <= q""", ("v_dem", "v_sca"))
 def matched_absences(spark, d):
     cells = _dem(spark, d).join(view(spark, d, "v_sca"), ["row", "col"])
     drawn = sampling.matched_absences(cells.where("sca > 500"), cells, _STRATA, 2)
     bins = [F.width_bucket(F.col(c), F.lit(lo), F.lit(hi), F.lit(n)).alias(f"{c}_bin") for c, (lo, hi, n) in _STRATA.items()]
-    return drawn.select("row", "col", *bins).distinct().groupBy("elev_bin", "slope_bin").agg(F.count("*").alias("drawn"))
+    return drawn.select("row", "col", *bins)
 
 
-@query("spatial_blocks", f", {UTM} SELECT CAST(floor(x / 20000) AS BIGINT) AS bx, CAST(floor(y / 20000) AS BIGINT) AS by, count(*) AS n, CAST(1 AS BIGINT) AS folds FROM utm GROUP BY ALL", ("v_marks",))
+@query("spatial_blocks", f""", {UTM}, placed AS (SELECT seq, CAST(floor(x / 20000) AS BIGINT) AS bx, CAST(floor(y / 20000) AS BIGINT) AS by FROM utm)
+SELECT seq, bx, placed.by, CAST(CAST('0x' || md5('0:' || bx || ':' || placed.by)[1:15] AS BIGINT) % 5 AS INTEGER) AS fold FROM placed""", ("v_marks",))
 def spatial_blocks(spark, d):
-    placed = _xy(spark, d).select(F.floor(F.col("x") / 20000).alias("bx"), F.floor(F.col("y") / 20000).alias("by"), sampling.spatial_fold(F.col("x"), F.col("y"), 20000.0, 5).alias("fold"))
-    return placed.groupBy("bx", "by").agg(F.count("*").alias("n"), F.countDistinct("fold").alias("folds"))
+    x, y = F.col("x"), F.col("y")
+    return _xy(spark, d).select("seq", F.floor(x / 20000).alias("bx"), F.floor(y / 20000).alias("by"), sampling.spatial_fold(x, y, 20000.0, 5).alias("fold"))
+
+
+_E = repr(math.sqrt(geodesy.E2))
+_BELOW = lambda lat: f"(sin(radians({lat})) / (1 - {geodesy.E2!r} * pow(sin(radians({lat})), 2)) + ln((1 + {_E} * sin(radians({lat}))) / (1 - {_E} * sin(radians({lat})))) / (2 * {_E}))"
+
+
+@query("degree_areas", f""", size AS (SELECT floor(min(lon)) AS x0, ceil(max(lat)) AS y0 FROM v_marks),
+cells AS (SELECT DISTINCT event, CAST(floor((y0 - lat) / 0.05) AS INTEGER) AS row, CAST(floor((lon - x0) / 0.05) AS INTEGER) AS col, y0 FROM v_marks CROSS JOIN size)
+SELECT event, count(*) AS cells, round(sum(({_BELOW('y0 - row * 0.05')} - {_BELOW('y0 - row * 0.05 - 0.05')}) * {(geodesy.A * (1 - geodesy.FLAT)) ** 2 * math.radians(0.05) / 2!r}) / 100, 1) + 0.0 AS area_ha100 FROM cells GROUP BY event""", ("v_marks",))
+def degree_areas(spark, d):
+    """Areas of the cells with marks on a grid in degrees, by event, on the ellipsoid."""
+    rows = view(spark, d, "v_marks")
+    b = rows.agg(F.floor(F.min("lon")), F.ceil(F.max("lat"))).first()
+    grid = GridSpec(float(b[0]), float(b[1]), 0.05, 400, 400, "EPSG:4326")
+    cells = rows.select("event", grid.row(F.col("lat")).alias("row"), grid.col(F.col("lon")).alias("col")).distinct().withColumn("component", F.col("event"))
+    return components.degree_areas(cells, grid, ("event",)).select("event", "cells", (F.round(F.col("area_m2") / 100, 1) + 0.0).alias("area_ha100"))
 
 
 @query("fold_leaks", """, patches AS (SELECT CAST(seq % 7 AS INTEGER) AS fold, CAST(seq % 61 AS INTEGER) AS row, CAST(seq * 7 % 89 AS INTEGER) AS col FROM v_marks),

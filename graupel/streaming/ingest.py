@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import threading
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from graupel.functions.bands import grid_key
 from graupel.operators import inventory
@@ -21,6 +25,60 @@ def ingest_new(spark: SparkSession, source: str, schema: str, target: str, check
     return query
 
 
+class _Counts(StreamingQueryListener):
+    """Sums the observed metrics of one query until it ends."""
+
+    def __init__(self, name: str):
+        self.name, self.total, self.ended = name, {}, threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        seen = event.progress.observedMetrics.get(self.name)
+        for k, v in (seen.asDict() if seen is not None else {}).items():
+            self.total[k] = self.total.get(k, 0) + (v or 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
+
+
+def _files_landed(spark: SparkSession, checkpoint: str) -> int:
+    """Files that the stream's own log names."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/sources/0")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return 0
+    return spark.read.text(f"{checkpoint}/sources/0").where(F.startswith("value", F.lit("{"))).select(F.get_json_object("value", "$.path").alias("path")).distinct().count()
+
+
+def ingest_counted(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, valid: Column, transform=None, wait_s: float = 60) -> dict[str, int]:
+    """``ingest_new`` with a tally: files read and skipped (landed by an earlier run), rows landed and failed.
+
+    Rows for which ``valid`` isn't true fail: they are counted and left out.  The rows are counted by metrics observed on the stream,
+    which a listener adds up over all batches; files come from the stream's log.
+    """
+    name = f"ingest_{uuid.uuid4().hex}"
+    counts, before = _Counts(name), _files_landed(spark, checkpoint)
+    good = F.coalesce(valid, F.lit(False))
+
+    def counted(stream: DataFrame) -> DataFrame:
+        seen = stream.observe(name, F.count_if(good).alias("landed"), F.count_if(~good).alias("failed")).where(good)
+        return transform(seen) if transform else seen
+
+    spark.streams.addListener(counts)
+    try:
+        ingest_new(spark, source, schema, target, checkpoint, counted)
+        if not counts.ended.wait(wait_s):
+            raise RuntimeError("the stream's metrics didn't arrive")
+    finally:
+        spark.streams.removeListener(counts)
+    return {"files": _files_landed(spark, checkpoint) - before, "skipped": before, "landed": counts.total.get("landed", 0), "failed": counts.total.get("failed", 0)}
+
+
 def append_marks(stream: DataFrame, path: str, checkpoint: str):
     """Adds a stream of inventory rows, batch by batch, keep-first by place; returns the finished query.
 
@@ -29,8 +87,7 @@ def append_marks(stream: DataFrame, path: str, checkpoint: str):
     spark = stream.sparkSession
 
     def add(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            inventory.write_inventory(inventory.new_places(inventory.read_inventory(spark, path), batch), path)
+        inventory.commit(spark, path, lambda stored: inventory.new_places(stored, batch))
 
     query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -5,12 +5,14 @@ import json
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from graupel.functions import geodesy, predicates as P
 from graupel.model import GridSpec, clean, layer_grid
 from graupel.plans import terrain
+from graupel.sources import series
 from graupel.operators import components as C, graph, hydro, ingest, inventory, stencil, temporal, tiles, vector
 
 
@@ -349,7 +351,7 @@ def test_lost_segments_are_not_read(spark, tmp_path):
     path = str(tmp_path / "inventory")
     points = spark.createDataFrame([(77.1, 32.1)], "lon double, lat double")
     inventory.save_marks(spark, points, "a", path)
-    broken = tmp_path / "inventory" / "segment-00000002"
+    broken = tmp_path / "inventory" / "segment-of-a-lost-run"
     broken.mkdir()
     (broken / "part-0.csv").write_text("lon,lat,event,tier,zone,added\n1,2,x,A,release,\n")
     assert inventory.read_inventory(spark, path).count() == 1
@@ -361,12 +363,119 @@ def test_rings_of_a_holed_part_and_of_cells_that_touch(spark):
     holed = [(r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)]
     cells = [(r, c, 1) for r, c in holed] + [(10, 10, 2), (11, 11, 2)]
     labels = spark.createDataFrame(cells, "row int, col int, component long")
-    rings = C.outline_rings(labels)
+    rings = C.outline_rings(labels, turns=True)
     size = {(r["component"], r["count"]) for r in rings.groupBy("component", "ring").count().collect()}
     assert size == {(1, 12), (1, 4), (2, 4)} and rings.count() == 24
-    features = {f["properties"]["component"]: f["geometry"] for f in (json.loads(r["value"]) for r in C.outline_features(rings, GridSpec(100.0, 200.0, 10.0, 20, 20)).collect())}
+    features = {f["properties"]["component"]: f["geometry"] for f in (json.loads(r["value"]) for r in C.outline_features(rings, labels, GridSpec(100.0, 200.0, 10.0, 20, 20)).collect())}
     assert features[1]["type"] == "Polygon" and [len(x) for x in features[1]["coordinates"]] == [13, 5] and features[1]["coordinates"][0][0] == [100.0, 200.0]
-    assert features[2]["type"] == "MultiLineString" and all(x[0] == x[-1] for x in features[2]["coordinates"])
+    assert features[2]["type"] == "MultiPolygon" and all(len(x) == 1 and x[0][0] == x[0][-1] for x in features[2]["coordinates"])
+
+
+def test_holes_go_to_their_own_part(spark):
+    picture = """
+        ##########....
+        #.#..#..##....
+        #.####..##....
+        #..###.#.#.###
+        ####.#####.#.#
+        ..........####
+        """.split()
+    # the cell at (3, 7) touches the frame at corners from inside the frame's hole only by its own corner; a ring hangs on at the lower right
+    cells = {(r, c) for r, line in enumerate(picture) for c, x in enumerate(line) if x == "#"}
+    labels = C.label_cells(spark.createDataFrame(sorted(cells), "row int, col int"))
+    rings = C.outline_rings(labels, turns=True)
+    filled = set()
+    for r in C.outline_features(rings, labels, GridSpec(0.0, 0.0, 1.0, 20, 20)).collect():
+        g = json.loads(r["value"])["geometry"]
+        for part in g["coordinates"] if g["type"] == "MultiPolygon" else [g["coordinates"]]:
+            inside = lambda ring, x, y: sum(((a[1] > y) != (b[1] > y)) and x < a[0] for a, b in zip(ring, ring[1:])) % 2 == 1
+            for row in range(7):
+                for col in range(15):
+                    if inside(part[0], col + 0.5, -row - 0.5) and not any(inside(h, col + 0.5, -row - 0.5) for h in part[1:]):
+                        assert (row, col) not in filled
+                        filled.add((row, col))
+            for hole in part[1:]:  # lies in its own outer ring
+                top = max(hole, key=lambda p: (p[1], -p[0]))
+                assert inside(part[0], top[0] + 0.5, top[1] - 0.5)
+    assert filled == cells
+
+
+def test_commits_of_two_runs_and_compaction(spark, tmp_path):
+    path = str(tmp_path / "inventory")
+    rows = lambda event, *lons: inventory.marks(spark.createDataFrame([(x, 32.0) for x in lons], "lon double, lat double"), event, F.lit("2024-01-01").cast("timestamp"))
+    calls = []
+
+    def ours(stored):
+        calls.append(stored.count())
+        if len(calls) == 1:  # another run comes first
+            assert inventory.commit(spark, path, lambda other: inventory.new_places(other, rows("theirs", 77.1, 77.2))) == 1
+        return inventory.new_places(stored, rows("ours", 77.2, 77.3))
+
+    assert inventory.commit(spark, path, ours) == 2 and calls == [0, 2]
+    stored = inventory.read_inventory(spark, path)
+    assert sorted((r["lon"], r["event"]) for r in stored.collect()) == [(77.1, "theirs"), (77.2, "theirs"), (77.3, "ours")]
+    log = inventory.Log(spark, path)
+    assert not log.put(2, ["segment-x"]) and log.snapshot()[0] == 2
+    before = len(list((tmp_path / "inventory").iterdir()))
+    assert inventory.commit(spark, path, lambda s: inventory.new_places(s, rows("again", 77.1))) == 2
+    assert len(list((tmp_path / "inventory").iterdir())) == before and stored.count() == 3  # no empty segment
+    assert inventory.compact(spark, path, 1) == 3 and len(log.snapshot()[1]) == 1
+    assert stored.count() == 3 and inventory.read_inventory(spark, path).count() == 3  # the older version can still be read
+    with pytest.raises(RuntimeError):
+        inventory.commit(spark, path, lambda s: (log.put(log.snapshot()[0] + 1, log.snapshot()[1]), rows("never", 78.0))[1], attempts=2)
+
+
+def test_stored_series_opens_only_what_the_scenes_select(spark, tmp_path):
+    scenes = spark.createDataFrame([(f"{o}{m}", o, f"2024-{m:02d}-05") for o in "AD" for m in range(1, 7)], "scene_id string, orbit string, acq_date string").withColumn("acq_date", F.to_date("acq_date"))
+    pixels = scenes.select("scene_id").crossJoin(spark.range(600).select(F.col("id").cast("int").alias("row"), F.lit(1).alias("col"), F.lit(1.0).alias("vv")))
+    path = str(tmp_path / "series")
+    series.write_series(scenes, pixels, path, 2)
+    for f in (tmp_path / "series").glob("orbit=*/period=*/*.parquet"):
+        if not ("orbit=A" in str(f) and ("2024-02" in str(f) or "2024-03" in str(f))):
+            f.write_bytes(b"not to be opened")
+            (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    chosen = scenes.where("orbit = 'A' and acq_date >= '2024-02-01' and acq_date < '2024-04-01'")
+    got = series.read_series(spark, path, chosen, rows=(300, 399))
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString().lower()
+    assert {(r["scene_id"], r["count"]) for r in got.groupBy("scene_id").count().collect()} == {("A2", 100), ("A3", 100)}
+    daily = spark.createDataFrame([(f"20{y}-{m:02d}-09", 1, 2, 50) for y in (20, 21) for m in range(1, 13)], "day string, row int, col int, ndsi int").select(F.to_date("day").alias("obs_date"), "row", "col", "ndsi")
+    series.write_daily(daily, str(tmp_path / "daily"))
+    for f in (tmp_path / "daily").glob("year=*/month=*/*.parquet"):
+        if "year=2021" not in str(f) or int(f.parent.name[6:]) > 5:
+            f.write_bytes(b"not to be opened")
+            (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    some = series.read_daily(spark, str(tmp_path / "daily"), [2021], 1, 5)
+    assert some.count() == 5 and temporal.snow_duration(some, [2021]).first()["scd"] == 5
+
+
+def test_space_filling_order_reads_fewer_row_groups(spark, tmp_path):
+    rows = [(k, s, float(k * 7919 % 1000) + s, float(k * 104729 % 997)) for k in range(12_000) for s in range(2)]
+    lines = spark.createDataFrame(rows, "fid int, seq int, x double, y double")
+    vector.write_features(lines, str(tmp_path / "z"), row_group=4096)
+    plain = spark.read.parquet(str(tmp_path / "z"))
+    plain.repartitionByRange("ymin", "xmin").sortWithinPartitions("ymin", "xmin").write.option("parquet.block.size", 4096).parquet(str(tmp_path / "plain"))
+    box = (400.0, 400.0, 440.0, 640.0)
+
+    def met(folder):
+        groups = [pq.ParquetFile(f).metadata for f in (tmp_path / folder).glob("*.parquet")]
+        stats = [{m.row_group(i).column(j).path_in_schema: m.row_group(i).column(j).statistics for j in range(m.num_columns)} for m in groups for i in range(m.num_row_groups)]
+        return sum(s["xmin"].min <= box[2] and s["xmax"].max >= box[0] and s["ymin"].min <= box[3] and s["ymax"].max >= box[1] for s in stats), len(stats)
+
+    (z, of), (plain, _) = met("z"), met("plain")
+    assert of > 20 and 2 * z < plain, (z, plain, of)
+    want = {r[0] for r in rows if r[1] == 0 and box[0] - 1 <= r[2] <= box[2] and box[1] <= r[3] <= box[3]}
+    assert {r["fid"] for r in vector.read_features(spark, str(tmp_path / "z"), box).collect()} == want
+
+
+def test_cell_areas_on_the_ellipsoid(spark):
+    a, f = 6378137.0, 1 / 298.257223563
+    e2 = f * (2 - f)
+    for south, step in ((0.0, 0.05), (32.4, 0.01), (-60.0, 1.0), (89.0, 1.0)):
+        n = 20_000
+        mid = np.radians(south + (np.arange(n) + 0.5) * step / n)
+        want = (a * a * (1 - e2) * np.cos(mid) / (1 - e2 * np.sin(mid) ** 2) ** 2).sum() * math.radians(step) / n * math.radians(step)
+        got = spark.range(1).select(C.degree_cell_area(F.lit(south), F.lit(south + step), step)).first()[0]
+        assert abs(got - want) < max(1.0, 1e-8 * want)
 
 
 def test_box_scan_reaches_the_files(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graupel.operators import inventory, sampling
 from graupel.plans.baseline import fold_auc
@@ -25,6 +26,36 @@ def test_absences_match_strata_and_leaks_show(spark):
     assert sampling.leaks(near, 1).isEmpty() and sampling.leaks(near, 2).count() == 10
 
 
+def test_least_per_group_equals_ranking(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") < 5000, 1).otherwise(F.col("id") % 5).cast("int").alias("g"), F.col("id"), sampling.seeded(3, F.col("id") % 4000).alias("o"))
+    quota = spark.createDataFrame([(1, 700), (2, 5000), (3, 0), (7, 3)], "g int, _quota long")
+    got = sampling.least_per_group(rows, ["g"], "o", ("id",), quota)
+    ranked = rows.join(quota, "g").withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("o", "id"))).where("n <= _quota")
+    assert sorted((r["g"], r["id"]) for r in got.collect()) == sorted((r["g"], r["id"]) for r in ranked.collect())
+    # rows are ranked within a range of one group only: the window's largest partition is small
+    assert got.groupBy("g", F.shiftright("o", 44)).count().agg(F.max("count")).first()[0] <= 4
+
+
+def test_counts_of_a_stream_and_rows_in_a_window(spark, tmp_path):
+    src, out, log = (str(tmp_path / n) for n in ("src", "out", "log"))
+    spark.range(10).repartition(2).write.parquet(src)
+    run = lambda: stream.ingest_counted(spark, src, "id long", out, log, F.col("id") % 5 != 0)
+    assert run() == {"files": 2, "skipped": 0, "landed": 8, "failed": 2}
+    assert run() == {"files": 0, "skipped": 2, "landed": 0, "failed": 0}
+    spark.range(20, 23).coalesce(1).write.mode("append").parquet(src)
+    assert run() == {"files": 1, "skipped": 2, "landed": 2, "failed": 1}
+    assert spark.read.schema("id long").parquet(out).count() == 10
+
+    marks, kept = str(tmp_path / "marks"), str(tmp_path / "kept")
+    schema = "lon double, lat double, added timestamp"
+    for day, lon in (("2024-01-01", 77.1), ("2024-01-03", 77.1), ("2024-01-20", 77.3), ("2024-01-21", 77.1), ("2024-01-02", 77.5)):  # the last one is late
+        spark.createDataFrame([(lon, 32.0, day)], "lon double, lat double, added string").withColumn("added", F.to_timestamp("added")).coalesce(1).write.mode("append").parquet(marks)
+        first = stream.first_in_window(spark.readStream.schema(schema).parquet(marks), "7 days")
+        first.writeStream.format("parquet").option("path", kept).option("checkpointLocation", str(tmp_path / "marks_log")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((str(r["added"])[:10], r["lon"]) for r in spark.read.schema(schema).parquet(kept).collect())
+    assert got == [("2024-01-01", 77.1), ("2024-01-20", 77.3), ("2024-01-21", 77.1)]
+
+
 def test_baseline_separates_and_rejects_event_signals(spark):
     rows = [(float(k % 7), float(k % 3), int(k % 7 > 3), k % 2) for k in range(120)]
     df = spark.createDataFrame(rows, "slope double, tri double, label int, fold int")
