@@ -208,3 +208,74 @@ def test_line_dedup_with_clashing_names_and_many_repeated_lines(spark):
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
     assert {k: (r["text"], r["n_lines"], r["n_removed"], r["gone"], r["row"]) for k, r in got.items()} == {
         1: ("keep\nother line here", 3, 1, "g", "p"), 2: ("same old line\nend of it", 60_001, 59_999, "g", "p"), 3: ("", 1, 1, None, "p"), 4: (None, 0, 0, "g", None)}
+
+
+def tiles_by_hand(pattern, text, minimum):
+    """Covered words: again and again the longest free common run, of equals the first in pattern, then text."""
+    used_p, used_t, covered = [False] * len(pattern), [False] * len(text), 0
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(pattern)):
+            for t in range(len(text)):
+                n = 0
+                while p + n < len(pattern) and t + n < len(text) and pattern[p + n] == text[t + n] and not used_p[p + n] and not used_t[t + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, p, t)
+        n, p, t = best
+        if n < minimum:
+            return covered
+        used_p[p : p + n], used_t[t : t + n] = [True] * n, [True] * n
+        covered += n
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_contaminated_pairs_equal_brute_force(spark, monkeypatch, small):
+    from graupel.llm import decontaminate
+
+    if not small:
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 0)
+    rng = np.random.default_rng(9)
+    word = lambda k: [f"w{i}" for i in rng.integers(0, k, int(rng.integers(1, 26)))]
+    items = [(i, " ".join(word(3) if i % 2 else word(60))) for i in range(14)] + [(20, None), (21, ""), (22, "solo"), (23, "x " * 30), (None, "no id of this one item here"), (5, "same id other text of item five")]
+    items += [items[3], items[4], items[4]]
+    docs = [(k, " ".join(word(3)), "t") for k in range(12)] + [(40, None, "t"), (41, "", "t"), (42, "SOLO", "t"), (43, "x " * 25, "t"), (None, "well no id of this one item here ok", "t")]
+    for k in range(50, 62):  # reordered pieces of items
+        w = (items[k % 14][1] or "").split()
+        cut = len(w) // 2
+        docs.append((k, " ".join([*word(50), *w[cut:], *word(50), *w[:cut]]), "t"))
+    docs += [docs[-1], docs[-1], docs[13]]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _text string").withColumns({c: F.lit(c) for c in ("name", "doc", "item")}).repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    want = Counter()
+    for i, t in items:
+        p = (t or "").lower().split()
+        for d, x, _ in docs:
+            if p and (c := tiles_by_hand(p, (x or "").lower().split(), min(5, len(p)))) >= 0.5 * len(p):
+                want[d, i, len(p), c] += 1
+    assert len(want) > 12 and max(want.values()) >= 3
+    got = decontaminate.contamination(df, bench).collect()
+    assert Counter((r["doc_id"], r["item_id"], r["item_words"], r["covered"]) for r in got) == want
+    bad = {d for d, *_ in want}
+    left = decontaminate.decontaminate(df, bench)
+    assert left.columns == df.columns and Counter(r["doc_id"] for r in left.collect()) == Counter(d for d, _, _ in docs if d not in bad)
+    with pytest.raises(TypeError):
+        decontaminate.contamination(df, bench.withColumn("item_id", F.lit("x")))
+
+
+def test_repeated_words_cost_one_entry_a_diagonal():
+    import tracemalloc
+
+    from graupel.llm import decontaminate
+    from graupel.llm.text import Words
+
+    one = lambda n: np.full(n, 12345, np.uint64)
+    p, t, n = decontaminate.common_runs(one(2000), one(20_000), 5)
+    assert len(p) == 2000 - 4 + 20_000 - 4 - 1 and n.max() == 2000
+    raw = np.frombuffer(b"so " * 20_000, np.uint8)
+    items = decontaminate.Items.of(__import__("pyarrow").table({"item_id": [1], "text": ["so " * 2000]}), 5)
+    tracemalloc.start()
+    found = list(decontaminate._matches(Words(raw, np.array([0, len(raw)])), items, 0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r, i, t) for r, i, t in found] == [(0, 0, [(0, 0, 2000)])] and peak < 300 << 20
