@@ -8,9 +8,10 @@ next full one of its group, and a group is a band of ``ROWS`` values.  A pair wi
 shares a band with odds of about 0.98 at every length (tested); shorter lines, whose groups hold few windows, more likely.
 
 Equal bands make candidates, which pass a parity sketch (its distance never exceeds the symmetric difference) before
-the exact Jaccard test: each line with the smallest and the largest of its bands; then, in bands that still hold more than one
-component, the lines outside the largest one with all others, in blocks, until no link joins two components.  So every pair with a common band is decided.  Links become components; the
-first line of each component, by (id, text, place), stays.
+the exact Jaccard test: each line with the smallest and the largest of its bands; then, where a band still holds more than one
+component, the lines outside the largest one with all others in blocks.  Lines of bands of over ``BLOCK`` lines meet by their rarest windows instead
+(prefix filter: similar lines have one of these in common).  So every pair with a common band is decided, and a template that many unlike lines share
+makes no pairs.  Links become components; the first line of each component, by (id, text, place), stays.
 Null texts have no lines; rows with equal id and text count as one row (both keep the same lines).
 Empty tables give empty results; extra columns pass through.
 """
@@ -18,6 +19,7 @@ Empty tables give empty results; extra columns pass through.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from graupel.operators.graph import connected_components
 from graupel.session import Scratch
@@ -28,8 +30,8 @@ ROWS = 5
 NUM, DEN = 80, 100
 #: Shared bands and lines to be looked up are broadcast up to so many rows of 24 bytes (checked), else joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Lines of a band that one group of the comparison of all with all holds.
-BLOCK = 1024
+#: Lines of a block, and of a band whose lines are all compared.
+BLOCK = 256
 #: 64-bit words of the parity sketch.
 SKETCH = 8
 #: ASCII white space within a line.
@@ -104,40 +106,60 @@ def _apart(x: str, y: str) -> Column:
 
 
 def _stars(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Each line with the smallest and the largest line of its bands (a, b, apart), where their sketches are near."""
+    """Each line with the smallest and the largest line of its bands (a, b), where their sketches are near."""
     pairs = members.select(F.col("h").alias("b"), F.explode(F.array("low", "high")).alias("a")).where("a <> b").distinct()
     one = pairs.join(sketches.withColumnRenamed("h", "a"), "a").select("b", F.struct("a", "n", *[f"s{k}" for k in range(SKETCH)]).alias("x"))
     both = one.join(sketches.select(F.col("h").alias("b"), F.struct("n", *[f"s{k}" for k in range(SKETCH)]).alias("y")), "b")
-    return both.where(_near("x", "y")).select("x.a", "b", _apart("x", "y").alias("apart"))
+    return both.where(_near("x", "y")).select("x.a", "b")
 
 
-def _left_apart(members: DataFrame, comps: DataFrame, sketches: DataFrame, texts: DataFrame | None, scratch: Scratch) -> DataFrame:
-    """Lines and the nearest one by sketch of another component in one of their bands (a, b), by comparing bands block by block.
+def _open_bands(members: DataFrame, comps: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """band, h, comp, major (the band's largest component) and m (its lines) for bands that hold several components; bands of the same lines count once."""
+    known = members.select("band", "h", F.col("h").alias("comp")) if comps is None else members.join(comps, members["h"] == comps["node"], "left").select("band", "h", F.coalesce("component", "h").alias("comp"))
+    placed = scratch.save(known, "placed")
+    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("m"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("sign"))
+    several = sizes.groupBy("band").agg(F.max(F.struct("m", "comp"))["comp"].alias("major"), F.sum("m").alias("m"), F.count("*").alias("comps"), F.sum("sign").alias("sign")).where("comps > 1")
+    once = several.groupBy("sign", "m", "major").agg(F.min("band").alias("band")).drop("sign")
+    return scratch.save(placed.join(once, "band"), "open")
+
+
+def _posts(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """h, comp and each of the line's rarest windows (band), so many that two similar lines have one of these in common."""
+    grams = lines.join(texts, "h").select("h", "comp", _grams(F.col("line")).alias("g")).select("h", "comp", F.size("g").alias("n"), F.explode("g").alias("x"))
+    often = grams.groupBy("x").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("h").orderBy("often", "x"))
+    rare = grams.join(often, "x").withColumn("rank", rank).where(F.col("rank") <= F.floor(F.col("n") * (DEN - NUM) / DEN) + 1)
+    return rare.where("often > 1").select(F.xxhash64("x").alias("band"), "h", "comp")
 
-    In a band, the lines outside its largest component meet all others, so one that is nearly joined costs little.
-    With ``texts``: for each line and other component the nearest one that has the similarity.
+
+def _links_apart(members: DataFrame, comps: DataFrame | None, sketches: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Two components (a, b) for every two that a pair of similar lines with a common band joins.
+
+    A band of up to ``BLOCK`` lines is compared as it is.  Lines of larger ones meet by their rarest windows instead, of which similar lines have
+    one in common, so lines that share a template only don't meet.  In each meeting the lines outside its largest component
+    are compared with blocks of all its lines; a block gives a component once for each line, however many of its lines are similar.
     """
-    placed = scratch.save(members.join(comps, members["h"] == comps["node"], "left").select("band", "h", F.coalesce("component", "h").alias("comp")), "placed")
-    sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("m"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("sign"))
-    open_ = sizes.groupBy("band").agg(F.max(F.struct("m", "comp"))["comp"].alias("major"), F.sum("m").alias("m"), F.count("*").alias("comps"), F.sum("sign").alias("sign")).where("comps > 1")
-    open_ = open_.groupBy("sign", "m", "major").agg(F.min("band").alias("band"))  # bands of the same lines count once
-    rows = scratch.save(placed.join(open_.select("band", "major", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "band"), "open")
-    if rows.isEmpty():
-        return rows.select(F.col("h").alias("a"), F.col("h").alias("b"))
-    exact = texts is not None
-    full = rows.join(sketches.join(texts, "h") if exact else sketches, "h").select(
-        "band", "h", "comp", (F.col("comp") == F.col("major")).alias("is_major"), "n", *["line"] * exact, *[f"s{k}" for k in range(SKETCH)], "blocks", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int").alias("block"))
-    x = full.where("not is_major").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).alias("x")
-    y = full.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).alias("y")
-    near = (F.col("x.comp") != F.col("y.comp")) & (F.col("y.is_major") | (F.col("x.h") < F.col("y.h"))) & _near("x", "y")
-    if exact:
-        near = near & (F.size(F.array_intersect(_grams(F.col("x.line")), _grams(F.col("y.line")))) * (DEN + NUM) >= (F.col("x.n") + F.col("y.n")) * NUM)
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.block") == F.col("y.i")) & (F.col("x.j") == F.col("y.block")) & near)
-    end = lambda p, q: F.struct(F.col(f"{p}.h").alias("a"), F.col(f"{q}.comp").alias("comp"), F.struct(_apart("x", "y").alias("apart"), F.col(f"{q}.h").alias("b")).alias("near"))
-    best = met.select(F.explode(F.array(end("x", "y"), end("y", "x"))).alias("e")).select("e.*").groupBy("a", *["comp"] * exact).agg(F.min("near").alias("near"))
-    found = scratch.save(best.select("a", F.col("near.b").alias("b")), "near")
-    scratch.free(rows, placed)
-    return found
+    rows = _open_bands(members, comps, scratch)
+    large = rows.where(F.col("m") > BLOCK).select("h", "comp").distinct()
+    if not large.isEmpty():
+        posts = scratch.save(_posts(large, texts), "posts")
+        own = posts.select("h", F.col("comp").alias("component")).distinct().withColumnRenamed("h", "node")
+        rows = rows.where(F.col("m") <= BLOCK).unionByName(_open_bands(posts.select("band", "h"), own, scratch))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    words = [f"s{k}" for k in range(SKETCH)]
+    some = texts.join(rows.select("h").distinct(), "h", "left_semi").join(sketches, "h").select("h", "n", *words, _grams(F.col("line")).alias("g"))
+    full = rows.join(scratch.save(some, "grams"), "h").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("h"), blocks).cast("int")})
+    held = full.groupBy("band", "block").agg(F.collect_list(F.struct("comp", "n", *words, "g")).alias("ys"))
+    asks = full.where("comp <> major").select("band", "comp", "n", *words, "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def similar(y: Column) -> Column:
+        total = F.col("n") + y["n"]
+        apart = sum((F.bit_count(F.col(w).bitwiseXOR(y[w])) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(y[words[0]])))
+        fits = (F.least(F.col("n"), y["n"]) * DEN >= F.greatest(F.col("n"), y["n"]) * NUM) & (apart * (DEN + NUM) <= total * (DEN - NUM))
+        return (y["comp"] != F.col("comp")) & fits & (F.size(F.array_intersect(F.col("g"), y["g"])) * (DEN + NUM) >= total * NUM)
+
+    found = F.array_distinct(F.transform(F.filter("ys", similar), lambda y: y["comp"]))
+    return asks.join(held, ["band", "block"]).select(F.col("comp").alias("a"), F.explode(found).alias("b")).distinct()
 
 
 def line_components(lines: DataFrame, scratch: Scratch) -> DataFrame:
@@ -146,29 +168,17 @@ def line_components(lines: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = scratch.save(members.select("h").distinct(), "wanted")
     texts = scratch.save(_texts(lines, wanted, wanted.count()), "texts")
     sketches = scratch.save(_sketches(texts), "sketches")
-    stars = scratch.save(_stars(members, sketches), "stars")
     side = lambda p: texts.select(F.col("h").alias(p), F.col("line").alias(f"t{p}"))
-    comps: DataFrame | None = None
-
-    def join(pairs: DataFrame, known: bool = False) -> None:
-        """The components after those of the pairs that have the similarity."""
-        nonlocal comps
-        if not known:
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            pairs = scratch.save(pairs.join(side("a"), "a").join(side("b"), "b").where(_exactly(F.col("ta"), F.col("tb"))).select("a", "b"), "links")
-        edges = pairs if comps is None else comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(pairs)
-        comps = scratch.save(connected_components(edges, scratch=scratch), "components")
-
-    # the nearest end of the stars of each line, then those that join components
-    join(stars.groupBy("b").agg(F.min(F.struct("apart", "a"))["a"].alias("a")))
-    named = lambda df, p: df.join(comps.select(F.col("node").alias(p), F.col("component").alias(f"c{p}")), p, "left")
-    join(named(named(stars, "a"), "b").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")))
-    # what the stars leave apart: the nearest line of each, then all pairs between components, until none is left
-    join(_left_apart(members, comps, sketches, None, scratch))
-    while not (more := _left_apart(members, comps, sketches, texts, scratch)).isEmpty():
-        members = members.join(more.select(F.col("a").alias("h")).distinct(), "h", "left_semi")
-        join(more, True)
-    return comps
+    # most links by the smallest and the largest line of each band
+    stars = _stars(members, sketches).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = stars.join(side("a"), "a").join(side("b"), "b").where(_exactly(F.col("ta"), F.col("tb"))).select("a", "b")
+    comps = scratch.save(connected_components(scratch.save(near, "links"), scratch=scratch), "stars")
+    # then whatever joins two components: each such pair of components is found, so once is enough
+    more = scratch.save(_links_apart(members, comps, sketches, texts, scratch), "more")
+    if more.isEmpty():
+        return comps
+    edges = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+    return scratch.save(connected_components(edges, scratch=scratch), "all")
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:

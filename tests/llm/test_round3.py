@@ -279,3 +279,22 @@ def test_repeated_words_cost_one_entry_a_diagonal():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert [(r, i, t) for r, i, t in found] == [(0, 0, [(0, 0, 2000)])] and peak < 300 << 20
+
+
+def test_template_lines_make_no_pairs(spark):
+    """Lines with 150 of 190 characters in common, none of them similar: what they are compared with doesn't grow with their number."""
+    from graupel.llm import line_dedup
+
+    rng = np.random.default_rng(4)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    form = letters(150)
+    met = []
+    for n in (500, 2000):
+        lines = spark.createDataFrame([(form[:75] + letters(40) + form[75:],) for _ in range(n)], "line string").select(F.xxhash64("line").alias("h"), "line")
+        scratch = line_dedup.Scratch(spark, "template")
+        members = line_dedup._members(scratch.save(line_dedup._bands(lines), "bands"), scratch)
+        assert members.groupBy("band").count().agg(F.max("count")).first()[0] > line_dedup.BLOCK / 4
+        posts = scratch.save(line_dedup._posts(lines.select("h", F.col("h").alias("comp")), lines), "posts")
+        met.append(sum(r["count"] * (r["count"] - 1) // 2 for r in posts.groupBy("band").count().collect()) / n)
+    assert met[1] < 2 and met[0] < 2, met
+    assert line_dedup.line_components(lines, scratch).count() == 0
