@@ -145,21 +145,40 @@ def _links_apart(members: DataFrame, comps: DataFrame | None, sketches: DataFram
         posts = scratch.save(_posts(large, texts), "posts")
         own = posts.select("h", F.col("comp").alias("component")).distinct().withColumnRenamed("h", "node")
         rows = rows.where(F.col("m") <= BLOCK).unionByName(_open_bands(posts.select("band", "h"), own, scratch))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     words = [f"s{k}" for k in range(SKETCH)]
-    some = texts.join(rows.select("h").distinct(), "h", "left_semi").join(sketches, "h").select("h", "n", *words, _grams(F.col("line")).alias("g"))
-    full = rows.join(scratch.save(some, "grams"), "h").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("h"), blocks).cast("int")})
-    held = full.groupBy("band", "block").agg(F.collect_list(F.struct("comp", "n", *words, "g")).alias("ys"))
-    asks = full.where("comp <> major").select("band", "comp", "n", *words, "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-
-    def similar(y: Column) -> Column:
-        total = F.col("n") + y["n"]
-        apart = sum((F.bit_count(F.col(w).bitwiseXOR(y[w])) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(y[words[0]])))
-        fits = (F.least(F.col("n"), y["n"]) * DEN >= F.greatest(F.col("n"), y["n"]) * NUM) & (apart * (DEN + NUM) <= total * (DEN - NUM))
-        return (y["comp"] != F.col("comp")) & fits & (F.size(F.array_intersect(F.col("g"), y["g"])) * (DEN + NUM) >= total * NUM)
-
-    found = F.array_distinct(F.transform(F.filter("ys", similar), lambda y: y["comp"]))
-    return asks.join(held, ["band", "block"]).select(F.col("comp").alias("a"), F.explode(found).alias("b")).distinct()
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = rows.join(sketches, "h").select("band", "h", "comp", (F.col("comp") == F.col("major")).alias("inner"), "n", *words, blocks.alias("blocks"), F.pmod(F.xxhash64("h"), blocks).cast("int").alias("block"))
+    # first by size and sketch: the places of lines that have a line of another component near them
+    maybe = scratch.save(_against_blocks(rows, ["inner", "n", *words], ["h"], lambda y: _could(y, words) & ~(F.col("inner") & y["inner"]), None), "maybe")
+    # then these lines by their windows
+    some = rows.join(maybe.select("band", "h").distinct(), ["band", "h"], "left_semi")
+    grams = texts.join(maybe.select("h").distinct(), "h", "left_semi").select("h", _grams(F.col("line")).alias("g"))
+    full = scratch.save(some.join(grams, "h"), "near")
+    enough = lambda y: F.size(F.array_intersect(F.col("g"), y["g"])) * (DEN + NUM) >= (F.col("n") + y["n"]) * NUM
+    return _against_blocks(full, ["inner", "n", *words, "g"], [], lambda y: _could(y, words) & ~(F.col("inner") & y["inner"]) & enough(y), "comp")
+
+
+def _could(y: Column, words: list[str]) -> Column:
+    """Whether component, sizes and sketches of a line and an entry of a block allow a link."""
+    total = F.col("n") + y["n"]
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(y[w])) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(y[words[0]])))
+    return (y["comp"] != F.col("comp")) & (F.least(F.col("n"), y["n"]) * DEN >= F.greatest(F.col("n"), y["n"]) * NUM) & (apart * (DEN + NUM) <= total * (DEN - NUM))
+
+
+def _against_blocks(rows: DataFrame, values: list[str], keep: list[str], fits, found: str | None) -> DataFrame:
+    """Each line of a band against blocks of the band's lines.
+
+    Without ``found``: band and ``keep`` of the lines for which some entry ``fits``; with it: the components (a, b) of lines and fitting entries.
+    """
+    held = rows.groupBy("band", "block").agg(F.collect_list(F.struct("comp", *values)).alias("ys"))
+    # lines of the largest component only ask where that finds the other end, too
+    asks = rows if found is None else rows.where(~F.col("inner"))
+    asks = asks.select("band", "comp", *keep, *values, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    met = asks.join(held, ["band", "block"])
+    if found is None:
+        return met.where(F.exists("ys", fits)).select("band", *keep).distinct()
+    others = F.array_distinct(F.transform(F.filter("ys", fits), lambda y: y["comp"]))
+    return met.select(F.col("comp").alias("a"), F.explode(others).alias("b")).distinct()
 
 
 def line_components(lines: DataFrame, scratch: Scratch) -> DataFrame:
