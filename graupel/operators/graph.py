@@ -7,7 +7,7 @@ edges is split by adaptive skew handling and never gathered in one group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from graupel.session import Scratch
 
@@ -27,11 +27,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.union(low.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _written(edges: DataFrame, scratch: Scratch, name: str):
-    """The written table, and number and sum of its edges' hashes, counted while it is written."""
-    seen = Observation()
-    out = scratch.save(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sign")), name)
-    return out, (seen.get["n"], seen.get["sign"])
+def _state(edges: DataFrame):
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
@@ -42,11 +39,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", scratch:
     """
     scratch = scratch or Scratch(edges.sparkSession, "components")
     cur = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
-    cur, state = _written(cur.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), scratch, "edges")
+    cur = scratch.save(cur.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    state = _state(cur)
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        nxt, new = _written(_small_star(_large_star(cur)), scratch, "round")
+        nxt = scratch.save(_small_star(_large_star(cur)), "round")
+        new = _state(nxt)
         scratch.free(cur)
         cur = nxt
         if new == state:

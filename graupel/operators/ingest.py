@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from graupel.operators import regrid
 from graupel.functions.predicates import file_in_window
 
 
@@ -42,13 +46,22 @@ def read_layer(spark: SparkSession, path: str, layer: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("layer") == layer)
 
 
-def export_layer(cells: DataFrame, grid, area, name: str) -> DataFrame:
-    """The cells in the area as layer ``base_<name>`` of FLOAT values."""
+def export_layer(cells: DataFrame, grid, area, name: str, scale: float | None = None) -> DataFrame:
+    """The cells in the area as layer ``base_<name>`` of FLOAT values; with ``scale`` resampled to the area's grid of that cell size (categorical names by the nearest cell)."""
+    if scale and scale != grid.px:
+        target = regrid.area_grid(area, scale, grid.crs)
+        method = "nearest" if regrid.CATEGORICAL in name.lower() else "bilinear"
+        cells, grid = regrid.regrid(cells, grid, target, "value", method), target
     x, y = grid.x(F.col("col")), grid.y(F.col("row"))
     inside = cells.where((x >= area[0]) & (y >= area[1]) & (x <= area[2]) & (y <= area[3]))
     return inside.select(F.lit(f"base_{name}").alias("layer"), "row", "col", F.col("value").cast("float").alias("value"))
 
 
+def parameters(**values) -> str:
+    """A short digest of the parameters of a layer, the same for the same values in any order."""
+    return hashlib.sha256(json.dumps(values, sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
 def missing_layers(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Wanted (layer, params) not in the catalog of finished layers."""
+    """Wanted (layer, params) not in the catalog of finished layers; ``params`` from ``parameters``."""
     return wanted.join(catalog, ["layer", "params"], "left_anti")

@@ -6,7 +6,7 @@ import json
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from graupel.functions.bands import grid_key
@@ -101,9 +101,9 @@ class Log:
 
     def write_segment(self, rows: DataFrame) -> str | None:
         """The name of a new segment; None (and no folder) if there are no rows."""
-        name, seen = f"segment-{uuid.uuid4().hex}", Observation()
-        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.csv(f"{self.path}/{name}", header=True)
-        if seen.get["n"]:
+        name = f"segment-{uuid.uuid4().hex}"
+        rows.write.csv(f"{self.path}/{name}", header=True)
+        if not self.read([name]).isEmpty():
             return name
         fs, at = self._at(name)
         fs.delete(at, True)

@@ -86,9 +86,3 @@ def sample_stack(points: DataFrame, stack: DataFrame, grid: GridSpec) -> DataFra
 def patches(cells: DataFrame, size: int = 256) -> DataFrame:
     """Dense patches without overlap: layer, tile_row, tile_col, size, data."""
     return to_tiles(cells, size)
-
-
-def require_no_event_signal(columns: list[str], event_columns: set[str]) -> None:
-    """Signals of the event window are never predictors."""
-    if found := event_columns.intersection(columns):
-        raise ValueError(f"predictors hold signals of the event window: {sorted(found)}")

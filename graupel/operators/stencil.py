@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from graupel.functions.bands import eastness, northness
+from graupel.functions.lineage import passed_on
 
 
 TILE = 128
@@ -175,4 +176,4 @@ def focal(cells: DataFrame, values: list[str], radius_cells: float, how: str = "
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*keys, "row", "col").schema.fields)
     got = with_halo(cells.select(*keys, "row", "col", *values), tile, reach).groupBy(*keys, "tr", "tc").applyInPandas(over, f"{kinds}, " + ", ".join(f"{v} double" for v in values))
-    return got.select(*keys, "row", "col", *[F.when(~F.isnan(v), F.col(v)).alias(v) for v in values])
+    return passed_on(got.select(*keys, "row", "col", *[F.when(~F.isnan(v), F.col(v)).alias(v) for v in values]), cells)

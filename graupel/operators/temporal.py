@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from graupel.functions.bands import to_db, to_linear
+from graupel.functions.lineage import of_event, passed_on
 from graupel.functions.predicates import in_window, snow_day
 
 
@@ -34,13 +35,14 @@ def composite_change(series: DataFrame, reference, activity, median: bool = Fals
             return F.median(F.when(window, F.col(band)))
         return to_db(F.avg(F.when(window, to_linear(F.col(band)))))
 
-    bands = [reduced(b, w).alias(f"{b}_{n}") for b in ("vv", "vh") for n, w in (("ref", ref), ("act", act))]
+    bands = [reduced(b, ref).alias(f"{b}_ref") for b in ("vv", "vh")] + [of_event(reduced(b, act), f"{b}_act") for b in ("vv", "vh")]
     return series.groupBy(*keys).agg(*bands, F.avg(F.when(act, F.col("angle"))).alias("angle"))
 
 
 def difference(composites: DataFrame) -> DataFrame:
     """Adds dvv, dvh (NULL where a window has no value) and drops cells without both."""
-    return composites.withColumns({"dvv": F.col("vv_act") - F.col("vv_ref"), "dvh": F.col("vh_act") - F.col("vh_ref")}).where("dvv is not null and dvh is not null")
+    out = composites.withColumns({"dvv": F.col("vv_act") - F.col("vv_ref"), "dvh": F.col("vh_act") - F.col("vh_ref")}).where("dvv is not null and dvh is not null")
+    return passed_on(out, composites, {"dvv": ["vv_act", "vv_ref"], "dvh": ["vh_act", "vh_ref"]})
 
 
 def season_climate(monthly: DataFrame, months: list[int]) -> DataFrame:

@@ -8,15 +8,11 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from graupel.operators.sampling import require_no_event_signal
-
-#: Radar change of the event window describes the event, so no model may see it.
-EVENT_SIGNALS = {"dvv", "dvh", "vv_act", "vh_act"}
-
+from graupel.functions.lineage import require_no_event_signal
 
 def fold_auc(samples: DataFrame, features: list[str], label: str = "label", fold: str = "fold", folds: int = 5, trees: int = 100, seed: int = 7) -> DataFrame:
-    """model, fold, auc: each fold is scored by models of the others."""
-    require_no_event_signal(features, EVENT_SIGNALS)
+    """model, fold, auc: each fold is scored by models of the others; features tagged with the event's window are refused."""
+    require_no_event_signal(samples, features)
     spark = samples.sparkSession
     known = samples.na.drop(subset=features).withColumn("_label", F.col(label).cast("double"))
     first = VectorAssembler(inputCols=features, outputCol="_raw")

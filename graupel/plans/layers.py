@@ -8,6 +8,9 @@ from graupel.functions import predicates as P
 from graupel.model import ANALYSIS_YEARS, SEASON_MONTHS, GridSpec
 from graupel.operators import ingest, regrid, temporal, vector
 
+# fixed values: cell size of each base layer in metres
+SCALES = {"nasadem_elevation": 30.0, "worldclim_temp_winter": 1000.0, "worldclim_precip_winter": 1000.0, "esa_worldcover": 10.0, "modis_scd": 500.0}
+
 
 def compute_distances(vertices: DataFrame, grid: GridSpec, layers: list[str], forward: regrid.Transform | None = None) -> DataFrame:
     """layer, row, col, distance to the lines of each layer, all layers in one job.
@@ -23,8 +26,11 @@ def compute_distances(vertices: DataFrame, grid: GridSpec, layers: list[str], fo
     return vector.distance_transform(vector.rasterize_lines(lines, grid), grid, layers)
 
 
-def base_layers(elevation: DataFrame, monthly: DataFrame, landcover: DataFrame, daily_snow: DataFrame, grid: GridSpec, area, years: list[int] = ANALYSIS_YEARS) -> DataFrame:
-    """layer, row, col, value of elevation, winter temperature and precipitation, land cover and snow duration in the area."""
+def base_layers(elevation: DataFrame, monthly: DataFrame, landcover: DataFrame, daily_snow: DataFrame, grid: GridSpec, area, years: list[int] = ANALYSIS_YEARS, scales: dict[str, float] | None = None) -> DataFrame:
+    """layer, row, col, value of elevation, winter temperature and precipitation, land cover and snow duration in the area.
+
+    ``scales`` names the cell size of a layer's own grid over the area (``SCALES``); others keep the source's cells.
+    """
     climate = temporal.season_climate(monthly, SEASON_MONTHS)
     parts = [
         (elevation.select("row", "col", F.col("elev").alias("value")), "nasadem_elevation"),
@@ -35,7 +41,7 @@ def base_layers(elevation: DataFrame, monthly: DataFrame, landcover: DataFrame,
     ]
     out = None
     for cells, name in parts:
-        layer = ingest.export_layer(cells, grid, area, name)
+        layer = ingest.export_layer(cells, grid, area, name, (scales or {}).get(name))
         out = layer if out is None else out.unionByName(layer)
     return out
 

@@ -495,3 +495,34 @@ def base_layers(spark, d):
     grid = _line_grid(spark, d)
     out = layers.base_layers(_dem(spark, d), view(spark, d, "v_monthly"), view(spark, d, "v_landcover"), view(spark, d, "v_daily_snow"), grid, (300.0, 0.0, 2400.0, grid.y0), list(range(1995, 2002)))
     return out.withColumn("value", R(F.col("value").cast("double"), 3))
+
+
+_AREA = (300.0, 0.0, 2400.0)
+
+
+def _scaled_sql(layer: str, source: str, scale: float, nearest: bool = False) -> str:
+    """A layer on the area's own grid of ``scale``."""
+    x0, width = _AREA[0] // scale * scale, int(-(-(_AREA[2] - _AREA[0] // scale * scale) // scale))
+    target = f"""SELECT r, c, (y0 - (ceil(y0 / {scale}) * {scale} - (r + 0.5) * {scale})) / 30 AS v, ({x0} + (c + 0.5) * {scale}) / 30 AS u,
+      {x0} + (c + 0.5) * {scale} AS x, ceil(y0 / {scale}) * {scale} - (r + 0.5) * {scale} AS y, y0 FROM (SELECT height * 30.0 AS y0, unnest(range(CAST(ceil(ceil(height * 30.0 / {scale})) AS BIGINT))) AS r FROM size) a CROSS JOIN (SELECT unnest(range({width})) AS c) b"""
+    clip = f"x BETWEEN {_AREA[0]} AND {_AREA[2]} AND y BETWEEN 0 AND y0"
+    if nearest:
+        return f"SELECT '{layer}' AS layer, r, c, s.value FROM ({target}) t JOIN {source} s ON s.row = floor(v) AND s.col = floor(u) WHERE {clip}"
+    return f"""SELECT '{layer}' AS layer, r, c, sum(wt * s.value) / sum(wt) AS value FROM (SELECT *, floor(v - 0.5) + i AS sr, floor(u - 0.5) + j AS sc,
+      (CASE WHEN i = 1 THEN v - 0.5 - floor(v - 0.5) ELSE 1 - (v - 0.5 - floor(v - 0.5)) END) * (CASE WHEN j = 1 THEN u - 0.5 - floor(u - 0.5) ELSE 1 - (u - 0.5 - floor(u - 0.5)) END) AS wt
+      FROM ({target}) t CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j)) k JOIN {source} s ON s.row = sr AND s.col = sc WHERE wt > 0 AND s.value IS NOT NULL AND {clip} GROUP BY r, c"""
+
+
+@query("base_layers_scaled", f""", size AS (SELECT max(row) + 1 AS height FROM v_dem), climate AS (SELECT row, col, avg(tavg) * 0.1 AS t, CAST(sum(prec) AS DOUBLE) AS p FROM v_monthly WHERE month BETWEEN 1 AND 5 GROUP BY row, col),
+yearly AS (SELECT row, col, year(obs_date) AS y, sum(CASE WHEN ndsi BETWEEN 40 AND 100 THEN 1 WHEN ndsi IS NOT NULL THEN 0 END) AS days FROM v_daily_snow WHERE year(obs_date) BETWEEN 1995 AND 2001 AND month(obs_date) BETWEEN 1 AND 5 GROUP BY ALL),
+s_t AS (SELECT row, col, t AS value FROM climate), s_p AS (SELECT row, col, p AS value FROM climate), s_l AS (SELECT row, col, CAST(lulc AS DOUBLE) AS value FROM v_landcover WHERE version = 1),
+s_d AS (SELECT row, col, avg(days) AS value FROM yearly GROUP BY row, col),
+u AS (SELECT 'base_nasadem_elevation' AS layer, row AS r, col AS c, elev AS value FROM v_dem WHERE (col + 0.5) * 30 BETWEEN {_AREA[0]} AND {_AREA[2]}
+  UNION ALL {_scaled_sql("base_worldclim_temp_winter", "s_t", 1000.0)} UNION ALL {_scaled_sql("base_worldclim_precip_winter", "s_p", 1000.0)}
+  UNION ALL {_scaled_sql("base_esa_worldcover", "s_l", 10.0, True)} UNION ALL {_scaled_sql("base_modis_scd", "s_d", 500.0)})
+SELECT layer, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 2) + 0.0 AS value FROM u""", ("v_dem", "v_monthly", "v_landcover", "v_daily_snow"))
+def base_layers_scaled(spark, d):
+    """Every base layer at its own cell size."""
+    grid = _line_grid(spark, d)
+    out = layers.base_layers(_dem(spark, d), view(spark, d, "v_monthly"), view(spark, d, "v_landcover"), view(spark, d, "v_daily_snow"), grid, (*_AREA, grid.y0), list(range(1995, 2002)), layers.SCALES)
+    return out.withColumn("value", R(F.col("value").cast("double"), 2))

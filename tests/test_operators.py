@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from graupel.functions import geodesy, predicates as P
 from graupel.model import GridSpec, clean, layer_grid
-from graupel.plans import terrain
+from graupel.plans import layers, terrain
 from graupel.sources import series
-from graupel.operators import components as C, graph, hydro, ingest, inventory, stencil, temporal, tiles, vector
+from graupel.operators import components as C, graph, hydro, ingest, inventory, regrid, stencil, temporal, tiles, vector
 
 
 def grid(spark, z, name="elev"):
@@ -467,6 +467,32 @@ def test_space_filling_order_reads_fewer_row_groups(spark, tmp_path):
     assert {r["fid"] for r in vector.read_features(spark, str(tmp_path / "z"), box).collect()} == want
 
 
+def test_regridding_doesnt_depend_on_tiles(spark):
+    rng = np.random.default_rng(6)
+    z = rng.normal(size=(23, 19))
+    z[rng.random(z.shape) < 0.1] = np.nan
+    source, target = GridSpec(100.0, 500.0, 10.0, 19, 23), GridSpec(93.0, 507.0, 7.0, 30, 36)
+    u, v = ((93.0 + (np.arange(30) + 0.5) * 7 - 100) / 10), ((500.0 - (507.0 - (np.arange(36) + 0.5) * 7)) / 10)
+    for method in ("nearest", "bilinear"):
+        for tile in (4, 256):
+            got = table(regrid.regrid(grid(spark, z), source, target, "elev", method, tile=tile), "elev", (36, 30))
+            for r in range(36):
+                for c in range(30):
+                    total = weight = 0.0
+                    for i, j, w in [(math.floor(v[r]), math.floor(u[c]), 1.0)] if method == "nearest" else [(math.floor(v[r] - 0.5) + i, math.floor(u[c] - 0.5) + j, (1 - abs(v[r] - 0.5 - math.floor(v[r] - 0.5) - i)) * (1 - abs(u[c] - 0.5 - math.floor(u[c] - 0.5) - j))) for i in (0, 1) for j in (0, 1)]:
+                        if w > 0 and 0 <= i < 23 and 0 <= j < 19 and not np.isnan(z[i, j]):
+                            total, weight = total + w * z[i, j], weight + w
+                    assert np.isnan(got[r, c]) if not weight else got[r, c] == pytest.approx(total / weight)
+    with pytest.raises(ValueError):
+        regrid.regrid(grid(spark, z), source, target, "elev", "cubic")
+
+
+def test_guards_and_parameters(spark):
+    with pytest.raises(ValueError):
+        layers.compute_distances(spark.createDataFrame([], "layer string, fid int, seq int, geom_type string, x double, y double"), GridSpec(77.0, 33.0, 0.01, 10, 10, "EPSG:4326"), ["road"])
+    assert ingest.parameters(scale=30, crs="x") == ingest.parameters(crs="x", scale=30) != ingest.parameters(crs="x", scale=10)
+
+
 def test_cell_areas_on_the_ellipsoid(spark):
     a, f = 6378137.0, 1 / 298.257223563
     e2 = f * (2 - f)

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graupel.operators import inventory, sampling
+from graupel.functions import lineage
+from graupel.operators import inventory, sampling, stencil, temporal
 from graupel.plans.baseline import fold_auc
 from graupel.streaming import ingest as stream
 
@@ -61,8 +62,26 @@ def test_baseline_separates_and_rejects_event_signals(spark):
     df = spark.createDataFrame(rows, "slope double, tri double, label int, fold int")
     out = fold_auc(df, ["slope", "tri"], folds=2, trees=5).collect()
     assert len(out) == 4 and all(r["auc"] > 0.95 for r in out)
-    with pytest.raises(ValueError):
-        fold_auc(df.withColumn("dvv", F.col("tri")), ["slope", "dvv"])
+    tagged = df.select("*", lineage.of_event(F.col("tri") * 2, "dvv"))
+    with pytest.raises(ValueError, match="texture"):
+        fold_auc(tagged.withColumnRenamed("dvv", "texture"), ["slope", "texture"])
+
+
+def test_event_signals_keep_their_origin(spark, tmp_path):
+    series = spark.createDataFrame([("A", 1, 1, "2024-01-01", -10.0, -16.0, 30.0), ("A", 1, 1, "2024-02-01", -7.0, -13.0, 30.0)], "orbit string, row int, col int, day string, vv double, vh double, angle double").withColumn("acq_date", F.to_date("day"))
+    both = temporal.composite_change(series, ("2024-01-01", "2024-01-15"), ("2024-01-15", "2024-03-01"))
+    assert lineage.event_columns(both) == {"vv_act", "vh_act"}
+    change = temporal.difference(both)
+    assert lineage.event_columns(change) == {"vv_act", "vh_act", "dvv", "dvh"}
+    smooth = stencil.focal(change.select("orbit", "row", "col", "dvv"), ["dvv"], 1.0, keys=("orbit",))
+    assert lineage.event_columns(smooth) == {"dvv"}
+    smooth.select("row", "col", F.col("dvv").alias("texture")).write.parquet(str(tmp_path / "t"))
+    cells = spark.createDataFrame([(1, 1, 3.0)], "row int, col int, slope double")
+    again = cells.join(spark.read.parquet(str(tmp_path / "t")), ["row", "col"]).where("texture is not null").withColumnRenamed("texture", "roughness_2")
+    assert lineage.event_columns(again) == {"roughness_2"}
+    lineage.require_no_event_signal(again, ["slope"])
+    with pytest.raises(ValueError, match="roughness_2"):
+        lineage.require_no_event_signal(again, ["slope", "roughness_2"])
 
 
 def test_streams_take_only_what_is_new(spark, tmp_path):
