@@ -12,7 +12,8 @@ followers is summed in parts, and only pairs unseen in training look up a(h).
 
 Counts of up to K = 5 have Good-Turing discounts; higher counts keep all but ``TAIL`` of one count,
 so that every history has mass to give.  Null and empty texts are one end token; a null id is
-hashed as empty text.  Repeated rows count as often as they occur.
+hashed as empty text.  Repeated rows count as often as they occur; a very long text is a block of its own.  Ids may be of any type, extra
+columns of any name are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations

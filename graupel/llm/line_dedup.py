@@ -200,10 +200,10 @@ def line_components(lines: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(connected_components(edges, scratch=scratch), "all")
 
 
-def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """All columns; ``text`` without repeated lines, and n_lines, n_removed (int; null text: 0)."""
+def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("n_lines", "n_removed"), scratch: Scratch | None = None) -> DataFrame:
+    """All columns; ``text`` without repeated lines, and the numbers of lines and of removed ones, named by ``counts`` (int; null text: 0)."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
-    docs = docs.drop("n_lines", "n_removed")
+    docs = docs.drop(*counts)
     lines = scratch.save(_lines(docs, id, text), "lines")
     comps = scratch.save(line_components(lines, scratch), "components")
     place = F.struct("id", "row", "pos")
@@ -226,7 +226,7 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", scratch
     stay = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["parts"]) - 1), x["gone"]), lambda i: F.element_at(x["parts"], i + 1))
     left = F.element_at(F.transform(F.array(F.struct(parts.alias("parts"), "gone")), stay), 1)
     names = [F.when(F.col("gone").isNull(), F.col("doc")[text]).otherwise(F.array_join(left, "\n")).alias(text) if c == text else F.col("doc")[c].alias(c) for c in docs.columns]
-    return both.select(*names, F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
+    return both.select(*names, F.coalesce(F.size(parts), F.lit(0)).alias(counts[0]), F.coalesce(F.size("gone"), F.lit(0)).alias(counts[1]))
 
 
 def line_query(spark, sf_dir: str) -> DataFrame:

@@ -184,7 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     scratch = scratch or Scratch(docs.sparkSession, "quality")
     chosen = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull() & (fold_of(F.col(id)) != 0)).groupBy(id).agg(F.min(label).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64(id), id).limit(bound)  # bounded by ``bound`` short rows, so it may be broadcast
-    sample = scratch.save(docs.select(id, text).join(F.broadcast(chosen), id).repartition(32), "sample")
+    # an id that many rows carry counts once, by the text with the least hash, so the bound holds for rows
+    met = docs.select(id, text).join(F.broadcast(chosen), id).groupBy(id, "_label").agg(F.min_by(text, F.xxhash64(text)).alias(text))
+    sample = scratch.save(met.repartition(32), "sample")
     vectors = word_vectors(sample, text)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 

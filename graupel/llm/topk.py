@@ -4,13 +4,13 @@ A vector's components become floor(256 x).  Cut into segments, two vectors are a
 apart as sum of L((m_q - m_x)^2 + (s_q - s_x)^2) over segments of length L with means m and
 deviations s; the inner product is (|q|^2 + |x|^2 - distance^2) / 2, so this bounds it from above.
 
-Queries first meet a sample of about ``SEED_ROWS`` candidates, whose k-th best score is each query's floor.  Then
-blocks of queries meet blocks of candidates in a grid; in a cell, the bounds go from coarse to
-fine segments (down to two components), the best candidates by the finest bound raise the floor, and exact scores are
-computed in integers for the pairs that are left only.
+Queries first meet a sample of about ``SEED_ROWS`` candidates (at most one in ``SEED_SHARE``), whose k-th best score is each query's floor.  Then
+blocks of queries meet blocks of candidates in a grid; in a cell, both are turned to the candidates' principal axes, the bounds go from coarse to
+fine segments (the finest about half as wide as the vector), the best candidates by the finest bound raise the floor, and exact scores are
+computed in integers for the pairs that are left only.  On vectors without any direction, as random ones, bounds of any kind prune little.
 
 Vectors that are null or hold null or non-finite components take no part, nor do rows with a null
-id; vectors of different length don't meet; rows with the query's id are its own.  Ties go to the smaller id.
+id (ids are integers, others raise TypeError); vectors of different length don't meet; rows with the query's id are its own.  Ties go to the smaller id.
 A query row that is repeated in full counts once, candidates count as often as they occur; queries of one id with
 different vectors share one list.  Empty tables give no rows; extra columns are ignored.
 Scores are longs; components must be small enough for that.
@@ -20,13 +20,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from graupel.session import Scratch
 
-SEGMENTS = (1, 4, 16)
 SEED_ROWS = 4096
+#: The sample is at most one row in so many.
+SEED_SHARE = 16
+#: Vectors of more components are cut as they are.
+MOST_AXES = 1024
 PAIRS = 1 << 16
 BLOCK_VALUES = 1 << 17
 QUERIES_PER_GROUP = 4096
@@ -59,19 +62,36 @@ def pack_vectors(df: DataFrame, id: str, vector: str, floor: str | None = None)
     return df.select(id, vector, *[floor] * bool(floor)).mapInArrow(pack, "dim int, ids binary, data binary, floors binary")
 
 
-def _segments(x: np.ndarray, parts: int) -> np.ndarray:
-    """Means and deviations of the segments, each times the root of its length."""
-    bounds = np.linspace(0, x.shape[1], parts + 1).astype(np.int64)
+def _segments(x: np.ndarray, bounds: list[int]) -> np.ndarray:
+    """Means and deviations of the segments, each times the root of its length; a segment of one component is its own mean."""
     out = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        if b > a:
-            out += [x[:, a:b].mean(1) * np.sqrt(b - a), x[:, a:b].std(1) * np.sqrt(b - a)]
-    return np.stack(out, 1) if out else np.zeros((len(x), 0))
+        part = x[:, a:b]
+        out += [part.mean(1) * np.sqrt(b - a), part.std(1) * np.sqrt(b - a)] if b > a + 1 else [part[:, 0]]
+    return np.stack(out, 1)
 
 
-def _levels(dim: int) -> list[int]:
-    """Numbers of segments from coarse to fine, the last of two components each."""
-    return sorted({p for p in (*SEGMENTS, dim // 2) if 0 < p <= max(dim // 2, 1)})
+def _levels(dim: int) -> list[list[int]]:
+    """Segment borders from coarse to fine: ever more leading components by themselves, the others in up to two segments.
+
+    The finest level is about half as wide as the vector.
+    """
+    made = []
+    for lead in sorted({0, dim // 8, dim // 4, dim // 2}):
+        rest = [lead + (dim - lead) // 2] if dim - lead > 3 else []
+        made.append([*range(lead), lead, *rest, dim])
+    return made
+
+
+def _turned(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides on the candidates' principal axes, the strongest first; a rotation keeps distances and products.
+
+    Where vectors crowd along few directions, the leading components then hold most of a distance.
+    """
+    if not 1 < c.shape[1] <= MOST_AXES:
+        return q, c
+    axes = np.linalg.eigh(c.T @ c)[1][:, ::-1]
+    return q @ axes, c @ axes
 
 
 def _scores(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -90,11 +110,12 @@ def survivors(q: np.ndarray, c: np.ndarray, floor: np.ndarray, alive: np.ndarray
     slack = 1e-9 * (np.sqrt(nq)[:, None] * np.sqrt(nc.max(initial=0))) + 1e-6
     cols = np.arange(len(c))
     bound = None
-    for parts in _levels(q.shape[1]):
+    fq, fc = _turned(fq, fc)
+    for borders in _levels(q.shape[1]) if q.shape[1] else ():
         cols = cols[alive[:, cols].any(0)]
         if not len(cols):
             break
-        sq, sc = _segments(fq, parts), _segments(fc[cols], parts)
+        sq, sc = _segments(fq, borders), _segments(fc[cols], borders)
         apart = (sq**2).sum(1)[:, None] + (sc**2).sum(1)[None, :] - 2 * sq @ sc.T  # lower bound of the squared distance
         bound = (nq[:, None] + nc[cols][None, :] - apart) / 2 + slack
         alive[:, cols] &= bound >= floor[:, None]
@@ -144,11 +165,13 @@ def _search(c: DataFrame, q: DataFrame, k: int, id: str, lines: int, groups: int
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "embedding", scratch: Scratch | None = None) -> DataFrame:
     """query_id, rank (from 1), id, score: the k best other rows of each query, exactly."""
     spark = vectors.sparkSession
+    if not isinstance(vectors.schema[id].dataType, T.IntegralType):
+        raise TypeError(f"{id} must be an integer column")
     scratch = scratch or Scratch(spark, "topk")
     groups = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     queries = queries.select(id, vector).dropDuplicates([id, vector])
     lines = int(queries.count() // QUERIES_PER_GROUP) + 1
-    every = max(1, vectors.count() // SEED_ROWS)
+    every = max(SEED_SHARE, vectors.count() // SEED_ROWS)
     seeds = pack_vectors(vectors.where(F.pmod(F.xxhash64(id), F.lit(every)) == 0), id, vector)
     found = _search(seeds, pack_vectors(queries, id, vector), k, id, lines, 1)
     floors = scratch.save(found.groupBy(F.col("query_id").alias("_query")).agg(F.when(F.count("*") >= k, F.min("score")).alias("_floor")), "floors")

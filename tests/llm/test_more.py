@@ -160,6 +160,21 @@ def test_round_trip_in_one_pass(spark):
     assert got == want and "text" not in bpe.bpe_round_trip(df, PATH, public_tokenizers.PATTERN).columns
 
 
+#: Names that operators or stages use for columns of their own.
+CLASHES = ["label", "quality", "score", "_score", "gone", "doc", "row", "n_lines", "n_removed", "key", "name", "item_id", "_text", "n_tokens", "ids", "round_trip"]
+
+
+def test_near_copies_without_an_id(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(2)
+    one, two = (" ".join(f"w{i}" for i in rng.integers(0, 99, 60)) for _ in range(2))
+    rows = [(2, one, "a"), (None, one, "b"), (1, one, "c"), (None, two, "d"), (None, two, "d"), (3, "alone here", "e"), (None, None, "f"), (4, None, "g"), (4, "", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = sorted(r["key"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert got == ["c", "d", "d", "e", "f", "g", "h"]
+
+
 @pytest.mark.parametrize("kind", ["odd", "none"])
 def test_stages_take_odd_rows(spark, kind):
     import corpus_pipeline
@@ -173,7 +188,8 @@ def test_stages_take_odd_rows(spark, kind):
         for f in docs.schema.fields:
             if f.name not in ("doc_id", "text"):
                 more = more.withColumn(f.name, F.lit(None).cast(f.dataType))
-        own = own.union(more.select(names)).withColumn("label", F.lit("clash")).drop("label")
+        own = own.union(more.select(names)).withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+        names = names + CLASHES
     else:
         own = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
@@ -181,6 +197,7 @@ def test_stages_take_odd_rows(spark, kind):
         assert name == corpus_pipeline.STAGES[-1][0] or out.columns == names
         rows = out.collect()
         assert kind == "odd" or not rows
+        assert kind == "none" or name == corpus_pipeline.STAGES[-1][0] or all(r[c] == f"own {c}" for r in rows for c in CLASHES)
     assert kind == "none" or len(rows) > 0
 
 

@@ -298,3 +298,62 @@ def test_template_lines_make_no_pairs(spark):
         met.append(sum(r["count"] * (r["count"] - 1) // 2 for r in posts.groupBy("band").count().collect()) / n)
     assert met[1] < 2 and met[0] < 2, met
     assert line_dedup.line_components(lines, scratch).count() == 0
+
+
+def test_bounds_prune_from_coarse_to_fine():
+    """Vectors along few directions; and the share that is left of the given ones, which have none."""
+    from graupel.llm import topk
+
+    def left(x, q):
+        exact = (q @ x.T).astype(np.float64)
+        floor = np.sort(exact, 1)[:, -5]
+        fq, fc = topk._turned(q.astype(float), x.astype(float))
+        shares = []
+        for borders in topk._levels(x.shape[1]):
+            a, b = topk._segments(fq, borders), topk._segments(fc, borders)
+            bound = ((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - (a**2).sum(1)[:, None] - (b**2).sum(1)[None] + 2 * a @ b.T) / 2 + 1e-3
+            assert (bound >= exact - 1e-3).all()
+            shares.append(float((bound >= floor[:, None]).mean()))
+        assert all(x >= y - 1e-9 for x, y in zip(shares, shares[1:])) and len(topk._levels(x.shape[1])[-1]) <= x.shape[1] // 2 + 3
+        return shares
+
+    rng = np.random.default_rng(12)
+    low = np.floor(256 * (rng.normal(size=(3000, 12)) * 0.8 ** np.arange(12) @ rng.normal(size=(12, 64)))).astype(np.int64)
+    shares = left(low, low[:60])
+    assert shares[1] < 0.2 and shares[-1] < 0.02, shares
+    rows = duckdb.sql("SELECT embedding FROM '/root/testdata/sf0.01/embeddings.parquet' WHERE embedding IS NOT NULL").fetchall()
+    given = np.floor(256 * np.array([r[0] for r in rows])).astype(np.int64)
+    assert left(given, given[:40])[-1] < 0.9
+
+
+def test_ids_of_top_k_are_integers(spark):
+    from graupel.llm import topk
+
+    df = spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>")
+    with pytest.raises(TypeError):
+        topk.top_k(df, df)
+
+
+def test_training_rows_of_one_id_stay_within_the_bound(spark):
+    from graupel.llm import quality
+    from graupel.session import Scratch
+
+    docs = spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).distinct()
+    seen = []
+
+    class Kept(Scratch):
+        def save(self, df, name="t", partition_by=None):
+            out = super().save(df, name, partition_by)
+            seen.append((name, out.count()))
+            return out
+
+    quality.train(docs, labels, bound=40, scratch=Kept(spark, "bound"))
+    assert dict(seen)["sample"] == 40
+
+
+def test_passages_need_integer_ids(spark):
+    from graupel.llm import compact_windows
+
+    with pytest.raises(TypeError):
+        compact_windows.near_passages(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
