@@ -78,7 +78,9 @@ def _members(bands: DataFrame, scratch: Scratch) -> DataFrame:
     """Lines of shared bands, each with the smallest and the largest line of the band."""
     shared = bands.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
     shared = scratch.save(shared, "shared")
-    return scratch.save(bands.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "band"), "members")
+    members = scratch.save(bands.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "band"), "members")
+    scratch.free(shared)
+    return members
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
@@ -146,44 +148,57 @@ def _links_apart(members: DataFrame, comps: DataFrame | None, sketches: DataFram
         own = posts.select("h", F.col("comp").alias("component")).distinct().withColumnRenamed("h", "node")
         rows = rows.where(F.col("m") <= BLOCK).unionByName(_open_bands(posts.select("band", "h"), own, scratch))
     words = [f"s{k}" for k in range(SKETCH)]
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.join(sketches, "h").select("band", "h", "comp", (F.col("comp") == F.col("major")).alias("inner"), "n", *words, blocks.alias("blocks"), F.pmod(F.xxhash64("h"), blocks).cast("int").alias("block"))
+    rows = rows.join(sketches, "h").select("band", "h", "comp", (F.col("comp") == F.col("major")).alias("inner"), "m", "n", *words)
     # first by size and sketch: the places of lines that have a line of another component near them
-    maybe = scratch.save(_against_blocks(rows, ["inner", "n", *words], ["h"], lambda y: _could(y, words) & ~(F.col("inner") & y["inner"]), None), "maybe")
+    maybe = scratch.save(_near_places(rows, words), "maybe")
     # then these lines by their windows
-    some = rows.join(maybe.select("band", "h").distinct(), ["band", "h"], "left_semi")
-    grams = texts.join(maybe.select("h").distinct(), "h", "left_semi").select("h", _grams(F.col("line")).alias("g"))
-    full = scratch.save(some.join(grams, "h"), "near")
-    enough = lambda y: F.size(F.array_intersect(F.col("g"), y["g"])) * (DEN + NUM) >= (F.col("n") + y["n"]) * NUM
-    return _against_blocks(full, ["inner", "n", *words, "g"], [], lambda y: _could(y, words) & ~(F.col("inner") & y["inner"]) & enough(y), "comp")
+    texts = texts.join(maybe.select("h").distinct(), "h", "left_semi").select("h", _grams(F.col("line")).alias("g"))
+    return _joined(rows.join(maybe, ["band", "h"], "left_semi").join(texts, "h"), words)
 
 
-def _could(y: Column, words: list[str]) -> Column:
-    """Whether component, sizes and sketches of a line and an entry of a block allow a link."""
-    total = F.col("n") + y["n"]
-    apart = sum((F.bit_count(F.col(w).bitwiseXOR(y[w])) for w in words[1:]), F.bit_count(F.col(words[0]).bitwiseXOR(y[words[0]])))
-    return (y["comp"] != F.col("comp")) & (F.least(F.col("n"), y["n"]) * DEN >= F.greatest(F.col("n"), y["n"]) * NUM) & (apart * (DEN + NUM) <= total * (DEN - NUM))
+def _could(x: Column, y: Column, words: list[str]) -> Column:
+    """Whether components, sizes and sketches of two entries allow a link that isn't within the largest component."""
+    total = x["n"] + y["n"]
+    apart = sum((F.bit_count(x[w].bitwiseXOR(y[w])) for w in words[1:]), F.bit_count(x[words[0]].bitwiseXOR(y[words[0]])))
+    return (x["comp"] != y["comp"]) & (F.least(x["n"], y["n"]) * DEN >= F.greatest(x["n"], y["n"]) * NUM) & (apart * (DEN + NUM) <= total * (DEN - NUM))
 
 
-def _against_blocks(rows: DataFrame, values: list[str], keep: list[str], fits, found: str | None) -> DataFrame:
-    """Each line of a band against blocks of the band's lines.
+def _blocked(rows: DataFrame, fields: list[str], asking: Column) -> tuple[DataFrame, DataFrame]:
+    """Small bands: ys (all entries). Larger ones: x (an entry that asks) with ys, a block of entries."""
+    entry = F.struct(*fields)
+    small = rows.where(F.col("m") <= BLOCK).groupBy("band").agg(F.collect_list(entry).alias("ys"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    large = rows.where(F.col("m") > BLOCK).withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("h"), blocks).cast("int")})
+    held = large.groupBy("band", "block").agg(F.collect_list(entry).alias("ys"))
+    asks = large.where(asking).select("band", entry.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return small, asks.join(held, ["band", "block"])
 
-    Without ``found``: band and ``keep`` of the lines for which some entry ``fits``; with it: the components (a, b) of lines and fitting entries.
-    """
-    held = rows.groupBy("band", "block").agg(F.collect_list(F.struct("comp", *values)).alias("ys"))
-    # lines of the largest component only ask where that finds the other end, too
-    asks = rows if found is None else rows.where(~F.col("inner"))
-    asks = asks.select("band", "comp", *keep, *values, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    met = asks.join(held, ["band", "block"])
-    if found is None:
-        return met.where(F.exists("ys", fits)).select("band", *keep).distinct()
-    others = F.array_distinct(F.transform(F.filter("ys", fits), lambda y: y["comp"]))
-    return met.select(F.col("comp").alias("a"), F.explode(others).alias("b")).distinct()
+
+def _near_places(rows: DataFrame, words: list[str]) -> DataFrame:
+    """band and h of the entries for which some entry of the band could be similar."""
+    fits = lambda x, y: _could(x, y, words) & ~(x["inner"] & y["inner"])
+    small, large = _blocked(rows, ["h", "comp", "inner", "n", *words], F.lit(True))
+    some = F.transform(F.filter("ys", lambda x: F.exists("ys", lambda y: fits(x, y))), lambda x: x["h"])
+    found = small.select("band", F.explode(some).alias("h"))
+    return found.union(large.where(F.exists("ys", lambda y: fits(F.col("x"), y))).select("band", "x.h")).distinct()
+
+
+def _joined(rows: DataFrame, words: list[str]) -> DataFrame:
+    """Components (a, b) of similar entries with g, their windows; each entry gives a component once a block."""
+    enough = lambda x, y: F.size(F.array_intersect(x["g"], y["g"])) * (DEN + NUM) >= (x["n"] + y["n"]) * NUM
+    fits = lambda x, y: _could(x, y, words) & enough(x, y)
+    small, large = _blocked(rows, ["comp", "inner", "n", *words, "g"], ~F.col("inner"))
+    others = lambda x: F.array_distinct(F.transform(F.filter("ys", lambda y: fits(x, y)), lambda y: y["comp"]))
+    pairs = F.transform(F.filter("ys", lambda x: ~x["inner"]), lambda x: F.struct(x["comp"].alias("a"), others(x).alias("bs")))
+    both = small.select(F.explode(pairs).alias("p")).select("p.a", F.explode("p.bs").alias("b"))
+    return both.union(large.select(F.col("x.comp").alias("a"), F.explode(others(F.col("x"))).alias("b"))).distinct()
 
 
 def line_components(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component for the lines (h, line; rows may repeat) that are similar to another one."""
-    members = _members(scratch.save(_bands(lines), "bands"), scratch)
+    bands = scratch.save(_bands(lines), "bands")
+    members = _members(bands, scratch)
+    scratch.free(bands)
     wanted = scratch.save(members.select("h").distinct(), "wanted")
     texts = scratch.save(_texts(lines, wanted, wanted.count()), "texts")
     sketches = scratch.save(_sketches(texts), "sketches")
