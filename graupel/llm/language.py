@@ -8,7 +8,7 @@ put in order of length, so that step t touches only those that have a byte there
 
 The network learns from at most ``LANGUAGES`` languages (the most frequent), ``PER_LANGUAGE`` documents of
 each (least hash of the id) and ``PIECES`` windows of a document, spread evenly over it: documented bounds,
-kept by a ranked limit before any row moves.  Rows with a null language or without a letter aren't learned
+kept by a cut of the hash before any row moves, then by rank.  Rows with a null language or without a letter aren't learned
 from.  Everything else streams the whole table once.
 
 Null texts and texts without a letter are ``und`` with a score of 0; so is every text if nothing could be
@@ -211,8 +211,13 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     piece = lambda k: F.substring(F.col("_raw"), (F.col("_room") * k / max(PIECES - 1, 1)).cast("int") + 1, F.lit(WINDOW))
     rows = usable.select(F.col(lang).cast("string").alias("_lang"), F.xxhash64(F.col(id).cast("string")).alias("_key"), raw.alias("_raw"), room.alias("_room"))
     rows = rows.select("_lang", "_key", F.array_distinct(F.array(*[piece(F.lit(k)) for k in range(PIECES)])).alias("_piece"))
-    common = [r[0] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(languages).collect()]
-    ranked = rows.where(F.col("_lang").isin(common)).withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_key", "_piece")))
+    common = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(languages).collect()}
+    if not common:
+        return None
+    # the keys are even, so the least ones lie below a share of their range; only rows below four times that share move
+    share = F.create_map(*[F.lit(x) for lang, n in common.items() for x in (lang, min(1.0, 4 * per_language / n))])[F.col("_lang")]
+    low = rows.where(F.col("_lang").isin(list(common)) & (F.col("_key") / float(2**64) + 0.5 <= share))
+    ranked = low.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_key", "_piece")))
     got = ranked.where(F.col("_rank") <= per_language).select("_lang", "_key", F.explode("_piece").alias("_piece")).toArrow()
     if not got.num_rows:
         return None
