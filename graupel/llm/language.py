@@ -211,12 +211,14 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     piece = lambda k: F.substring(F.col("_raw"), (F.col("_room") * k / max(PIECES - 1, 1)).cast("int") + 1, F.lit(WINDOW))
     rows = usable.select(F.col(lang).cast("string").alias("_lang"), F.xxhash64(F.col(id).cast("string")).alias("_key"), raw.alias("_raw"), room.alias("_room"))
     rows = rows.select("_lang", "_key", F.array_distinct(F.array(*[piece(F.lit(k)) for k in range(PIECES)])).alias("_piece"))
-    common = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(languages).collect()}
+    at = F.col("_key") / float(2**64) + 0.5
+    found = rows.groupBy("_lang").agg(F.count("*").alias("n"), F.min(at).alias("least")).orderBy(F.desc("n"), "_lang").limit(languages)
+    common = {r["_lang"]: max(min(1.0, 4 * per_language / r["n"]), r["least"]) for r in found.collect()}
     if not common:
         return None
-    # the keys are even, so the least ones lie below a share of their range; only rows below four times that share move
-    share = F.create_map(*[F.lit(x) for lang, n in common.items() for x in (lang, min(1.0, 4 * per_language / n))])[F.col("_lang")]
-    low = rows.where(F.col("_lang").isin(list(common)) & (F.col("_key") / float(2**64) + 0.5 <= share))
+    # the keys are even, so the least ones lie below a share of their range; only rows below four times that share (or of the least key) move
+    share = F.create_map(*[F.lit(x) for pair in common.items() for x in pair])[F.col("_lang")]
+    low = rows.where(F.col("_lang").isin(list(common)) & (at <= share))
     ranked = low.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_key", "_piece")))
     got = ranked.where(F.col("_rank") <= per_language).select("_lang", "_key", F.explode("_piece").alias("_piece")).toArrow()
     if not got.num_rows:
