@@ -357,3 +357,31 @@ def test_passages_need_integer_ids(spark):
 
     with pytest.raises(TypeError):
         compact_windows.near_passages(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_passages_near_the_similarity_are_found(spark):
+    """Recall of changed copies of passages, against the Jaccard similarity of their five-word tokens; and no passage without such a pair."""
+    from graupel.llm import compact_windows
+
+    rng = np.random.default_rng(21)
+    text = lambda n: [f"v{i}" for i in rng.integers(0, 50_000, n)]
+    docs, planted = [], []
+    for k in range(100):
+        n, changes = ((60, 1), (120, 3), (240, 6), (52, 0))[k % 4]
+        p = text(n)
+        q = list(p)
+        for at in np.linspace(0, n, changes + 2)[1:-1].astype(int):
+            q[at] = f"changed{at}"
+        docs += [(2 * k, " ".join(text(40) + p + text(30)), "x"), (2 * k + 1, " ".join(text(25) + q + text(45)), "x")]
+        planted.append((2 * k + 1, 2 * k))
+    docs += [(1000 + k, " ".join(text(200)), "clean") for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    got = compact_windows.near_passages(df).collect()
+    found = {(r["doc_id"], r["other_id"]) for r in got} | {(r["other_id"], r["doc_id"]) for r in got}
+    assert sum(p in found for p in planted) >= 96
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    words = {d: t.split() for d, t, _ in docs}
+    for r in got:  # every passage is as similar as it says
+        a, b = grams(words[r["doc_id"]][r["start"] : r["end"]]), grams(words[r["other_id"]][r["other_start"] : r["other_end"]])
+        assert 100 * len(a & b) >= 75 * len(a | b) and r["similarity"] == pytest.approx(len(a & b) / len(a | b))
+        assert r["doc_id"] < 1000
