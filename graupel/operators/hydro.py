@@ -267,12 +267,10 @@ def contributing_area(breached: DataFrame, px: float, tile: int = TILE, scratch:
 
 def steepest_pointer(dem: DataFrame, value: str, px: float) -> DataFrame:
     """id, to: the strictly lower neighbour of steepest descent (smaller id on ties), NULL if none."""
-    cells = dem.where(F.col(value).isNotNull()).select("row", "col", cell_id().alias("id"), F.col(value).alias("z"))
-    moves = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(px * math.sqrt(i * i + j * j)).alias("d")) for i, j in STEPS])
-    sent = cells.select(F.col("id").alias("from_id"), F.col("z").alias("from_z"), "row", "col", F.explode(moves).alias("m")).select("from_id", "from_z", (F.col("row") + F.col("m.i")).alias("row"), (F.col("col") + F.col("m.j")).alias("col"), F.col("m.d").alias("d"))
-    drops = sent.join(cells, ["row", "col"]).where("z < from_z").select("from_id", "id", ((F.col("from_z") - F.col("z")) / F.col("d")).alias("s"))
-    best = drops.groupBy("from_id").agg(F.max(F.struct("s", (-F.col("id")).alias("k"))).alias("m"))
-    return cells.select("id").join(best, F.col("id") == F.col("from_id"), "left").select("id", (-F.col("m.k")).alias("to"))
+    near = stencil.neighbours(dem.where(F.col(value).isNotNull()).select("row", "col", F.col(value).alias("z")), "z", edge="null")
+    drops = [F.when(F.col(name) < F.col("z"), F.struct(((F.col("z") - F.col(name)) / (px * math.sqrt(i * i + j * j))).alias("s"), (-(cell_id() + ((i << WIDTH_BITS) + j))).alias("k"))) for (i, j), name in _NAMES.items()]
+    best = F.array_max(F.array_compact(F.array(*drops)))
+    return near.select(cell_id().alias("id"), (-best["k"]).alias("to"))
 
 
 def height_above_stream(dem: DataFrame, value: str, streams: DataFrame, pointers: DataFrame, scratch: Scratch | None = None) -> DataFrame:
