@@ -68,11 +68,15 @@ def stored_layers(spark, d):
     return ingest.read_layer(spark, path, "sca").unionByName(ingest.read_layer(spark, path, "lulc")).select("layer", "row", "col", "value")
 
 
-@query("missing_layers", "SELECT name AS layer, 'v2' AS params FROM v_files WHERE landed_size IS NULL OR landed_size <= 0", ("v_files",))
+_NEW, _OLD = ingest.parameters(scale=30.0, crs="EPSG:32643"), ingest.parameters(scale=10.0, crs="EPSG:32643")
+
+
+@query("missing_layers", f"SELECT name AS layer, '{_NEW}' AS params FROM v_files WHERE landed_size IS NULL OR landed_size <= 0", ("v_files",))
 def missing_layers(spark, d):
+    """A layer made with other parameters counts as missing."""
     files = view(spark, d, "v_files")
-    done = files.select(F.col("name").alias("layer"), F.when(F.col("landed_size") > 0, "v2").otherwise("v1").alias("params"))
-    return ingest.missing_layers(files.select(F.col("name").alias("layer"), F.lit("v2").alias("params")), done)
+    done = files.select(F.col("name").alias("layer"), F.when(F.col("landed_size") > 0, _NEW).otherwise(_OLD).alias("params"))
+    return ingest.missing_layers(files.select(F.col("name").alias("layer"), F.lit(_NEW).alias("params")), done)
 
 
 @query("resampling_of_layers", "SELECT name, CASE WHEN lower(name) LIKE '%worldcover%' THEN 'nearest' ELSE 'bilinear' END AS method FROM (SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'base_ESA_WorldCover_' || n_name ELSE 'base_' || n_name END AS name FROM nation) t")

@@ -450,6 +450,17 @@ def compute_terrain(spark, d):
     return _six(terrain.compute_terrain(_dem(spark, d), CELL), *terrain.FACTORS)
 
 
+_PARTS = ("slope", "aspect", "east_north", "curvatures", "tri", "tpi", "roughness", "vrm")
+
+
+@query("terrain_topography", "SELECT row, col, slope, aspect, eastness, northness, plan_curvature, profile_curvature, tri, tpi, roughness, vrm FROM " + " JOIN ".join(f"({SQL[n]}) {n}{' USING (row, col)' if k else ''}" for k, n in enumerate(_PARTS)))
+def terrain_topography(spark, d):
+    """The factors of ``compute_terrain`` that SQL can express, from the same job as all thirteen."""
+    out = terrain.compute_terrain(_dem(spark, d), CELL)
+    names = ["slope", "aspect", "eastness", "northness", "plan_curvature", "profile_curvature", "tri", "tpi", "vrm"]
+    return _six(out.select("row", "col", *names, R(F.col("roughness"), 4).alias("roughness")), *names)
+
+
 #: Doublings of the pointers in SQL: ways of up to 2^14 cells.
 DOUBLINGS = 14
 JUMPS = ", ".join(f"p{k + 1} AS (SELECT a.id, b.lower FROM p{k} a LEFT JOIN p{k} b ON b.id = a.lower)" for k in range(DOUBLINGS))
