@@ -20,7 +20,7 @@ _KEY = "CAST(round_even(round_even(lon, 6) * 10000, 0) AS BIGINT), CAST(round_ev
 
 
 @query("saved_marks", f"""SELECT round_even(lon, 6) AS lon, round_even(lat, 6) AS lat, CASE WHEN batch = 0 THEN 'first' ELSE 'second' END AS event, 'B' AS tier, 'release' AS zone,
-  CASE WHEN batch = 0 THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-02-01 12:30:05' END AS added FROM (
+  CASE WHEN batch = 0 THEN '2024-01-01 00:00:00' ELSE '2024-02-01 12:30:05' END AS added FROM (
   SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY batch, seq) AS n FROM v_marks) t WHERE n = 1""", ("v_marks",))
 def saved_marks(spark, d):
     path = Scratch(spark, "inventory").base
@@ -29,7 +29,7 @@ def saved_marks(spark, d):
         own = points.where(F.col("batch") == batch).select("lon", "lat")
         inventory.save_marks(spark, own, event, path, F.lit(added).cast("timestamp"), tier="B")
     inventory.compact(spark, path, 1)
-    return inventory.read_inventory(spark, path)
+    return inventory.read_inventory(spark, path).withColumn("added", F.date_format("added", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("interleaved_marks", f"""SELECT round_even(lon, 6) AS lon, round_even(lat, 6) AS lat, CASE WHEN batch = 0 THEN 'theirs' ELSE 'ours' END AS event FROM (
