@@ -9,7 +9,7 @@ shares a band with odds of about 0.98 at every length (tested); shorter lines, w
 
 Equal bands make candidates, which pass a parity sketch (its distance never exceeds the symmetric difference) before
 the exact Jaccard test: each line with the smallest and the largest of its bands; then, where a band still holds more than one
-component, the lines outside the largest one with all others in blocks.  Lines of bands of over ``BLOCK`` lines meet by their rarest windows instead
+component, the lines outside the largest one with all others.  Where more than ``ASKS`` lines are outside, the band's lines meet by their rarest windows instead
 (prefix filter: similar lines have one of these in common).  So every pair with a common band is decided, and a template that many unlike lines share
 makes no pairs.  Links become components; the first line of each component, by (id, text, place), stays.
 Null texts have no lines; rows with equal id and text count as one row (both keep the same lines).
@@ -30,8 +30,10 @@ ROWS = 5
 NUM, DEN = 80, 100
 #: Shared bands and lines to be looked up are broadcast up to so many rows of 24 bytes (checked), else joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Lines of a block, and of a band whose lines are all compared.
+#: Lines of a block.
 BLOCK = 256
+#: Lines outside its largest component up to which a band is compared as it is.
+ASKS = 48
 #: 64-bit words of the parity sketch.
 SKETCH = 8
 #: ASCII white space within a line.
@@ -116,12 +118,12 @@ def _stars(members: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _open_bands(members: DataFrame, comps: DataFrame | None, scratch: Scratch) -> DataFrame:
-    """band, h, comp, major (the band's largest component) and m (its lines) for bands that hold several components; bands of the same lines count once."""
+    """band, h, comp, major (the band's largest component), m (its lines) and out (those outside major) for bands that hold several components; bands of the same lines count once."""
     known = members.select("band", "h", F.col("h").alias("comp")) if comps is None else members.join(comps, members["h"] == comps["node"], "left").select("band", "h", F.coalesce("component", "h").alias("comp"))
     placed = scratch.save(known, "placed")
     sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("m"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("sign"))
-    several = sizes.groupBy("band").agg(F.max(F.struct("m", "comp"))["comp"].alias("major"), F.sum("m").alias("m"), F.count("*").alias("comps"), F.sum("sign").alias("sign")).where("comps > 1")
-    once = several.groupBy("sign", "m", "major").agg(F.min("band").alias("band")).drop("sign")
+    several = sizes.groupBy("band").agg(F.max(F.struct("m", "comp"))["comp"].alias("major"), (F.sum("m") - F.max("m")).alias("out"), F.sum("m").alias("m"), F.count("*").alias("comps"), F.sum("sign").alias("sign")).where("comps > 1")
+    once = several.groupBy("sign", "m", "major", "out").agg(F.min("band").alias("band")).drop("sign")
     return scratch.save(placed.join(once, "band"), "open")
 
 
@@ -137,18 +139,18 @@ def _posts(lines: DataFrame, texts: DataFrame) -> DataFrame:
 def _links_apart(members: DataFrame, comps: DataFrame | None, sketches: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Two components (a, b) for every two that a pair of similar lines with a common band joins.
 
-    A band of up to ``BLOCK`` lines is compared as it is.  Lines of larger ones meet by their rarest windows instead, of which similar lines have
-    one in common, so lines that share a template only don't meet.  In each meeting the lines outside its largest component
-    are compared with blocks of all its lines; a block gives a component once for each line, however many of its lines are similar.
+    In a band, the lines outside its largest component are compared with all others.  Where more than ``ASKS`` lines are outside, the band's lines meet by
+    their rarest windows instead, of which similar lines have one in common, so lines that share a template only don't meet and the comparisons of a band
+    are in proportion to its lines.  Large bands are compared in blocks; a block gives a component once for each line, however many of its lines are similar.
     """
     rows = _open_bands(members, comps, scratch)
-    large = rows.where(F.col("m") > BLOCK).select("h", "comp").distinct()
+    large = rows.where(F.col("out") > ASKS).select("h", "comp").distinct()
     if not large.isEmpty():
         posts = scratch.save(_posts(large, texts), "posts")
         own = posts.select("h", F.col("comp").alias("component")).distinct().withColumnRenamed("h", "node")
-        rows = rows.where(F.col("m") <= BLOCK).unionByName(_open_bands(posts.select("band", "h"), own, scratch))
+        rows = rows.where(F.col("out") <= ASKS).unionByName(_open_bands(posts.select("band", "h"), own, scratch))
     words = [f"s{k}" for k in range(SKETCH)]
-    rows = rows.join(sketches, "h").select("band", "h", "comp", (F.col("comp") == F.col("major")).alias("inner"), "m", "n", *words)
+    rows = rows.join(sketches, "h").select("band", "h", "comp", (F.col("comp") == F.col("major")).alias("inner"), "m", "out", "n", *words)
     # first by size and sketch: the places of lines that have a line of another component near them
     maybe = scratch.save(_near_places(rows, words), "maybe")
     # then these lines by their windows
@@ -157,41 +159,39 @@ def _links_apart(members: DataFrame, comps: DataFrame | None, sketches: DataFram
 
 
 def _could(x: Column, y: Column, words: list[str]) -> Column:
-    """Whether components, sizes and sketches of two entries allow a link that isn't within the largest component."""
+    """Whether components, sizes and sketches of two entries allow a link."""
     total = x["n"] + y["n"]
     apart = sum((F.bit_count(x[w].bitwiseXOR(y[w])) for w in words[1:]), F.bit_count(x[words[0]].bitwiseXOR(y[words[0]])))
     return (x["comp"] != y["comp"]) & (F.least(x["n"], y["n"]) * DEN >= F.greatest(x["n"], y["n"]) * NUM) & (apart * (DEN + NUM) <= total * (DEN - NUM))
 
 
-def _blocked(rows: DataFrame, fields: list[str], asking: Column) -> tuple[DataFrame, DataFrame]:
-    """Small bands: ys (all entries). Larger ones: x (an entry that asks) with ys, a block of entries."""
+def _blocked(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """xs (entries outside the largest component) and ys (entries) that meet: one row for a band of up to ``BLOCK`` lines, else one for each two blocks."""
     entry = F.struct(*fields)
-    small = rows.where(F.col("m") <= BLOCK).groupBy("band").agg(F.collect_list(entry).alias("ys"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    large = rows.where(F.col("m") > BLOCK).withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("h"), blocks).cast("int")})
-    held = large.groupBy("band", "block").agg(F.collect_list(entry).alias("ys"))
-    asks = large.where(asking).select("band", entry.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return small, asks.join(held, ["band", "block"])
+    small = rows.where(F.col("m") <= BLOCK).groupBy("band").agg(F.collect_list(entry).alias("ys")).select("band", F.filter("ys", lambda y: ~y["inner"]).alias("xs"), "ys")
+    block = lambda count: F.pmod(F.xxhash64("h"), F.ceil(F.col(count) / BLOCK))
+    large = rows.where(F.col("m") > BLOCK)
+    held = large.groupBy("band", block("m").alias("block")).agg(F.collect_list(entry).alias("ys"))
+    asks = large.where(~F.col("inner")).groupBy("band", block("out").alias("block")).agg(F.collect_list(entry).alias("xs"))
+    return small.union(asks.drop("block").join(held.drop("block"), "band").select("band", "xs", "ys"))
 
 
 def _near_places(rows: DataFrame, words: list[str]) -> DataFrame:
-    """band and h of the entries for which some entry of the band could be similar."""
-    fits = lambda x, y: _could(x, y, words) & ~(x["inner"] & y["inner"])
-    small, large = _blocked(rows, ["h", "comp", "inner", "n", *words], F.lit(True))
-    some = F.transform(F.filter("ys", lambda x: F.exists("ys", lambda y: fits(x, y))), lambda x: x["h"])
-    found = small.select("band", F.explode(some).alias("h"))
-    return found.union(large.where(F.exists("ys", lambda y: fits(F.col("x"), y))).select("band", "x.h")).distinct()
+    """band and h of the entries that could be similar to one of another component."""
+    fits = lambda x, y: _could(x, y, words)
+    asked = F.filter("xs", lambda x: F.exists("ys", lambda y: fits(x, y)))
+    # whom nobody outside finds isn't looked at again
+    met = _blocked(rows, ["h", "comp", "inner", "n", *words]).select("band", asked.alias("xs"), "ys").where(F.size("xs") > 0)
+    found = F.concat(F.transform("xs", lambda x: x["h"]), F.transform(F.filter("ys", lambda y: F.exists("xs", lambda x: fits(x, y))), lambda y: y["h"]))
+    return met.select("band", F.explode(found).alias("h")).distinct()
 
 
 def _joined(rows: DataFrame, words: list[str]) -> DataFrame:
     """Components (a, b) of similar entries with g, their windows; each entry gives a component once a block."""
     enough = lambda x, y: F.size(F.array_intersect(x["g"], y["g"])) * (DEN + NUM) >= (x["n"] + y["n"]) * NUM
-    fits = lambda x, y: _could(x, y, words) & enough(x, y)
-    small, large = _blocked(rows, ["comp", "inner", "n", *words, "g"], ~F.col("inner"))
-    others = lambda x: F.array_distinct(F.transform(F.filter("ys", lambda y: fits(x, y)), lambda y: y["comp"]))
-    pairs = F.transform(F.filter("ys", lambda x: ~x["inner"]), lambda x: F.struct(x["comp"].alias("a"), others(x).alias("bs")))
-    both = small.select(F.explode(pairs).alias("p")).select("p.a", F.explode("p.bs").alias("b"))
-    return both.union(large.select(F.col("x.comp").alias("a"), F.explode(others(F.col("x"))).alias("b"))).distinct()
+    others = lambda x: F.array_distinct(F.transform(F.filter("ys", lambda y: _could(x, y, words) & enough(x, y)), lambda y: y["comp"]))
+    pairs = F.transform("xs", lambda x: F.struct(x["comp"].alias("a"), others(x).alias("bs")))
+    return _blocked(rows, ["comp", "inner", "n", *words, "g"]).select(F.explode(pairs).alias("p")).select("p.a", F.explode("p.bs").alias("b")).distinct()
 
 
 def line_components(lines: DataFrame, scratch: Scratch) -> DataFrame:

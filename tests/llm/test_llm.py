@@ -232,8 +232,10 @@ def test_lines_keep_the_first_of_each_component(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_similar_lines_of_a_large_band_meet(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BLOCK", 16, raising=False)
+@pytest.mark.parametrize("asks", [4, 10_000])
+def test_similar_lines_of_a_large_band_meet(spark, monkeypatch, asks):
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    monkeypatch.setattr(line_dedup, "ASKS", asks)
     rng = np.random.default_rng(7)
     letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
     form = [letters(40) for _ in range(4)]
