@@ -29,7 +29,7 @@ LONG = 1024
 WIDTHS = (*range(2, 17), 20, 24, 32, 48, 64, 128, 256, 512, LONG)
 CELLS = 1 << 20
 #: Text bytes that one pass of encoding and decoding holds.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 class Ranks:
