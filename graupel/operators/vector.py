@@ -68,7 +68,8 @@ def distance_transform(burned: DataFrame, grid: GridSpec, layers: list[str]) ->
     marked = cells.join(burned.select("layer", "row", "col", F.col("row").alias("hit")), ["layer", "row", "col"], "left")
     down = Window.partitionBy("layer", "col").orderBy("row")
     above = F.last("hit", True).over(down.rowsBetween(Window.unboundedPreceding, 0))
-    below = F.first("hit", True).over(down.rowsBetween(0, Window.unboundedFollowing))
+    # the rows from below as running rows too: a frame with an open end is read anew for each row
+    below = F.last("hit", True).over(Window.partitionBy("layer", "col").orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, 0))
     heights = marked.select("layer", "row", "col", F.least(F.col("row") - above, below - F.col("row")).alias("g"), F.floor(F.col("row") / ROWS_PER_GROUP).alias("band"))
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
