@@ -19,7 +19,8 @@ def rasterize_lines(vertices: DataFrame, grid: GridSpec, keys: tuple[str, ...] =
     heights at the borders.
     """
     order = Window.partitionBy(*keys, "fid").orderBy("seq")
-    gx, gy = (F.col("x") - grid.x0) / grid.px, (F.lit(grid.y0) - F.col("y")) / grid.px
+    # in cells before the difference, as in the SQL: far from the origin the other order rounds to another cell now and then
+    gx, gy = F.col("x") / grid.px - grid.x0 / grid.px, F.lit(grid.y0 / grid.px) - F.col("y") / grid.px
     points = vertices.select(*keys, "fid", "seq", gx.alias("x0"), gy.alias("y0"))
     pairs = points.withColumns({"x1": F.lead("x0").over(order), "y1": F.lead("y0").over(order)}).where("x1 is not null")
     low, high = F.floor(F.least("x0", "x1")).cast("int"), F.floor(F.greatest("x0", "x1")).cast("int")

@@ -3,12 +3,15 @@
 import heapq
 import json
 import math
+import time
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from graupel.functions import geodesy, predicates as P
 from graupel.model import GridSpec, clean, layer_grid
 from graupel.plans import layers, terrain
@@ -152,6 +155,27 @@ def test_rasterized_lines_touch_sampled_cells(spark):
     assert want <= got and len(got - want) <= 2
 
 
+def test_lines_far_from_the_origin_follow_the_sql(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.range(8_999_999, 9_000_000).select(F.col("id").alias("o_orderkey"), F.lit(1.0).alias("o_totalprice")).write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(44_737, 22)], "s_suppkey long, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")  # meets a column border at a whole row
+    got = {tuple(r) for r in entry.queries()["rasterize_lines"](spark, folder).collect()}
+    db = duckdb.connect()
+    for t in ("orders", "supplier"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    assert got == set(db.sql(entry.oracle_sql()["rasterize_lines"]).fetchall())
+
+
+def test_distances_of_long_columns_read_each_row_once(spark):
+    g = GridSpec(0.0, 600_000.0, 10.0, 2, 60_000)
+    burned = spark.createDataFrame([("a", 100, 0), ("a", 59_000, 1)], "layer string, row int, col int")
+    begun = time.perf_counter()
+    rows = {(r["row"], r["col"]): r["distance"] for r in vector.distance_transform(burned, g, ["a"]).where("row in (0, 100, 30000, 59999)").collect()}
+    assert time.perf_counter() - begun < 20  # 2 * 60,000 rows; with a frame open to the end, 3.6e9 steps
+    assert rows[0, 0] == 1000.0 and rows[100, 1] == 10.0 and rows[59_999, 1] == 9990.0
+    assert rows[30_000, 0] == pytest.approx(10 * math.hypot(29_000, 1), rel=1e-6)
+
+
 def _flood(z):
     spill = np.full(z.shape, np.inf)
     heap = []
