@@ -6,11 +6,18 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def to_tiles(cells: DataFrame, size: int = 256) -> DataFrame:
-    """layer, tile_row, tile_col, size, data: dense row-major arrays, NULL where a cell is missing."""
+    """layer, tile_row, tile_col, size, data: dense row-major arrays, NULL where a cell is missing.
+
+    Each cell is put in with the NULLs before it, so steps follow the tile's size; a cell that comes twice is an error.
+    """
     inner = F.pmod("row", F.lit(size)) * size + F.pmod("col", F.lit(size))
     grouped = cells.groupBy("layer", F.floor(F.col("row") / size).cast("int").alias("tile_row"), F.floor(F.col("col") / size).cast("int").alias("tile_col"))
-    packed = grouped.agg(F.map_from_entries(F.collect_list(F.struct(inner.alias("k"), F.col("value").alias("v")))).alias("m"))
-    data = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.try_element_at("m", i))
+    packed = grouped.agg(F.array_sort(F.collect_list(F.struct(inner.alias("k"), F.col("value").alias("v")))).alias("m"))
+    place = lambda i: F.element_at("m", i)["k"]
+    none = lambda n: F.array_repeat(F.lit(None).cast(cells.schema["value"].dataType), n)
+    before = lambda c, i: c["k"] - 1 - F.when(i == 0, -1).otherwise(place(i))
+    filled = F.flatten(F.concat(F.transform("m", lambda c, i: F.concat(none(before(c, i)), F.array(c["v"]))), F.array(none(size * size - 1 - place(-1)))))
+    data = F.when(F.size(filled) == size * size, filled).otherwise(F.raise_error(F.lit("a cell comes twice in a tile")))
     return packed.select("layer", "tile_row", "tile_col", F.lit(size).alias("size"), data.alias("data"))
 
 

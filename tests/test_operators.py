@@ -344,6 +344,18 @@ def test_files_and_tiles(spark):
     assert {r["name"] for r in ingest.pending(files, files).collect()} == {"snd_20180101.nc", "snd_bad.nc", "readme.txt"}
     cells = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 5, 3, 2.0), ("b", -1, 4, 3.0)], "layer string, row int, col int, value float")
     assert sorted(tiles.from_tiles(tiles.to_tiles(cells, 4)).collect()) == sorted(cells.collect())
+    dense = {(r["layer"], r["tile_row"], r["tile_col"]): r["data"] for r in tiles.to_tiles(cells, 4).collect()}
+    assert [i for i, v in enumerate(dense["a", 1, 0]) if v is not None] == [7] and all(len(v) == 16 for v in dense.values())
+    with pytest.raises(Exception, match="comes twice"):
+        tiles.to_tiles(cells.union(cells), 4).collect()
+
+
+def test_large_tiles_take_steps_in_proportion(spark):
+    cells = spark.range(160_000).select(F.lit("a").alias("layer"), F.floor(F.col("id") / 400).cast("int").alias("row"), (F.col("id") % 400).cast("int").alias("col"), F.col("id").cast("float").alias("value")).where("id % 7 <> 3")
+    begun = time.perf_counter()
+    back = tiles.from_tiles(tiles.to_tiles(cells, 400))
+    assert back.exceptAll(cells).isEmpty() and back.count() == cells.count()
+    assert time.perf_counter() - begun < 20  # by a map's entries, 2 * 10^10 steps a tile
 
 
 def test_inventory_keeps_first(spark, tmp_path):
