@@ -410,3 +410,13 @@ def test_pipeline_stages_follow_each_other(spark, tmp_path):
     end = {r["doc_id"]: r for r in corpus_pipeline.STAGES[-1][1](spark, left, sf).collect()}
     assert set(end) == {r["doc_id"] for r in left.collect()} and all(r["round_trip"] for r in end.values())
     assert {(r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, sf).collect()} == {(i, r["ids_sha256"]) for i, r in end.items()}
+
+
+def test_parts_have_the_similarity_of_their_token_sets():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 3000, 6000).astype(np.uint32)
+    b = a.copy()
+    b[::2] = rng.integers(0, 3000, 3000)
+    for s, e, t, u, same in compact_windows.similar_parts(a, b):
+        x, y = set(a[s:e].tolist()), set(b[t:u].tolist())
+        assert same == len(x & y) / len(x | y) >= 0.75
