@@ -4,47 +4,74 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from graupel.functions.geodesy import A, E2, FLAT
 from graupel.operators.graph import connected_components
+from graupel.operators.stencil import with_halo
 from graupel.session import Scratch
 
 WIDTH_BITS = 31
-#: Columns of a strip in which runs of neighbouring rows meet.
-STRIP = 256
+#: Rows and columns of a tile whose cells are connected in one task.
+TILE = 256
+#: Steps to the cell ahead of an edge of direction 0 to 3 (east, south, west, north) and to the one beside it, outside.
+AHEAD = ((0, 1), (1, 0), (0, -1), (-1, 0))
+BESIDE = ((-1, 0), (0, 1), (1, 0), (0, -1))
 
 
 def cell_id(row="row", col="col") -> Column:
     return F.shiftleft(F.col(row).cast("bigint"), WIDTH_BITS) + F.col(col)
 
 
-def label_cells(mask: DataFrame, keys: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
+def _tile_parts(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Of distinct cells in (row, col) order, the place of the first cell of each one's 8-connected part."""
+    r, c = row - row.min(), col - col.min() + 1
+    frame = np.full((r.max() + 2, c.max() + 2), -1)
+    own = np.arange(len(row))
+    frame[r, c] = own
+    ends = [frame[r + i, c + j] for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))]
+    a, b = np.concatenate([own[e >= 0] for e in ends]), np.concatenate([e[e >= 0] for e in ends])
+    first = own
+    while len(a):
+        low, high = np.minimum(first[a], first[b]), np.maximum(first[a], first[b])
+        first = first.copy()
+        np.minimum.at(first, high, low)
+        while (first[first] != first).any():
+            first = first[first]
+        apart = first[a] != first[b]
+        a, b = a[apart], b[apart]
+    return first
+
+
+def label_cells(mask: DataFrame, keys: tuple[str, ...] = (), scratch: Scratch | None = None, tile: int = TILE) -> DataFrame:
     """keys, row, col, component (smallest cell id of the 8-connected part).
 
-    Rows of cells become runs first, so the component loop handles runs, not cells.
+    Tiles of cells become parts first; these meet by the cells along the tiles' borders, so the component loop handles parts that cross one, not cells.
     """
     scratch = scratch or Scratch(mask.sparkSession, "cells")
-    line = Window.partitionBy(*keys, "row").orderBy("col")
-    cells = mask.select(*keys, "row", "col").distinct()
-    runs_of = cells.withColumn("run", F.col("col") - F.row_number().over(line))
-    runs_of = scratch.save(runs_of, "runs")
-    runs = runs_of.groupBy(*keys, "row", "run").agg(F.min("col").alias("lo"), F.max("col").alias("hi"))
-    runs = runs.withColumn("id", cell_id("row", "lo"))
-    numbered = scratch.save(runs.withColumn("node", F.xxhash64(*keys, "id") if keys else F.col("id")), "numbered")
-    # runs meet by row and strip of columns; a pair that shares several strips counts in the first
-    strips = lambda first, last: F.explode(F.sequence(F.floor(first / STRIP), F.floor(last / STRIP))).alias("strip")
-    a = numbered.select("*", strips(F.col("lo") - 1, F.col("hi") + 1)).alias("a")
-    b = numbered.select("*", strips(F.col("lo"), F.col("hi"))).alias("b")
-    touch = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.row") + 1 == F.col("b.row"), F.col("a.strip") == F.col("b.strip"), F.col("a.lo") <= F.col("b.hi") + 1, F.col("b.lo") <= F.col("a.hi") + 1]
-    touch.append(F.col("a.strip") == F.floor(F.greatest(F.col("a.lo") - 1, F.col("b.lo")) / STRIP))
-    edges = a.join(b, touch).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    parts = connected_components(edges, scratch=scratch)
-    named = numbered.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    least = named.groupBy(*keys, "part").agg(F.min("id").alias("component"))
-    placed = named.drop("component").join(least, [*keys, "part"]).select(*keys, "row", "run", "component")
-    return runs_of.join(placed, [*keys, "row", "run"]).select(*keys, "row", "col", "component")
+
+    def parts_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["row", "col"]).sort_values(["row", "col"])
+        row, col = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
+        id = (row << WIDTH_BITS) + col
+        r, c = row % tile, col % tile
+        return pdf[[*keys, "row", "col"]].assign(id=id[_tile_parts(row, col)], border=(r == 0) | (r == tile - 1) | (c == 0) | (c == tile - 1))
+
+    in_tile = {"_tr": F.floor(F.col("row") / tile), "_tc": F.floor(F.col("col") / tile)}
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in mask.select(*keys, "row", "col").schema.fields)
+    cells = mask.select(*keys, "row", "col").withColumns(in_tile).groupBy(*keys, "_tr", "_tc").applyInPandas(parts_of, f"{kinds}id long, border boolean")
+    cells = scratch.save(cells.withColumn("node", F.xxhash64(*keys, "id") if keys else F.col("id")), "tiled")
+    border = cells.where("border").select(*keys, "row", "col", "node", "id")
+    ahead = F.explode(F.array(*[F.struct((F.col("row") + i).alias("row"), (F.col("col") + j).alias("col")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    edges = border.select(*keys, F.col("node").alias("a"), ahead.alias("to")).select(*keys, "a", "to.*").join(border.select(*keys, "row", "col", F.col("node").alias("b")), [*keys, "row", "col"])
+    parts = connected_components(edges.where("a <> b").select("a", "b"), scratch=scratch)
+    named = border.select("node", "id").distinct().join(parts, "node")
+    least = named.groupBy("component").agg(F.min("id").alias("least"))
+    across = scratch.save(named.join(least, "component").select("node", "least"), "across")
+    return cells.join(across, "node", "left").select(*keys, "row", "col", F.coalesce("least", "id").alias("component"))
 
 
 def component_stats(labels: DataFrame, px: float, keys: tuple[str, ...] = (), area: Column | None = None) -> DataFrame:
@@ -91,32 +118,78 @@ def boundary_edges(labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return edges.groupBy(*keys, "component", "x0", "y0", "x1", "y1").agg(F.count("*").alias("n")).where("n = 1").drop("n")
 
 
-def outline_rings(labels: DataFrame, keys: tuple[str, ...] = (), scratch: Scratch | None = None, turns: bool = False) -> DataFrame:
+def _chains(succ: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First edge of each edge's chain and the place in it; -1 in ``succ`` ends a chain, a closed one starts at its least code."""
+    n = len(succ)
+    own, rounds = np.arange(n), max(int(n).bit_length(), 1)
+    before = np.full(n, -1)
+    before[succ[succ >= 0]] = own[succ >= 0]
+
+    def back():
+        up, steps = np.where(before < 0, own, before), (before >= 0).astype(np.int64)
+        for _ in range(rounds):
+            steps, up = steps + steps[up], up[up]
+        return up, steps
+
+    up, steps = back()
+    closed = before[up] >= 0
+    if closed.any():
+        low, jump = code.copy(), np.where(closed, succ, own)
+        for _ in range(rounds):
+            low, jump = np.minimum(low, low[jump]), jump[jump]
+        before[closed & (low == code)] = -1
+        up, steps = back()
+    return up, steps
+
+
+def outline_rings(labels: DataFrame, keys: tuple[str, ...] = (), scratch: Scratch | None = None, turns: bool = False, tile: int = TILE) -> DataFrame:
     """The closed outlines of every component: keys, component, ring, seq (from 0), x, y in cell corners; ``turns`` adds the edge's direction (0 east, 1 south, 2 west, 3 north).
 
     Edges run with their cell on the right, so outer rings turn clockwise and holes the other way; where two cells touch at a
     corner only, the ring stays with its cell.  A ring is named by its smallest edge (row, column, direction), at which it starts.
-    Rings come from components of the edges' successors and places from doubled pointers, so no ring is gathered in one task.
+    A tile with a halo puts its cells' edges in chains; chains that leave it become rings by components of their successors and get
+    their places from doubled pointers, so no ring is gathered in one task and the loops follow the tiles' borders.
     """
     scratch = scratch or Scratch(labels.sparkSession, "rings")
-    side = lambda k, x0, y0, ux, uy, flat: F.struct(F.lit(k).alias("turn"), (F.col("col") + x0).alias("x"), (F.col("row") + y0).alias("y"), (F.col("col") + ux).alias("ux"), (F.col("row") + uy).alias("uy"), F.lit(flat).alias("flat"))
-    sides = F.array(side(0, 0, 0, 0, 0, True), side(1, 1, 0, 1, 0, False), side(2, 1, 1, 0, 1, True), side(3, 0, 1, 0, 0, False))
-    each = labels.select(*keys, "component", F.explode(sides).alias("e")).select(*keys, "component", "e.*")
-    edges = each.groupBy(*keys, "component", "ux", "uy", "flat").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("turn", "x", "y")]).where("n = 1")
-    code = F.shiftleft(F.col("y").cast("bigint"), 32) + F.shiftleft(F.col("x").cast("bigint"), 2) + F.col("turn")
-    dx, dy = (F.element_at(F.array(*map(F.lit, v)), F.col("turn") + 1) for v in ((1, 0, -1, 0), (0, 1, 0, -1)))
-    edges = edges.select(*keys, "component", "turn", "x", "y", (F.col("x") + dx).alias("x1"), (F.col("y") + dy).alias("y1"), code.alias("code"))
-    edges = scratch.save(edges.withColumn("node", F.xxhash64(*keys, "code") if keys else F.col("code")), "edges")
-    out = edges.select(*keys, "component", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("turn").alias("out_turn"), F.col("node").alias("next"))
-    prefer = F.pmod(F.lit(5) - (F.col("out_turn") - F.col("turn")), F.lit(4))  # right, ahead, left
-    after = edges.join(out, [*keys, "component", "x1", "y1"]).groupBy("node").agg(F.min(F.struct(prefer.alias("p"), "next"))["next"].alias("next"))
-    after = scratch.save(after, "after")
-    parts = connected_components(after, "node", "next", scratch).withColumnRenamed("component", "part")
-    placed = scratch.save(edges.join(parts, "node"), "placed")
-    heads = placed.groupBy("part").agg(F.min("code").alias("ring"))
-    named = scratch.save(placed.join(heads, "part").select(*keys, "component", "ring", "x", "y", *["turn"] * turns, "node", (F.col("code") == F.col("ring")).alias("head")), "named")
-    before = after.select(F.col("next").alias("node"), F.col("node").alias("to"))
-    walk = named.join(before, "node").select("node", F.when(F.col("head"), F.col("node")).otherwise(F.col("to")).alias("to"), F.when(F.col("head"), 0).otherwise(1).alias("steps"))
+    kinds = {f.name: f.dataType.simpleString() for f in labels.select(*keys, "component", "row", "col").schema.fields}
+
+    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, col = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
+        r, c = row - row.min() + 1, col - col.min() + 1
+        frame = np.full((r.max() + 2, c.max() + 2), -1)
+        name = pd.factorize(pdf["component"])[0]
+        frame[r, c] = name
+        mine = np.flatnonzero((row // tile == pdf["tr"].to_numpy()) & (col // tile == pdf["tc"].to_numpy()))
+        like = lambda at, step: frame[r[at] + step[0], c[at] + step[1]] == name[at]
+        at, turn = (np.concatenate(x) for x in zip(*[(e, np.full(len(e), k)) for k in range(4) for e in (mine[~like(mine, BESIDE[k])],)], strict=True))
+        code_of = lambda row, col, turn: (row + np.isin(turn, (2, 3)) << 32) + (col + np.isin(turn, (1, 2)) << 2) + turn
+        f, o = np.array(AHEAD)[turn], np.array(BESIDE)[turn]
+        straight = frame[r[at] + f[:, 0], c[at] + f[:, 1]] == name[at]
+        left = straight & (frame[r[at] + f[:, 0] + o[:, 0], c[at] + f[:, 1] + o[:, 1]] == name[at])
+        to_row, to_col = row[at] + straight * f[:, 0] + left * o[:, 0], col[at] + straight * f[:, 1] + left * o[:, 1]
+        code, goal = code_of(row[at], col[at], turn), code_of(to_row, to_col, (turn + 1 - straight - left) % 4)
+        order = np.argsort(code)
+        spot = order[np.minimum(np.searchsorted(code[order], goal), max(len(code) - 1, 0))] if len(code) else at
+        inside = code[spot] == goal
+        first, place = _chains(np.where(inside, spot, -1), code)
+        out = pdf.iloc[at][[*keys, "component"]].copy()
+        return out.assign(x=col[at] + np.isin(turn, (1, 2)), y=row[at] + np.isin(turn, (2, 3)), turn=turn, code=code, chain=code[first], place=place, onto=pd.arrays.IntegerArray(goal, inside))
+
+    each = with_halo(labels.select(*keys, "component", "row", "col"), tile).groupBy(*keys, "tr", "tc")
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in (*keys, "component")) + f"x {kinds['col']}, y {kinds['row']}, turn int, code long, chain long, place long, onto long"
+    node = lambda c: F.xxhash64(*keys, c) if keys else F.col(c)
+    edges = scratch.save(each.applyInPandas(trace, schema).withColumn("node", node("chain")), "edges")
+    head = F.min(F.struct("code", "place"))
+    chains = edges.withColumn("next", F.when(F.col("onto").isNotNull(), node("onto"))).groupBy("node").agg(head.alias("head"), F.count("*").alias("n"), F.max("next").alias("next"))
+    chains = scratch.save(chains.select("node", F.col("head.code").alias("low"), F.col("head.place").alias("at"), "n", "next"), "chains")
+    # chains that leave their tile
+    open_ = chains.where("next is not null")
+    parts = connected_components(open_, "node", "next", scratch).withColumnRenamed("component", "part")
+    placed = scratch.save(open_.join(parts, "node"), "placed")
+    heads = placed.groupBy("part").agg(F.min("low").alias("ring"), F.sum("n").alias("total"))
+    named = scratch.save(placed.join(heads, "part").withColumn("head", F.col("low") == F.col("ring")), "named")
+    before = named.select(F.col("next").alias("node"), F.col("node").alias("to"), (F.col("n") - F.when(F.col("head"), F.col("at")).otherwise(0)).alias("more"))
+    walk = named.join(before, "node").select("node", F.when(F.col("head"), F.col("node")).otherwise(F.col("to")).alias("to"), F.when(F.col("head"), 0).otherwise(F.col("more")).alias("steps"))
     walk, known = scratch.save(walk, "walk"), None
     while True:
         ahead = walk.select(F.col("node").alias("to"), F.col("to").alias("onto"), F.col("steps").alias("more"))
@@ -127,7 +200,11 @@ def outline_rings(labels: DataFrame, keys: tuple[str, ...] = (), scratch: Scratc
         if total == known:
             break
         known = total
-    return named.join(walk.select("node", "steps"), "node").select(*keys, "component", "ring", F.col("steps").alias("seq"), "x", "y", *["turn"] * turns)
+    start = F.when(F.col("head"), -F.col("at")).otherwise(F.col("steps"))
+    found = named.join(walk.select("node", "steps"), "node").select("node", "ring", "total", start.alias("start"))
+    found = scratch.save(found, "found")
+    seq = F.coalesce(F.pmod(F.col("start") + F.col("place"), F.col("total")), F.col("place")).cast("int")
+    return edges.join(found, "node", "left").select(*keys, "component", F.coalesce("ring", "chain").alias("ring"), seq.alias("seq"), "x", "y", *["turn"] * turns)
 
 
 def polygon_parts(rings: DataFrame, labels: DataFrame, keys: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:

@@ -562,3 +562,31 @@ def test_sketched_medians_are_near_the_exact_ones(spark):
     windows = ("2020-01-01", "2020-01-15"), ("2020-01-15", "2020-02-01")
     exact, near = ({r["row"]: r for r in temporal.composite_change(series, *windows, median=True, accuracy=a).collect()} for a in (None, 10_000))
     assert all(abs(exact[k][c] - near[k][c]) <= 3 for k in exact for c in ("vv_ref", "vv_act", "vh_ref", "vh_act"))
+
+
+def test_parts_and_rings_by_tiles(spark, monkeypatch):
+    import random
+
+    draw = random.Random(7)
+    cells = sorted((r, c) for r in range(24) for c in range(22) if draw.random() < 0.55)
+    part = {}
+    for first in cells:  # in order, so the first cell of a part is its smallest
+        todo = [first] if first not in part else []
+        while todo:
+            r, c = todo.pop()
+            if (r, c) not in part:
+                part[r, c] = (first[0] << 31) + first[1]
+                todo += [p for p in ((r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)) if p in set(cells)]
+    mask = spark.createDataFrame([(k, r, c) for k in ("a", "b") for r, c in cells], "k string, row int, col int")
+    fed = []
+    whole = C.connected_components
+    monkeypatch.setattr(C, "connected_components", lambda edges, *rest, **named: fed.append(edges.count()) or whole(edges, *rest, **named))
+    labels = C.label_cells(mask, ("k",), tile=5)
+    assert {(r["k"], r["row"], r["col"]): r["component"] for r in labels.collect()} == {(k, *p): n for k in ("a", "b") for p, n in part.items()}
+    rings = [sorted(map(tuple, C.outline_rings(labels, ("k",), turns=True, tile=t).collect())) for t in (5, 64)]
+    assert rings[0] == rings[1] and len(rings[0]) == C.boundary_edges(labels, ("k",)).count()
+    for one, two in zip(rings[0], rings[0][1:], strict=False):  # k, component, ring, seq, x, y, turn
+        assert two[3] == 0 or two[:4] == (*one[:3], one[3] + 1) and abs(one[4] - two[4]) + abs(one[5] - two[5]) == 1
+    # loops run on what crosses a tile's border only
+    C.label_cells(mask, ("k",), tile=64)
+    assert fed[0] > 0 and fed[1] > 0 and fed[2:] == [0, 0]
