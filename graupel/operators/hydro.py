@@ -273,25 +273,41 @@ def steepest_pointer(dem: DataFrame, value: str, px: float) -> DataFrame:
     return near.select(cell_id().alias("id"), (-best["k"]).alias("to"))
 
 
-def height_above_stream(dem: DataFrame, value: str, streams: DataFrame, pointers: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def _ends(id: np.ndarray, to: np.ndarray, wet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pointers inside one tile end (a stream cell, a cell outside or ROOT: nowhere), and whether the way is done there."""
+    own, up = np.arange(len(id)), np.where(wet | (to == ROOT), -1, _places(id, to))
+    up = np.where(up < 0, own, up)
+    for _ in range(int(len(id)).bit_length()):
+        up = up[up]
+    return np.where(wet[up], id[up], to[up]), wet[up] | (to[up] == ROOT)
+
+
+def height_above_stream(dem: DataFrame, value: str, streams: DataFrame, pointers: DataFrame, scratch: Scratch | None = None, tile: int = TILE) -> DataFrame:
     """row, col, height over the stream cell that the pointers reach; NULL if they reach none.
 
-    Pointer jumping: each round doubles the way covered; stream cells point to themselves.
+    Tiles follow their pointers to a stream or out first; the cells that ways enter by are then solved by pointer jumping, where each round doubles the way covered.
     """
     scratch = scratch or Scratch(dem.sparkSession, "height")
     wet = streams.select(cell_id().alias("id"), F.lit(True).alias("wet"))
-    cur = pointers.join(wet, "id", "left").select("id", F.when(F.col("wet"), F.col("id")).otherwise(F.col("to")).alias("to"))
-    cur, state = scratch.save(cur, "pointers"), None
-    for _ in range(64):
-        ahead = cur.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        nxt = scratch.save(cur.join(ahead, "to", "left").select("id", F.col("next").alias("to")), "pointers")
-        new = tuple(nxt.agg(F.sum(F.col("to").cast("decimal(38,0)")), F.count("to")).first())
+    row, col = F.shiftright("id", WIDTH_BITS), F.col("id").bitwiseAND(F.lit((1 << WIDTH_BITS) - 1))
+    start = pointers.join(wet, "id", "left").select("id", F.coalesce("to", F.lit(ROOT)).alias("to"), F.coalesce("wet", F.lit(False)).alias("wet"))
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        to, done = _ends(*(pdf[c].to_numpy() for c in ("id", "to", "wet")))
+        return pd.DataFrame({"id": pdf["id"], "to": to, "done": done})
+
+    tiled = start.groupBy(F.floor(row / tile), F.floor(col / tile)).applyInPandas(inside, "id long, to long, done boolean")
+    tiled = scratch.save(tiled, "pointers")
+    goals = tiled.where("not done").select(F.col("to").alias("id")).distinct()
+    cur = scratch.save(tiled.join(goals, "id"), "ways")
+    while not cur.where("not done").isEmpty():
+        ahead = cur.select(F.col("id").alias("to"), F.col("to").alias("then"), F.col("done").alias("ends"))
+        nxt = cur.join(ahead, "to", "left").select("id", F.when(F.col("done"), F.col("to")).otherwise(F.coalesce("then", F.lit(ROOT))).alias("to"), (F.col("done") | F.coalesce("ends", F.lit(True))).alias("done"))
+        nxt = scratch.save(nxt, "ways")
         scratch.free(cur)
         cur = nxt
-        if new == state:
-            break
-        state = new
+    onto = tiled.join(cur.select(F.col("id").alias("to"), F.col("to").alias("then")), "to", "left").select("id", F.when(F.col("done"), F.col("to")).otherwise(F.col("then")).alias("to"))
     z = dem.select(cell_id().alias("id"), F.col(value).alias("z"))
-    ends = z.select(F.col("id").alias("to"), F.col("z").alias("stream_z"))
+    ends = z.join(streams.select(cell_id().alias("id")), "id", "left_semi").select(F.col("id").alias("to"), F.col("z").alias("stream_z"))
     cells = dem.select("row", "col", cell_id().alias("id"), F.col(value).alias("z"))
-    return cells.join(cur, "id").join(ends, "to", "left").select("row", "col", (F.col("z") - F.col("stream_z")).alias("height"))
+    return cells.join(onto, "id").join(ends, "to", "left").select("row", "col", (F.col("z") - F.col("stream_z")).alias("height"))

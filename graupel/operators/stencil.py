@@ -117,18 +117,21 @@ def roughness(cells: DataFrame, value: str) -> DataFrame:
     return box.select("row", "col", F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0))).alias("roughness"))
 
 
+def _upward(slope: str, aspect: str) -> dict[str, Column]:
+    """The unit vector that stands on a cell; level cells point up."""
+    s = F.radians(slope)
+    return {"x": F.coalesce(F.sin(s) * eastness(F.col(aspect)), F.lit(0.0)), "y": F.coalesce(F.sin(s) * northness(F.col(aspect)), F.lit(0.0)), "z": F.cos(s)}
+
+
+def _spread(*means: str) -> Column:
+    """Vector ruggedness from the mean vector of a 3x3 window."""
+    return 1.0 - F.sqrt(reduce(add, [F.col(k) * 9 * F.col(k) * 9 for k in means])) / 9
+
+
 def vector_ruggedness(cells: DataFrame, slope: str = "slope", aspect: str = "aspect") -> DataFrame:
     """row, col, vrm (Sappington 2007) of a 3x3 window; level cells point up."""
-    s = F.radians(slope)
-    parts = cells.select(
-        "row", "col",
-        F.coalesce(F.sin(s) * eastness(F.col(aspect)), F.lit(0.0)).alias("x"),
-        F.coalesce(F.sin(s) * northness(F.col(aspect)), F.lit(0.0)).alias("y"),
-        F.cos(s).alias("z"),
-    )
-    box = box_mean(parts, ["x", "y", "z"], ["row", "col"])
-    norm = F.sqrt(reduce(add, [F.col(k) * 9 * F.col(k) * 9 for k in "xyz"]))
-    return box.select("row", "col", (1.0 - norm / 9).alias("vrm"))
+    parts = cells.select("row", "col", *[v.alias(k) for k, v in _upward(slope, aspect).items()])
+    return box_mean(parts, ["x", "y", "z"], ["row", "col"]).select("row", "col", _spread("x", "y", "z").alias("vrm"))
 
 
 def topographic_position(cells: DataFrame, value: str, window: int = 11) -> DataFrame:
@@ -139,6 +142,17 @@ def topographic_position(cells: DataFrame, value: str, window: int = 11) -> Data
     return line.select("row", "col", (F.col(value) - F.sum("_s").over(down) / F.sum("_n").over(down)).alias("tpi"))
 
 
+def position_and_ruggedness(cells: DataFrame, value: str, window: int = 11, slope: str = "slope", aspect: str = "aspect") -> DataFrame:
+    """All columns, tpi and vrm, from one pass along rows and one along columns."""
+    r, keep = window // 2, [F.col(c) for c in cells.columns]
+    across, down = _across().rangeBetween(-r, r), _down().rangeBetween(-r, r)
+    mean = lambda w, k: (F.coalesce(_at(k, w, -1), F.col(k)) + F.col(k) + F.coalesce(_at(k, w, 1), F.col(k))) / 3
+    line = cells.select(*keep, *[v.alias(f"_{k}") for k, v in _upward(slope, aspect).items()])
+    line = line.select(*keep, F.sum(value).over(across).alias("_s"), F.count(value).over(across).alias("_n"), *[mean(_across(), f"_{k}").alias(f"_{k}") for k in "xyz"])
+    line = line.select(*keep, (F.col(value) - F.sum("_s").over(down) / F.sum("_n").over(down)).alias("tpi"), *[mean(_down(), f"_{k}").alias(f"_{k}") for k in "xyz"])
+    return line.select(*keep, "tpi", _spread("_x", "_y", "_z").alias("vrm"))
+
+
 def disk(radius_cells: float) -> list[tuple[int, int]]:
     """Offsets of the cells whose centre is within the radius."""
     r = int(radius_cells)

@@ -28,9 +28,9 @@ def compute_terrain(dem: DataFrame, px: float, value: str = "elev", stream_thres
     pointers = hydro.steepest_pointer(flow, "breached", px)
     up = cut.where("parent_row is not null").select(hydro.cell_id().alias("id"), hydro.cell_id("parent_row", "parent_col").alias("up"))
     pointers = pointers.join(up, "id", "left").select("id", F.coalesce("to", "up").alias("to"))
-    valley = hydro.height_above_stream(dem, value, sca.where(F.col("sca") > stream_threshold), pointers, scratch)
-    out = base.withColumns({"eastness": B.eastness(F.col("aspect")), "northness": B.northness(F.col("aspect"))})
-    for part in (stencil.topographic_position(dem, value, tpi_window), stencil.vector_ruggedness(base), sca, valley.withColumnRenamed("height", "valley_depth")):
+    valley = hydro.height_above_stream(dem, value, sca.where(F.col("sca") > stream_threshold), pointers, scratch, tile)
+    out = stencil.position_and_ruggedness(base, value, tpi_window).withColumns({"eastness": B.eastness(F.col("aspect")), "northness": B.northness(F.col("aspect"))})
+    for part in (sca, valley.withColumnRenamed("height", "valley_depth")):
         out = out.join(part, ["row", "col"], "left")
     out = out.withColumns({"twi": B.wetness(F.col("sca"), F.col("slope")), "spi": B.stream_power(F.col("sca"), F.col("slope"))})
     return out.select("row", "col", *FACTORS)

@@ -590,3 +590,28 @@ def test_parts_and_rings_by_tiles(spark, monkeypatch):
     # loops run on what crosses a tile's border only
     C.label_cells(mask, ("k",), tile=64)
     assert fed[0] > 0 and fed[1] > 0 and fed[2:] == [0, 0]
+
+
+def test_heights_above_streams_by_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    z = 90 - 2.0 * np.add.outer(np.arange(23), np.arange(19)) + 3 * rng.random((23, 19))
+    dem = grid(spark, z)
+    pointers = hydro.steepest_pointer(dem, "elev", 10.0)
+    wet = {(r, c) for r in range(23) for c in range(19) if (r * 7 + c * 3) % 31 == 0}
+    streams = spark.createDataFrame(sorted(wet), "row int, col int")
+    to = {r["id"]: r["to"] for r in pointers.collect()}
+    want = np.full(z.shape, np.nan)
+    for r in range(23):
+        for c in range(19):
+            at = (r << 31) + c
+            while at is not None and (at >> 31, at & (2**31 - 1)) not in wet:
+                at = to[at]
+            if at is not None:
+                want[r, c] = z[r, c] - z[at >> 31, at & (2**31 - 1)]
+    looped = []
+    save = hydro.Scratch.save
+    monkeypatch.setattr(hydro.Scratch, "save", lambda self, df, name="t", *rest: looped.append(df.count() if name == "ways" else 0) or save(self, df, name, *rest))
+    for tile, most in ((4, 23 * 19 - 1), (64, 0)):  # loops run on the cells by which ways enter a tile only
+        looped.clear()
+        got = table(hydro.height_above_stream(dem, "elev", streams, pointers, tile=tile), "height", z.shape)
+        assert np.isnan(want).any() and np.allclose(got, want, equal_nan=True) and max(looped) <= most
