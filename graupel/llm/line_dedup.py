@@ -8,9 +8,9 @@ next full one of its group, and a group is a band of ``ROWS`` values.  A pair wi
 shares a band with odds of about 0.98 at every length (tested); shorter lines, whose groups hold few windows, more likely.
 
 Equal bands make candidates, which pass a parity sketch (its distance never exceeds the symmetric difference) before
-the exact Jaccard test: each line with the smallest and the largest of its bands; then, where a band still holds more than one
-component, the lines outside the largest one with all others.  Where more than ``ASKS`` lines are outside, the band's lines meet by their rarest windows instead
-(prefix filter: similar lines have one of these in common).  So every pair with a common band is decided, and a template that many unlike lines share
+the exact Jaccard test: each line with two hubs of each of its bands; then, where a band's other lines still make more than one
+component, the lines outside the largest one with all others.  Where more than ``ASKS`` lines are outside, the band's lines can meet by their rarest windows instead
+(prefix filter: similar lines have one of these in common; taken where that makes fewer comparisons).  So every pair with a common band is decided, and a template that many unlike lines share
 makes no pairs.  Links become components; the first line of each component, by (id, text, place), stays.
 Null texts have no lines; rows with equal id and text count as one row (both keep the same lines).
 Empty tables give empty results; extra columns pass through.
@@ -77,11 +77,14 @@ def _bands(lines: DataFrame) -> DataFrame:
 
 
 def _members(bands: DataFrame, scratch: Scratch) -> DataFrame:
-    """Lines of shared bands, each with the smallest and the largest line of the band."""
-    shared = bands.groupBy("band").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
-    shared = scratch.save(shared, "shared")
-    members = scratch.save(bands.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "band"), "members")
-    scratch.free(shared)
+    """Lines of shared bands, each with two hubs of the band: the line of the fewest (low) and that of the most lines in all of its bands (high)."""
+    shared = scratch.save(bands.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    found = scratch.save(bands.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "band"), "found")
+    weight = found.groupBy("h").agg(F.sum("m").alias("w"))
+    rank = F.struct("w", "h")
+    hubs = found.join(weight, "h").groupBy("band").agg(F.min(rank)["h"].alias("low"), F.max(rank)["h"].alias("high"))
+    members = scratch.save(found.join(hubs, "band").select("band", "h", "low", "high"), "members")
+    scratch.free(shared, found)
     return members
 
 
@@ -110,7 +113,7 @@ def _apart(x: str, y: str) -> Column:
 
 
 def _stars(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Each line with the smallest and the largest line of its bands (a, b), where their sketches are near."""
+    """Each line with the hubs of its bands (a, b), where their sketches are near."""
     pairs = members.select(F.col("h").alias("b"), F.explode(F.array("low", "high")).alias("a")).where("a <> b").distinct()
     one = pairs.join(sketches.withColumnRenamed("h", "a"), "a").select("b", F.struct("a", "n", *[f"s{k}" for k in range(SKETCH)]).alias("x"))
     both = one.join(sketches.select(F.col("h").alias("b"), F.struct("n", *[f"s{k}" for k in range(SKETCH)]).alias("y")), "b")
@@ -118,39 +121,61 @@ def _stars(members: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _open_bands(members: DataFrame, comps: DataFrame | None, scratch: Scratch) -> DataFrame:
-    """band, h, comp, major (the band's largest component), m (its lines) and out (those outside major) for bands that hold several components; bands of the same lines count once."""
+    """band, h, comp, major (the band's largest component), m (its lines) and out (those outside major) for bands that hold several components; bands of the same lines count once.
+
+    A band's hubs have met all of its lines, so they are left out.
+    """
+    if "low" in members.columns:
+        members = members.where("h <> low and h <> high")
     known = members.select("band", "h", F.col("h").alias("comp")) if comps is None else members.join(comps, members["h"] == comps["node"], "left").select("band", "h", F.coalesce("component", "h").alias("comp"))
     placed = scratch.save(known, "placed")
     sizes = placed.groupBy("band", "comp").agg(F.count("*").alias("m"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("sign"))
     several = sizes.groupBy("band").agg(F.max(F.struct("m", "comp"))["comp"].alias("major"), (F.sum("m") - F.max("m")).alias("out"), F.sum("m").alias("m"), F.count("*").alias("comps"), F.sum("sign").alias("sign")).where("comps > 1")
     once = several.groupBy("sign", "m", "major", "out").agg(F.min("band").alias("band")).drop("sign")
-    return scratch.save(placed.join(once, "band"), "open")
+    found = scratch.save(placed.join(once, "band"), "open")
+    scratch.free(placed)
+    return found
+
 
+def _posts(lines: DataFrame, texts: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """h, comp and each of the line's rarest windows (band), so many that two similar lines have one of these in common.
 
-def _posts(lines: DataFrame, texts: DataFrame) -> DataFrame:
-    """h, comp and each of the line's rarest windows (band), so many that two similar lines have one of these in common."""
+    Windows of one line only lead the order and join nothing, so they are counted and don't travel.
+    """
+    scratch = scratch or Scratch(lines.sparkSession, "posts")
     grams = lines.join(texts, "h").select("h", "comp", _grams(F.col("line")).alias("g")).select("h", "comp", F.size("g").alias("n"), F.explode("g").alias("x"))
-    often = grams.groupBy("x").agg(F.count("*").alias("often"))
-    rank = F.row_number().over(Window.partitionBy("h").orderBy("often", "x"))
-    rare = grams.join(often, "x").withColumn("rank", rank).where(F.col("rank") <= F.floor(F.col("n") * (DEN - NUM) / DEN) + 1)
-    return rare.where("often > 1").select(F.xxhash64("x").alias("band"), "h", "comp")
+    often = scratch.save(grams.groupBy("x").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    own = Window.partitionBy("h")
+    shared = grams.join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "x")
+    rank = F.row_number().over(own.orderBy("often", "x")) + F.col("n") - F.count("*").over(own)
+    rare = shared.withColumn("rank", rank).where(F.col("rank") <= F.floor(F.col("n") * (DEN - NUM) / DEN) + 1)
+    return rare.select(F.xxhash64("x").alias("band"), "h", "comp")
+
+
+def _comparisons(rows: DataFrame) -> int:
+    """Comparisons that bands take: each line outside the largest component with all of its band."""
+    bands = rows.groupBy("band").agg(F.max(F.col("m") * F.col("out")).alias("pairs"))
+    return bands.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
 
 
 def _links_apart(members: DataFrame, comps: DataFrame | None, sketches: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Two components (a, b) for every two that a pair of similar lines with a common band joins.
 
-    In a band, the lines outside its largest component are compared with all others.  Where more than ``ASKS`` lines are outside, the band's lines meet by
-    their rarest windows instead, of which similar lines have one in common, so lines that share a template only don't meet and the comparisons of a band
-    are in proportion to its lines.  Large bands are compared in blocks; a block gives a component once for each line, however many of its lines are similar.
+    In a band, the lines outside its largest component are compared with all others.  Where more than ``ASKS`` lines are outside, the band's lines can meet by
+    their rarest windows instead, of which similar lines have one in common, so lines that share a template only don't meet; the way of fewer comparisons is taken.  Large bands are compared in blocks; a block gives a component once for each line, however many of its lines are similar.
     """
     rows = _open_bands(members, comps, scratch)
     large = rows.where(F.col("out") > ASKS).select("h", "comp").distinct()
     if not large.isEmpty():
-        posts = scratch.save(_posts(large, texts), "posts")
+        posts = scratch.save(_posts(large, texts, scratch), "posts")
         own = posts.select("h", F.col("comp").alias("component")).distinct().withColumnRenamed("h", "node")
-        rows = rows.where(F.col("out") <= ASKS).unionByName(_open_bands(posts.select("band", "h"), own, scratch))
+        by_posts = _open_bands(posts.select("band", "h"), own, scratch)
+        # both ways decide all pairs of these bands
+        if _comparisons(by_posts) < _comparisons(rows.where(F.col("out") > ASKS)):
+            rows = rows.where(F.col("out") <= ASKS).unionByName(by_posts)
+        scratch.free(posts)
     words = [f"s{k}" for k in range(SKETCH)]
-    rows = rows.join(sketches, "h").select("band", "h", "comp", (F.col("comp") == F.col("major")).alias("inner"), "m", "out", "n", *words)
+    rows = scratch.save(rows.join(sketches, "h").select("band", "h", "comp", (F.col("comp") == F.col("major")).alias("inner"), "m", "out", "n", *words), "entries")
     # first by size and sketch: the places of lines that have a line of another component near them
     maybe = scratch.save(_near_places(rows, words), "maybe")
     # then these lines by their windows
@@ -203,7 +228,7 @@ def line_components(lines: DataFrame, scratch: Scratch) -> DataFrame:
     texts = scratch.save(_texts(lines, wanted, wanted.count()), "texts")
     sketches = scratch.save(_sketches(texts), "sketches")
     side = lambda p: texts.select(F.col("h").alias(p), F.col("line").alias(f"t{p}"))
-    # most links by the smallest and the largest line of each band
+    # most links by the two hubs of each band
     stars = _stars(members, sketches).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = stars.join(side("a"), "a").join(side("b"), "b").where(_exactly(F.col("ta"), F.col("tb"))).select("a", "b")
     comps = scratch.save(connected_components(scratch.save(near, "links"), scratch=scratch), "stars")

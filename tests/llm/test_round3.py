@@ -385,3 +385,37 @@ def test_passages_near_the_similarity_are_found(spark):
         a, b = grams(words[r["doc_id"]][r["start"] : r["end"]]), grams(words[r["other_id"]][r["other_start"] : r["other_end"]])
         assert 100 * len(a & b) >= 75 * len(a | b) and r["similarity"] == pytest.approx(len(a & b) / len(a | b))
         assert r["doc_id"] < 1000
+
+
+def test_lines_that_hubs_have_met_are_not_compared_again(spark):
+    """Pairs of unlike lines with a common band are decided by the band's hubs, so nothing is left of these bands."""
+    from graupel.llm import line_dedup
+
+    rng = np.random.default_rng(8)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    pairs = [(letters(150), letters(40), letters(40)) for _ in range(40)]
+    lines = spark.createDataFrame([(form + end,) for form, *ends in pairs for end in ends], "line string").select(F.xxhash64("line").alias("h"), "line")
+    scratch = line_dedup.Scratch(spark, "decided")
+    members = line_dedup._members(scratch.save(line_dedup._bands(lines), "bands"), scratch)
+    assert members.select("band").distinct().count() > 20
+    assert line_dedup._open_bands(members, None, scratch).count() == 0
+    assert line_dedup.line_components(lines, scratch).count() == 0
+
+
+def test_hub_of_a_band_is_the_line_of_most_bands(spark):
+    """Copies of a line, each with its own changes, have the line itself as a hub wherever it is, and the stars join nearly all of them."""
+    from graupel.llm import line_dedup
+
+    rng = np.random.default_rng(9)
+    base = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 300)
+    texts = ["".join(base)]
+    for _ in range(120):
+        own = base.copy()
+        own[rng.choice(300, 3, replace=False)] = "#"
+        texts.append("".join(own))
+    lines = spark.createDataFrame([(x,) for x in texts], "line string").select(F.xxhash64("line").alias("h"), "line")
+    scratch = line_dedup.Scratch(spark, "hubs")
+    members = line_dedup._members(scratch.save(line_dedup._bands(lines), "bands"), scratch)
+    first = lines.where(F.col("line") == texts[0]).first()["h"]
+    own = members.where(F.col("h") == first).agg(F.count("*"), F.sum((F.col("high") == first).cast("int"))).first()
+    assert own[0] >= 5 and own[1] == own[0]
