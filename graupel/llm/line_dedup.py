@@ -45,10 +45,15 @@ def _windows(wide: Column) -> Column:
     return F.greatest(F.octet_length(wide) / 2 - (GRAM - 1), F.lit(1)).cast("int")
 
 
+def _hashes(line: Column) -> Column:
+    """Hashes of the windows of a line, repeated ones too."""
+    windows = lambda wide: F.transform(F.sequence(F.lit(1), _windows(wide) * 2 - 1, F.lit(2)), lambda i: F.xxhash64(F.substring(wide, i, F.lit(2 * GRAM))))
+    return F.element_at(F.transform(F.array(F.encode(line, "UTF-16BE")), windows), 1)
+
+
 def _grams(line: Column) -> Column:
     """Distinct hashes of the windows of a line."""
-    windows = lambda wide: F.transform(F.sequence(F.lit(1), _windows(wide) * 2 - 1, F.lit(2)), lambda i: F.xxhash64(F.substring(wide, i, F.lit(2 * GRAM))))
-    return F.array_distinct(F.element_at(F.transform(F.array(F.encode(line, "UTF-16BE")), windows), 1))
+    return F.array_distinct(_hashes(line))
 
 
 def _lines(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -72,7 +77,7 @@ def _bands(lines: DataFrame) -> DataFrame:
     part = lambda shift, count: (F.shiftrightunsigned("x", shift).bitwiseAND(F.lit(0xFFFF)) % count).cast("int")
     dealt = hashed.select("h", part(48, GROUPS).alias("g"), part(32, ROWS).alias("bin"), F.col("x").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("v"))
     # grouped by h before, so this needs no further shuffle
-    minima = dealt.groupBy("h", "g").agg(*[F.min(F.when(F.col("bin") == k, F.col("v"))).alias(f"m{k}") for k in range(ROWS)])
+    minima = dealt.groupBy("h", "g").agg(*[F.expr(f"min(v) filter (where bin = {k})").alias(f"m{k}") for k in range(ROWS)])
     return minima.select("h", F.xxhash64("g", *[F.coalesce(*[F.col(f"m{(k + p) % ROWS}") for p in range(ROWS)]) for k in range(ROWS)]).alias("band"))
 
 
@@ -90,16 +95,20 @@ def _members(bands: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _sketches(texts: DataFrame) -> DataFrame:
     """h, number of its distinct windows and their parity sketch."""
-    grams = texts.select("h", F.explode(_grams(F.col("line"))).alias("x"))
-    flip = lambda k: F.when(F.shiftright("x", 6).bitwiseAND(F.lit(SKETCH - 1)) == k, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
-    return grams.groupBy("h").agg(F.count("*").cast("int").alias("n"), *[F.bit_xor(flip(k)).alias(f"s{k}") for k in range(SKETCH)])
+    # windows in order, so repeated ones stand side by side
+    ordered = texts.select("h", F.sort_array(_hashes(F.col("line"))).alias("g"))
+    places = ordered.select("h", "g", F.explode(F.sequence(F.lit(0), F.size("g") - 1)).alias("i"))
+    grams = places.select("h", F.get("g", F.col("i")).alias("x"), F.get("g", F.col("i") - 1).alias("before")).where("before is null or x <> before")
+    flip = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))
+    flips = grams.select("h", F.shiftright("x", 6).bitwiseAND(F.lit(SKETCH - 1)).cast("int").alias("word"), flip.alias("flip"))
+    words = [F.expr(f"coalesce(bit_xor(flip) filter (where word = {k}), 0L)").alias(f"s{k}") for k in range(SKETCH)]
+    return flips.groupBy("h").agg(F.count("*").cast("int").alias("n"), *words)
 
 
-def _exactly(a: Column, b: Column) -> Column:
-    """Whether two lines have the similarity."""
-    sets = F.struct(_grams(a).alias("a"), _grams(b).alias("b"))
-    enough = lambda x: F.size(F.array_intersect(x["a"], x["b"])) * (DEN + NUM) >= (F.size(x["a"]) + F.size(x["b"])) * NUM
-    return F.element_at(F.transform(F.array(sets), enough), 1)
+def _exactly(a: Column, b: Column, total: Column) -> Column:
+    """Whether two lines, whose distinct windows are ``total`` in all, have the similarity."""
+    # an intersection holds each window once, so its sides need not
+    return F.size(F.array_intersect(_hashes(a), _hashes(b))) * (DEN + NUM) >= total * NUM
 
 
 def _near(x: str, y: str) -> Column:
@@ -113,11 +122,11 @@ def _apart(x: str, y: str) -> Column:
 
 
 def _stars(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Each line with the hubs of its bands (a, b), where their sketches are near."""
+    """Each line with the hubs of its bands (a, b) and the number of both's distinct windows (total), where their sketches are near."""
     pairs = members.select(F.col("h").alias("b"), F.explode(F.array("low", "high")).alias("a")).where("a <> b").distinct()
     one = pairs.join(sketches.withColumnRenamed("h", "a"), "a").select("b", F.struct("a", "n", *[f"s{k}" for k in range(SKETCH)]).alias("x"))
     both = one.join(sketches.select(F.col("h").alias("b"), F.struct("n", *[f"s{k}" for k in range(SKETCH)]).alias("y")), "b")
-    return both.where(_near("x", "y")).select("x.a", "b")
+    return both.where(_near("x", "y")).select("x.a", "b", (F.col("x.n") + F.col("y.n")).alias("total"))
 
 
 def _open_bands(members: DataFrame, comps: DataFrame | None, scratch: Scratch) -> DataFrame:
@@ -229,8 +238,8 @@ def line_components(lines: DataFrame, scratch: Scratch) -> DataFrame:
     sketches = scratch.save(_sketches(texts), "sketches")
     side = lambda p: texts.select(F.col("h").alias(p), F.col("line").alias(f"t{p}"))
     # most links by the two hubs of each band
-    stars = _stars(members, sketches).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = stars.join(side("a"), "a").join(side("b"), "b").where(_exactly(F.col("ta"), F.col("tb"))).select("a", "b")
+    stars = _stars(members, sketches).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total").distinct()
+    near = stars.join(side("a"), "a").join(side("b"), "b").where(_exactly(F.col("ta"), F.col("tb"), F.col("total"))).select("a", "b")
     comps = scratch.save(connected_components(scratch.save(near, "links"), scratch=scratch), "stars")
     # then whatever joins two components: each such pair of components is found, so once is enough
     more = scratch.save(_links_apart(members, comps, sketches, texts, scratch), "more")

@@ -419,3 +419,26 @@ def test_hub_of_a_band_is_the_line_of_most_bands(spark):
     first = lines.where(F.col("line") == texts[0]).first()["h"]
     own = members.where(F.col("h") == first).agg(F.count("*"), F.sum((F.col("high") == first).cast("int"))).first()
     assert own[0] >= 5 and own[1] == own[0]
+
+
+def test_sketches_and_exact_test_count_repeated_windows_once(spark):
+    """Number and parity of distinct windows, and the similarity of pairs, against sets by hand: repetitive, short and mixed lines."""
+    from itertools import combinations
+
+    from graupel.llm import line_dedup
+
+    texts = ["x", "-" * 60, "-" * 20 + "abc" * 30, "abc" * 31, "0123456789 abcdefgh " * 4, "0123456789 abcdefgh " * 4 + "0123", "one line without any repeated part", "one line without any repeated parts"]
+    lines = spark.createDataFrame(list(enumerate(texts)), "h long, line string")
+    hashed = {r["w"]: r["x"] for r in spark.createDataFrame([(w,) for t in texts for w in {t[i : i + 8] for i in range(max(len(t) - 7, 1))}], "w string").select("w", F.xxhash64(F.encode("w", "UTF-16BE")).alias("x")).collect()}
+    sets = [{hashed[t[i : i + 8]] for i in range(max(len(t) - 7, 1))} for t in texts]
+    got = {r["h"]: r for r in line_dedup._sketches(lines).collect()}
+    for h, xs in enumerate(sets):
+        words = [0] * line_dedup.SKETCH
+        for x in xs:
+            words[x >> 6 & line_dedup.SKETCH - 1] ^= 1 << (x & 63)
+        assert got[h]["n"] == len(xs)
+        assert [got[h][f"s{k}"] % 2**64 for k in range(line_dedup.SKETCH)] == words
+    pairs = [(a, b, texts[a], texts[b], len(sets[a]) + len(sets[b])) for a, b in combinations(range(len(texts)), 2)]
+    near = spark.createDataFrame(pairs, "a long, b long, ta string, tb string, total int").where(line_dedup._exactly(F.col("ta"), F.col("tb"), F.col("total")))
+    want = {(a, b) for a, b, *_ in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert {(r["a"], r["b"]) for r in near.collect()} == want and len(want) >= 2
